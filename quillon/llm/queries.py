@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, tokens
+from . import decontaminate, mixing, quality, simhash, tokens, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed_sizes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, cap=2.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is the URLs of the pages whose id is divisible by 50."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, URL_RULES, pages.where("page_id % 50 = 0")).drop("listed")
+
+
+_HOST = r"translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op7_url_filter"] = rf"""
+WITH p AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+c AS (SELECT *, CASE WHEN url LIKE '%://%' THEN
+        regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '')
+        || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&'), ''), '') END AS key FROM h),
+r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT page_id, c.url AS u, max_by(struct_pack(v := verdict, t := rhost || rpath), length(rhost || rpath)) AS best FROM c JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, c.url)
+SELECT c.page_id, host, path, best.t AS rule,
+       coalesce(best.v, CASE WHEN key IN (SELECT key FROM c WHERE page_id % 50 = 0 AND key IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND c.url = m.u
+"""
