@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, tokens, urls
+from . import decontaminate, mixing, pii, quality, simhash, tokens, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ SELECT c.page_id, host, path, best.t AS rule,
        coalesce(best.v, CASE WHEN key IN (SELECT key FROM c WHERE page_id % 50 = 0 AND key IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND c.url = m.u
 """
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(table(spark, sf_dir, "documents")))
