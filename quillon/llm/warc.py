@@ -96,7 +96,7 @@ def write_warc(pages: DataFrame, folder: str, *, least_bytes: int = 0, level: in
             for at in range(0, b.num_rows, 200):
                 for r in b.slice(at, 200).to_pylist():
                     if out is None:
-                        out = fs.open_output_stream(f"{path}/{name}")
+                        out = fs.open_output_stream(f"{path}/{name}", compression=None)
                     digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
                     kind = "response" if r["first"] else "revisit"
                     squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
