@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, simhash, tokens, urls, warc
+from . import chat, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -142,3 +142,24 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM b JOIN g USING (s)
 """
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
+_LICENSES = ", ".join(f"({n!r}, {ok}, '" + t.replace("'", "''") + "')" for n, ok, t in licenses.TEMPLATES)
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op5_license_scan"] = f"""
+WITH t(name, allowed, text) AS (VALUES {_LICENSES}),
+tw AS (SELECT name, allowed, {_WORDS} AS w FROM t),
+ts AS (SELECT DISTINCT name, allowed, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT name, allowed, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+m AS (SELECT doc_id, name, allowed, count(DISTINCT s) AS n, min(pos) AS first_word, max(pos) + 5 AS last_word FROM ds JOIN ts USING (s) GROUP BY ALL),
+ok AS (SELECT m.* FROM m JOIN (SELECT name, count(*) AS all_n FROM ts GROUP BY name) USING (name) WHERE n / all_n >= 0.8),
+a AS (SELECT doc_id, count(*) AS n_licenses, string_agg(name || ':' || first_word || ':' || last_word, ',' ORDER BY name) AS licenses, bool_and(allowed) AS good FROM ok GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, CASE WHEN n_licenses IS NULL THEN 'none' WHEN good THEN 'allowed' ELSE 'denied' END AS verdict
+FROM documents LEFT JOIN a USING (doc_id)
+"""
