@@ -1,6 +1,6 @@
 """Token-ID output: fixed-width bit packing with block offsets.
 
-File format (little-endian), one file for each range of doc_ids, ``part-NNNNN.qtok``:
+File format (little-endian), one file for each range of doc_ids, ``part-NNNNN-attempt.qtok``:
 
     magic "QTOK0001"
     blocks      each ``block`` ids, ``bits`` bits an id, low bit first, padded to whole bytes
@@ -9,8 +9,8 @@ File format (little-endian), one file for each range of doc_ids, ``part-NNNNN.qt
     trailer     int64 x 6: n_docs, n_tokens, n_blocks, block, bits, start of doc_ids; then the magic
 
 ``bits`` is the least that holds the vocabulary.  All blocks but the last have as many ids, so id i
-is in block i // block and blocks unpack with numpy on their own.  A file is written under another
-name and renamed when complete; a task that is run again writes the same bytes to the same name.
+is in block i // block and blocks unpack with numpy on their own.  Each attempt of a task has a file of
+its own, and the list of files names that of the attempt which Spark committed.
 Files go through pyarrow's file systems, so any store with a URI that it knows can hold them.
 
 Defined cases: null texts are empty and have the end id alone; null doc_ids sort first; rows with
@@ -31,7 +31,7 @@ from .common import file_system, materialize, new_folder
 
 MAGIC = b"QTOK0001"
 #: Words that a worker remembers with their ids; the rest are encoded each time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _PUNCTUATION = frozenset(".,!?;:")
 
 
@@ -58,63 +58,103 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
 class Encoder:
     """A tokenizer of the tokenizers library with a bounded store of words.
 
-    The normaliser of the given files turns white space into one space and the pre-tokeniser drops
-    it, so the ids of a text are those of its space-separated pieces in turn.  A piece of Latin-1
-    letters and one punctuation mark is two pieces to the pre-tokeniser as well, and letters are
-    lower-cased one by one.  Every other piece goes to the library as it stands, and so does a whole
-    text with a special token in it.
+    For a vocabulary of words (its tokens at the end of a word have the model's end-of-word suffix; its
+    normaliser drops case and its pre-tokeniser white space) the ids of a text are those of its
+    space-separated pieces in turn.  In texts of Latin-1 characters alone, which are composed and
+    lower-cased one by one, pieces are lower-cased beforehand, and letters with one punctuation mark after
+    them are two pieces, as they are to the pre-tokeniser.  Runs of letters go to the library many at a
+    time and their ids are cut behind the tokens that end a word; other pieces, and whole texts with a
+    special token in them, go as they stand.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.end = (json.loads(self.library.to_str())["model"].get("end_of_word_suffix")) or None
+        if self.end:
+            self.ends = np.zeros(self.vocabulary, dtype=bool)
+            for token, i in self.library.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(self.end)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters."""
+        out: list[bytes] = []
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(group):
+                out += self._each(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for c in cuts.tolist():
+                out.append(data[at:c])
+                at = c
+        return out
+
+    def _pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        low = text.lower()
+        if not self.end or any(s in text or s in low for s in self.special):
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        return low.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, more, split = self.known, {}, []
-        new: dict[str, None] = {}
-        for t in texts:
-            pieces = [t] if t and any(s in t for s in self.special) else t.split(" ") if t else []
-            split.append(pieces)
-            for p in pieces:
-                if p not in known:
-                    new[p] = None
-        simple: dict[str, tuple[str, str]] = {}
-        ask: dict[str, None] = {}
-        for p in new:
+        known, more = self.known, {}
+        split = [self._pieces(t) for t in texts]
+        letters: dict[str, None] = {}
+        other: dict[str, None] = {}
+        pairs: dict[str, tuple[str, str]] = {}
+        for p in set().union(*split).difference(known):
             base, mark = (p[:-1], p[-1]) if p and p[-1] in _PUNCTUATION else (p, "")
-            if base.isalpha() and (base.isascii() or max(base) <= "\xff"):
-                base = base.lower()
-                simple[p] = base, mark
-                if base not in known:
-                    ask[base] = None
+            if self.end and base.isalpha() and (base.isascii() or max(base) <= "\xff"):
+                low = base.lower()
+                if mark or low != p:
+                    pairs[p] = low, mark
+                if low not in known:
+                    letters[low] = None
                 if mark and mark not in known:
-                    ask[mark] = None
+                    other[mark] = None
             else:
-                ask[p] = None
-        if ask:
-            names = list(ask)
-            room = CACHE_WORDS - len(known)
-            for i, (p, ids) in enumerate(zip(names, self._encode(names))):
-                (known if i < room and len(p) <= 64 else more)[p] = ids
-        for p, (base, mark) in simple.items():
-            if p not in known and p not in more:
-                ids = known[base] if base in known else more[base]
-                if mark:
-                    ids = ids + (known[mark] if mark in known else more[mark])
-                (known if len(known) < CACHE_WORDS and len(p) <= 64 else more)[p] = ids
+                other[p] = None
+        for names, ids in ((letters, self._letters), (other, self._each)):
+            for p, got in zip(names, ids(list(names)) if names else ()):
+                (known if len(known) < CACHE_WORDS and len(p) <= 64 else more)[p] = got
+        for p, (base, mark) in pairs.items():
+            got = known[base] if base in known else more[base]
+            if mark:
+                got += known[mark] if mark in known else more[mark]
+            (known if len(known) < CACHE_WORDS and len(p) <= 64 else more)[p] = got
         if not more:
             return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         return [b"".join([known[p] if p in known else more[p] for p in pieces]) for pieces in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One for each worker process, so that its tasks load the vocabulary once and share the words."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, doc_id: str = "doc_id", text: str = "text", block: int = 65_536) -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes the files.  Returns a row for each file:
     part, file, n_docs, n_tokens.  Documents are range-partitioned by doc_id and sorted in each
@@ -124,13 +164,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         bits = bits_for(encoder.vocabulary)
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
-        name, end = f"part-{part:05d}.qtok", np.array([end_id], dtype="<u4").tobytes()
+        name, end = f"part-{part:05d}-{attempt}.qtok", np.array([end_id], dtype="<u4").tobytes()
         offsets, ids, lengths, waiting, held = [len(MAGIC)], [], [], [], 0
-        with fs.open_output_stream(f"{path}/_{name}.{attempt}") as out:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             out.write(MAGIC)
 
             def flush(least: int):
@@ -148,9 +188,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
 
             for b in batches:
                 ids.extend(b.column(0).to_pylist())
-                texts = b.column(1).to_pylist()
-                for i in range(0, len(texts), 500):
-                    for got in encoder.encode(texts[i : i + 500]):
+                for i in range(0, b.num_rows, 200):
+                    for got in encoder.encode(b.column(1).slice(i, 200).to_pylist()):
                         waiting += (got, end)
                         lengths.append(len(got) // 4 + 1)
                         held += lengths[-1]
@@ -159,7 +198,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
             out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes() + np.array([x is not None for x in ids], dtype=np.uint8).tobytes())
             out.write(np.array(lengths, dtype="<i8").tobytes() + np.array(offsets, dtype="<i8").tobytes())
             out.write(np.array([len(ids), sum(lengths), len(offsets) - 1, block, bits, offsets[-1]], dtype="<i8").tobytes() + MAGIC)
-        fs.move(f"{path}/_{name}.{attempt}", f"{path}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
