@@ -98,18 +98,19 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # Documents with an entity, with a term, with both.
     held = holders.select("doc_id", "copy", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
     n_entity = held.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
-    all_terms = pairs.select("term").distinct()
-    splitting = F.split(F.lower("text"), r"[^\p{L}]+")
-    n_term = rows.select(F.explode(F.array_distinct(splitting)).alias("term")).where(F.length("term") >= min_letters).join(all_terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    own_words = holders.select("spans", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
-    own = own_words.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"), "w")
+    own = holders.select(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entities"), F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
     by_entity = pairs.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    n_both = own.join(by_entity, "entity").select("entity", F.explode(F.array_intersect("w", "terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    n = rows.count()
-    scored = n_both.join(n_entity, "entity").join(n_term, "term")
-    pmi = F.log(F.col("n_et") * F.lit(float(max(n, 1))) / (F.col("n_e") * F.col("n_t")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    telling = scored.where((ic > 0) & (pmi >= threshold * ic)).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    n_both = own.select(F.explode("entities").alias("entity"), "w").join(by_entity, "entity").select("entity", F.explode(F.array_intersect("w", "terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    n = float(max(rows.count(), 1))
+    ic = F.log(F.lit(n) / F.col("n_e"))
+    # Documents with an entity alone give a lower bound of n(t): terms too common by that need no count.
+    terms_here = own.select(F.explode("w").alias("term")).where(F.length("term") >= min_letters).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_h"))
+    likely = n_both.join(n_entity, "entity").join(terms_here, "term").where((ic > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_h"))) >= threshold * ic))
+    likely = materialize(likely.select("entity", "term", "n_et", "n_e"), "likely-terms")
+    words_of_all = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= min_letters)
+    n_term = words_of_all.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    telling = likely.join(n_term, "term").where(pmi >= threshold * ic).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     per_row = held.join(telling, "entity").groupBy("doc_id", "copy").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
     per_row = per_row.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "terms")
     joined = holders.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
