@@ -139,15 +139,15 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     times = pieces.where("2 * words >= size").groupBy("doc_id", "source", "copy").agg(F.count("*").alias("times"))
     copies = documents.where("size > 0").groupBy("doc_id", "source", "copy").agg(F.count("*").alias("rows"))
     found = times.join(copies, times["doc_id"].eqNullSafe(copies["doc_id"]) & times["source"].eqNullSafe(copies["source"]) & (times["copy"] == copies["copy"]))
-    found = found.select(times["doc_id"].alias("__d"), times["source"].alias("__s"), times["copy"].alias("__c"), "times", "rows")
+    found = found.select(times["doc_id"].alias("__d"), times["source"].alias("__s"), times["copy"].alias("__c"), F.col("times").alias("__times"), F.col("rows").alias("__rows"))
     key = docs.withColumn("__id", F.col(doc_id).cast("bigint")).withColumn("__copy", F.xxhash64(F.col(text)))
     joined = key.join(found, F.col("__id").eqNullSafe(F.col("__d")) & F.col(source).cast("string").eqNullSafe(F.col("__s")) & (F.col("__copy") == F.col("__c")))
-    both = joined.withColumn("__k", F.col("times"))
+    both = joined.withColumn("__k", F.col("__times"))
     if copies.where("rows > 1").limit(1).count():
         # Of equal rows each appears floor(times / rows) times and the first ones once more.
         turn = Window.partitionBy("__d", "__s", "__c").orderBy(F.lit(1))
-        several = joined.where("rows > 1").withColumn("__n", F.row_number().over(turn))
-        several = several.withColumn("__k", F.expr("times div rows") + (F.col("__n") <= F.expr("times % rows")).cast("bigint")).drop("__n")
-        both = both.where("rows = 1").unionByName(several)
+        several = joined.where("__rows > 1").withColumn("__n", F.row_number().over(turn))
+        several = several.withColumn("__k", F.expr("__times div __rows") + (F.col("__n") <= F.expr("__times % __rows")).cast("bigint")).drop("__n")
+        both = both.where("__rows = 1").unionByName(several)
     both = both.where("__k > 0").withColumn("__e", F.explode(F.expr("sequence(1L, __k)")))
     return both.select(*docs.columns)
