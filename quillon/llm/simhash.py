@@ -171,9 +171,11 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), b.column(1)], names=["block", "value", "node", "fp"])
 
     placed = nodes.select("node", "fp").mapInArrow(cut, schema)
-    # How many members a shard has; those with one need no search.
-    sizes = placed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = placed.join(sizes, ["block", "value"]).withColumn("k", F.ceil(F.col("n") / shard_rows).cast("int"))
+    # Shards of more than shard_rows members are few (one for so many rows at most); the list is written first, so that
+    # Spark knows its size and need not shuffle the fingerprints to look them up in it.
+    crowded = placed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    crowded = materialize(crowded.select(F.col("block").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / shard_rows).cast("int").alias("many")), "crowded")
+    dealt = placed.join(crowded, (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")), "left").withColumn("k", F.coalesce("many", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     # Sub-shard p meets q >= p in task (p, q): its members build the tree there, those of q search.
     meets = F.expr("transform(sequence(0, k - 1), o -> named_struct('p', least(o, part), 'q', greatest(o, part)))")
