@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -67,13 +67,17 @@ def statistics(text: str | None) -> tuple[int, ...]:
     return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, digits, marks, len(set(words)), max(map(len, words), default=0))
 
 
+def _counted(texts: pa.Array) -> np.ndarray:
+    rows = [statistics(t.as_py()) for t in texts]
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(COLUMNS))
+
+
 def rule_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and COLUMNS for each row; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rows = [statistics(t.as_py()) for t in b.column(1)]
-            values = np.array(rows, dtype=np.int64).reshape(len(rows), len(COLUMNS))
+            values = _counted(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[:, i]) for i in range(len(COLUMNS)))], names=["doc_id", *COLUMNS])
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
@@ -137,50 +141,72 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / self.normal)
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, sample: int = 20_000, false_rejects: float = 0.005, trees: int = 200, per_tree: int = 128, doc_id: str = "doc_id", quality: str = "quality"):
-    """The forest and its threshold, or None without labelled good rows.  ``stats`` are rows that the
-    base rule lets pass.  The sample is at most ``sample`` rows; Spark takes the least of each
-    partition first."""
-    known = labels.where(F.col(quality).isin(0, 1)).groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.min(quality).alias("quality"))
-    rows = stats.join(known, "doc_id").withColumn("__o", F.xxhash64("doc_id", F.lit(9)))
-    rows = rows.orderBy("__o", *COLUMNS).limit(sample).drop("__o").toPandas()
-    good = (rows["quality"] == 1).to_numpy()
-    if not good.any():
-        return None
-    x = features({c: rows[c].to_numpy() for c in COLUMNS})
-    first = np.arange(len(x)) < max(1, len(x) // 2)
-    forest = IsolationForest(x[first], trees, per_tree)
-    held = x[good & ~first] if (good & ~first).any() else x[good]
-    return forest, float(np.quantile(forest.score(held), 1 - false_rejects, method="higher"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, *, min_words: int = 20, max_repeat_percent: int = 30, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
-    """doc_id, COLUMNS, score, base_failed and kept for each row of ``docs``."""
-    stats = materialize(rule_statistics(docs, doc_id=doc_id, text=text), "statistics")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    model = fit(stats.where(~failed), labels, doc_id=doc_id, **fitting)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+class Judge:
+    """The base rule and, where there are labelled good rows, the forest with its threshold."""
+
+    def __init__(self, min_words: int, max_repeat_percent: int):
+        self.min_words, self.max_repeat_percent = min_words, max_repeat_percent
+        self.forest: IsolationForest | None = None
+        self.limit = np.inf
+
+    def failed(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        return (rows["n_words"] < self.min_words) | (100 * rows["n_repeat_words"] > self.max_repeat_percent * rows["n_words"])
+
+    def fit(self, rows: dict[str, np.ndarray], good: np.ndarray, trees: int, per_tree: int, false_rejects: float) -> None:
+        if not good.any():
+            return
+        x = features(rows)
+        first = np.arange(len(x)) < max(1, len(x) // 2)
+        self.forest = IsolationForest(x[first], trees, per_tree)
+        held = x[good & ~first] if (good & ~first).any() else x[good]
+        self.limit = float(np.quantile(self.forest.score(held), 1 - false_rejects, method="higher"))
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, base_failed and kept of rows of COLUMNS."""
+        rows = dict(zip(COLUMNS, values.T))
+        failed = self.failed(rows)
+        score = self.forest.score(features(rows)) if self.forest is not None and len(values) else np.zeros(len(values))
+        return score, failed, ~failed & (score <= self.limit)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, false_rejects: float = 0.005, trees: int = 200, per_tree: int = 128, min_words: int = 20, max_repeat_percent: int = 30, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Judge:
+    """A Judge fitted on labelled documents that the base rule lets pass, ``sample`` labels at most: those with the least
+    salted hashes, of which Spark takes the least of each partition first.  The labels taken have a bounded size and are
+    broadcast; only their documents are counted."""
+    judge_ = Judge(min_words, max_repeat_percent)
+    known = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.min(quality).alias("quality"))
+    taken = known.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample).select(F.col("doc_id").alias("__d"), F.col("quality").alias("__q"))
+    labelled = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(taken), F.col("doc_id") == F.col("__d"))
+    stats = rule_statistics(labelled.select(F.col("doc_id"), "text")).join(F.broadcast(taken), F.col("doc_id") == F.col("__d"))
+    # Rows repeated under one id could be more than the labels.
+    rows = stats.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", *COLUMNS).limit(sample).drop("__d", "doc_id").toPandas()
+    values = {c: rows[c].to_numpy(dtype=np.int64) for c in COLUMNS}
+    passed = ~judge_.failed(values)
+    judge_.fit({c: v[passed] for c, v in values.items()}, (rows["__q"].to_numpy() == 1)[passed], trees, per_tree, false_rejects)
+    return judge_
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
+    """doc_id, COLUMNS, score, base_failed and kept for each row of ``docs``; after the fit one pass, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id=doc_id, text=text, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rows = {c: b.column(c).to_numpy() for c in COLUMNS}
-            failed = (rows["n_words"] < min_words) | (100 * rows["n_repeat_words"] > max_repeat_percent * rows["n_words"])
-            score = np.zeros(b.num_rows)
-            limit = np.inf
-            if held.value is not None and b.num_rows:
-                forest, limit = held.value
-                score = forest.score(features(rows))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(failed), pa.array(~failed & (score <= limit))], names=[*b.schema.names, "score", "base_failed", "kept"])
-
-    return stats.mapInArrow(run, stats._jdf.schema().toDDL() + ", score double, base_failed boolean, kept boolean")
-
-
-def filter_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """``docs`` without the rejected documents; all columns stay.  The verdict depends on the text
-    alone, so documents that were rejected are found again by doc_id; rows repeated under one
-    doc_id go together, and rows with a null doc_id are judged by the base rule's and the
-    forest's verdict on their own text."""
-    out = judge(docs, labels, doc_id=doc_id, text=text, **more)
-    gone = out.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["__gone"], "left_anti")
+            values = _counted(b.column(1))
+            verdict = held.value(values)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[:, i]) for i in range(len(COLUMNS))), *map(pa.array, verdict)], names=["doc_id", *COLUMNS, "score", "base_failed", "kept"])
+
+    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS) + ", score double, base_failed boolean, kept boolean"
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
+    """``docs`` without the rejected documents; all columns stay, each row is judged by its own text, nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id=doc_id, text=text, **fitting))
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            yield b.filter(pa.array(held.value(_counted(b.column(where)))[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
