@@ -1,0 +1,14 @@
+"""Analysis of document-extraction output, and preparation of training data, on Spark."""
+
+from __future__ import annotations
+
+import os
+
+
+def reach(spark) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever the working directory.  On a cluster
+    whose executors do not see that folder, submit the package with --py-files instead."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [x for x in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if here not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *paths])

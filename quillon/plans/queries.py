@@ -18,11 +18,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, big: str = ""):
+    """Registers a query with its SQL; ``big`` names columns that literal rows give as INTEGER and the query as BIGINT."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in big.split())}) FROM ({sql})" if big else sql
         return f
 
     return add
@@ -196,7 +198,7 @@ def text_distance_ascii(spark, sf_dir):
     return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
 
 
-@query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0), (4, 2), (5, 5)) t(id, d)")
+@query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0), (4, 2), (5, 5)) t(id, d)", big="d")
 def text_distance_unicode(spark, sf_dir):
     d = rows(spark, "id int, a string, b string", [(1, "kitten", "sitting"), (2, "한글", "한굴"), (3, "", ""), (4, "😀a", "b"), (5, "", "abcde")])
     return d.select("id", distance.edit_distance(F.col("a"), F.col("b")).alias("d"))
@@ -242,7 +244,7 @@ def block_diff(spark, sf_dir):
 _NUMBERS = [(1, '{"a": 1, "b": [1, 2, 3], "c": "x"}', '{"a": 1.5, "b": [1, 4], "d": 0}'), (2, "[true, 2]", "[false, 2]"), (3, '{"s": "a"}', '{"s": "b"}'), (4, "[1, null]", "[1, null]")]
 
 
-@query("SELECT * FROM (VALUES (1, 2, 2e0, 3), (2, 1, 1e0, 0), (3, 0, 0e0, 1), (4, 0, 0e0, 0)) t(id, changed_values, max_abs_delta, other_changes)")
+@query("SELECT * FROM (VALUES (1, 2, 2e0, 3), (2, 1, 1e0, 0), (3, 0, 0e0, 1), (4, 0, 0e0, 0)) t(id, changed_values, max_abs_delta, other_changes)", big="changed_values other_changes")
 def numeric_delta(spark, sf_dir):
     d = rows(spark, "id int, a string, b string", _NUMBERS)
     return d.select("id", compare.numeric_delta("a", "b").alias("d")).select("id", "d.*")
@@ -252,7 +254,7 @@ _FLAT_A = [(1, "x", "1"), (1, "y", "2.5"), (1, "z", "a"), (2, "x", "1"), (2, "w"
 _FLAT_B = [(1, "x", "4"), (1, "y", "2.5"), (1, "z", "b"), (2, "x", "1"), (2, "v", "7")]
 
 
-@query("SELECT * FROM (VALUES (1, 1, 3e0, 1), (2, 0, 0e0, 2)) t(doc_id, changed_values, max_abs_delta, other_changes)")
+@query("SELECT * FROM (VALUES (1, 1, 3e0, 1), (2, 0, 0e0, 2)) t(doc_id, changed_values, max_abs_delta, other_changes)", big="changed_values other_changes")
 def numeric_delta_flat(spark, sf_dir):
     s = "doc_id int, path string, value string"
     return compare.flat_numeric_delta(rows(spark, s, _FLAT_A), rows(spark, s, _FLAT_B), ("doc_id",))
@@ -263,13 +265,13 @@ def _geometry_doc(shift: float) -> dict:
     return {"body": {"children": [{"$ref": f"#/texts/{i}"} for i in (1, 0, 2)]}, "texts": [{"label": "text", "text": t, "prov": box(1.0 + shift * (t == "A"))} for t in ("A", "B", "B")]}
 
 
-@query("SELECT * FROM (VALUES (1, 1, 2, 2, 1, 0.25e0, 0)) t(doc_id, matched, left_over_left, left_over_right, changed_values, max_abs_delta, other_changes)")
+@query("SELECT * FROM (VALUES (1, 1, 2, 2, 1, 0.25e0, 0)) t(doc_id, matched, left_over_left, left_over_right, changed_values, max_abs_delta, other_changes)", big="doc_id matched left_over_left left_over_right changed_values other_changes")
 def geometry_match(spark, sf_dir):
     snap = lambda shift: compare.geometry(references.snapshots(rows(spark, "doc_id bigint, raw string", [(1, json.dumps(_geometry_doc(shift)))])))
     return compare.geometry_delta(snap(0.0), snap(0.25))
 
 
-@query("SELECT * FROM (VALUES (1, 2, false, 1, 0, 0, 1, 1), (2, 3, true, 0, 0, 0, 0, 0)) t(l_number, r_number, content_equal, edit_distance, added, deleted, replaced_left, replaced_right)")
+@query("SELECT * FROM (VALUES (1, 2, false, 1, 0, 0, 1, 1), (2, 3, true, 0, 0, 0, 0, 0)) t(l_number, r_number, content_equal, edit_distance, added, deleted, replaced_left, replaced_right)", big="edit_distance added deleted replaced_left replaced_right")
 def snapshot_pairs(spark, sf_dir):
     s = lambda t: json.dumps({"text": t, "blocks": [{"text": x} for x in t.split("\n")]})
     a = rows(spark, "l_number int, r_number int, l_snapshot string, r_snapshot string", [(1, 2, s("A\nB\nC"), s("A\nB\nD")), (2, 3, s("가\nB"), s("가\nB"))])
@@ -328,7 +330,7 @@ def _raw(spark, *docs):
     return rows(spark, "doc_id bigint, raw string", [(i, json.dumps(d, ensure_ascii=False)) for i, d in enumerate(docs, 1)])
 
 
-@query("SELECT * FROM (VALUES (1, 0, NULL, 'section', 1, '1', '모집개요', NULL), (1, 1, 0, 'section', 2, '가', '모집대상', '누구나'), (1, 2, 0, 'section', 2, '나', '참여조건', NULL), (1, 3, 2, 'list_item', NULL, '1', NULL, '만 18세'), (1, 4, 2, 'table', NULL, NULL, NULL, NULL), (1, 5, NULL, 'section', 1, '2', '지원내용', NULL)) t(doc_id, seq, parent_seq, type, level, marker, title, text)")
+@query("SELECT * FROM (VALUES (1, 0, NULL, 'section', 1, '1', '모집개요', NULL), (1, 1, 0, 'section', 2, '가', '모집대상', '누구나'), (1, 2, 0, 'section', 2, '나', '참여조건', NULL), (1, 3, 2, 'list_item', NULL, '1', NULL, '만 18세'), (1, 4, 2, 'table', NULL, NULL, NULL, NULL), (1, 5, NULL, 'section', 1, '2', '지원내용', NULL)) t(doc_id, seq, parent_seq, type, level, marker, title, text)", big="doc_id seq parent_seq")
 def notice_outline(spark, sf_dir):
     return outline.outline(outline.body_blocks(_raw(spark, notice()))).select("doc_id", "seq", "parent_seq", "type", "level", "marker", "title", "text")
 
@@ -370,12 +372,12 @@ def linked() -> list[dict]:
     ]
 
 
-@query("SELECT * FROM (VALUES (1, 0, '#/pictures/0', 'body', 0), (1, 1, '#/texts/0', 'body', 1), (1, 2, '#/texts/1', 'body', 2), (1, 3, '#/texts/2', 'unattached', 0), (1, 4, '#/texts/3', 'unattached', 0), (3, 0, '#/texts/1', 'body', 0), (3, 1, '#/texts/0', 'body', 0)) t(doc_id, seq, ref, layer, depth)")
+@query("SELECT * FROM (VALUES (1, 0, '#/pictures/0', 'body', 0), (1, 1, '#/texts/0', 'body', 1), (1, 2, '#/texts/1', 'body', 2), (1, 3, '#/texts/2', 'unattached', 0), (1, 4, '#/texts/3', 'unattached', 0), (3, 0, '#/texts/1', 'body', 0), (3, 1, '#/texts/0', 'body', 0)) t(doc_id, seq, ref, layer, depth)", big="doc_id seq depth")
 def ref_traversal_full(spark, sf_dir):
     return references.snapshot_blocks(references.snapshots(_raw(spark, *linked()))).select("doc_id", "seq", "ref", "layer", "depth")
 
 
-@query("SELECT * FROM (VALUES (1, 5, 5), (2, 0, 0)) t(doc_id, n_blocks, cyclic) WHERE false UNION ALL SELECT * FROM (VALUES (1, 5, 0), (2, NULL, 1), (3, 2, 0)) t(doc_id, n_blocks, cyclic)")
+@query("SELECT * FROM (VALUES (1, 5, 5), (2, 0, 0)) t(doc_id, n_blocks, cyclic) WHERE false UNION ALL SELECT * FROM (VALUES (1, 5, 0), (2, NULL, 1), (3, 2, 0)) t(doc_id, n_blocks, cyclic)", big="doc_id n_blocks")
 def snapshot_problems(spark, sf_dir):
     s = references.snapshots(_raw(spark, *linked()))
     return s.select("doc_id", "n_blocks", F.coalesce(F.col("problem").contains("Cyclic"), F.lit(False)).cast("int").alias("cyclic"))
@@ -390,7 +392,7 @@ def reference_check(spark, sf_dir):
     return references.dereference(rows(spark, "doc_id bigint, child string", [(1, r) for r in _REFS]), its).select("child", "problem")
 
 
-@query("SELECT * FROM (VALUES (1, 4, 2)) t(doc_id, refs, resolved)")
+@query("SELECT * FROM (VALUES (1, 4, 2)) t(doc_id, refs, resolved)", big="doc_id refs resolved")
 def reference_resolution(spark, sf_dir):
     ref = lambda r: {"$ref": r}
     doc = {"texts": [{"self_ref": "#/texts/0", "parent": ref("#/body")}, {"self_ref": "#/texts/1", "children": [ref("#/texts/0"), ref("#/x")]}, {"self_ref": "dup"}, {"self_ref": "dup", "captions": [ref("#/texts/1")]}]}
@@ -446,12 +448,12 @@ def markup_excerpts(spark, sf_dir):
 MARKDOWN = "# 제목\n\n문단 **굵게**\n이어짐\n\n- 하나\n- 둘\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n**아님**\n```\n\nSetext\n---\n"
 
 
-@query("SELECT * FROM (VALUES (0, 'section_header', 1, '제목'), (1, 'unknown', NULL, '문단 **굵게**' || chr(10) || '이어짐'), (2, 'list_item', NULL, '하나'), (3, 'list_item', NULL, '둘'), (4, 'table', NULL, 'a' || chr(10) || 'b' || chr(10) || '1' || chr(10) || '2'), (5, 'code', NULL, '**아님**' || chr(10)), (6, 'section_header', 2, 'Setext')) t(seq, label, level, text)")
+@query("SELECT * FROM (VALUES (0, 'section_header', 1, '제목'), (1, 'unknown', NULL, '문단 **굵게**' || chr(10) || '이어짐'), (2, 'list_item', NULL, '하나'), (3, 'list_item', NULL, '둘'), (4, 'table', NULL, 'a' || chr(10) || 'b' || chr(10) || '1' || chr(10) || '2'), (5, 'code', NULL, '**아님**' || chr(10)), (6, 'section_header', 2, 'Setext')) t(seq, label, level, text)", big="seq level")
 def markdown_blocks(spark, sf_dir):
     return markup.markup_blocks(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("seq", "label", "level", "text")
 
 
-@query("SELECT * FROM (VALUES ('heading', 1, 1), ('formatting', 3, NULL), ('list', 6, NULL), ('list', 7, NULL), ('table', 10, 2), ('heading', 17, 2)) t(signal, line, level)")
+@query("SELECT * FROM (VALUES ('heading', 1, 1), ('formatting', 3, NULL), ('list', 6, NULL), ('list', 7, NULL), ('table', 10, 2), ('heading', 17, 2)) t(signal, line, level)", big="line level")
 def markdown_signals(spark, sf_dir):
     return markup.markdown_signals(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("signal", "line", "level")
 
@@ -497,7 +499,7 @@ def field_states(spark, sf_dir):
 _STATES = ['{}', '{"f": null}', '{"f": false}', '{"f": true}', '{"f": []}', '{"f": {}}', '{"f": ""}', '{"f": 0}', '{"f": "x"}', '{"f": {"g": 1}}']
 
 
-@query("SELECT * FROM (VALUES ('필드 없음', 1), ('null', 1), ('false', 1), ('true', 1), ('빈 배열', 1), ('빈 객체', 1), ('빈 문자열', 1), ('값 있음', 3)) t(state, n)")
+@query("SELECT * FROM (VALUES ('필드 없음', 1), ('null', 1), ('false', 1), ('true', 1), ('빈 배열', 1), ('빈 객체', 1), ('빈 문자열', 1), ('값 있음', 3)) t(state, n)", big="n")
 def eight_states(spark, sf_dir):
     d = rows(spark, "ref string, j string", [(str(i), j) for i, j in enumerate(_STATES)]).withColumn("v", F.parse_json("j"))
     return inventory.field_states(inventory.observe(d, ("f",)), ()).select("state", "n")
@@ -520,13 +522,13 @@ def featured() -> dict:
     }
 
 
-@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'hierarchy', true), (1, 'formatting', true), (1, 'tables', true), (1, 'location', true), (1, 'metadata', true), (1, 'resources', true)) t(doc_id, category, provided)")
+@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'hierarchy', true), (1, 'formatting', true), (1, 'tables', true), (1, 'location', true), (1, 'metadata', true), (1, 'resources', true)) t(doc_id, category, provided)", big="doc_id")
 def tree_features(spark, sf_dir):
     f = inventory.tree_features(_raw(spark, featured()))
     return inventory.provided(f.where("decides"), ("doc_id", "category"))
 
 
-@query("""SELECT * FROM (VALUES ('headings', 'level', 2, '값 있음=2', '1=2'), ('tables', 'col_span', 1, '값 있음=1', '2=1'), ('formatting', 'formatting.bold', 3, 'true=1,필드 없음=2', 'true=1'), ('location', 'page_no', 1, '값 있음=1', '1=1')) t(category, field, targets, states, value_counts)""")
+@query("""SELECT * FROM (VALUES ('headings', 'level', 2, '값 있음=2', '1=2'), ('tables', 'col_span', 1, '값 있음=1', '2=1'), ('formatting', 'formatting.bold', 3, 'true=1,필드 없음=2', 'true=1'), ('location', 'page_no', 1, '값 있음=1', '1=1')) t(category, field, targets, states, value_counts)""", big="targets")
 def feature_inventory(spark, sf_dir):
     f = inventory.tree_features(_raw(spark, featured()))
     inv = inventory.field_inventory(f, ("doc_id", "category", "field")).where("(category, field) in (('headings', 'level'), ('tables', 'col_span'), ('formatting', 'formatting.bold'), ('location', 'page_no'))")
@@ -538,7 +540,7 @@ def recursive_result() -> list[dict]:
     return [{"tk:content": "본문", "xmpTPg:NPages": 3, "author": "a", "dotted.key": False}, {"X-TIKA:content": "# image3.jpeg\n\n**굵게**\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "tk:resource-name": "image3.jpeg", "tk:embedded-depth": 1}]
 
 
-@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'tables', true), (1, 'hierarchy', true), (1, 'resources', true), (1, 'metadata', true)) t(doc_id, category, provided)")
+@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'tables', true), (1, 'hierarchy', true), (1, 'resources', true), (1, 'metadata', true)) t(doc_id, category, provided)", big="doc_id")
 def resource_features(spark, sf_dir):
     res = inventory.resources(_raw(spark, recursive_result()))
     f = inventory.resource_features(res, markup.markup_blocks(res, "doc_id", "content"), markup.html_tags(res, "doc_id", "content"))
@@ -550,12 +552,12 @@ def resource_metadata(spark, sf_dir):
     return inventory.resource_metadata(inventory.resources(_raw(spark, recursive_result()))).select("idx", "key", "value", "about_pages")
 
 
-@query("SELECT * FROM (VALUES (1, 2, '본문' || chr(10) || '# image3.jpeg', '3')) t(doc_id, n_blocks, head, pages)")
+@query("SELECT * FROM (VALUES (1, 2, '본문' || chr(10) || '# image3.jpeg', '3')) t(doc_id, n_blocks, head, pages)", big="doc_id n_blocks")
 def resource_snapshot(spark, sf_dir):
     return references.snapshots(_raw(spark, recursive_result())).select("doc_id", "n_blocks", F.substring_index("text", "\n", 2).alias("head"), "pages")
 
 
-@query("SELECT * FROM (VALUES (1, 'classification', 4), (1, 'headings', 2), (1, 'hierarchy', 1), (1, 'formatting', 1), (1, 'tables', 1), (1, 'location', 2), (1, 'metadata', 1), (1, 'resources', 1), (2, 'headings', 1), (2, 'tables', 1), (2, 'metadata', 1), (2, 'location', 1), (2, 'resources', 1)) t(doc_id, category, n) WHERE category NOT IN ('classification')")
+@query("SELECT * FROM (VALUES (1, 'classification', 4), (1, 'headings', 2), (1, 'hierarchy', 1), (1, 'formatting', 1), (1, 'tables', 1), (1, 'location', 2), (1, 'metadata', 1), (1, 'resources', 1), (2, 'headings', 1), (2, 'tables', 1), (2, 'metadata', 1), (2, 'location', 1), (2, 'resources', 1)) t(doc_id, category, n) WHERE category NOT IN ('classification')", big="doc_id n")
 def excerpt_counts(spark, sf_dir):
     e = evidence.excerpts(_raw(spark, featured(), recursive_result()))
     return e.where("category <> 'classification' and not (doc_id = 2 and category in ('formatting', 'hierarchy'))").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
