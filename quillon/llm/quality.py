@@ -24,7 +24,8 @@ from .common import SPACES
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "longest")
-FEATURES = ("mean_word", "symbols", "upper", "marks", "distinct")
+#: Words of a typical text that are taken to come before each text.
+PRIOR = 100
 
 
 def repeated_words(words: list, window: int = 8) -> int:
@@ -83,11 +84,20 @@ def rule_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
 
 
-def features(rows: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest sees: few statistics that do not depend on the length, as each further one
-    that does not tell documents apart takes splits from those that do."""
-    words, chars = (np.maximum(rows[c].astype(float), 1) for c in ("n_words", "word_chars"))
-    return np.stack([chars / words, rows["n_symbols"] / words, rows["n_upper"] / chars, rows["n_marks"] / words, rows["n_distinct"] / words**0.8], 1)
+def features(rows: dict[str, np.ndarray], typical: np.ndarray) -> np.ndarray:
+    """What the forest sees: few statistics, as each further one that does not tell documents apart takes splits from
+    those that do.  Rates are drawn towards the ``typical`` ones as if PRIOR words of a typical text came first, so
+    that chance in short texts is no anomaly; rates near zero are told apart by their logarithm."""
+    words = rows["n_words"].astype(float)
+    rates = (_amounts(rows) + PRIOR * typical) / (words + PRIOR)[:, None]
+    rates[:, 2:] = np.log(rates[:, 2:] + 0.01)
+    return rates
+
+
+def _amounts(rows: dict[str, np.ndarray]) -> np.ndarray:
+    words = rows["n_words"].astype(float)
+    variety = rows["n_distinct"] / np.maximum(words, 1) ** 0.8 * words
+    return np.stack([rows["word_chars"], variety, rows["n_symbols"], rows["n_upper"], rows["n_marks"]], 1).astype(float)
 
 
 def _expected(n: float) -> float:
@@ -155,7 +165,9 @@ class Judge:
     def fit(self, rows: dict[str, np.ndarray], good: np.ndarray, trees: int, per_tree: int, false_rejects: float) -> None:
         if not good.any():
             return
-        x = features(rows)
+        sums = _amounts({c: v[good] for c, v in rows.items()}).sum(0)
+        self.typical = sums / max(1, rows["n_words"][good].sum())
+        x = features(rows, self.typical)
         first = np.arange(len(x)) < max(1, len(x) // 2)
         self.forest = IsolationForest(x[first], trees, per_tree)
         held = x[good & ~first] if (good & ~first).any() else x[good]
@@ -165,11 +177,11 @@ class Judge:
         """Score, base_failed and kept of rows of COLUMNS."""
         rows = dict(zip(COLUMNS, values.T))
         failed = self.failed(rows)
-        score = self.forest.score(features(rows)) if self.forest is not None and len(values) else np.zeros(len(values))
+        score = self.forest.score(features(rows, self.typical)) if self.forest is not None and len(values) else np.zeros(len(values))
         return score, failed, ~failed & (score <= self.limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, false_rejects: float = 0.005, trees: int = 200, per_tree: int = 128, min_words: int = 20, max_repeat_percent: int = 30, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Judge:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, false_rejects: float = 0.002, trees: int = 200, per_tree: int = 128, min_words: int = 20, max_repeat_percent: int = 30, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Judge:
     """A Judge fitted on labelled documents that the base rule lets pass, ``sample`` labels at most: those with the least
     salted hashes, of which Spark takes the least of each partition first.  The labels taken have a bounded size and are
     broadcast; only their documents are counted."""
