@@ -65,22 +65,19 @@ def _shingle_hashes(w: str) -> str:
     return f"if(size({w}) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, size({w}) - {SHINGLE}), i -> xxhash64({each})))"
 
 
-def _least(values: list[str]) -> str:
-    return f"least({', '.join(values)})"
-
-
 def _window_values(h: str, masks: list[int]) -> str:
-    """SQL for the band values of all windows of a document's shingle hashes ``h``.
+    """SQL for band values of all windows of a document's shingle hashes ``h``.
 
-    Windows of 4 and 16 build on the least values of runs of 4, windows of two such runs being the least of both."""
+    The least value of a window of 2c shingles is the least value of one of its halves, so the values of the runs of c
+    shingles hold those of all windows; templates that runs alone retrieve are for the verification to judge.  Runs of 16
+    build on runs of 4, each of which yields its values for all bands in one step."""
     empty = "cast(array() as array<bigint>)"
-    parts = [h]
-    for m in masks:
-        fours = f"transform(sequence(0, (size({h}) - 1) div 4), j -> {_least([f'(get({h}, 4 * j + {k}) ^ {m}L)' for k in range(4)])})"
-        pair = "transform(sequence(0, size(a) - 1), j -> coalesce(least(get(a, j), get(a, j + 1)), get(a, j)))"
-        sixteens = "transform(sequence(0, (size(a) - 1) div 4), j -> least(get(a, 4 * j), get(a, 4 * j + 1), get(a, 4 * j + 2), get(a, 4 * j + 3)))"
-        parts.append(_let("a", fours, f"concat({pair}, {_let('s', sixteens, pair.replace('(a', '(s').replace('get(a', 'get(s'))})"))
-    return f"if(size({h}) = 0, {empty}, concat({', '.join(parts)}))"
+    four = ", ".join(f"least({', '.join(f'q.x{k} ^ {m}L' for k in range(4))})" for m in masks)
+    members = ", ".join(f"'x{k}', get({h}, 4 * j + {k})" for k in range(4))
+    fours = f"transform(sequence(0, (size({h}) - 1) div 4), j -> {_let('q', f'named_struct({members})', f'array({four})')})"
+    sixteen = ", ".join(f"least({', '.join(f'get(get(a, 4 * j + {k}), {i})' for k in range(4))})" for i in range(len(masks)))
+    sixteens = f"transform(sequence(0, (size(a) - 1) div 4), j -> array({sixteen}))"
+    return f"if(size({h}) = 0, {empty}, {_let('a', fours, f'concat({h}, flatten(a), flatten({sixteens}))')})"
 
 
 def _template_table(spark: SparkSession, templates: list[tuple[str, bool, str]], masks: list[int]) -> list[tuple]:
