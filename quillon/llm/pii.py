@@ -37,38 +37,49 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
-def _located(text: str, pattern: str) -> str:
-    """SQL for array<struct<start,end,value>> of a pattern's matches; positions in code points."""
-    return f"""aggregate(
-        zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1), (m, g) -> named_struct('m', m, 'g', g)),
-        named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,value:string>>)),
-        (s, x) -> named_struct('at', s.at + length(x.g) + coalesce(length(x.m), 0),
-            'out', if(x.m is null, s.out, concat(s.out, array(named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m))))),
-        s -> s.out)"""
+#: A span: code points, end exclusive; the words around it.
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,context:string>>"
+
+
+def _located(text: str, pattern: str, kind: str, holds: str = "true", near: int = 0) -> str:
+    """SQL for array<SPAN> of a pattern's matches for which ``holds``; positions in code points.
+
+    Matches and the gaps between them alternate; a fold adds up their lengths.  It goes over 1,000 at a time, as each step
+    copies the array that it adds to.  ``context`` is up to ``near`` characters of the gaps on both sides, in whole words."""
+    before = f"if(length(x.g) > {near}, regexp_replace(substring(x.g, -{near}, {near}), r'^\\S*', ''), x.g)"
+    after = f"if(length(x.n) > {near}, regexp_replace(substring(x.n, 1, {near}), r'\\S*$', ''), x.n)"
+    context = f"lower(concat({before}, ' ', {after}))" if near else "''"
+    pairs = f"element_at(transform(array(split({text}, {pattern}, -1)), p -> transform(regexp_extract_all({text}, {pattern}, 0), (m, i) -> named_struct('m', m, 'g', get(p, i), 'n', get(p, i + 1)))), 1)"
+    chunks = f"element_at(transform(array({pairs}), z -> if(size(z) = 0, array(z), transform(sequence(0, (size(z) - 1) div 1000), c -> slice(z, c * 1000 + 1, 1000)))), 1)"
+    span = f"named_struct('kind', '{kind}', 'start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m, 'context', {context})"
+    step = f"(s, x) -> named_struct('at', s.at + length(x.g) + length(x.m), 'out', if({holds}, concat(s.out, array({span})), s.out))"
+    inner = f"aggregate(chunk, named_struct('at', t.at, 'out', cast(array() as {SPANS})), {step})"
+    return f"""aggregate({chunks}, named_struct('at', 0L, 'outs', cast(array() as array<{SPANS}>)),
+        (t, chunk) -> element_at(transform(array({inner}), r -> named_struct('at', r.at, 'outs', concat(t.outs, array(r.out)))), 1),
+        t -> flatten(t.outs))"""
 
 
 def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
-def base_spans(text: str = "text") -> F.Column:
-    """array<struct<kind,start,end,value>> of the base entities, in the order of KINDS."""
-    digits = "regexp_replace(x.value, '[^0-9]', '')"
-    luhn = f"""aggregate(sequence(1, length({digits})), 0, (s, i) -> s + element_at(if(i % 2 = 1, array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9), array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9)), cast(substring(reverse({digits}), i, 1) as int) + 1)) % 10 = 0"""
+def base_spans(text: str = "text", near: int = 60) -> F.Column:
+    """array<SPAN> of the base entities, in the order of KINDS."""
+    digits = "regexp_replace(x.m, '[^0-9]', '')"
+    doubled = "array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9)"
+    luhn = f"""aggregate(sequence(1, length({digits})), 0, (n, i) -> n + element_at(if(i % 2 = 1, array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9), {doubled}), cast(substring(reverse({digits}), i, 1) as int) + 1)) % 10 = 0"""
     holds = {
         "email": "true",
-        "ip": rf"x.value rlike r'^{_OCTET}(?:\.{_OCTET}){{3}}$'",
-        "card": f"length({digits}) between 14 and 19 and case when length({digits}) between 14 and 19 then {luhn} else false end",
+        "ip": rf"x.m rlike r'^{_OCTET}(?:\.{_OCTET}){{3}}$'",
+        "card": f"case when length({digits}) between 14 and 19 then {luhn} else false end",
         "phone": f"length({digits}) between 10 and 15",
     }
     parts = []
     for k in KINDS[:4]:
-        found = f"transform(filter({_located(text, _literal(PATTERNS[k]))}, x -> {holds[k]}), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'value', x.value))"
-        none = "cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)"
         # One pass with a plain search first: most texts hold none.
         needs = f"contains({text}, '{_NEEDS[k]}') and " if _NEEDS[k] else ""
         least = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){13}", "phone": r"\+[0-9]"}[k]
-        parts.append(f"if({needs}{text} rlike {_literal(least)}, {found}, {none})")
+        parts.append(f"if({needs}{text} rlike {_literal(least)}, {_located(text, _literal(PATTERNS[k]), k, holds[k], near)}, cast(array() as {SPANS}))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
@@ -83,14 +94,12 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """doc_id, text (null where there is no span), spans (array of kind, start, end, value): a row for
     each row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = rows.withColumn("spans", base_spans("text"))
+    found = rows.withColumn("spans", base_spans("text", near))
     found = materialize(found.select("doc_id", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans"), "personal")
     holders = found.where("text is not null").withColumn("copy", F.xxhash64("text"))
     entity = F.concat("s.kind", F.lit(":"), F.lower("s.value"))
     # Words next to each mention.
-    cut = f"""concat(if(s.start > {near}, regexp_replace(substring(text, int(s.start) - {near} + 1, {near}), r'^\\S*', ''), substring(text, 1, int(s.start))),
-        ' ', regexp_replace(substring(text, int(s.end) + 1, {near}), r'\\S*$', ''))"""
-    mentions = holders.select("doc_id", "copy", "text", F.explode("spans").alias("s")).select("doc_id", "copy", entity.alias("entity"), F.lower(F.expr(cut)).alias("context"))
+    mentions = holders.select("doc_id", "copy", F.explode("spans").alias("s")).select(entity.alias("entity"), F.col("s.context").alias("context"))
     words = F.array_distinct(F.regexp_extract_all("context", F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))
     near_by = mentions.select("entity", F.xxhash64("context").alias("c"), F.explode(words).alias("term"))
     pairs = near_by.distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
@@ -115,9 +124,10 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     per_row = per_row.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "terms")
     joined = holders.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
     pattern = "concat(r'(?iu)(?<!\\p{L})(?:', array_join(terms, '|'), r')(?!\\p{L})')"
-    terms = f"if(terms is null, spans, concat(spans, transform({_located('text', pattern)}, x -> named_struct('kind', 'term', 'start', x.start, 'end', x.end, 'value', x.value))))"
+    terms = f"if(terms is null, spans, concat(spans, {_located('text', pattern, 'term')}))"
     with_terms = joined.select("doc_id", "text", F.expr(terms).alias("spans"))
-    return with_terms.unionByName(found.where("text is null"))
+    out = with_terms.unionByName(found.where("text is null"))
+    return out.withColumn("spans", F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")])))
 
 
 def report(found: DataFrame) -> DataFrame:
