@@ -94,6 +94,14 @@ class TestSnapshots:
             assert got[d] == [(g["source_ref"], b["depth"]) for g, b in zip(s["geometry"], s["blocks"]) if b["layer"] == "body"]
 
 
+def test_order_of_many_documents(spark):
+    """More rows than Spark allows a recursion by default."""
+    n = 400_000
+    roots = spark.range(n).selectExpr("id as doc_id", "0 as pos", "'a' as child")
+    edges = spark.range(n).selectExpr("id as doc_id", "'a' as parent", "explode(array(0, 1)) as pos").selectExpr("*", "concat('b', pos) as child")
+    assert references.reading_order(roots, edges).count() == 3 * n
+
+
 class TestOutline:
     def tree(self, spark, doc):
         raw = spark.createDataFrame([(1, json.dumps(doc))], "doc_id bigint, raw string")
