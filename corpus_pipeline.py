@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon import reach
+from quillon import prepare
 from quillon.llm import decontaminate, mixing, quality, simhash, tokens
 from quillon.llm.common import materialize, table
 from quillon.llm.queries import tokenizer_path
@@ -20,31 +20,31 @@ from quillon.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the isolation forest keep."""
-    reach(spark)
+    prepare(spark)
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    reach(spark)
+    prepare(spark)
     return simhash.drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word passage of a benchmark item."""
-    reach(spark)
+    prepare(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="documents", n=10)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each 0 to 2 times, so that sources come near their targets."""
-    reach(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs, weights=(5, 2, 1), budget=1.5, cap=2.0)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in doc_id order, read back."""
-    reach(spark)
+    prepare(spark)
     return tokens.token_output(docs, tokenizer_path(), end_id=1)
 
 

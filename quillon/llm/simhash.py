@@ -209,9 +209,9 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_
         def whole(least: int):
             """The rows held up to where the last task begins, once there are enough of them."""
             nonlocal held
-            table = pa.Table.from_batches(held).combine_chunks()
-            if table.num_rows < least:
+            if sum(b.num_rows for b in held) < least:
                 return None
+            table = pa.Table.from_batches(held).combine_chunks()
             last = key(table, table.num_rows - 1)
             lo, hi = 0, table.num_rows - 1
             while lo < hi:

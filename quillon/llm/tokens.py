@@ -19,6 +19,7 @@ the same doc_id are ordered by a hash of the text; an empty table writes no toke
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .common import file_system, materialize, new_folder
 
 MAGIC = b"QTOK0001"
 #: Words that a worker remembers with their ids; the rest are encoded each time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _PUNCTUATION = frozenset(".,!?;:")
 
 
@@ -68,15 +69,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end = (json.loads(self.library.to_str())["model"].get("end_of_word_suffix")) or None
+        self.end = getattr(self.library.model, "end_of_word_suffix", None) or None
         if self.end:
             self.ends = np.zeros(self.vocabulary, dtype=bool)
             for token, i in self.library.get_vocab(with_added_tokens=False).items():
@@ -146,15 +145,28 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_idle: list[threading.Timer] = []
+#: A worker process lives on after its tasks; so long after the last one it gives up vocabulary and words.
+IDLE_SECONDS = 5.0
 
 
 def encoder_for(path: str) -> Encoder:
     """One for each worker process, so that its tasks load the vocabulary once and share the words."""
+    while _idle:
+        _idle.pop().cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def release_encoders() -> None:
+    """Gives the encoders up unless a task asks for one soon; one that runs has its own reference."""
+    timer = threading.Timer(IDLE_SECONDS, _encoders.clear)
+    timer.daemon = True
+    _idle.append(timer)
+    timer.start()
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, doc_id: str = "doc_id", text: str = "text", block: int = 65_536) -> DataFrame:
     """Encodes every text, appends ``end_id`` and writes the files.  Returns a row for each file:
     part, file, n_docs, n_tokens.  Documents are range-partitioned by doc_id and sorted in each
@@ -197,6 +209,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
             flush(1)
             out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes() + np.array([x is not None for x in ids], dtype=np.uint8).tobytes())
             out.write(np.array(lengths, dtype="<i8").tobytes() + np.array(offsets, dtype="<i8").tobytes())
+            release_encoders()
             out.write(np.array([len(ids), sum(lengths), len(offsets) - 1, block, bits, offsets[-1]], dtype="<i8").tobytes() + MAGIC)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
