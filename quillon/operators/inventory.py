@@ -149,3 +149,12 @@ def resource_features(res: DataFrame, blocks: DataFrame, tags: DataFrame) -> Dat
     meta = resource_metadata(res).where("idx = 0")
     out = out.unionByName(has(meta, "metadata", F.lit(True)))
     return out.groupBy("doc_id", "category").agg(F.bool_or("provided").alias("provided"))
+
+
+def readable(results: DataFrame, raw: str = "raw", markdown: str = "markdown") -> tuple[DataFrame, DataFrame]:
+    """Results whose raw JSON parses, and the others with ``warning`` where their Markdown stands in: its inventory is what is
+    known of them, and no field of theirs counts as missing."""
+    parsed = F.try_parse_json(F.col(raw)).isNotNull()
+    warning = F.when(F.col(raw).isNull(), "raw JSON is not there").otherwise("raw JSON cannot be read")
+    rest = results.where(~F.coalesce(parsed, F.lit(False))).withColumn("warning", F.concat(warning, F.when(F.col(markdown).isNull(), "; no Markdown either").otherwise("; shown from Markdown")))
+    return results.where(parsed), rest

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, distance, text
 from ..operators import cards, chunks, compare, evidence, inventory, markup, outline, references, runs
+from . import comparison
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -408,6 +409,8 @@ def image_uri_check(spark, sf_dir):
     return d.select("id", text.data_uri_problem(F.col("m"), F.col("u")).alias("problem"))
 
 
+MARKDOWN = "# 제목\n\n문단 **굵게**\n이어짐\n\n- 하나\n- 둘\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n**아님**\n```\n\nSetext\n---\n"
+
 # --- markup -------------------------------------------------------------------------------------------------------
 
 @query(r"SELECT page_id, regexp_matches(html, '(?i)^\s*(<!doctype\s+html[^>]*>\s*)?<(html|body|div|p|h[1-6]|table)(\s|>)') AS is_html FROM pages")
@@ -440,13 +443,29 @@ def html_headings(spark, sf_dir):
     return b.where("kind = 'heading' and level = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT * FROM (VALUES (1, 'markdown', '{\"heading\": 2, \"list\": 2, \"table\": 1}', '{\"1\": 1, \"2\": 1}', '{\"strong\": 1}', '{\"bullets\": 1}', 1), (2, 'html', '{\"heading\": 1, \"table\": 1}', '{\"2\": 1}', '{\"u\": 1}', '{}', 1)) t(doc_id, format, kinds, levels, emphasis, containers, n)", big="doc_id n")
+def markup_details(spark, sf_dir):
+    html = '<div><h2>T</h2><u>k</u><table><tr><td colspan="2">1</td></tr></table><script><b>x</b></script></div>'
+    return markup.markup_inventory(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN), (2, html)])).drop("examples")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 1, 1, 0, 1, 1, 1, '2 valid identical (planned 3), includes partial', 1.0e0, 0), (1, 'b', 1, 0, 1, 1, 0, 0, 'not comparable (1 valid)', 4.0e0, 2)) t(doc_id, tool, success, partial, failure, not_run, pairs, equal_pairs, label, median, worst)", big="doc_id success partial failure not_run pairs equal_pairs worst")
+def comparison_report(spark, sf_dir):
+    """The report's tables over two tools' runs, joined to one row a tool."""
+    r = rows(spark, "doc_id bigint, tool string, number int, status string, total_seconds double, internal_seconds double", [(1, "a", 1, "success", 1.0, 0.5), (1, "a", 2, "partial_success", 9.0, None), (1, "b", 1, "success", 4.0, None), (1, "b", 2, "failure", None, None)])
+    shot = lambda t: json.dumps({"text": t, "blocks": [{"text": t}]})
+    snaps = rows(spark, "doc_id bigint, tool string, number int, snapshot string", [(1, "a", 1, shot("abc")), (1, "a", 2, shot("abc")), (1, "b", 1, shot("xbcd")), (1, "b", 2, shot("?"))])
+    t = comparison.comparison(r, snaps, 3, ("a", "b"))
+    worst = t["repeat_distances"].select("doc_id", "tool", F.col("edit_distance").alias("d")).unionByName(t["cross_tool_distances"].select("doc_id", F.lit("b").alias("tool"), F.col("edit_distance").alias("d"))).groupBy("doc_id", "tool").agg(F.max("d").alias("worst"))
+    out = t["repeats"].join(t["total_seconds"].select("doc_id", "tool", "median"), ["doc_id", "tool"]).join(worst, ["doc_id", "tool"])
+    return out.select("doc_id", "tool", "success", "partial", "failure", F.col("not_run").cast("bigint").alias("not_run"), F.col("pairs").cast("bigint").alias("pairs"), F.col("equal_pairs").cast("bigint").alias("equal_pairs"), "label", "median", "worst")
+
+
 @query()
 def markup_excerpts(spark, sf_dir):
     return markup.markup_excerpts(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-MARKDOWN = "# 제목\n\n문단 **굵게**\n이어짐\n\n- 하나\n- 둘\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n**아님**\n```\n\nSetext\n---\n"
-
 
 @query("SELECT * FROM (VALUES (0, 'section_header', 1, '제목'), (1, 'unknown', NULL, '문단 **굵게**' || chr(10) || '이어짐'), (2, 'list_item', NULL, '하나'), (3, 'list_item', NULL, '둘'), (4, 'table', NULL, 'a' || chr(10) || 'b' || chr(10) || '1' || chr(10) || '2'), (5, 'code', NULL, '**아님**' || chr(10)), (6, 'section_header', 2, 'Setext')) t(seq, label, level, text)", big="seq level")
 def markdown_blocks(spark, sf_dir):

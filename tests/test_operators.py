@@ -343,3 +343,25 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'content_stability' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_unreadable_results(spark):
+    d = spark.createDataFrame([(1, "{}", None), (2, "{broken", "# T"), (3, None, None)], "doc_id bigint, raw string, markdown string")
+    good, rest = inventory.readable(d)
+    assert [r.doc_id for r in good.collect()] == [1]
+    assert {r.doc_id: r.warning for r in rest.collect()} == {2: "raw JSON cannot be read; shown from Markdown", 3: "raw JSON is not there; no Markdown either"}
+    assert markup.markup_inventory(rest, text="markdown").where("levels = '{\"1\": 1}'").count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(Q.notice(), ensure_ascii=False))
+    main(["rules", str(tmp_path / "in")])
+    assert json.loads(capsys.readouterr().out)["matched"] is True
+    for mode in ("outline", "snapshot", "excerpts", "features"):
+        main([mode, str(tmp_path / "in"), "--out", str(tmp_path / mode)])
+        assert spark.read.json(str(tmp_path / mode)).count() >= 1
+    with pytest.raises(SystemExit):
+        main(["rules", str(tmp_path / "in"), "--out", str(tmp_path / "in")])
