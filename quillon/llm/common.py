@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,8 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has made; they go when it ends.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A name in the shared folder for tables and files that last as long as the driver."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_folder(uri: str) -> None:
+    with contextlib.suppress(OSError, ValueError):
+        fs, path = file_system(uri)
+        fs.delete_dir(path)
+
+
+@atexit.register
+def _drop_folders() -> None:
+    for uri in _made:
+        drop_folder(uri)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,7 +63,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     follows survives the loss of executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def file_system(uri: str):

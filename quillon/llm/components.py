@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_folder, materialize
 
 
 def connected_components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b"), F.col("m"), F.col("a"))
         step = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(step, "links")
+        before, edges = edges, materialize(step, "links")
+        drop_folder(before.written_to)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -138,11 +138,20 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(found: DataFrame, *, mode: str = "generalise") -> DataFrame:
     """``found`` with the column ``clean``: each span gives way to its kind in brackets or, with
-    ``mode="remove"``, to nothing; a span inside an earlier one goes with it."""
+    ``mode="remove"``, to nothing; a span inside an earlier one goes with it.
+
+    Spans are taken 1,000 at a time, each time from what is left of the text, so that long texts are not walked through
+    from their start for every span."""
     label = "concat('[', upper(x.kind), ']')" if mode == "generalise" else "''"
-    fold = f"""aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', -x.end, 'kind', x.kind))),
-        named_struct('at', 0L, 'out', ''),
-        (s, x) -> if(x.start < s.at, named_struct('at', greatest(s.at, -x.end), 'out', s.out),
-            named_struct('at', -x.end, 'out', concat(s.out, substring(text, int(s.at) + 1, int(x.start - s.at)), {label}))),
-        s -> concat(s.out, substring(text, int(s.at) + 1)))"""
+    ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'minus_end', -x.end, 'kind', x.kind)))"
+    chunks = f"element_at(transform(array({ordered}), z -> if(size(z) = 0, array(z), transform(sequence(0, (size(z) - 1) div 1000), c -> slice(z, c * 1000 + 1, 1000)))), 1)"
+    end = "greatest(t.at, coalesce(array_max(transform(chunk, x -> -x.minus_end)), t.at))"
+    inner = f"""aggregate(chunk, named_struct('at', t.at, 'out', ''),
+        (s, x) -> if(x.start < s.at, named_struct('at', greatest(s.at, -x.minus_end), 'out', s.out),
+            named_struct('at', -x.minus_end, 'out', concat(s.out, substring(part, int(s.at - t.at) + 1, int(x.start - s.at)), {label}))),
+        s -> s.out)"""
+    fold = f"""aggregate({chunks}, named_struct('at', 0L, 'rest', text, 'outs', cast(array() as array<string>)),
+        (t, chunk) -> element_at(transform(array({end}), e -> named_struct('at', e, 'rest', substring(t.rest, int(e - t.at) + 1),
+            'outs', concat(t.outs, transform(array(substring(t.rest, 1, int(e - t.at))), part -> {inner})))), 1),
+        t -> concat(array_join(t.outs, ''), t.rest))"""
     return found.withColumn("clean", F.when(F.col("text").isNotNull(), F.expr(fold)))

@@ -49,6 +49,25 @@ def test_long_texts(make):
     assert rows == {1: 0, 2: 0, 3: 0, 4: 1, 5: 60_000}
 
 
+def test_clean_texts(spark):
+    """Spans that overlap, touch and number more than are taken at a time, against plain slicing."""
+    rng = random.Random(9)
+    data = []
+    for i in range(30):
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 40) if i else 9000))
+        places = [(a, a + rng.randint(1, 5)) for a in (rng.randrange(max(1, len(text))) for _ in range(rng.randint(0, 8) if i else 2500))]
+        data.append((i, text, [("ip", a, min(b, len(text)), "") for a, b in places]))
+    df = spark.createDataFrame(data, "doc_id int, text string, spans array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    got = {r.doc_id: r.clean for r in pii.sanitise(df).collect()}
+    for i, text, spans in data:
+        out, at = "", 0
+        for a, b in sorted(((a, b) for _, a, b, _ in spans), key=lambda x: (x[0], -x[1])):
+            if a >= at:
+                out += text[at:a] + "[IP]"
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
 def associated():
     rng = random.Random(3)
     common = ["water", "stone", "river", "green", "table", "north"]
