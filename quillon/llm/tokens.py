@@ -19,6 +19,7 @@ the same doc_id are ordered by a hash of the text; an empty table writes no toke
 
 from __future__ import annotations
 
+import os
 import threading
 import zlib
 from collections.abc import Iterator
@@ -71,6 +72,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; the library's own threads would wait for work on all of them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
