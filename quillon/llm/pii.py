@@ -133,7 +133,7 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 def report(found: DataFrame) -> DataFrame:
     """Counts and places of what find_personal_data() has found."""
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(_joined("spans", KINDS[:4])), 256).alias("base_sha256"), F.expr(_joined("spans", KINDS)).alias("spans"))
+    return found.select("doc_id", *counts[:4], F.sha2(F.expr(_joined("spans", KINDS[:4])), 256).alias("base_sha256"), F.expr(_joined("spans", KINDS)).alias("spans"), counts[4])
 
 
 def sanitise(found: DataFrame, *, mode: str = "generalise") -> DataFrame:
