@@ -11,7 +11,11 @@ a tree holds at most about ``shard_rows`` fingerprints.  A block value with more
 sub-shards, and every pair of sub-shards meets in a task of its own, so the search stays exact and no
 task grows with the group.  A task passes on a spanning set of the links that it finds, never all pairs.
 
-Defined cases: a text without words (or null) has the fingerprint zero, linked like any other; null
+With a ``similarity``, the groups that such links make are candidates alone: the texts of each group meet,
+and those count as linked whose sets of shingles have at least that Jaccard similarity.
+
+Defined cases: a text without words (or null) has the fingerprint zero, linked like any other (two of them are
+alike, one and a text with words are not); null
 doc_ids take part but never name a component (null if no document of it has an id).
 """
 
@@ -66,14 +70,18 @@ def fingerprint(text: str | None, k: int, width: int = 64, seed: int = 42, disti
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 64, seed: int = 42, distinct: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, fp (binary): one row for each row of ``docs``; nothing is shuffled."""
+    """Columns doc_id, copy (hash of the text), fp (binary): one row for each row of ``docs``; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle, width, seed, distinct) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle, width, seed, distinct) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "copy", "fp"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, copy bigint, fp binary")
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp binary")
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
 
 
 class BKForest:
@@ -152,11 +160,43 @@ def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return root
 
 
-def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_rows: int = 2048) -> DataFrame:
+def _whole_tasks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about ``least``, rows of the same ``names`` never apart."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b: pa.Table, i: int):
+        return tuple(b.column(c)[i].as_py() for c in names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = key(table, table.num_rows - 1)
+        lo, hi = 0, table.num_rows - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if key(table, mid) == last else (mid + 1, hi)
+        if lo:
+            held = table.slice(lo).to_batches()
+            yield table.slice(0, lo)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Sub-shard p meets q >= p in task (p, q): its members build the tree there, those of q search.
+_MEETS = "transform(sequence(0, k - 1), o -> named_struct('p', least(o, part), 'q', greatest(o, part)))"
+
+
+def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compare: int | None = None, shard_rows: int = 2048) -> DataFrame:
     """``nodes`` (node bigint, fp binary, distinct).  Returns links (a, b) that join any two nodes
-    of a block's shard that are within the radius, directly or through other such nodes."""
+    of a block's shard that are within the radius, directly or through other such nodes.  Blocks are
+    of all bits; the radius is that of the first ``compare`` bits (all), and just these are shuffled."""
     edges = [round(i * width / blocks) for i in range(blocks + 1)]
-    words, block_bits = width // 64, list(zip(edges, edges[1:]))
+    compare = compare or width
+    words, block_bits = compare // 64, list(zip(edges, edges[1:]))
     schema = "block int, value bigint, node bigint, fp binary"
 
     def cut(batches: Iterator[pa.RecordBatch]):
@@ -166,9 +206,10 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_
                 continue
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(n, -1)
             bits = np.unpackbits(raw, axis=1)
+            fps = pa.array([x[: compare // 8] for x in b.column(1).to_pylist()], pa.binary())
             for k, (x, y) in enumerate(block_bits):
                 value = bits[:, x:y].astype(np.int64) @ (np.int64(1) << np.arange(y - x - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), b.column(1)], names=["block", "value", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), fps], names=["block", "value", "node", "fp"])
 
     placed = nodes.select("node", "fp").mapInArrow(cut, schema)
     # Shards of more than shard_rows members are few (one for so many rows at most); the list is written first, so that
@@ -177,14 +218,10 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_
     crowded = materialize(crowded.select(F.col("block").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / shard_rows).cast("int").alias("many")), "crowded")
     dealt = placed.join(crowded, (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")), "left").withColumn("k", F.coalesce("many", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # Sub-shard p meets q >= p in task (p, q): its members build the tree there, those of q search.
-    meets = F.expr("transform(sequence(0, k - 1), o -> named_struct('p', least(o, part), 'q', greatest(o, part)))")
-    tasks = dealt.select("block", "value", "part", "node", "fp", F.explode(meets).alias("m")).select("block", "value", "m.p", "m.q", "part", "node", "fp")
+    tasks = dealt.select("block", "value", "part", "node", "fp", F.explode(F.expr(_MEETS)).alias("m")).select("block", "value", "m.p", "m.q", "part", "node", "fp")
     tasks = tasks.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q")
 
     def search(batches: Iterator[pa.RecordBatch]):
-        held: list[pa.RecordBatch] = []
-
         def run(rows: pa.Table):
             keys = np.stack([rows.column(c).to_numpy() for c in ("block", "value", "p", "q")], 1)
             shard = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
@@ -203,66 +240,126 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, shard_
                 pairs = np.unique(np.stack([node[linked], node[root[linked]]], 1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        def key(b: pa.RecordBatch, i: int):
-            return tuple(b.column(c)[i].as_py() for c in ("block", "value", "p", "q"))
+        for table in _whole_tasks(batches, ("block", "value", "p", "q"), 20_000):
+            if (out := run(table)) is not None:
+                yield out
 
-        def whole(least: int):
-            """The rows held up to where the last task begins, once there are enough of them."""
-            nonlocal held
-            if sum(b.num_rows for b in held) < least:
-                return None
-            table = pa.Table.from_batches(held).combine_chunks()
-            last = key(table, table.num_rows - 1)
-            lo, hi = 0, table.num_rows - 1
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if key(table, mid) == last else (mid + 1, hi)
-            if lo:
-                held = table.slice(lo).to_batches()
-                return table.slice(0, lo)
-            return None
+    return tasks.mapInArrow(search, "a bigint, b bigint")
 
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                if (table := whole(20_000)) is not None and (out := run(table)) is not None:
-                    yield out
-        if held and (out := run(pa.Table.from_batches(held))) is not None:
-            yield out
 
-    return tasks.mapInArrow(search, "a bigint, b bigint")
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (of distinct numbers) the least one that it reaches by Jaccard similarities of ``similarity`` or more.
+
+    Sets are held against all others one by one, those with most in common first; what ends in the
+    largest component need not be, as all outside it has been held against it."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(n), size)
+    found, number = np.unique(np.concatenate(sets) if n else np.zeros(0, dtype=np.int64), return_inverse=True)
+    posted = owner[np.argsort(number, kind="stable")]
+    many = np.bincount(number, minlength=len(found))
+    low = np.cumsum(many) - many
+    order = np.argsort(-np.bincount(owner, weights=many[number], minlength=n), kind="stable")
+    component, asked = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        largest = np.bincount(component).argmax() if asked.any() else -1
+        left = ~asked[order] & (component[order] != largest)
+        if not left.any():
+            return component
+        i = order[left.argmax()]
+        asked[i] = True
+        mine = number[first[i] : first[i + 1]]
+        step = np.repeat(low[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(int(many[mine].sum()))
+        common = np.bincount(posted[step], minlength=n)
+        hit = common >= similarity * (size[i] + size - common) - 1e-9
+        labels = np.unique(component[hit])
+        component[np.isin(component, labels)] = labels[0]
+
+
+def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle: int, shard_rows: int = 1024, shard_shingles: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``items`` (copy, least: the smallest doc_id with that text, group).  Links (a, b) of copies of the
+    same group that join any two whose sets of shingles are alike, directly or through others.
+
+    Texts of groups of more than one item alone are looked up, one row of each.  A group of more than
+    ``shard_rows`` texts or ``shard_shingles`` shingles is dealt to sub-groups, each pair of which meets."""
+    several = items.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    need = items.join(several, "group").select(F.col("copy").alias("c"), F.col("least").alias("d"), "group")
+    texts = _texts(docs, doc_id, text)
+    texts = texts.join(need, (texts["copy"] == need["c"]) & texts["doc_id"].eqNullSafe(need["d"])).select("group", "copy", "text")
 
+    def cut(batches: Iterator[pa.RecordBatch]):
+        from xxhash import xxh64_intdigest
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radius: int = 2, blocks: int | None = None, distinct: bool = False, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        for b in batches:
+            hashes = [np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in set(shingles(t.as_py(), shingle))), dtype=np.uint64)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["group", "copy", "hashes"])
+
+    sets = materialize(texts.mapInArrow(cut, "group bigint, copy bigint, hashes array<bigint>"), "shingle-sets")
+    shards = F.ceil(F.greatest(F.count("*") / shard_rows, F.sum(F.size("hashes")) / shard_shingles)).cast("int")
+    crowded = materialize(sets.groupBy("group").agg(shards.alias("many")).where("many > 1").withColumnRenamed("group", "g"), "crowded")
+    dealt = sets.join(crowded, F.col("group") == F.col("g"), "left").withColumn("k", F.coalesce("many", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("copy"), F.col("k")).cast("int"))
+    tasks = dealt.select("group", "copy", "hashes", F.explode(F.expr(_MEETS)).alias("m")).select("group", "m.p", "m.q", "copy", "hashes")
+    tasks = tasks.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+
+    def verify(batches: Iterator[pa.RecordBatch]):
+        for table in _whole_tasks(batches, ("group", "p", "q"), 1000):
+            table = table.combine_chunks()
+            keys = np.stack([table.column(c).to_numpy() for c in ("group", "p", "q")], 1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            copies, column = table.column("copy").to_numpy(), table.column("hashes").combine_chunks()
+            flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            a, b = [], []
+            for x, y in zip(starts, starts[1:]):
+                root = alike([flat[at[i] : at[i + 1]] for i in range(x, y)], similarity)
+                linked = np.flatnonzero(root != np.arange(y - x))
+                a.append(copies[x + linked])
+                b.append(copies[x + root[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return tasks.mapInArrow(verify, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radius: int = 2, blocks: int | None = None, compare: int | None = None, similarity: float | None = None, distinct: bool = False, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, fp (binary), component_id (the smallest doc_id reachable): one row for each
     row of ``docs``.
 
     Fingerprints are written once, so texts are read once.  ``blocks`` defaults to radius + 1, with
     which the search is exact; more radius than that makes it a probabilistic one (see
-    similar_documents()).
+    similar_documents()).  With ``similarity`` the groups found are candidates, whose texts are read a
+    second time and linked by the exact similarity of their shingle sets.
     """
     marked = materialize(fingerprints(docs, shingle=shingle, width=width, distinct=distinct, doc_id=doc_id, text=text), "fingerprints")
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if width == 64 else F.xxhash64("fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select(node.alias("node"), "fp", "least"), "nodes")
-    roots = connected_components(link_nodes(nodes, width=width, radius=radius, blocks=blocks or radius + 1, shard_rows=shard_rows))
-    joined = materialize(nodes.select("node", "fp", "least").join(roots, "node", "left").select("fp", "least", "root"), "roots")
+    roots = connected_components(link_nodes(nodes, width=width, radius=radius, blocks=blocks or radius + 1, compare=compare, shard_rows=shard_rows))
+    key = "fp"
+    if similarity is not None:
+        key = "copy"
+        items = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("fp"))
+        items = materialize(items.join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("group")), "items")
+        roots = connected_components(exact_links(docs, items, similarity=similarity, shingle=shingle, doc_id=doc_id, text=text))
+        nodes = items.select(F.col("copy").alias("node"), "copy", "least")
+    joined = materialize(nodes.join(roots, "node", "left").select(key, "least", "root"), "roots")
     classes = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("class"))
-    labels = joined.join(classes, "root", "left").select("fp", F.coalesce("class", "least").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = joined.join(classes, "root", "left").select(key, F.coalesce("class", "least").alias("component_id"))
+    return marked.join(labels, key).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, width: int = 512, blocks: int = 32, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """near_duplicates() for a Jaccard similarity of shingle sets.
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, width: int = 1536, blocks: int = 96, compare: int = 256, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates() for a Jaccard similarity of shingle sets; links are exact, SimHash finds their candidates.
 
-    Two sets of similarity s have the cosine 2s / (1 + s) for sets of one size, and each bit of their
-    SimHashes differs with the probability acos(cosine) / pi.  The radius is that share of ``width``
-    plus one standard deviation.  32 blocks of 16 bits bring a pair of similarity 0.8 together with a
-    probability of 0.91, of 0.85 with 0.98 and of 0.9 with 0.998, each time it could meet; groups
-    of more than two copies have more such chances.
+    Two sets of similarity s have the cosine 2s / (1 + s) for sets of one size (more for others), and each bit
+    of their SimHashes differs with the probability acos(cosine) / pi.  The radius is that share of ``compare``
+    plus four standard deviations.  By the binomial distribution a pair of similarity 0.8 meets in one of 96
+    blocks of 16 bits with a probability of 0.9992, is within the radius with 0.9999 and so is found with 0.999;
+    groups of more than two copies have more such chances.  Sets of four and five shingles differ in more bits (0.1875 of
+    them); such a pair is found with 0.96.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(width * share + math.sqrt(width * share * (1 - share)))
-    return near_duplicates(docs, shingle=shingle, width=width, radius=radius, blocks=blocks, distinct=True, shard_rows=shard_rows, doc_id=doc_id, text=text)
+    radius = round(compare * share + 4 * math.sqrt(compare * share * (1 - share)))
+    return near_duplicates(docs, shingle=shingle, width=width, radius=radius, blocks=blocks, compare=compare, similarity=similarity, distinct=True, shard_rows=shard_rows, doc_id=doc_id, text=text)
 
 
 def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import simhash
 from quillon.llm.components import connected_components
@@ -95,6 +96,41 @@ def test_near_copies_go(make):
     assert {10 * i for i in range(40)} <= ids and len(ids & near) <= 1 and None in ids
 
 
+def test_pairs_at_the_threshold(make):
+    """450 shingles of which ten words change 50 have similarity 0.8; 445 have 0.798."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for i in range(400):
+        t = [word() for _ in range(454 if i < 200 else 449)]
+        c = list(t)
+        for k in range(10):
+            c[20 + 40 * k] = word()
+        a, b = (set(simhash.shingles(" ".join(x), 5)) for x in (t, c))
+        assert (len(a & b) / len(a | b) >= 0.8) == (i < 200)
+        docs += [(2 * i, " ".join(t), "s"), (2 * i + 1, " ".join(c), "s")]
+    gone = set(range(800)) - {r.doc_id for r in simhash.drop_near_duplicates(make(docs)).collect()}
+    assert gone == set(range(1, 400, 2))
+
+
+def test_alike_matches_brute_force(make):
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 14))), "s") for i in range(120)] + [(500, None, "s")]
+    sets = {i: {hash(x) for x in simhash.shingles(t, 5)} for i, t, _ in docs}
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want = classes(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+    ids = sorted(sets)
+    root = simhash.alike([np.array(sorted(sets[i]), dtype=np.int64) for i in ids], 0.8)
+    assert {i: ids[r] for i, r in zip(ids, root.tolist())} == want
+    # One group, dealt to sub-groups that all meet.
+    d = make(docs)
+    items = d.groupBy(F.xxhash64("text").alias("copy")).agg(F.min("doc_id").alias("least")).withColumn("group", F.lit(1).cast("bigint"))
+    links = [(r.a, r.b) for r in simhash.exact_links(d, items, similarity=0.8, shingle=5, shard_rows=20).collect()]
+    of = {r.copy: r.least for r in items.collect()}
+    got = classes(of.values(), [(of[a], of[b]) for a, b in links])
+    assert got == {i: want[i] for i in got}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
