@@ -3,8 +3,8 @@
 With DataFrame and SQL functions alone.  Base entities are e-mail addresses, IPv4 addresses, card numbers
 and phone numbers.  A term (a word of letters) discloses an entity as far as seeing it tells that
 the entity is there too: over documents, PMI(e; t) = ln(n(e,t) n / (n(e) n(t))), at most the entity's own
-information IC(e) = ln(n / n(e)).  Candidates are words near an entity's mentions in ``min_contexts``
-different contexts, so that copies of one passage prove nothing.  Terms with PMI >= ``threshold`` x IC
+information IC(e) = ln(n / n(e)).  Candidates are all words of the documents that hold the entity, outside of
+base entities, in ``min_texts`` different texts, so that copies of one text prove nothing.  Terms with PMI >= ``threshold`` x IC
 are spans too, wherever they stand in a document that holds the entity: they are generalised to
 ``[TERM]`` or removed with the base entities.
 
@@ -90,33 +90,34 @@ def _joined(spans: str, kinds: tuple[str, ...]) -> str:
     return f"array_join(transform({rows}, x -> concat(x.kind, ':', cast(x.start as string), ':', cast(x.end as string))), ',')"
 
 
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", near: int = 60, min_contexts: int = 3, threshold: float = 0.8, min_letters: int = 4) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_texts: int = 3, threshold: float = 0.8) -> DataFrame:
     """doc_id, text (null where there is no span), spans (array of kind, start, end, value): a row for
     each row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = rows.withColumn("spans", base_spans("text", near))
+    found = rows.withColumn("spans", base_spans("text", 0))
     found = materialize(found.select("doc_id", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans"), "personal")
     holders = found.where("text is not null").withColumn("copy", F.xxhash64("text"))
-    entity = F.concat("s.kind", F.lit(":"), F.lower("s.value"))
-    # Words next to each mention.
-    mentions = holders.select("doc_id", "copy", F.explode("spans").alias("s")).select(entity.alias("entity"), F.col("s.context").alias("context"))
-    words = F.array_distinct(F.regexp_extract_all("context", F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)))
-    near_by = mentions.select("entity", F.xxhash64("context").alias("c"), F.explode(words).alias("term"))
-    pairs = near_by.distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    pairs = materialize(pairs, "pairs")
-    # Documents with an entity, with a term, with both.
-    held = holders.select("doc_id", "copy", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))).alias("entity"))
-    n_entity = held.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
-    own = holders.select(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entities"), F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
-    by_entity = pairs.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    n_both = own.select(F.explode("entities").alias("entity"), "w").join(by_entity, "entity").select("entity", F.explode(F.array_intersect("w", "terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}]+"))
+    held = holders.select("doc_id", "copy", F.explode(entities).alias("entity"))
+    # An entity of fewer texts has no candidate.
+    n_entity = held.groupBy("entity", "copy").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"))
+    n_entity = materialize(n_entity.where(F.col("texts") >= min_texts).select("entity", "n_e"), "entities")
+    # Documents with both: words count wherever they stand, and are candidates where one stands outside of base entities.
+    own = _replaced(holders, "' '").select("copy", entities.alias("entities"), words("text").alias("w"), words("clean").alias("free"))
+    marked = F.expr("concat(transform(w, x -> named_struct('term', x, 'here', 1)), transform(free, x -> named_struct('term', x, 'here', 0)))")
+    both = own.select("copy", marked.alias("m"), F.explode("entities").alias("entity")).join(n_entity.select("entity"), "entity", "left_semi")
+    both = both.select("entity", "copy", F.explode("m").alias("m")).select("entity", "copy", "m.term", "m.here").where("term <> ''")
+    both = both.groupBy("entity", "term", "copy").agg(F.sum("here").alias("n"), F.min("here").alias("least")).groupBy("entity", "term")
+    pairs = both.agg(F.sum("n").alias("n_et"), F.sum(1 - F.col("least")).alias("texts")).where(F.col("texts") >= min_texts)
+    pairs = materialize(pairs.select("entity", "term", "n_et"), "pairs")
     n = float(max(rows.count(), 1))
     ic = F.log(F.lit(n) / F.col("n_e"))
     # Documents with an entity alone give a lower bound of n(t): terms too common by that need no count.
-    terms_here = own.select(F.explode("w").alias("term")).where(F.length("term") >= min_letters).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_h"))
-    likely = n_both.join(n_entity, "entity").join(terms_here, "term").where((ic > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_h"))) >= threshold * ic))
+    terms_here = own.select(F.explode("w").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_h"))
+    likely = pairs.join(n_entity, "entity").join(terms_here, "term").where((ic > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_h"))) >= threshold * ic))
     likely = materialize(likely.select("entity", "term", "n_et", "n_e"), "likely-terms")
-    words_of_all = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= min_letters)
+    words_of_all = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     n_term = words_of_all.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
     telling = likely.join(n_term, "term").where(pmi >= threshold * ic).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
@@ -142,7 +143,10 @@ def sanitise(found: DataFrame, *, mode: str = "generalise") -> DataFrame:
 
     Spans are taken 1,000 at a time, each time from what is left of the text, so that long texts are not walked through
     from their start for every span."""
-    label = "concat('[', upper(x.kind), ']')" if mode == "generalise" else "''"
+    return _replaced(found, "concat('[', upper(x.kind), ']')" if mode == "generalise" else "''")
+
+
+def _replaced(found: DataFrame, label: str) -> DataFrame:
     ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'minus_end', -x.end, 'kind', x.kind)))"
     chunks = f"element_at(transform(array({ordered}), z -> if(size(z) = 0, array(z), transform(sequence(0, (size(z) - 1) div 1000), c -> slice(z, c * 1000 + 1, 1000)))), 1)"
     end = "greatest(t.at, coalesce(array_max(transform(chunk, x -> -x.minus_end)), t.at))"

@@ -94,6 +94,16 @@ def test_terms_that_tell(make):
     assert "[" not in gone[1] and "zeb" not in gone[1].lower()
 
 
+def test_terms_far_away_and_short(make):
+    """Names of one to three letters, 200 characters and more from the mention."""
+    rng = random.Random(11)
+    fill = lambda n: " ".join(rng.choice(["water", "stone", "river", "green"]) for _ in range(n))
+    docs = [(i, f"Li 金 kim: {fill(50)} zeb@ex.org {fill(3)}", "s") for i in range(6)] + [(100 + i, fill(60), "s") for i in range(200)]
+    docs += [(300, f"lone {fill(50)} one@ex.org", "s"), (301, f"lone {fill(50)} one@ex.org", "s")]  # two texts prove nothing
+    for r in pii.find_personal_data(make(docs)).collect():
+        assert {s.value.lower() for s in r.spans if s.kind == "term"} == ({"li", "金", "kim"} if r.doc_id < 100 else set())
+
+
 def test_empty(make):
     assert pii.report(pii.find_personal_data(make([]))).count() == 0
     assert pii.find_personal_data(make([(1, "plain", "s")])).select(F.size("spans")).first()[0] == 0
