@@ -482,6 +482,11 @@ def markdown_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.substring("text", 1, 60)).alias("escaped"))
 
 
+@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND contains('&<>\`*_{}[]()#+-.!|~', c) THEN '&#' || ascii(c) || ';' WHEN c IN (chr(10), chr(13)) THEN ' ' ELSE c END), '') AS escaped FROM documents""")
+def markdown_escape_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.col("text")).alias("escaped"))
+
+
 @query("SELECT * FROM (VALUES (1, '```' || chr(10) || 'x' || chr(10) || '```', '&lt;a href=&quot;x&quot;&gt;&amp;&#x27;'), (2, '`````' || chr(10) || 'a````b``' || chr(10) || '`````', 'plain')) t(id, fenced, html)")
 def escaping(spark, sf_dir):
     d = rows(spark, "id int, c string, h string", [(1, "x", "<a href=\"x\">&'"), (2, "a````b``", "plain")])
