@@ -199,6 +199,15 @@ def text_distance_ascii(spark, sf_dir):
     return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
 
 
+@query()
+def text_distance_whole(spark, sf_dir):
+    """Whole texts of all documents; neighbouring documents of a source stand for repeated results."""
+    w = Window.partitionBy("source").orderBy("number")
+    d = snapshots_view(spark, sf_dir).select("source", F.lag("number").over(w).alias("l_number"), F.col("number").alias("r_number"), F.lag("text").over(w).alias("l_text"), F.col("text").alias("r_text"))
+    p = compare.text_distances(d.where("l_number is not null"), "l_text", "r_text")
+    return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
+
+
 @query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0), (4, 2), (5, 5)) t(id, d)", big="d")
 def text_distance_unicode(spark, sf_dir):
     d = rows(spark, "id int, a string, b string", [(1, "kitten", "sitting"), (2, "한글", "한굴"), (3, "", ""), (4, "😀a", "b"), (5, "", "abcde")])

@@ -14,6 +14,24 @@ def folder(spark, tmp_path):
     return put
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_of_long_and_other_texts(spark, folder):
+    long = "".join(chr(97 + i * i % 23) for i in range(1200))
+    texts = {1: long, 2: long[5:600] + "\u00e9\ud55c\U0001f600" + long[640:], 3: "\ud55c\uae00 \U0001f600", 4: "\ud55c\uad74", 5: ""}
+    rows = [(i, t, "ko", "a") for i, t in texts.items()] + [(9, "alone", "en", "b")]
+    got = {(r.l_number, r.r_number): r.edit_distance for r in QUERIES["text_distance_whole"](spark, folder(rows)).collect()}
+    assert got == {(i, i + 1): levenshtein(texts[i], texts[i + 1]) for i in range(1, 5)}
+
+
 def test_escape_reaches_the_end(spark, folder):
     whole = "a" * 70 + "*_x\n\ud55c\U0001f600|" * 50
     escaped = "".join(f"&#{ord(c)};" if c in "&<>\\`*_{}[]()#+-.!|~" else " " if c in "\r\n" else c for c in whole)
