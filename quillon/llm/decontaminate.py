@@ -134,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, do
     """Columns doc_id, n_words, spans (array of first word, end word), items (array of strings).
 
     One row for each row of ``docs``.  With more than one slice of the benchmark, the passes are
-    united by (doc_id, hash of the text), and rows repeated in both give one row.
+    united by (doc_id, hash of the text), and rows repeated in both come out as often as they went in.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, copy bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
@@ -162,12 +162,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, do
     union = passes[0]
     for more in passes[1:]:
         union = union.unionByName(more)
-    grouped = union.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    grouped = union.groupBy("doc_id", "copy").agg(F.count("*").alias("times"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merge = """aggregate(spans, cast(array() as array<struct<first:bigint,last:bigint>>), (a, s) ->
         if(size(a) > 0 and s.first <= element_at(a, -1).last,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, s.last)))),
            concat(a, array(s))))"""
-    return grouped.select("doc_id", "n_words", F.expr(merge).alias("spans"), "items")
+    merged = grouped.select("doc_id", "n_words", F.expr(merge).alias("spans"), "items", "times")
+    # Each pass has counted each row once.
+    return merged.withColumn("copy", F.explode(F.expr(f"array_repeat(0, cast(times div {len(passes)} as int))"))).drop("times", "copy")
 
 
 def report(hits: DataFrame) -> DataFrame:

@@ -74,3 +74,11 @@ def test_empty_tables(spark, make):
     b = spark.createDataFrame([], "item_id bigint, text string")
     assert D.report(D.find_contamination(make([]), b)).count() == 0
     assert D.report(D.find_contamination(make([(1, "a", "s")]), b)).first().contaminated is False
+
+
+def test_repeated_rows_stay_with_several_slices(make, spark):
+    passage = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([("a", passage), ("b", passage.replace("one", "zero"))], "item_id string, text string")
+    docs = make([(1, f"x {passage}", "s")] * 3 + [(1, "other", "s"), (None, passage, "s"), (None, passage, "s"), (2, None, "s"), (2, None, "s")])
+    rows = lambda words: sorted((r for r in map(repr, D.find_contamination(docs, benchmark, broadcast_words=words).collect())))
+    assert len(rows(1)) == 8 and rows(1) == rows(4_000_000)
