@@ -19,6 +19,8 @@ the same doc_id are ordered by a hash of the text; an empty table writes no toke
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import threading
 import zlib
@@ -26,15 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_system, materialize, new_folder
 
 MAGIC = b"QTOK0001"
-#: Words that a worker remembers with their ids; the rest are encoded each time.
-CACHE_WORDS = 400_000
-_PUNCTUATION = frozenset(".,!?;:")
+#: Bytes that a worker's store of words and ids may take.
+STORE_BYTES = 64_000_000
+#: Bytes of text that are encoded at a time, a document at least.
+SLICE_BYTES = 2_000_000
+
+#: The normaliser and pre-tokeniser for which texts may be encoded word by word, and marks that end a word.
+WORD_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: All ASCII marks but the apostrophe, with which some words end.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,94 +70,194 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
     return (planes.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1).astype("<u4")
 
 
+class WordStore:
+    """Ids of words that a worker has met at least twice, in ``limit`` bytes at most.
+
+    A word enters when it comes a second time (a table of hashes tells; a clash lets one in early).  When the
+    store is full, the half that has been there longest goes."""
+
+    #: What a word costs besides its letters and ids: two objects and their place in the table.
+    EACH = 200
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.known: dict[str, bytes] = {}
+        self.seen = np.zeros(1 << 21, dtype=bool)
+
+    def get(self, words: list[str]) -> list[bytes | None]:
+        return list(map(self.known.get, words))
+
+    def cost(self, word: str, ids: bytes) -> int:
+        return self.EACH + 4 * len(word) + len(ids)
+
+    def offer(self, words: list[str], ids: list[bytes]) -> None:
+        places = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)) & (len(self.seen) - 1)
+        for i in np.flatnonzero(self.seen[places]).tolist():
+            cost = self.cost(words[i], ids[i])
+            if self.size + cost > self.limit:
+                for old in list(itertools.islice(self.known, (len(self.known) + 1) // 2)):
+                    self.size -= self.cost(old, self.known.pop(old))
+            if cost <= self.limit // 100 and words[i] not in self.known:
+                self.known[words[i]] = ids[i]
+                self.size += cost
+        self.seen[places] = True
+        if np.count_nonzero(self.seen) * 2 > len(self.seen):
+            self.seen[:] = False
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library with a bounded store of words.
-
-    For a vocabulary of words (its tokens at the end of a word have the model's end-of-word suffix; its
-    normaliser drops case and its pre-tokeniser white space) the ids of a text are those of its
-    space-separated pieces in turn.  In texts of Latin-1 characters alone, which are composed and
-    lower-cased one by one, pieces are lower-cased beforehand, and letters with one punctuation mark after
-    them are two pieces, as they are to the pre-tokeniser.  Runs of letters go to the library many at a
-    time and their ids are cut behind the tokens that end a word; other pieces, and whole texts with a
-    special token in them, go as they stand.
+    """A tokenizer of the tokenizers library, asked for each word once as far as may be.
+
+    With WORD_NORMALISER and WORD_SPLITTER (the tokenizer's own file tells) and a vocabulary whose tokens at the end
+    of a word carry a suffix, the ids of a text are those of its space-separated pieces in turn.  Texts of
+    Latin-1 characters are composed and lower-cased one by one, so their pieces are lower-cased first, and a
+    run of marks behind a letter or digit is a piece of its own, as it is to the splitter.  A batch is cut and numbered by Arrow;
+    each distinct piece is looked up in the store or goes to the library (runs of letters many at a time, their ids cut
+    behind the tokens that end a word), and numpy lays the ids of all pieces out.  Any other tokenizer, and any
+    text with a special token in it, gets whole texts.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, store_bytes: int = STORE_BYTES):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         # A task has one core; the library's own threads would wait for work on all of them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.store = WordStore(store_bytes)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end = getattr(self.library.model, "end_of_word_suffix", None) or None
-        if self.end:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, end = file["model"], file["model"].get("end_of_word_suffix")
+        plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        same = file["normalizer"] == WORD_NORMALISER and file["pre_tokenizer"] == WORD_SPLITTER
+        self.by_word = bool(same and plain and end and model["type"] == "BPE" and not any(file[x] for x in ("truncation", "padding")))
+        if self.by_word:
             self.ends = np.zeros(self.vocabulary, dtype=bool)
             for token, i in self.library.get_vocab(with_added_tokens=False).items():
-                self.ends[i] = token.endswith(self.end)
+                self.ends[i] = token.endswith(end)
+            # For runs of lower-case Latin-1 letters: of all steps only the one to byte-level characters changes them.
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of runs of letters."""
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of lower-case Latin-1 letters."""
         out: list[bytes] = []
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(group):
-                out += self._each(group)
-                continue
-            data, at = ids.tobytes(), 0
-            for c in cuts.tolist():
-                out.append(data[at:c])
-                at = c
+        for i in range(0, len(words), 10_000):
+            groups = [words[j : j + 500] for j in range(i, min(i + 10_000, len(words)), 500)]
+            joined = [" ".join(g) for g in groups]
+            joined = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LEVEL) for x in joined]
+            for group, e in zip(groups, self.letters.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(cuts) != len(group):
+                    out += self._each(group)
+                    continue
+                data = ids.tobytes()
+                out += [data[x:y] for x, y in zip([0, *cuts], cuts)]
         return out
 
-    def _pieces(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        low = text.lower()
-        if not self.end or any(s in text or s in low for s in self.special):
-            return [text]
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        return low.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, more = self.known, {}
-        split = [self._pieces(t) for t in texts]
-        letters: dict[str, None] = {}
-        other: dict[str, None] = {}
-        pairs: dict[str, tuple[str, str]] = {}
-        for p in set().union(*split).difference(known):
-            base, mark = (p[:-1], p[-1]) if p and p[-1] in _PUNCTUATION else (p, "")
-            if self.end and base.isalpha() and (base.isascii() or max(base) <= "\xff"):
-                low = base.lower()
-                if mark or low != p:
-                    pairs[p] = low, mark
-                if low not in known:
-                    letters[low] = None
-                if mark and mark not in known:
-                    other[mark] = None
-            else:
-                other[p] = None
-        for names, ids in ((letters, self._letters), (other, self._each)):
-            for p, got in zip(names, ids(list(names)) if names else ()):
-                (known if len(known) < CACHE_WORDS and len(p) <= 64 else more)[p] = got
-        for p, (base, mark) in pairs.items():
-            got = known[base] if base in known else more[base]
-            if mark:
-                got += known[mark] if mark in known else more[mark]
-            (known if len(known) < CACHE_WORDS and len(p) <= 64 else more)[p] = got
-        if not more:
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        return [b"".join([known[p] if p in known else more[p] for p in pieces]) for pieces in split]
+    def _distinct(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces."""
+        words = _strings(pieces)
+        found = self.store.get(words)
+        new = np.fromiter((ids is None for ids in found), dtype=bool, count=len(found))
+        run = pc.match_substring_regex(pieces, "^[a-zß-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        for places, encode in ((np.flatnonzero(new & run).tolist(), self._runs), (np.flatnonzero(new & ~run).tolist(), self._each)):
+            if places:
+                names = [words[i] for i in places]
+                ids = encode(names)
+                self.store.offer(names, ids)
+                for i, x in zip(places, ids):
+                    found[i] = x
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings or null), one text behind the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return self._whole(texts)
+        low = pc.utf8_lower(texts)
+        whole = pa.array(np.zeros(len(texts), dtype=bool))
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(low, token.lower()))
+        if not pc.any(whole).as_py():
+            return self._by_word(texts, low)
+        # Texts between those with a special token, and these, in turn.
+        borders = np.flatnonzero(np.diff(whole.to_numpy(zero_copy_only=False), prepend=True, append=True) != 0)
+        borders = sorted({0, len(texts), *borders.tolist()})
+        parts = [self._whole(texts.slice(a, b - a)) if whole[a].as_py() else self._by_word(texts.slice(a, b - a), low.slice(a, b - a)) for a, b in zip(borders, borders[1:])]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _by_word(self, texts: pa.Array, low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        # In UTF-8 a byte from 0xC4 on begins a character beyond Latin-1.
+        at, data = _bytes_of(texts)
+        beyond = np.flatnonzero(data >= 0xC4)
+        latin = pa.array(np.searchsorted(beyond, at[1:]) == np.searchsorted(beyond, at[:-1]))
+        pieces = pc.split_pattern(pc.if_else(latin, pc.replace_substring(low, "\n", " "), texts), " ")
+        coded = pieces.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        base = pc.utf8_rtrim(words, characters=MARKS)
+        (ends, data), size = _bytes_of(base), pc.binary_length(words).to_numpy()
+        data = np.concatenate([np.zeros(2, dtype=np.uint8), data])  # so that any word has a last byte but one
+        last, before = data[ends[1:] + 1], data[ends[1:]]
+        letter = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7))
+        kept = np.diff(ends)
+        marked = letter & (kept > 0) & (kept < size)
+        chosen = pa.array(marked)
+        tails = [w[n:] for w, n in zip(_strings(words.filter(chosen)), pc.utf8_length(base.filter(chosen)).to_numpy().tolist())]
+        base = pc.if_else(chosen, base, words)
+        tail = np.zeros(len(words), dtype=np.int32)
+        both = pa.concat_arrays([base, pa.array(tails, pa.string())]).dictionary_encode()
+        values = [b"", *self._distinct(both.dictionary)]
+        number = both.indices.to_numpy().astype(np.int32) + 1
+        tail[marked] = number[len(words) :]
+        parts = np.stack([number[: len(words)], tail], 1)[index].ravel()
+        count = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        first, flat = np.cumsum(count) - count, np.frombuffer(b"".join(values), dtype="<u4")
+        many = count[parts]
+        before = np.cumsum(many) - many
+        ids = flat[np.repeat(first[parts] - before, many) + np.arange(int(many.sum()))]
+        offsets = pieces.offsets.to_numpy()
+        return ids, np.add.reduceat(many, 2 * (offsets[:-1] - offsets[0]).astype(np.int64))
+
+
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", dtype=np.uint8)] = True
+#: Characters that stand for the bytes 0x80 to 0xBF of a letter in a byte-level vocabulary: printable ones for themselves,
+#: the other 33, in order, for U+0122 on (after the 34 below 0x80).
+_BYTE_LEVEL = {b: b for b in range(256)} | {b: 0x122 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+
+
+def _strings(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins, and the end of the last, in the bytes of all."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32, count=len(strings) + 1, offset=4 * strings.offset).astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return at - at[0], data[at[0] : at[-1]]
+
+
+def _slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of texts of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 _encoders: dict[str, Encoder] = {}
@@ -164,7 +277,12 @@ def encoder_for(path: str) -> Encoder:
 
 def release_encoders() -> None:
     """Gives the encoders up unless a task asks for one soon; one that runs has its own reference."""
-    timer = threading.Timer(IDLE_SECONDS, _encoders.clear)
+
+    def give_up():
+        _encoders.clear()
+        pa.default_memory_pool().release_unused()
+
+    timer = threading.Timer(IDLE_SECONDS, give_up)
     timer.daemon = True
     _idle.append(timer)
     timer.start()
@@ -183,38 +301,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
         bits = bits_for(encoder.vocabulary)
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
-        name, end = f"part-{part:05d}-{attempt}.qtok", np.array([end_id], dtype="<u4").tobytes()
-        offsets, ids, lengths, waiting, held = [len(MAGIC)], [], [], [], 0
+        name = f"part-{part:05d}-{attempt}.qtok"
+        offsets, doc_ids, present, lengths = [len(MAGIC)], [], [], []
         with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
             out.write(MAGIC)
+            rest = np.zeros(0, dtype="<u4")
 
-            def flush(least: int):
-                nonlocal waiting, held
-                if held < max(least, 1):
-                    return
-                data, at = np.frombuffer(b"".join(waiting), dtype="<u4"), 0
-                while len(data) - at >= least and at < len(data):
-                    packed = pack(data[at : at + block], bits)
-                    out.write(packed)
-                    offsets.append(offsets[-1] + len(packed))
-                    at += block
-                waiting = [data[at:].tobytes()]
-                held = max(0, len(data) - at)
+            def put(ids: np.ndarray) -> None:
+                packed = pack(ids, bits)
+                out.write(packed)
+                offsets.append(offsets[-1] + len(packed))
 
             for b in batches:
-                ids.extend(b.column(0).to_pylist())
-                for i in range(0, b.num_rows, 200):
-                    for got in encoder.encode(b.column(1).slice(i, 200).to_pylist()):
-                        waiting += (got, end)
-                        lengths.append(len(got) // 4 + 1)
-                        held += lengths[-1]
-                    flush(block)
-            flush(1)
-            out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes() + np.array([x is not None for x in ids], dtype=np.uint8).tobytes())
-            out.write(np.array(lengths, dtype="<i8").tobytes() + np.array(offsets, dtype="<i8").tobytes())
+                doc_ids.append(pc.fill_null(b.column(0), 0).to_numpy())
+                present.append(b.column(0).is_valid().to_numpy(zero_copy_only=False))
+                for texts in _slices(b.column(1)):
+                    ids, count = encoder.encode(texts)
+                    rest = np.concatenate([rest, np.insert(ids, np.cumsum(count), end_id)])
+                    lengths.append(count + 1)
+                    full = len(rest) // block * block
+                    for at in range(0, full, block):
+                        put(rest[at : at + block])
+                    rest = rest[full:]
+            if len(rest):
+                put(rest)
             release_encoders()
-            out.write(np.array([len(ids), sum(lengths), len(offsets) - 1, block, bits, offsets[-1]], dtype="<i8").tobytes() + MAGIC)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
+            n_tokens, n_docs = int(sum(x.sum() for x in lengths)), sum(map(len, doc_ids))
+            for parts, kind in ((doc_ids, "<i8"), (present, np.uint8), (lengths, "<i8")):
+                out.write(b"".join(x.astype(kind).tobytes() for x in parts))
+            out.write(np.array(offsets, dtype="<i8").tobytes())
+            out.write(np.array([n_docs, n_tokens, len(offsets) - 1, block, bits, offsets[-1]], dtype="<i8").tobytes() + MAGIC)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return materialize(ordered.mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint"), "token-files")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import tokens
@@ -25,15 +26,44 @@ def test_pack_round_trip():
     assert [tokens.bits_for(n) for n in (1, 2, 3, 65_536, 65_537)] == [1, 1, 2, 16, 17]
 
 
-def test_encoder_equals_library(library, monkeypatch):
+def _split(ids, count):
+    ends = np.cumsum(count).tolist()
+    return [ids[x:y].tolist() for x, y in zip([0, *ends], ends)]
+
+
+def test_encoder_equals_library(library):
     rng = random.Random(2)
-    texts = ["<|endoftext|> hi <|ENDOFTEXT|> A", "a\x1cb\x85c\xa0d", "don't can't IT'S we'll", "İstanbul ΣΣ ΟΔΟΣ", "你好 world, 😀! ok.", "a,. b.,c ..", "²x ª ½ µ ß ÿ", "\n\t\r\x0b a", "ſ ŉ ǰ", None, "", "é à."]
-    texts += ["".join(rng.choice("aAéÉßµª .,!?'s\n\t́​1²<|endoftext|>-İıΣ") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    for room in (600_000, 20):
-        monkeypatch.setattr(tokens, "CACHE_WORDS", room)
-        e = tokens.Encoder(tokenizer_path())
-        assert [x for i in range(0, len(texts), 100) for x in e.encode(texts[i : i + 100])] == want
+    texts = ["<|endoftext|> hi <|ENDOFTEXT|> A", "a\x1cb\x85c\xa0d", "don't can't IT'S we'll", "İstanbul ΣΣ ΟΔΟΣ", "你好 world, 😀! ok.", "a,. b.,c ..", "²x ª ½ µ ß ÿ", "\n\t\r\x0b a", "ſ ŉ ǰ", None, "", "é à.", "x', y'. ×, ÷. «x».", "3, 3.5!! café### Ça$$ 'll, ü", "&&& ###a b###c"]
+    texts += ["".join(rng.choice("aAéÉßµª .,!?'s\n\t́​1²<|endoftext|>-İıΣ#") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(("The", "naïve", "Straße,", "don't", "x###", "42!!", "ÀÉ?", "a.b.")) for _ in range(40)) for _ in range(300)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for room in (64_000_000, 30_000):
+        e = tokens.Encoder(tokenizer_path(), room)
+        assert e.by_word
+        got = [x for i in range(0, len(texts), 100) for x in _split(*e.encode(pa.array(texts[i : i + 100])))]
+        assert got == want
+        assert _split(*e.encode(pa.array(texts).slice(7, 5))) == want[7:12]
+
+
+def test_other_tokenizer_gets_whole_texts():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_word
+    texts = ["Hello  World, don't", "", "a\nb"]
+    assert _split(*e.encode(pa.array(texts))) == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_is_bounded():
+    store = tokens.WordStore(100_000)
+    held = lambda: sum(store.cost(w, x) for w, x in store.known.items())
+    for turn in range(6):
+        words = [f"w{i}" for i in range(turn * 500, turn * 500 + 1000)]  # half of them for the second time
+        store.offer(words, [b"12345678"] * 1000)
+        assert store.size == held() <= 100_000
+    assert store.known and "w0" not in store.known and "w2999" in store.known
+    store.offer(["x" * 5000] * 2, [b"1"] * 2)
+    assert "x" * 5000 not in store.known
 
 
 def test_files(spark, make, library):
