@@ -68,6 +68,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def trimmed(run):
+    """``run`` for mapInArrow(); when a task ends, its worker, which lives on, gives unused memory back to the system."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def file_system(uri: str):
     """A pyarrow file system for ``uri`` and the path in it; works on executors."""
     from pyarrow import fs

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillon.llm import decontaminate as D
@@ -52,11 +53,39 @@ def test_matches_brute_force(spark, make, cases):
 
 def test_slices_agree(spark, make, cases):
     docs, items = cases
-    docs = list({(d, t): (d, t, s) for d, t, s in docs}.values())
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    whole = sorted(map(tuple, D.report(D.find_contamination(make(docs), b, n=4)).collect()), key=repr)
-    parts = sorted(map(tuple, D.report(D.find_contamination(make(docs), b, n=4, broadcast_words=20)).collect()), key=repr)
-    assert whole == parts
+    rows = lambda bound: sorted(map(repr, D.find_contamination(make(docs), b, n=4, broadcast_bytes=bound).collect()))
+    assert rows(256_000_000) == rows(20_000)  # an item is cut, too
+    texts = lambda bound, mode: sorted(map(repr, D.decontaminate(make(docs), b, n=4, mode=mode, broadcast_bytes=bound).collect()))
+    for mode in ("spans", "documents"):
+        assert texts(256_000_000, mode) == texts(20_000, mode)
+
+
+def test_cuts_come_from_the_original_text(spark, make):
+    whole = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    b = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6"), (2, "w4 w5 w6 w7 w8 w9"), (3, "x2 y1 y2 q"), (4, "x1 x2 y1 y2")], "item_id bigint, text string")
+    d = make([(1, f"q {whole} z", "s"), (2, "x1 x2 w1 w2 w3 w4 y1 y2", "s"), (2, "x1 x2 w1 w2 w3 w4 y1 y2", "s")])
+    for bound in (256_000_000, 400, 1):
+        got = D.decontaminate(d, b, n=4, mode="spans", broadcast_bytes=bound).collect()
+        assert sorted(r.text for r in got) == ["q z", "x1 x2 y1 y2", "x1 x2 y1 y2"]
+
+
+def test_sets_are_bounded(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"v{rng.randrange(5000)}" for _ in range(rng.choice([5, 50, 9000])))) for i in range(60)]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    slices = list(D._slices(b, 10, "item_id", "text", 1_000_000))
+    assert len(slices) > 3 and all(D.NgramSet(s).nbytes <= 1_000_000 for s in slices)
+    windows = lambda parts: {(i, tuple(w[k : k + n])) for i, w, n in parts for k in range(len(w) - n + 1)}
+    assert set().union(*map(windows, slices)) == windows([(str(i), D.words(t), min(10, len(D.words(t)))) for i, t in items])
+
+
+def test_clashing_hashes(monkeypatch):
+    """All windows share one hash: words alone decide."""
+    monkeypatch.setattr(D, "_rolling", lambda ids, size: np.zeros(len(ids) - size + 1, dtype=np.uint64))
+    grams = D.NgramSet([("a", b"p q r s".split(), 2), ("b", b"q r t".split(), 2)])
+    ((count, spans, items),) = grams.scan(["x p q r t x"])
+    assert (count, spans, {grams.ids[i] for i in items}) == (6, [(1, 5)], {"a", "b"})
 
 
 def test_removal(spark, make):
@@ -80,5 +109,5 @@ def test_repeated_rows_stay_with_several_slices(make, spark):
     passage = "one two three four five six seven eight nine ten"
     benchmark = spark.createDataFrame([("a", passage), ("b", passage.replace("one", "zero"))], "item_id string, text string")
     docs = make([(1, f"x {passage}", "s")] * 3 + [(1, "other", "s"), (None, passage, "s"), (None, passage, "s"), (2, None, "s"), (2, None, "s")])
-    rows = lambda words: sorted((r for r in map(repr, D.find_contamination(docs, benchmark, broadcast_words=words).collect())))
-    assert len(rows(1)) == 8 and rows(1) == rows(4_000_000)
+    rows = lambda bound: sorted((r for r in map(repr, D.find_contamination(docs, benchmark, broadcast_bytes=bound).collect())))
+    assert len(rows(1)) == 8 and rows(1) == rows(256_000_000)
