@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 PARTS = "array<struct<type:string,text:string,ref:string,size:bigint>>"
 _SPECIAL = re.compile(r"[\\#<\[]")
 _TURN = re.compile(r"### ((?:[^\\]|\\.)*?):\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
@@ -145,7 +147,7 @@ def format_conversations(rows: DataFrame, *, conv_id: str = "conv_id", turn: str
         if done:
             yield emit()
 
-    return dealt.mapInArrow(run, "conv_id bigint, formatted string, loss array<struct<start:bigint,end:bigint>>, attachments array<struct<number:bigint,type:string,ref:string,tokens:bigint>>")
+    return dealt.mapInArrow(trimmed(run), "conv_id bigint, formatted string, loss array<struct<start:bigint,end:bigint>>, attachments array<struct<number:bigint,type:string,ref:string,tokens:bigint>>")
 
 
 def report(formatted: DataFrame) -> DataFrame:
@@ -164,4 +166,4 @@ def report(formatted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(trimmed(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -7,14 +7,15 @@
    partial epoch takes permuted blocks up to the exact quota.  Only the document at which the quota ends is
    cut, one for each source.
 3. A multivariate-hypergeometric splitting tree divides the block quotas of all sources among the output
-   shards: each node gives its left half a draw without replacement of exactly half its blocks, source
-   by source (sequential sampling), and the rest goes right.  Leaves hold the quota of a shard by source.
-4. Each shard takes the next disjoint run of each source's permuted blocks and shuffles locally.
+   shards: each node gives its left half a draw without replacement of exactly half its blocks, and the
+   rest goes right.  Leaves hold the quota of a shard by source.
+4. Each shard takes the next disjoint run of each source's permuted blocks and shuffles them locally: the mix
+   comes out by shard and, in a shard, in the order of a hash of its blocks.
 
-Block size: the least power of two, ``block`` at least, with which all blocks number at most
-``max_blocks``; so the table of blocks stays bounded whatever the corpus, and a window over a source's
-blocks with it.  Prefix sums of words over a source go in two steps (within hash ranges, then over the
-ranges), so a source with most of the rows is spread like any other.
+Block size: the least power of two, ``block`` at least, with which all sources together have words for at most
+``max_blocks``; each source may add one block that is not full, and epochs repeat them.  Running sums over a source, an
+epoch or the tree go in two steps (within ranges of a hash, then over the ranges), so a source with most of the
+rows is spread like any other, and no row or task holds all blocks.
 
 Defined cases: null texts have no words and are taken 0 times; a null source is a source of its own, last
 in order; equal documents are told apart by their id, else they are one row of words; without words
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Ranges of the hash that a source's documents are dealt to for the prefix sums.
-RANGES = 1024
+#: Running sums go over 2 ** RANGE_BITS ranges of a hash.
+RANGE_BITS = 10
 
 
 def count_words(text) -> F.Column:
@@ -57,39 +58,50 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1),
     return s.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
+def running(rows: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, str]) -> DataFrame:
+    """``rows`` with sums over the group's earlier rows: name -> SQL of the value.  The order is that of the unsigned hash
+    ``order``, then ``ties``; ``group`` has no nulls.  First sums of ranges of the hash, then in each range."""
+    rows = rows.withColumn("__range", F.shiftrightunsigned(order, 64 - RANGE_BITS).cast("int"))
+    sums = rows.groupBy(*group, "__range").agg(*[F.sum(F.expr(v)).alias(f"__{n}") for n, v in values.items()])
+    over = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*group, "__range", *[F.coalesce(F.sum(f"__{n}").over(over), F.lit(0)).alias(f"__base_{n}") for n in values])
+    inside = Window.partitionBy(*group, "__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(F.expr(v)).over(inside), F.lit(0)).alias(f"__in_{n}") for n, v in values.items()])
+    rows = rows.join(base, [*group, "__range"])
+    kept = [c for c in rows.columns if not c.startswith(("__range", "__in_", "__base_"))]
+    return rows.select(*kept, *[(F.col(f"__base_{n}") + F.col(f"__in_{n}")).cast("bigint").alias(n) for n in values])
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     """``quotas`` (source_no, quota) among ``shards`` shards (a power of two) of equal totals.
 
     Returns shard, source_no, first, quota: the shard takes the draws first .. first + quota - 1 of the
-    source.  A node of the tree is a row with the quotas of all sources; it draws its left half's by
-    selection sampling, block by block, in one fold."""
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("source_no", "quota"))).alias("q")).select(F.lit(0).cast("bigint").alias("shard"), "q")
+    source.  A node of the tree has a run of the units of all quotas in the order of a hash; its left half is the first half of
+    the run, a draw without replacement by source, and so down to the leaves.  The run's bounds are halved in each row, so
+    the tree costs one running count over all units."""
+    units = quotas.where("quota > 0").select("source_no", F.explode(F.expr("sequence(0L, quota - 1)")).alias("unit"))
+    units = units.withColumn("__key", F.xxhash64("source_no", "unit", F.lit(seed)))
+    ranked = running(units, [], "__key", ["source_no", "unit"], {"place": "1"})
+    halve = """aggregate(sequence(1, {depth}), named_struct('shard', 0L, 'place', place, 'size', total),
+        (n, level) -> if(n.place < n.size div 2,
+            named_struct('shard', n.shard * 2, 'place', n.place, 'size', n.size div 2),
+            named_struct('shard', n.shard * 2 + 1, 'place', n.place - n.size div 2, 'size', n.size - n.size div 2)),
+        n -> n.shard)"""
     depth = (shards - 1).bit_length()
-    for level in range(depth):
-        draw = f"""aggregate(q,
-            named_struct('rest', aggregate(q, 0L, (a, x) -> a + x.quota), 'need', aggregate(q, 0L, (a, x) -> a + x.quota) div 2, 'out', cast(array() as array<bigint>)),
-            (s, x) -> named_struct(
-                'rest', s.rest - x.quota,
-                'need', s.need - aggregate(if(x.quota > 0, sequence(1L, x.quota), cast(array() as array<bigint>)), 0L, (n, i) -> n + if(pmod(xxhash64(shard, {level}, x.source_no, i, {seed}L), 1099511627776L) * (s.rest - i + 1) < (s.need - n) * 1099511627776D, 1L, 0L)),
-                'out', concat(s.out, array(s.need))),
-            s -> concat(s.out, array(s.need)))"""
-        node = node.withColumn("need", F.expr(draw)).withColumn("low", F.expr("transform(q, (x, i) -> named_struct('source_no', x.source_no, 'quota', need[i] - need[i + 1]))"))
-        high = F.expr("transform(q, (x, i) -> named_struct('source_no', x.source_no, 'quota', x.quota - low[i].quota))")
-        node = node.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("low").alias("q")), F.struct((F.col("shard") * 2 + 1).alias("shard"), high.alias("q")))).alias("n")).select("n.shard", "n.q")
-    leaf = node.select("shard", F.explode("q").alias("x")).select("shard", "x.source_no", "x.quota")
+    total = quotas.agg(F.sum("quota").alias("total"))
+    leaf = ranked.crossJoin(total).withColumn("shard", F.expr(halve.format(depth=depth)) if depth else F.lit(0).cast("bigint"))
+    leaf = leaf.groupBy("source_no", "shard").agg(F.count("*").alias("quota"))
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return leaf.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("bigint")).where("quota > 0")
+    return leaf.select("shard", "source_no", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("bigint").alias("first"), "quota")
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, block: int = 4096, max_blocks: int = 1 << 17, shards: int = 16, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """Two tables.  ``documents``: a row for each row of ``docs`` with doc_id, source, copy (a hash of the
     text), size, source_size, target.  ``pieces``: what the mix takes: doc_id, source, copy, size, epoch,
-    words (its first words, all but for one document of a source), shard, place (of its block in the shard)."""
+    words (its first words, all but for one document of a source), shard, place (of its block in the shard's order)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("copy"), count_words(F.col(text)).alias("size"))
-    rows = materialize(rows.withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed))).withColumn("range", F.shiftrightunsigned("order", 54).cast("int")), "sizes")
-    # Prefix sums of words by source: first over ranges of the hash, then in each.
-    per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    sizes = materialize(per_range.groupBy("source").agg(F.sum("words").alias("source_size")), "sources")
+    rows = materialize(rows.withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed))), "sizes")
+    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     targets = source_targets(sizes, weights=weights, budget=budget, cap=cap).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("bigint"))
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     while total > block * max_blocks:
@@ -98,56 +110,74 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), budget: floa
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(0).cast("bigint"))
     plan = materialize(plan.withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size")), "plan")
     # Where each document's words lie in its source, and the block they start in.
-    over_ranges = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_range.withColumn("base", F.coalesce(F.sum("words").over(over_ranges), F.lit(0))).select(F.col("source").alias("s"), F.col("range").alias("r"), "base")
-    inside = Window.partitionBy("source", "range").orderBy("order", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    laid = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("start", F.col("base") + F.col("inside"))
-    named = plan.select(F.col("source").alias("s2"), "source_no", "source_size", "target")
-    laid = laid.join(named, F.col("source").eqNullSafe(F.col("s2"))).withColumn("block", F.expr(f"start div {block}"))
+    named = plan.select(F.col("source").alias("__s"), "source_no", "source_size", "target")
+    laid = rows.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    laid = running(laid, ["source_no"], "order", ["doc_id", "copy"], {"start": "size"}).withColumn("block", F.expr(f"start div {block}"))
     documents = materialize(laid.select("doc_id", "source", "copy", "size", "source_size", "target", "source_no", "start", "block"), "documents")
     # Blocks of each source in the order of a hash, for each epoch, and how many words of each are taken.
     blocks = documents.where("size > 0").groupBy("source_no", "block").agg(F.sum("size").alias("length"), F.min("start").alias("first_word"))
+    blocks = materialize(blocks, "blocks")
+    n_blocks = blocks.groupBy("source_no").agg(F.count("*").alias("n_blocks"))
     epochs = plan.where("source_size > 0").select("source_no", "epochs", "rest", F.explode(F.expr("sequence(0L, epochs)")).alias("epoch")).where("epoch < epochs or rest > 0")
-    shuffled = Window.partitionBy("source_no", "epoch").orderBy(F.xxhash64("source_no", "epoch", "block", F.lit(seed + 1)), "block")
-    drawn = blocks.join(epochs, "source_no").withColumn("before", F.sum("length").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    drawn = blocks.join(epochs, "source_no").withColumn("__key", F.xxhash64("source_no", "epoch", "block", F.lit(seed + 1)))
+    drawn = running(drawn, ["source_no", "epoch"], "__key", ["block"], {"before": "length", "rank": "1"})
     drawn = drawn.withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("length")).otherwise(F.least("length", F.col("rest") - F.col("before")))).where("words > 0")
-    in_turn = Window.partitionBy("source_no").orderBy("epoch", "before")
-    drawn = materialize(drawn.select("source_no", "epoch", "block", "first_word", "words", (F.row_number().over(in_turn) - 1).cast("bigint").alias("draw")), "blocks")
-    quotas = drawn.groupBy("source_no").agg(F.count("*").alias("quota"))
+    # Whole epochs take all blocks, a partial one the first in order, so draws are numbered without a gap.
+    drawn = drawn.join(n_blocks, "source_no").select("source_no", "epoch", "block", "first_word", "words", (F.col("epoch") * F.col("n_blocks") + F.col("rank")).alias("draw"))
+    drawn = materialize(drawn, "draws")
+    quotas = materialize(drawn.groupBy("source_no").agg(F.count("*").alias("quota")), "quotas")
     runs = split_quotas(quotas, shards, seed).select("shard", "source_no", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("draw"))
-    local = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "source_no", "draw", F.lit(seed + 2)), "source_no", "draw")
-    placed = drawn.join(runs, ["source_no", "draw"]).withColumn("place", F.row_number().over(local) - 1)
+    placed = drawn.join(runs, ["source_no", "draw"]).withColumn("place", F.xxhash64("shard", "source_no", "draw", F.lit(seed + 2)))
     pieces = documents.where("size > 0").join(placed, ["source_no", "block"]).withColumn("words", F.least("size", F.col("first_word") + F.col("words") - F.col("start"))).where("words > 0")
     return documents, pieces.select("doc_id", "source", "copy", "size", "epoch", "words", "shard", "place", "source_no", "start")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    """For each document: doc_id, source, size, source_size, target, taken (words, repeats counted), shards (where its words
+    went: shard:words by epoch, comma-joined)."""
     documents, pieces = mix(docs, **options)
-    taken = pieces.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    went = F.array_sort(F.collect_list(F.struct("epoch", "shard", "words")))
+    went = F.array_join(F.transform(went, lambda x: F.concat(x["shard"].cast("string"), F.lit(":"), x["words"].cast("string"))), ",")
+    taken = pieces.groupBy("source_no", "start").agg(F.sum("words").alias("taken"), went.alias("shards"))
     # Documents with words have a place of their own in their source; those without take none.
     some = documents.where("size > 0").join(taken, ["source_no", "start"], "left")
-    none = documents.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
-    return some.unionByName(none, allowMissingColumns=True).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    none = documents.where("size = 0").withColumn("taken", F.lit(0).cast("bigint")).withColumn("shards", F.lit(""))
+    both = some.unionByName(none, allowMissingColumns=True)
+    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
-def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = None, **options) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken, texts whole: a document at which a source's
     quota ends counts if at least half its words do.  All columns stay; equal rows (same id, source
-    and text) share what they are taken."""
+    and text) share what they are taken.
+
+    Rows come in the order of the shards, in a shard in that of its shuffled blocks, in ranges that Spark keeps when it
+    writes them; ``shard`` names a further column for the shard's number."""
     documents, pieces = mix(docs, doc_id=doc_id, text=text, source=source, **options)
-    times = pieces.where("2 * words >= size").groupBy("doc_id", "source", "copy").agg(F.count("*").alias("times"))
-    copies = documents.where("size > 0").groupBy("doc_id", "source", "copy").agg(F.count("*").alias("rows"))
-    found = times.join(copies, times["doc_id"].eqNullSafe(copies["doc_id"]) & times["source"].eqNullSafe(copies["source"]) & (times["copy"] == copies["copy"]))
-    found = found.select(times["doc_id"].alias("__d"), times["source"].alias("__s"), times["copy"].alias("__c"), F.col("times").alias("__times"), F.col("rows").alias("__rows"))
-    key = docs.withColumn("__id", F.col(doc_id).cast("bigint")).withColumn("__copy", F.xxhash64(F.col(text)))
-    joined = key.join(found, F.col("__id").eqNullSafe(F.col("__d")) & F.col(source).cast("string").eqNullSafe(F.col("__s")) & (F.col("__copy") == F.col("__c")))
-    both = joined.withColumn("__k", F.col("__times"))
-    if copies.where("rows > 1").limit(1).count():
-        # Of equal rows each appears floor(times / rows) times and the first ones once more.
-        turn = Window.partitionBy("__d", "__s", "__c").orderBy(F.lit(1))
-        several = joined.where("__rows > 1").withColumn("__n", F.row_number().over(turn))
-        several = several.withColumn("__k", F.expr("__times div __rows") + (F.col("__n") <= F.expr("__times % __rows")).cast("bigint")).drop("__n")
-        both = both.where("__rows = 1").unionByName(several)
-    both = both.where("__k > 0").withColumn("__e", F.explode(F.expr("sequence(1L, __k)")))
-    return both.select(*docs.columns)
+    keys = ["doc_id", "source", "copy"]
+    counts = documents.where("size > 0").groupBy(*keys).agg(F.count("*").alias("rows"))
+    equal = materialize(counts.where("rows > 1"), "equal-rows")
+    taken = pieces.where("2 * words >= size").select(*keys, "epoch", "shard", "place", "start")
+    own = [F.col(doc_id).cast("bigint").alias("__d"), F.col(source).cast("string").alias("__s"), F.xxhash64(F.col(text)).alias("__c")]
+    rows = docs.select("*", *own)
+    same = lambda x, y: F.col(x[0]).eqNullSafe(F.col(y[0])) & F.col(x[1]).eqNullSafe(F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
+    theirs, mine = ["doc_id", "source", "copy"], ["__d", "__s", "__c"]
+    renamed = lambda df, more: df.select(*[F.col(a).alias(f"__{a}") for a in [*theirs, *more]])
+    their = [f"__{a}" for a in theirs]
+    places = ["epoch", "shard", "place", "start"]
+    if equal.isEmpty():
+        out = rows.join(renamed(taken, places), same(mine, their))
+    else:
+        # Of n equal rows the i-th takes every n-th piece from the i-th on.  Both are numbered from written tables.
+        few = renamed(equal, ["rows"])
+        several = materialize(rows.join(few, same(mine, their)).withColumn("__i", F.monotonically_increasing_id()), "several")
+        several = several.withColumn("__g", F.xxhash64(*mine)).withColumn("__key", F.xxhash64("__i"))
+        several = running(several, ["__g"], "__key", ["__i"], {"__n": "1"}).drop("__g", "__key", "__i", *their, "__rows")
+        dealt = renamed(taken, places).join(few.select(*[F.col(c).alias(f"{c}_2") for c in their], "__rows"), same(their, [f"{c}_2" for c in their])).drop(*[f"{c}_2" for c in their])
+        dealt = dealt.withColumn("__g", F.xxhash64(*their)).withColumn("__key", F.xxhash64("__start", "__epoch"))
+        dealt = running(dealt, ["__g"], "__key", ["__start", "__epoch"], {"__m": "1"}).withColumn("__m", F.expr("__m % __rows")).drop("__g", "__key", "__rows")
+        alone = renamed(taken, places).join(few.select(*[F.col(c).alias(f"{c}_2") for c in their]), same(their, [f"{c}_2" for c in their]), "left_anti")
+        out = rows.join(alone, same(mine, their)).unionByName(several.join(dealt, same(mine, their) & (F.col("__n") == F.col("__m"))).drop("__n", "__m"))
+    order = ["__shard", "__place", "__start"]
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.select(*docs.columns, *([F.col("__shard").alias(shard)] if shard else []))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, trimmed
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +81,7 @@ def rule_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             values = _counted(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[:, i]) for i in range(len(COLUMNS)))], names=["doc_id", *COLUMNS])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
 
 
 def features(rows: dict[str, np.ndarray], typical: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[:, i]) for i in range(len(COLUMNS))), *map(pa.array, verdict)], names=["doc_id", *COLUMNS, "score", "base_failed", "kept"])
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS) + ", score double, base_failed boolean, kept boolean"
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
@@ -221,4 +221,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
         for b in batches:
             yield b.filter(pa.array(held.value(_counted(b.column(where)))[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -74,7 +74,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed_sizes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, cap=2.0)
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 #: (verdict, host, path)

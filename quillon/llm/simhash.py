@@ -12,7 +12,8 @@ sub-shards, and every pair of sub-shards meets in a task of its own, so the sear
 task grows with the group.  A task passes on a spanning set of the links that it finds, never all pairs.
 
 With a ``similarity``, the groups that such links make are candidates alone: the texts of each group meet,
-and those count as linked whose sets of shingles have at least that Jaccard similarity.
+and those count as linked whose sets of shingles have at least that Jaccard similarity.  Texts are told apart by two
+64-bit hashes there; fingerprints of more than 64 bits have one for a name, which may but add candidates.
 
 Defined cases: a text without words (or null) has the fingerprint zero, linked like any other (two of them are
 alike, one and a text with words are not); null
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize
+from .common import LOWER_ASCII, materialize, trimmed
 from .components import connected_components
 
-_LANES = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Parts to which the nodes of a component are dealt when they get its label.
+SPREAD = 16
+_LANES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingles(text: str | None, k: int) -> list[bytes]:
@@ -70,18 +73,18 @@ def fingerprint(text: str | None, k: int, width: int = 64, seed: int = 42, disti
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, width: int = 64, seed: int = 42, distinct: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, copy (hash of the text), fp (binary): one row for each row of ``docs``; nothing is shuffled."""
+    """Columns doc_id, copy and copy2 (hashes of the text), fp (binary): one row for each row of ``docs``; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle, width, seed, distinct) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "copy", "fp"])
+            fps = [fingerprint(t.as_py(), shingle, width, seed, distinct) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.binary())], names=["doc_id", "copy", "copy2", "fp"])
 
-    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, copy bigint, fp binary")
+    return _texts(docs, doc_id, text).mapInArrow(trimmed(run), "doc_id bigint, copy bigint, copy2 bigint, fp binary")
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.xxhash64(F.lit(1), F.col(text)).alias("copy2"), F.col(text).alias("text"))
 
 
 class BKForest:
@@ -211,7 +214,7 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compar
                 value = bits[:, x:y].astype(np.int64) @ (np.int64(1) << np.arange(y - x - 1, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), fps], names=["block", "value", "node", "fp"])
 
-    placed = nodes.select("node", "fp").mapInArrow(cut, schema)
+    placed = nodes.select("node", "fp").mapInArrow(trimmed(cut), schema)
     # Shards of more than shard_rows members are few (one for so many rows at most); the list is written first, so that
     # Spark knows its size and need not shuffle the fingerprints to look them up in it.
     crowded = placed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
@@ -244,7 +247,7 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compar
             if (out := run(table)) is not None:
                 yield out
 
-    return tasks.mapInArrow(search, "a bigint, b bigint")
+    return tasks.mapInArrow(trimmed(search), "a bigint, b bigint")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -278,29 +281,29 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle: int, shard_rows: int = 1024, shard_shingles: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``items`` (copy, least: the smallest doc_id with that text, group).  Links (a, b) of copies of the
+    """``items`` (item, copy, copy2, least: the smallest doc_id with that text, group).  Links (a, b) of items of the
     same group that join any two whose sets of shingles are alike, directly or through others.
 
     Texts of groups of more than one item alone are looked up, one row of each.  A group of more than
     ``shard_rows`` texts or ``shard_shingles`` shingles is dealt to sub-groups, each pair of which meets."""
     several = items.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    need = items.join(several, "group").select(F.col("copy").alias("c"), F.col("least").alias("d"), "group")
+    need = items.join(several, "group").select("item", "group", F.col("copy").alias("c"), F.col("copy2").alias("c2"), F.col("least").alias("d"))
     texts = _texts(docs, doc_id, text)
-    texts = texts.join(need, (texts["copy"] == need["c"]) & texts["doc_id"].eqNullSafe(need["d"])).select("group", "copy", "text")
+    texts = texts.join(need, (texts["copy"] == need["c"]) & (texts["copy2"] == need["c2"]) & texts["doc_id"].eqNullSafe(need["d"])).select("group", "item", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]):
         from xxhash import xxh64_intdigest
 
         for b in batches:
             hashes = [np.unique(np.fromiter((xxh64_intdigest(x, 42) for x in set(shingles(t.as_py(), shingle))), dtype=np.uint64)).view(np.int64) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["group", "copy", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["group", "item", "hashes"])
 
-    sets = materialize(texts.mapInArrow(cut, "group bigint, copy bigint, hashes array<bigint>"), "shingle-sets")
+    sets = materialize(texts.mapInArrow(trimmed(cut), "group bigint, item bigint, hashes array<bigint>"), "shingle-sets")
     shards = F.ceil(F.greatest(F.count("*") / shard_rows, F.sum(F.size("hashes")) / shard_shingles)).cast("int")
     crowded = materialize(sets.groupBy("group").agg(shards.alias("many")).where("many > 1").withColumnRenamed("group", "g"), "crowded")
     dealt = sets.join(crowded, F.col("group") == F.col("g"), "left").withColumn("k", F.coalesce("many", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("copy"), F.col("k")).cast("int"))
-    tasks = dealt.select("group", "copy", "hashes", F.explode(F.expr(_MEETS)).alias("m")).select("group", "m.p", "m.q", "copy", "hashes")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))
+    tasks = dealt.select("group", "item", "hashes", F.explode(F.expr(_MEETS)).alias("m")).select("group", "m.p", "m.q", "item", "hashes")
     tasks = tasks.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
 
     def verify(batches: Iterator[pa.RecordBatch]):
@@ -308,7 +311,7 @@ def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle
             table = table.combine_chunks()
             keys = np.stack([table.column(c).to_numpy() for c in ("group", "p", "q")], 1)
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            copies, column = table.column("copy").to_numpy(), table.column("hashes").combine_chunks()
+            copies, column = table.column("item").to_numpy(), table.column("hashes").combine_chunks()
             flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             a, b = [], []
             for x, y in zip(starts, starts[1:]):
@@ -318,7 +321,7 @@ def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle
                 b.append(copies[x + root[linked]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return tasks.mapInArrow(verify, "a bigint, b bigint")
+    return tasks.mapInArrow(trimmed(verify), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radius: int = 2, blocks: int | None = None, compare: int | None = None, similarity: float | None = None, distinct: bool = False, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,30 +337,51 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radiu
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if width == 64 else F.xxhash64("fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select(node.alias("node"), "fp", "least"), "nodes")
     roots = connected_components(link_nodes(nodes, width=width, radius=radius, blocks=blocks or radius + 1, compare=compare, shard_rows=shard_rows))
-    key = "fp"
+    key = ["fp"]
     if similarity is not None:
-        key = "copy"
-        items = marked.groupBy("copy").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("fp"))
-        items = materialize(items.join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("group")), "items")
+        key = ["copy", "copy2"]
+        items = marked.groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")).withColumn("node", F.xxhash64("fp"))
+        items = items.join(roots, "node", "left").select(F.monotonically_increasing_id().alias("item"), *key, "least", F.coalesce("root", "node").alias("group"))
+        items = materialize(items, "items")  # from here on the numbers are fixed
         roots = connected_components(exact_links(docs, items, similarity=similarity, shingle=shingle, doc_id=doc_id, text=text))
-        nodes = items.select(F.col("copy").alias("node"), "copy", "least")
-    joined = materialize(nodes.join(roots, "node", "left").select(key, "least", "root"), "roots")
-    classes = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("class"))
-    labels = joined.join(classes, "root", "left").select(key, F.coalesce("class", "least").alias("component_id"))
+        nodes = items.withColumnRenamed("item", "node")
+    joined = materialize(nodes.join(roots, "node", "left").select(*key, "node", "least", "root"), "roots")
+    linked = joined.where("root is not null")
+    classes = linked.groupBy("root").agg(F.min("least").alias("class"))
+    # A component may have a third of all nodes: each root is there SPREAD times, and its nodes are dealt to them.
+    classes = classes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    labels = linked.withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(classes, ["root", "turn"])
+    labels = labels.select(*key, F.col("class").alias("component_id")).unionByName(joined.where("root is null").select(*key, F.col("least").alias("component_id")))
     return marked.join(labels, key).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, width: int = 1536, blocks: int = 96, compare: int = 256, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def search_plan(n: int, similarity: float, missed: float = 0.001) -> tuple[int, int]:
+    """Width of fingerprints and number of blocks with which a pair of the similarity among ``n`` documents shares a block but
+    for a share of ``missed``.  Blocks have two bits fewer than n, 16 at least, so that unlike documents are a handful in a shard at any n."""
+    bits = max(16, math.ceil(math.log2(max(n, 1))) - 2)
+    found = (1 - _flips(similarity)) ** bits
+    width = 64 * math.ceil(bits * math.log(missed) / math.log(1 - found) / 64)
+    return width, width // bits
+
+
+def _flips(similarity: float) -> float:
+    """Share of bits in which the SimHashes of two sets of one size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, compare: int = 256, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """near_duplicates() for a Jaccard similarity of shingle sets; links are exact, SimHash finds their candidates.
 
     Two sets of similarity s have the cosine 2s / (1 + s) for sets of one size (more for others), and each bit
     of their SimHashes differs with the probability acos(cosine) / pi.  The radius is that share of ``compare``
-    plus four standard deviations.  By the binomial distribution a pair of similarity 0.8 meets in one of 96
-    blocks of 16 bits with a probability of 0.9992, is within the radius with 0.9999 and so is found with 0.999;
+    plus four standard deviations; search_plan() gives the blocks.  By the binomial distribution a pair of similarity 0.8 meets in
+    one of the blocks (96 of 16 bits up to 262,144 documents) with a probability of 0.999 at least, is within the radius with 0.9999
+    and so is found with 0.999;
     groups of more than two copies have more such chances.  Sets of four and five shingles differ in more bits (0.1875 of
     them); such a pair is found with 0.96.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width, blocks = search_plan(docs.count(), similarity)
+    width, share = max(width, compare), _flips(similarity)
     radius = round(compare * share + 4 * math.sqrt(compare * share * (1 - share)))
     return near_duplicates(docs, shingle=shingle, width=width, radius=radius, blocks=blocks, compare=compare, similarity=similarity, distinct=True, shard_rows=shard_rows, doc_id=doc_id, text=text)
 

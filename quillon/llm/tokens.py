@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, materialize, new_folder
+from .common import file_system, materialize, new_folder, trim, trimmed
 
 MAGIC = b"QTOK0001"
 #: Bytes that a worker's store of words and ids may take.
@@ -280,7 +280,7 @@ def release_encoders() -> None:
 
     def give_up():
         _encoders.clear()
-        pa.default_memory_pool().release_unused()
+        trim()
 
     timer = threading.Timer(IDLE_SECONDS, give_up)
     timer.daemon = True
@@ -334,7 +334,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, *, d
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(write, "part int, file string, n_docs bigint, n_tokens bigint"), "token-files")
+    return materialize(ordered.mapInArrow(trimmed(write), "part int, file string, n_docs bigint, n_tokens bigint"), "token-files")
 
 
 class TokenFile:
@@ -396,7 +396,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     if not plan:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(plan), 1, len(plan)).mapInArrow(read, schema)
+    return spark.range(0, len(plan), 1, len(plan)).mapInArrow(trimmed(read), schema)
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, materialize, new_folder
+from .common import file_system, materialize, new_folder, trimmed
 
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string, record_type string"
 _DATE = "2026-01-01T00:00:00Z"
@@ -117,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, *, least_bytes: int = 0, level: in
         alike = Window.partitionBy("page_id", "sha1", F.xxhash64("url")).orderBy(F.lit(1))
         top = decided.where("shared and first").withColumn("first", F.row_number().over(alike) == 1)
         decided = decided.where("not (shared and first)").unionByName(top)
-    return materialize(decided.drop("shared").mapInArrow(write, INDEX), "warc-index")
+    return materialize(decided.drop("shared").mapInArrow(trimmed(write), INDEX), "warc-index")
 
 
 def read_warc(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
@@ -162,7 +162,7 @@ def read_warc(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20) ->
         if waiting:
             yield from fetch()
 
-    return sorted_.mapInArrow(read, schema)
+    return sorted_.mapInArrow(trimmed(read), schema)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

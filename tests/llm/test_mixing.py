@@ -56,6 +56,95 @@ def test_tree_holds_quotas(spark):
     assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == 8
 
 
+def unsigned(x):
+    return x % (1 << 64)
+
+
+def model(spark, docs, block, shards, seed=17):
+    """What the mix takes, step by step in Python; Spark gives the hashes alone.  (doc_id, text) -> [(epoch, shard, words)]."""
+    sizes, plans, hashed = {}, [], lambda rows, schema, *c: {tuple(r)[:-1]: unsigned(r[-1]) for r in spark.createDataFrame(rows, schema).select("*", F.xxhash64(*c).alias("h")).collect()}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goals = water(sizes)
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    order = {tuple(r)[:2]: unsigned(r.h) for r in spark.createDataFrame([(d, t) for d, t, _ in docs], "d bigint, t string").select("*", F.xxhash64("d", F.xxhash64("t"), F.lit(seed)).alias("h")).collect()}
+    laid, length = {}, {}
+    for no, s in enumerate(names, 1):
+        at = 0
+        for d, t, _ in sorted((x for x in docs if x[2] == s), key=lambda x: order[x[:2]]):
+            if n := len(t.split()):
+                laid[d, t] = (no, at // block, at, n)
+                start, total = length.get((no, at // block), (at, 0))
+                length[no, at // block] = (start, total + n)
+                at += n
+    draws = {}
+    for no, s in enumerate(names, 1):
+        if not sizes[s]:
+            continue
+        goal = round(goals[s])
+        own = [b for n, b in length if n == no]
+        key = hashed([(no, e, b, seed + 1) for e in range(3) for b in own], "s bigint, e bigint, b bigint, q int", "s", "e", "b", "q")
+        for e in range(-(-goal // sizes[s])):
+            left = min(sizes[s], goal - e * sizes[s])
+            for b in sorted(own, key=lambda b: key[no, e, b, seed + 1]):
+                if left > 0:
+                    draws.setdefault(no, []).append((e, b, min(left, length[no, b][1])))
+                    left -= length[no, b][1]
+    key = hashed([(no, i, seed) for no, x in draws.items() for i in range(len(x))], "s bigint, u bigint, q int", "s", "u", "q")
+
+    def split(run, first, many):  # a node halves its run; a leaf counts its units by source
+        if many == 1:
+            return {first: run}
+        return split(run[: len(run) // 2], first, many // 2) | split(run[len(run) // 2 :], first + many // 2, many // 2)
+
+    out = {}
+    used = dict.fromkeys(draws, 0)
+    for shard, run in split([no for no, _, _ in sorted(key, key=key.get)], 0, shards).items():
+        for no in sorted(set(run)):
+            for e, b, words in draws[no][used[no] : used[no] + run.count(no)]:
+                for k, (n, at_block, at, size) in laid.items():
+                    if (n, at_block) == (no, b) and (take := min(size, length[no, b][0] + words - at)) > 0:
+                        out.setdefault(k, []).append((e, shard, take))
+            used[no] += run.count(no)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_matches_model(spark, make):
+    rng = random.Random(9)
+    docs = [(i, f"w{i} " * rng.choice([0, 1, 5, 40, 90]), rng.choice(["b", "hot", "hot", None, "z"])) for i in range(160)]
+    found = {}
+    for shards in (1, 8):
+        want = model(spark, docs, 64, shards)
+        got = {r.doc_id: r for r in mixing.mixed_sizes(make(docs), block=64, shards=shards).collect()}
+        for d, t, _ in docs:
+            own = want.get((d, t), [])
+            assert got[d].taken == sum(x[2] for x in own)
+            assert got[d].shards == ",".join(f"{s}:{n}" for _, s, n in own)
+        found[shards] = {i: r.shards for i, r in got.items()}
+        if shards == 1:
+            continue
+        whole = {d: sorted(s for _, s, n in want.get((d, t), []) if 2 * n >= len(t.split())) for d, t, _ in docs}
+        rows = mixing.mixed_documents(make(docs), block=64, shards=shards, shard="to").select("doc_id", "to").collect()
+        assert [r.to for r in rows] == sorted(r.to for r in rows)  # by shard
+        assert sorted((r.doc_id, r.to) for r in rows) == sorted((d, s) for d, x in whole.items() for s in x)
+        # Local shuffle: a shard's documents are in no order of sources or ids.
+        first = [r.doc_id for r in rows if r.to == 0]
+        assert first != sorted(first)
+    assert found[1] != found[8]
+
+
+def test_equal_rows_share(make):
+    docs = [(1, "a b c d", "s")] * 5 + [(i, f"x{i} y z", "t") for i in range(30)] + [(None, "q r", None)] * 3
+    rows = mixing.mixed_documents(make(docs), block=8).collect()
+    count = {}
+    for r in rows:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    want = {}
+    for r in mixing.mixed_sizes(make(docs), block=8).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken / max(1, r.size)
+    assert all(abs(count.get(d, 0) - n) <= 1 for d, n in want.items()) and count[1] > 5
+
+
 def test_whole_documents(spark, make):
     docs = [(i, f"w{i} " * (1 + i % 9), f"s{i % 4}") for i in range(200)] + [(5, "w5 " * 6, "s1")]
     d = make(docs)

@@ -124,13 +124,22 @@ def test_alike_matches_brute_force(make):
     assert {i: ids[r] for i, r in zip(ids, root.tolist())} == want
     # One group, dealt to sub-groups that all meet.
     d = make(docs)
-    items = d.groupBy(F.xxhash64("text").alias("copy")).agg(F.min("doc_id").alias("least")).withColumn("group", F.lit(1).cast("bigint"))
+    copies = [F.xxhash64("text").alias("copy"), F.xxhash64(F.lit(1), "text").alias("copy2")]
+    items = d.groupBy(*copies).agg(F.min("doc_id").alias("least")).withColumn("group", F.lit(1).cast("bigint")).withColumn("item", F.col("least") + 1000)
     links = [(r.a, r.b) for r in simhash.exact_links(d, items, similarity=0.8, shingle=5, shard_rows=20).collect()]
-    of = {r.copy: r.least for r in items.collect()}
-    got = classes(of.values(), [(of[a], of[b]) for a, b in links])
+    least = {r.least for r in items.collect()}
+    got = classes(least, [(a - 1000, b - 1000) for a, b in links])
     assert got == {i: want[i] for i in got}
 
 
+def test_search_plan():
+    assert simhash.search_plan(200_000, 0.8) == (1536, 96)
+    for n in (0, 10, 10**6, 10**8, 10**10):
+        width, blocks = simhash.search_plan(n, 0.8)
+        bits = width // blocks
+        assert 1 - (1 - (1 - simhash._flips(0.8)) ** bits) ** blocks >= 0.998 and n / 2**bits <= 4
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
