@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Running sums go over 2 ** RANGE_BITS ranges of a hash.
-RANGE_BITS = 10
+#: Running sums go over 2 ** RANGE_BITS ranges of a hash; those of blocks, which are bounded, over 2 ** BLOCK_BITS.
+RANGE_BITS, BLOCK_BITS = 10, 6
 
 
 def count_words(text) -> F.Column:
@@ -58,10 +58,10 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1),
     return s.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def running(rows: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, str]) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, str], bits: int = BLOCK_BITS) -> DataFrame:
     """``rows`` with sums over the group's earlier rows: name -> SQL of the value.  The order is that of the unsigned hash
     ``order``, then ``ties``; ``group`` has no nulls.  First sums of ranges of the hash, then in each range."""
-    rows = rows.withColumn("__range", F.shiftrightunsigned(order, 64 - RANGE_BITS).cast("int"))
+    rows = rows.withColumn("__range", F.shiftrightunsigned(order, 64 - bits).cast("int"))
     sums = rows.groupBy(*group, "__range").agg(*[F.sum(F.expr(v)).alias(f"__{n}") for n, v in values.items()])
     over = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, "__range", *[F.coalesce(F.sum(f"__{n}").over(over), F.lit(0)).alias(f"__base_{n}") for n in values])
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), budget: floa
     # Where each document's words lie in its source, and the block they start in.
     named = plan.select(F.col("source").alias("__s"), "source_no", "source_size", "target")
     laid = rows.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    laid = running(laid, ["source_no"], "order", ["doc_id", "copy"], {"start": "size"}).withColumn("block", F.expr(f"start div {block}"))
+    laid = running(laid, ["source_no"], "order", ["doc_id", "copy"], {"start": "size"}, RANGE_BITS).withColumn("block", F.expr(f"start div {block}"))
     documents = materialize(laid.select("doc_id", "source", "copy", "size", "source_size", "target", "source_no", "start", "block"), "documents")
     # Blocks of each source in the order of a hash, for each epoch, and how many words of each are taken.
     blocks = documents.where("size > 0").groupBy("source_no", "block").agg(F.sum("size").alias("length"), F.min("start").alias("first_word"))
@@ -172,10 +172,10 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         few = renamed(equal, ["rows"])
         several = materialize(rows.join(few, same(mine, their)).withColumn("__i", F.monotonically_increasing_id()), "several")
         several = several.withColumn("__g", F.xxhash64(*mine)).withColumn("__key", F.xxhash64("__i"))
-        several = running(several, ["__g"], "__key", ["__i"], {"__n": "1"}).drop("__g", "__key", "__i", *their, "__rows")
+        several = running(several, ["__g"], "__key", ["__i"], {"__n": "1"}, RANGE_BITS).drop("__g", "__key", "__i", *their, "__rows")
         dealt = renamed(taken, places).join(few.select(*[F.col(c).alias(f"{c}_2") for c in their], "__rows"), same(their, [f"{c}_2" for c in their])).drop(*[f"{c}_2" for c in their])
         dealt = dealt.withColumn("__g", F.xxhash64(*their)).withColumn("__key", F.xxhash64("__start", "__epoch"))
-        dealt = running(dealt, ["__g"], "__key", ["__start", "__epoch"], {"__m": "1"}).withColumn("__m", F.expr("__m % __rows")).drop("__g", "__key", "__rows")
+        dealt = running(dealt, ["__g"], "__key", ["__start", "__epoch"], {"__m": "1"}, RANGE_BITS).withColumn("__m", F.expr("__m % __rows")).drop("__g", "__key", "__rows")
         alone = renamed(taken, places).join(few.select(*[F.col(c).alias(f"{c}_2") for c in their]), same(their, [f"{c}_2" for c in their]), "left_anti")
         out = rows.join(alone, same(mine, their)).unionByName(several.join(dealt, same(mine, their) & (F.col("__n") == F.col("__m"))).drop("__n", "__m"))
     order = ["__shard", "__place", "__start"]

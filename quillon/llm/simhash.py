@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, materialize, trimmed
 from .components import connected_components
 
-#: Parts to which the nodes of a component are dealt when they get its label.
+#: Parts to which the rows of a group are dealt when they are joined with what is known of it.
 SPREAD = 16
 _LANES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -222,7 +222,8 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compar
     dealt = placed.join(crowded, (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")), "left").withColumn("k", F.coalesce("many", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tasks = dealt.select("block", "value", "part", "node", "fp", F.explode(F.expr(_MEETS)).alias("m")).select("block", "value", "m.p", "m.q", "part", "node", "fp")
-    tasks = tasks.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q")
+    # In the order of the nodes, so that the shards of a group link to the same few least ones and their links fall together.
+    tasks = tasks.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "node")
 
     def search(batches: Iterator[pa.RecordBatch]):
         def run(rows: pa.Table):
@@ -287,7 +288,7 @@ def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle
     Texts of groups of more than one item alone are looked up, one row of each.  A group of more than
     ``shard_rows`` texts or ``shard_shingles`` shingles is dealt to sub-groups, each pair of which meets."""
     several = items.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    need = items.join(several, "group").select("item", "group", F.col("copy").alias("c"), F.col("copy2").alias("c2"), F.col("least").alias("d"))
+    need = spread_join(items, several, "group", "item").select("item", "group", F.col("copy").alias("c"), F.col("copy2").alias("c2"), F.col("least").alias("d"))
     texts = _texts(docs, doc_id, text)
     texts = texts.join(need, (texts["copy"] == need["c"]) & (texts["copy2"] == need["c2"]) & texts["doc_id"].eqNullSafe(need["d"])).select("group", "item", "text")
 
@@ -304,7 +305,7 @@ def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle
     dealt = sets.join(crowded, F.col("group") == F.col("g"), "left").withColumn("k", F.coalesce("many", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))
     tasks = dealt.select("group", "item", "hashes", F.explode(F.expr(_MEETS)).alias("m")).select("group", "m.p", "m.q", "item", "hashes")
-    tasks = tasks.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+    tasks = tasks.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q", "item")
 
     def verify(batches: Iterator[pa.RecordBatch]):
         for table in _whole_tasks(batches, ("group", "p", "q"), 1000):
@@ -324,6 +325,13 @@ def exact_links(docs: DataFrame, items: DataFrame, *, similarity: float, shingle
     return tasks.mapInArrow(trimmed(verify), "a bigint, b bigint")
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, deal: str) -> DataFrame:
+    """Equi-join of ``rows``, a third of which may have one key, and ``few``, a row a key: each of these is there SPREAD times,
+    and a key's rows are dealt to them by ``deal``."""
+    few = few.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("__turn", F.pmod(F.xxhash64(deal), F.lit(SPREAD)).cast("int")).join(few, [key, "__turn"]).drop("__turn")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radius: int = 2, blocks: int | None = None, compare: int | None = None, similarity: float | None = None, distinct: bool = False, shard_rows: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, fp (binary), component_id (the smallest doc_id reachable): one row for each
     row of ``docs``.
@@ -348,9 +356,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radiu
     joined = materialize(nodes.join(roots, "node", "left").select(*key, "node", "least", "root"), "roots")
     linked = joined.where("root is not null")
     classes = linked.groupBy("root").agg(F.min("least").alias("class"))
-    # A component may have a third of all nodes: each root is there SPREAD times, and its nodes are dealt to them.
-    classes = classes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    labels = linked.withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(classes, ["root", "turn"])
+    labels = spread_join(linked, classes, "root", "node")
     labels = labels.select(*key, F.col("class").alias("component_id")).unionByName(joined.where("root is null").select(*key, F.col("least").alias("component_id")))
     return marked.join(labels, key).select("doc_id", "fp", "component_id")
 
