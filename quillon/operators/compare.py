@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,43 +39,57 @@ def text_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return out.withColumn("text_difference_pct", difference_percent(F.col("edit_distance"), F.col(left), F.col(right))).drop("__l", "__r")
 
 
-_DIFF = T.StructType([T.StructField(n, T.LongType()) for n in ("added", "deleted", "replaced_left", "replaced_right")] + [T.StructField("spans", T.StringType())])
+_EDIT = T.StructType([T.StructField("operation", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in "abcd")])
 
 
-@F.pandas_udf(_DIFF)
-def block_diff(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Differences of two arrays of strings: counts, and the changed spans as JSON."""
+@F.pandas_udf(T.ArrayType(_EDIT))
+def _edits(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """What turns one list of strings into another: operations other than "equal" with their ranges; null if either is."""
     for left, right in parts:
-        rows = []
-        for a, b in zip(left, right):
-            counts, spans = dict.fromkeys(("added", "deleted", "replaced_left", "replaced_right"), 0), []
-            for what, i, j, k, m in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes():
-                if what != "equal":
-                    spans.append({"operation": what, "left_range": [i, j], "right_range": [k, m]})
-                    for name, size in {"insert": [("added", m - k)], "delete": [("deleted", j - i)], "replace": [("replaced_left", j - i), ("replaced_right", m - k)]}[what]:
-                        counts[name] += size
-            rows.append((*counts.values(), json.dumps(spans)))
-        yield pd.DataFrame(rows, columns=[f.name for f in _DIFF.fields])
+        lists = ((None if x is None else list(x), None if y is None else list(y)) for x, y in zip(left, right))
+        yield pd.Series([None if x is None or y is None else [dict(zip(("operation", "a", "b", "c", "d"), op)) for op in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if op[0] != "equal"] for x, y in lists], dtype=object)
+
+
+def block_diff(left: str, right: str) -> Column:
+    """Differences of two columns of string arrays as a struct: added, deleted, replaced_left, replaced_right and the changed
+    spans as JSON; all null where a side is."""
+    edits = _edits(F.col(left), F.col(right))
+    total = lambda e, operation, size: F.aggregate(F.filter(e, lambda x: x["operation"] == operation), F.lit(0).cast("bigint"), lambda n, x: n + size(x))
+    of_left, of_right = lambda x: x["b"] - x["a"], lambda x: x["d"] - x["c"]
+    span = lambda x: F.struct(x["operation"].alias("operation"), F.array(x["a"], x["b"]).alias("left_range"), F.array(x["c"], x["d"]).alias("right_range"))
+    made = lambda e: F.struct(total(e, "insert", of_right).alias("added"), total(e, "delete", of_left).alias("deleted"), total(e, "replace", of_left).alias("replaced_left"), total(e, "replace", of_right).alias("replaced_right"), F.to_json(F.transform(e, span)).alias("spans"))
+    # The list of edits is named once, so that Python runs once.
+    return F.element_at(F.transform(F.array(edits), made), 1)
+
+
+def json_nodes(value) -> dict[tuple, tuple[str, object]]:
+    """All nodes of nested JSON by path: kind ("map", "list", "number" or "other") and, of scalars, the value.  Steps of a path
+    tell keys from indices."""
+    found: dict[tuple, tuple[str, object]] = {}
+    todo = [((), value)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            found[path] = ("map", None)
+            todo += [((*path, ("key", k)), y) for k, y in x.items()]
+        elif isinstance(x, list):
+            found[path] = ("list", None)
+            todo += [((*path, ("at", i)), y) for i, y in enumerate(x)]
+        else:
+            found[path] = ("number" if isinstance(x, int | float) else "other", x)
+    return found
 
 
 def number_changes(left, right) -> tuple[int, float, int]:
-    """Changed numbers, largest change, and changes of shape or of other values, of two nested values."""
-    changed, largest, other = 0, 0, 0
-    todo = [(left, right)]
-    while todo:
-        a, b = todo.pop()
-        if isinstance(a, dict) and isinstance(b, dict):
-            other += len(a.keys() ^ b.keys())
-            todo += [(a[k], b[k]) for k in a.keys() & b.keys()]
-        elif isinstance(a, list) and isinstance(b, list):
-            other += abs(len(a) - len(b))
-            todo += list(zip(a, b))
-        elif isinstance(a, int | float) and isinstance(b, int | float):
-            if a != b:
-                changed, largest = changed + 1, max(largest, abs(a - b))
-        else:
-            other += a != b
-    return changed, largest, other
+    """Changed numbers, largest change, and changes of shape or of other values, of two nested values: both as tables of
+    nodes, joined on the path.  A node that one side lacks counts if the other side has what it hangs on."""
+    a, b = json_nodes(left), json_nodes(right)
+    both = a.keys() & b.keys()
+    inner = {p for p in both if a[p][0] == b[p][0] in ("map", "list")}
+    numbers = {p for p in both if a[p][0] == b[p][0] == "number"}
+    changes = [abs(a[p][1] - b[p][1]) for p in numbers if a[p][1] != b[p][1]]
+    other = sum(p[:-1] in inner for p in a.keys() ^ b.keys()) + sum(a[p] != b[p] for p in both - inner - numbers)
+    return len(changes), max(changes, default=0), other
 
 
 _DELTA = T.StructType([T.StructField("changed_values", T.LongType()), T.StructField("max_abs_delta", T.DoubleType()), T.StructField("other_changes", T.LongType())])
@@ -83,10 +97,16 @@ _DELTA = T.StructType([T.StructField("changed_values", T.LongType()), T.StructFi
 
 @F.pandas_udf(_DELTA)
 def numeric_delta(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """number_changes() of two JSON columns; null if either is."""
+    """number_changes() of two JSON columns; null if either is null or no JSON."""
+
+    def one(a, b):
+        try:
+            return number_changes(json.loads(a), json.loads(b))
+        except (TypeError, ValueError, RecursionError):
+            return None, None, None
+
     for left, right in parts:
-        rows = [(None, None, None) if a is None or b is None else number_changes(json.loads(a), json.loads(b)) for a, b in zip(left, right)]
-        yield pd.DataFrame(rows, columns=[f.name for f in _DELTA.fields]).astype({"changed_values": "Int64", "max_abs_delta": "Float64", "other_changes": "Int64"})
+        yield pd.DataFrame([one(a, b) for a, b in zip(left, right)], columns=_DELTA.names).astype({"changed_values": "Int64", "max_abs_delta": "Float64", "other_changes": "Int64"})
 
 
 def flat_numeric_delta(left: DataFrame, right: DataFrame, keys: tuple[str, ...], path: str = "path", value: str = "value") -> DataFrame:
@@ -120,7 +140,7 @@ def geometry(snapshots: DataFrame) -> DataFrame:
 
     def run(parts):
         for p in parts:
-            rows = [(i, canonical_text(g["key"]), json.dumps(g["values"])) for i, s in zip(p["doc_id"], p["snapshot"]) if s for g in json.loads(s)["geometry"] or []]
+            rows = [(i, canonical_text(g["key"]), json.dumps(g["values"])) for i, s in zip(p["doc_id"], p["snapshot"]) if s is not None for g in json.loads(s)["geometry"] or []]
             yield pd.DataFrame(rows, columns=["doc_id", "key", "value"])
 
     return snapshots.select("doc_id", "snapshot").mapInPandas(run, "doc_id bigint, key string, value string")
@@ -141,8 +161,8 @@ def compare_snapshots(pairs: DataFrame, left: str = "l_snapshot", right: str = "
     @F.pandas_udf(parse)
     def parts(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in chunks:
-            found = [json.loads(x) for x in s]
-            yield pd.DataFrame({"text": [clean(x["text"]) for x in found], "blocks": [[canonical_text(b) for b in x["blocks"]] for x in found]})
+            found = [{} if x is None else json.loads(x) for x in s]
+            yield pd.DataFrame({"text": [clean(x["text"]) if x else None for x in found], "blocks": [[canonical_text(b) for b in x["blocks"]] if x else None for x in found]})
 
     rows = pairs.withColumn("__a", parts(F.col(left))).withColumn("__b", parts(F.col(right))).withColumn("__ta", F.col("__a.text")).withColumn("__tb", F.col("__b.text"))
     rows = text_distances(rows, "__ta", "__tb").withColumn("changes", block_diff("__a.blocks", "__b.blocks"))

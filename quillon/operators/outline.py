@@ -11,23 +11,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SUB_HEADING, TOP_HEADING, heading_level, heading_parts, list_item, strip
-from .references import documents, group_text, items, layer_children, links
+from .references import documents, group_text, items, layer_children, links, reference_problem
 
 NODE = "doc_id bigint, seq bigint, parent_seq bigint, type string, level int, marker string, kind string, title string, text string, source_refs array<string>"
 
 
 def body_blocks(raw: DataFrame, doc_id: str = "doc_id", text: str = "raw", max_depth: int = 64) -> DataFrame:
-    """(doc_id, seq, type, text, bold, data, source_refs): the body's items in order, groups joined, empty texts gone."""
+    """(doc_id, seq, type, text, bold, data, source_refs, problem): the body's items in order, groups joined, empty texts gone.
+
+    A reference that does not resolve, a group that holds itself or goes too deep, a group's child that is neither text nor group
+    and a table without data are rows, too, with what is wrong as ``problem``; other documents are not touched by them."""
     docs = documents(raw, doc_id, text)
     its = items(docs)
     body = layer_children(docs).where("layer = 'body'").select("doc_id", F.col("pos").alias("seq"), F.col("child").alias("ref"))
     plain = its.where("kind = 'texts'").select("doc_id", "ref", strip(F.coalesce(F.expr("try_variant_get(v, '$.text', 'string')"), F.lit(""))).alias("text"), F.coalesce(F.expr("try_variant_get(v, '$.formatting.bold', 'boolean')"), F.lit(False)).alias("bold"))
     groups = body.where("ref like '#/groups/%'").select("doc_id", "ref").distinct()
     grouped = group_text(groups, links(its.where("kind = 'groups'"), ("children",)).select("doc_id", "parent", "pos", "child"), plain, max_depth)
-    texts = plain.where("text <> ''").withColumn("source_refs", F.array("ref")).unionByName(grouped).withColumn("type", F.lit("text")).withColumn("data", F.lit(None).cast("string"))
+    texts = plain.where("text <> ''").withColumn("source_refs", F.array("ref")).withColumn("problem", F.lit(None).cast("string")).unionByName(grouped)
+    texts = texts.withColumn("type", F.lit("text")).withColumn("data", F.lit(None).cast("string"))
     payload = F.when(F.col("kind") == "tables", F.expr("to_json(try_variant_get(v, '$.data', 'variant'))")).otherwise(F.expr("to_json(v)"))
     other = its.where("kind in ('tables', 'pictures', 'form_items', 'key_value_items')").select("doc_id", "ref", F.lit("").alias("text"), F.lit(False).alias("bold"), F.array("ref").alias("source_refs"), F.regexp_replace("kind", "s$", "").alias("type"), payload.alias("data"))
-    return body.join(texts.unionByName(other), ["doc_id", "ref"]).select("doc_id", "seq", "type", "text", "bold", "data", "source_refs")
+    other = other.withColumn("problem", F.when((F.col("type") == "table") & F.col("data").isNull(), "table without data"))
+    # What a group may hold; and what the body points at but is not there.
+    odd = links(its.where("kind = 'groups'"), ("children",)).where("not (child like '#/texts/%' or child like '#/groups/%')").select("doc_id", F.col("parent").alias("ref")).distinct().withColumn("odd", F.lit("a group's child is neither text nor group"))
+    known = its.select("doc_id", "ref", F.lit(True).alias("known"))
+    rows = body.join(texts.unionByName(other), ["doc_id", "ref"], "left").join(odd, ["doc_id", "ref"], "left").join(known, ["doc_id", "ref"], "left")
+    rows = rows.withColumn("problem", F.coalesce(reference_problem(F.col("ref"), F.col("known").isNotNull()), "odd", "problem"))
+    rows = rows.where("type is not null or problem is not null").withColumn("type", F.coalesce("type", F.lit("unresolved")))
+    return rows.select("doc_id", "seq", "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("bold", F.lit(False)).alias("bold"), "data", F.coalesce("source_refs", F.array("ref")).alias("source_refs"), "problem")
 
 
 def matches_rules(blocks: DataFrame) -> DataFrame:

@@ -148,23 +148,33 @@ class TestOutline:
 
 
 class TestMarkup:
-    def test_markdown_excerpts(self):
-        source = "```\n**fake**\n```\n\n**real** paragraph  \n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
-        x = markup.excerpts_of(source, "content.md")
-        assert [e["content"] for e in x["formatting"]] == ["**real** paragraph  \n"]
-        assert [e["content"] for e in x["tables"]] == ["| a | b |\n| --- | --- |\n| 1 | 2 |\n"]
-
-    def test_html_excerpts(self):
-        source = '<div><script><b>x</b></script><u class="x">y</u><table><tr><td colspan="2">z</td></tr></table></div>'
-        x = markup.excerpts_of(source, "h")
-        assert [e["content"] for e in x["formatting"]] == ['<u class="x">y</u>']
-        assert [e["content"] for e in x["tables"]] == ['<table><tr><td colspan="2">z</td></tr></table>']
-        counts, cells = markup.tags_of(source)
-        assert counts["u"] == 1 and "b" not in counts and cells == [{"tag": "td", "attributes": {"colspan": "2"}}]
-
-    def test_line_ends(self):
-        (x,) = markup.excerpts_of("\x0b**강조**\r\n", "s")["formatting"]
-        assert x["content"].endswith("**강조**\r\n") and x["source"] == "s [0:9)"
+    def shown(self, spark, source):
+        rows = markup.markup_excerpts(spark.createDataFrame([(1, source), (1, source), (2, None)], "doc_id bigint, text string")).orderBy("seq").collect()
+        of = lambda c: [(r.source, r.content) for r in rows if r.category == c]
+        halved = {c: of(c)[::2] for c in markup.CATEGORIES}  # the row is there twice
+        assert all(of(c)[1::2] == x for c, x in halved.items())
+        return halved
+
+    def test_markdown_excerpts(self, spark):
+        x = self.shown(spark, "~~~\n*no*\n~~~\n\nsome *soft* words\n\n|x|y|\n|-|-|\n|**1**|2|\n")
+        assert [c for _, c in x["formatting"]] == ["some *soft* words\n", "|**1**|2|\n"]
+        assert [c for _, c in x["tables"]] == ["|x|y|\n|-|-|\n|**1**|2|\n"]
+
+    def test_html_excerpts(self, spark):
+        source = "<p>a<style>b { }</style><em>한<em>c</em></em></p><script>'<em>d</em>'</script><ul><li>e</ul><h3>f"
+        x = self.shown(spark, source)
+        assert [c for _, c in x["formatting"]] == ["<em>한<em>c</em></em>", "<em>c</em>"] and x["headings"] == []
+        assert [c for _, c in x["hierarchy"]] == ["<ul><li>e</ul>"] and x["classification"][0] == ("content [0:48)", source[:48])
+        counts, cells = markup.tags_of(source + '<table><td width="3"><th><td><td>')
+        assert counts["em"] == 2 and "script" not in counts and [c["tag"] for c in cells] == ["td", "th", "td"] and cells[0]["attributes"] == {"width": "3"}
+
+    def test_html_blocks(self):
+        source = "lead<h2>T &amp; U</h2><p>one<br>two<table><tr><td>a<p>b</p><td>c</table>tail<li> <header>h</header>"
+        assert markup.html_blocks_of("<div>" + source) == [("unknown", None, "lead", "html"), ("section_header", 2, "T & U", "html"), ("paragraph", None, "one\ntwo", "html"), ("table", None, "ab\tc", "html"), ("unknown", None, "tail", "html"), ("unknown", None, "h", "html")]
+
+    def test_line_ends(self, spark):
+        x = self.shown(spark, "\x0c__가__\r\n")["formatting"]
+        assert x == [("content [0:8)", "\x0c__가__\r\n")]
 
     def test_signals(self):
         source = "```md\n# fake\n**fake**\n````\n\n    **indented**\n`**code**`\n## real\n**bold**\n- item\n"
@@ -189,14 +199,27 @@ class TestEvidence:
         x = canonical.excerpt(value, "#/a")
         assert json.loads(x["content"]) == {"image": {}, "list": [1, 2, 3], "ok": None} and "#/a/image/uri" in x["note"] and "first 3 of 4" in x["note"] and json.dumps(value) == before
 
-    def test_tree(self):
-        x = evidence.tree_excerpts(Q.featured())
-        assert len(x["classification"]) == 3 and json.loads(x["formatting"][0]["content"])["formatting"]["bold"] and x["hierarchy"][0]["source"] == "#/body"
-        assert [json.loads(e["content"])["self_ref"] for e in x["location"]] == ["#/texts/1", "#/texts/0"]
+    def found(self, spark, *raw):
+        d = spark.createDataFrame([(i, x if isinstance(x, str | None) else json.dumps(x, ensure_ascii=False)) for i, x in enumerate(raw)], "doc_id bigint, raw string")
+        out = {}
+        for r in evidence.excerpts(d).orderBy("doc_id", "category", "seq").collect():
+            out.setdefault((r.doc_id, r.category), []).append(r)
+        return out
 
-    def test_resources(self):
-        x = evidence.resource_excerpts(Q.recursive_result())
-        assert x["formatting"][0]["source"].startswith("#/1/X-TIKA:content") and x["hierarchy"] == [] and "dotted.key" in x["metadata"][0]["content"] and "not element location" in x["location"][0]["note"]
+    def test_tree(self, spark):
+        x = self.found(spark, Q.featured(), {"document": Q.featured() | {"groups": [{"children": []}, {}]}})
+        assert len(x[0, "classification"]) == 3 and json.loads(x[0, "formatting"][0].content)["formatting"]["bold"] and x[0, "hierarchy"][0].source == "#/body"
+        assert [json.loads(e.content)["self_ref"] for e in x[0, "location"]] == ["#/texts/1", "#/texts/0"]
+        assert [e.source for e in x[1, "hierarchy"]] == ["#/document/groups/0"] and list(json.loads(x[0, "metadata"][0].content)) == ["name", "origin"]
+
+    def test_resources(self, spark):
+        x = self.found(spark, Q.recursive_result())
+        assert x[0, "formatting"][0].source.startswith("#/1/X-TIKA:content [") and (0, "hierarchy") not in x and "dotted.key" in x[0, "metadata"][0].content
+        assert x[0, "location"][0].note.startswith("about the document's pages") and x[0, "resources"][0].source == "#/1"
+
+    def test_unreadable(self, spark):
+        x = self.found(spark, "{broken", None, "3", "[]", "[1]", '{"texts": [{"label": "text", "text": "t"}]}', '{"texts": 3, "tables": [null]}')
+        assert sorted(i for i, c in x if c == "unreadable") == [0, 1, 2, 3, 4] and x[5, "classification"][0].source == "#/texts/0"
 
 
 def test_preview():
@@ -208,6 +231,28 @@ def test_block_diff_and_numbers(spark):
     r = d.select(compare.block_diff("a", "b").alias("d")).select("d.*").first()
     assert (r.added, r.deleted, r.replaced_left, r.replaced_right) == (1, 0, 1, 1) and json.loads(r.spans)[0] == {"operation": "replace", "left_range": [1, 2], "right_range": [1, 2]}
     assert compare.number_changes({"a": [1, True], "b": None}, {"a": [1.5, False, 3], "c": 0}) == (2, 1, 3)
+    assert compare.number_changes({"a": {"0": {"x": 1}}}, {"a": [{"x": 2}]}) == (0, 0, 1)  # a list in place of a map is one change
+    odd = spark.createDataFrame([(None, ["a"], "[1", "[1]"), (["a"], [], None, "1"), ([None, "b"], ["b"], "[1]", "[3]")], "a array<string>, b array<string>, x string, y string")
+    r = odd.select(compare.block_diff("a", "b").alias("d"), compare.numeric_delta("x", "y").alias("n")).select("d.*", "n.*").collect()
+    assert [x.deleted for x in r] == [None, 1, 1] and [x.max_abs_delta for x in r] == [None, None, 2.0]
+
+
+def test_loops_and_depth_touch_their_document_alone(spark):
+    deep = [(1, f"g{i}", 0, f"g{i + 1}") for i in range(100)]
+    edges = spark.createDataFrame([*deep, (2, "a", 0, "b"), (2, "b", 0, "a"), (2, "b", 1, "t"), (3, "x", 0, "t")], "doc_id int, parent string, pos int, child string")
+    texts = spark.createDataFrame([(2, "t", "T", False), (3, "t", "U", True)], "doc_id int, ref string, text string, bold boolean")
+    got = {r.doc_id: r for r in references.group_text(spark.createDataFrame([(1, "g0"), (2, "a"), (3, "x")], "doc_id int, ref string"), edges, texts).collect()}
+    assert (got[1].problem, got[2].problem, got[2].text, got[3].problem, got[3].text) == ("deeper than 64", "cyclic reference", "T", None, "U")
+    order = references.reading_order(spark.createDataFrame([(1, 0, "g0"), (2, 0, "a"), (3, 0, "x")], "doc_id int, pos int, child string"), edges, max_depth=10).collect()
+    assert {r.doc_id for r in order if r.too_deep} == {1} and {r.doc_id for r in order if r.cyclic} == {2} and [r.depth for r in order if r.doc_id == 3] in ([0, 1], [1, 0])
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith(("roots_", "edges_", "groups_"))]
+
+
+def test_body_keeps_what_does_not_resolve(spark):
+    doc = {"body": {"children": [*ref("texts/0", "texts/9", "tables/0", "groups/0", "texts/1"), {"$ref": "odd"}]}, "texts": [{"text": "a"}, {"text": " "}], "tables": [{}], "groups": [{"children": ref("pictures/0", "texts/0")}], "pictures": [{}]}
+    raw = spark.createDataFrame([(1, json.dumps(doc)), (2, "{broken"), (3, None)], "doc_id bigint, raw string")
+    rows = {r.seq: (r.type, r.problem) for r in outline.body_blocks(raw).collect()}
+    assert rows == {0: ("text", None), 1: ("unresolved", "reference does not exist"), 2: ("table", "table without data"), 3: ("text", "a group's child is neither text nor group"), 5: ("unresolved", "unsupported reference")}
 
 
 def test_stability_counts(spark):
