@@ -1,7 +1,8 @@
 """License scans: MinHash bands over overlapping windows retrieve templates; shingle containment verifies them.
 
-With DataFrame and SQL functions alone, in one pass and without a shuffle: everything happens in a document's row,
-against template tables of a checked size.
+With DataFrame and SQL functions alone and without a shuffle: everything happens in a document's row, against templates
+that stand in the expressions, MOST_VALUES values at a time.  A longer list has more passes, each over the rows that the last
+one wrote with what it found.
 
 Texts are lower-cased (A-Z) and cut into words of 0-9, a-z and non-ASCII characters; shingles are ``SHINGLE`` words.
 A template of t shingles is cut into chunks of c shingles, c being the largest of SCALES up to t (the last chunk
@@ -20,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, materialize
 
 SHINGLE = 5
 BANDS = 12
 SCALES = (1, 4, 16)
-#: Templates and their bands may take so many values in a row's expressions.
-MOST_VALUES = 200_000
+#: Templates and their bands take at most so many values in a pass's expressions (one template alone may take more).
+MOST_VALUES = 50_000
 
 #: Public license notices.  Name, allowed for training, text.
 TEMPLATES = [
@@ -92,26 +93,42 @@ def _template_table(spark: SparkSession, templates: list[tuple[str, bool, str]],
     return rows.select("name", F.expr(shingles).alias("shingles"), F.expr(f"array_distinct({bands})").alias("bands")).collect()
 
 
-def find_licenses(docs: DataFrame, templates: list[tuple[str, bool, str]] = TEMPLATES, *, containment: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, templates: list[tuple[str, bool, str]] = TEMPLATES, *, containment: float = 0.8, most_values: int = MOST_VALUES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, matches (array of name, containment, first_word, last_word, sorted by name): a row for each row of
     ``docs``.  Words are numbered from 0, last_word is exclusive."""
     short = [n for n, _, t in templates if len(t.split()) < SHINGLE]
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     masks = _masks(docs.sparkSession)
-    table = _template_table(docs.sparkSession, templates, masks)
-    if sum(len(r.bands) + len(r.shingles) for r in table) > MOST_VALUES:
-        raise ValueError("too many templates for one pass; scan with parts of them")
+    passes: list[list] = []
+    size = 0
+    for r in _template_table(docs.sparkSession, templates, masks):
+        n = len(r.bands) + len(r.shingles)
+        if not passes or size + n > most_values:
+            passes.append([])
+            size = 0
+        passes[-1].append(r)
+        size += n
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("matches", F.expr("cast(array() as array<struct<name:string,containment:double,first_word:bigint,last_word:bigint>>)"))
+    for i, table in enumerate(passes):
+        rows = rows if not i else materialize(rows, "license-matches")
+        found, more = _matches(table, masks, containment)
+        rows = rows.withColumn("found", found).select("doc_id", "text", F.concat("matches", F.expr(more)).alias("matches"))
+    return rows.select("doc_id", F.array_sort("matches").alias("matches"))
+
+
+def _matches(table: list, masks: list[int], containment: float) -> tuple[F.Column, str]:
+    """The templates of a pass that the column text retrieves, and SQL for the matches among them, which have the name found."""
     by_value: dict[int, list[int]] = {}
     for i, r in enumerate(table):
         for v in r.bands:
             by_value.setdefault(v, []).append(i)
     known = F.array(*[F.lit(v).cast("bigint") for v in by_value])
     owners = F.create_map(*[x for v, o in by_value.items() for x in (F.lit(v).cast("bigint"), F.array(*[F.lit(i) for i in o]))])
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     values = _let("w", _words("text"), _let("h", _shingle_hashes("w"), _window_values("h", masks)))
     hits = F.array_intersect(F.expr(values), known)
-    rows = rows.withColumn("found", F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda v: F.element_at(owners, v))))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda v: F.element_at(owners, v)))))
     # Retrieved templates in the whole text; most rows have none and stop here.
     shingles = f"if(size(w) < {SHINGLE}, cast(array() as array<string>), transform(sequence(1, size(w) - {SHINGLE - 1}), i -> array_join(slice(w, i, {SHINGLE}), ' ')))"
     cases = " ".join(f"when {i} then array({', '.join(_quoted(s) for s in r.shingles)})" for i, r in enumerate(table))
@@ -122,7 +139,7 @@ def find_licenses(docs: DataFrame, templates: list[tuple[str, bool, str]] = TEMP
         m -> named_struct('name', m.name, 'containment', m.containment, 'first_word', cast(array_min(m.at) as bigint), 'last_word', cast(array_max(m.at) + {SHINGLE} as bigint)))"""
     none = "cast(array() as array<struct<name:string,containment:double,first_word:bigint,last_word:bigint>>)"
     matches = f"if(size(found) = 0, {none}, {_let('w', _words('text'), _let('g', shingles, verified))})"
-    return rows.select("doc_id", F.array_sort(F.expr(matches)).alias("matches"))
+    return found, matches
 
 
 def _quoted(s: str) -> str:

@@ -50,3 +50,14 @@ def test_defined_cases(make):
     assert licenses.find_licenses(make([])).count() == 0
     r = licenses.report(licenses.find_licenses(make([(1, T["cc-by-nc-4.0"], "s"), (1, T["mit"], "s"), (None, "x", None)]))).collect()
     assert sorted((x.verdict for x in r)) == ["allowed", "denied", "none"]
+
+
+def test_many_templates(make):
+    """More values than a pass takes: the same matches from several passes, and each of a long list's texts is found."""
+    rng = random.Random(4)
+    docs = [f"{filler(rng, 9)} {t} {filler(rng, 9)}" for t in T.values()] + ["plain", None]
+    assert found(make, docs, most_values=400) == found(make, docs)
+    listed = [(f"t{i:03d}", True, filler(rng, 400)) for i in range(40)]
+    got = found(make, [f"{filler(rng, 5)} {t}" for _, _, t in listed], templates=listed, most_values=12_000)
+    assert all(got[i][f"t{i:03d}"] == (5, 405, 1.0) and len(got[i]) == 1 for i in range(40))
+    assert licenses.find_licenses(make([(1, "x", "s")]), []).first().matches == []
