@@ -56,24 +56,19 @@ def macro_windows(n_tokens, size: int, overlap: int):
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n_tokens).alias("end")))
 
 
-def cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def nearest_anchors(vectors: DataFrame, anchors: DataFrame, k: int, unknown_below: float | None = None, most_anchors: int = 100_000) -> DataFrame:
+def nearest_anchors(vectors: DataFrame, anchors: DataFrame, k: int, unknown_below: float | None = None, block: int = 1024) -> DataFrame:
     """(vec_id, label, score): the label that most of the ``k`` nearest anchors have, the nearer in sum winning ties; UNKNOWN below a score.
 
-    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label), whose number is checked: they are the query set that
-    each vector meets, broadcast."""
-    n = anchors.count()
-    if n > most_anchors:
-        raise ValueError(f"{n} anchors; at most {most_anchors} are held against every vector")
-    a = F.broadcast(anchors.select("anchor_id", F.col("embedding").alias("__e"), "label"))
-    scored = vectors.select("vec_id", "embedding").join(a, F.lit(True)).select("vec_id", "anchor_id", "label", cosine(F.col("embedding"), F.col("__e")).alias("score"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "anchor_id")
-    near = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    votes = near.groupBy("vec_id", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("best"))
+    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label): the stated set that each vector is held against.  Anchors come
+    in blocks of about ``block``, a row each; a vector keeps the k best of a block in its row, and its blocks' best meet."""
+    n = max(1, -(-anchors.count() // block))
+    unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double") / F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
+    held = anchors.select("anchor_id", "label", unit("embedding").alias("e")).groupBy(F.pmod(F.xxhash64("anchor_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("anchor_id", "label", "e")).alias("held"))
+    dot = lambda a: F.aggregate(F.zip_with("u", a["e"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    ranked = F.array_sort(F.transform("held", lambda a: F.struct((-dot(a)).alias("far"), a["anchor_id"].alias("anchor_id"), a["label"].alias("label"))))
+    best = vectors.select("vec_id", unit("embedding").alias("u")).join(held, F.lit(True)).select("vec_id", F.slice(ranked, 1, k).alias("near"))
+    near = best.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    votes = near.select("vec_id", F.explode("near").alias("a")).select("vec_id", "a.label", (-F.col("a.far")).alias("score")).groupBy("vec_id", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("best"))
     win = votes.groupBy("vec_id").agg(F.max(F.struct("n", "s", F.col("label").cast("string").alias("label"), "best")).alias("w"))
     label = F.col("w.label") if unknown_below is None else F.when(F.col("w.best") < unknown_below, "UNKNOWN").otherwise(F.col("w.label"))
     return win.select("vec_id", label.alias("label"), F.col("w.best").alias("score"))

@@ -108,9 +108,10 @@ def schedule_order(spark, sf_dir):
     return _plan(spark, sf_dir).select("doc_id", F.col("number").cast("bigint").alias("number"), "tool", F.col("position").cast("bigint").alias("position"))
 
 
-@query(RUNS + f", {_PLAN} SELECT doc_id, tool, CAST(number AS BIGINT) AS number FROM plan p WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = p.doc_id AND r.tool = p.tool AND r.number = p.number)")
+@query(RUNS + f", {_PLAN} SELECT doc_id, tool, CAST(number AS BIGINT) AS number FROM plan p WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = p.doc_id AND r.tool = p.tool AND r.number = p.number AND r.status <> 'failure')")
 def pending_runs(spark, sf_dir):
-    return runs.pending(_plan(spark, sf_dir), runs_view(spark, sf_dir)).select("doc_id", "tool", F.col("number").cast("bigint").alias("number"))
+    """Failed runs are due again."""
+    return runs.pending(_plan(spark, sf_dir), runs_view(spark, sf_dir).where(F.col("status").isin(*runs.VALID))).select("doc_id", "tool", F.col("number").cast("bigint").alias("number"))
 
 
 @query(RUNS + "SELECT CAST(max(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) AS INT) AS exit_code FROM runs")
@@ -180,31 +181,34 @@ def content_hash_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT a.source, a.doc_id AS l_number, b.doc_id AS r_number, sha256(a.text) = sha256(b.text) AS content_equal FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id < b.doc_id")
-def pair_equality(spark, sf_dir):
-    hashed = snapshots_view(spark, sf_dir).select("source", "number", F.sha2("text", 256).alias("h"))
-    p = compare.run_pairs(hashed, ("source",))
-    return p.select("source", "l_number", "r_number", (F.col("l_h") == F.col("r_h")).alias("content_equal"))
+#: Documents of so many neighbouring ids stand for one document's repeated results.
+SET = 5
 
 
-_ASCII = "lang = 'en' AND octet_length({}) = length(text) AND length(text) < 400"
+def sets_view(spark, sf_dir, *more):
+    return table(spark, sf_dir, "documents").select(F.expr(f"doc_id div {SET}").alias("repeat_set"), F.col("doc_id").alias("number"), *more)
 
 
-@query(f"""WITH d AS (SELECT * FROM documents WHERE {_ASCII.format('encode(text)')})
-SELECT a.source, a.doc_id AS l_number, b.doc_id AS r_number, levenshtein(a.text, b.text) AS edit_distance,
-round(levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text), 1) * 100, 6) AS pct FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id""")
-def text_distance_ascii(spark, sf_dir):
-    d = snapshots_view(spark, sf_dir, "lang").where(_ASCII.format("text")).drop("lang")
-    p = compare.text_distances(compare.run_pairs(d, ("source",)), "l_text", "r_text")
-    return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
+@query(f"""WITH d AS (SELECT doc_id // {SET} AS repeat_set, doc_id, text FROM documents)
+SELECT a.repeat_set, a.doc_id AS l_number, b.doc_id AS r_number, sha256(a.text) = sha256(b.text) AS content_equal FROM d a JOIN d b ON a.repeat_set = b.repeat_set AND a.doc_id < b.doc_id""")
+def pair_equality(spark, sf_dir):
+    p = compare.run_pairs(sets_view(spark, sf_dir, F.sha2("text", 256).alias("h")), ("repeat_set",))
+    return p.select("repeat_set", "l_number", "r_number", (F.col("l_h") == F.col("r_h")).alias("content_equal"))
+
+
+def neighbours(spark, sf_dir) -> DataFrame:
+    """Each document with the one before it in its source: ids are put in order, texts then come by id."""
+    d = table(spark, sf_dir, "documents")
+    w = Window.partitionBy("source").orderBy("doc_id")
+    ids = d.select("source", F.col("doc_id").alias("r_number"), F.lag("doc_id").over(w).alias("l_number")).where("l_number is not null")
+    side = lambda p: d.select(F.col("doc_id").alias(f"{p}_number"), F.col("text").alias(f"{p}_text"))
+    return ids.join(side("l"), "l_number").join(side("r"), "r_number")
 
 
 @query()
 def text_distance_whole(spark, sf_dir):
     """Whole texts of all documents; neighbouring documents of a source stand for repeated results."""
-    w = Window.partitionBy("source").orderBy("number")
-    d = snapshots_view(spark, sf_dir).select("source", F.lag("number").over(w).alias("l_number"), F.col("number").alias("r_number"), F.lag("text").over(w).alias("l_text"), F.col("text").alias("r_text"))
-    p = compare.text_distances(d.where("l_number is not null"), "l_text", "r_text")
+    p = compare.text_distances(neighbours(spark, sf_dir), "l_text", "r_text")
     return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
 
 
@@ -244,11 +248,9 @@ def repeated_lines(spark, sf_dir):
 
 @query()
 def block_diff(spark, sf_dir):
-    """Neighbouring documents of a source stand for repeated results."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n").alias("blocks"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.withColumn("before", F.lag("blocks").over(w)).where("before is not null")
-    return pairs.select("doc_id", compare.block_diff("before", "blocks").alias("d")).select("doc_id", "d.*")
+    """Neighbouring documents of a source stand for repeated results; lines are blocks."""
+    pairs = neighbours(spark, sf_dir).select(F.col("r_number").alias("doc_id"), F.split("l_text", "\n").alias("before"), F.split("r_text", "\n").alias("after"))
+    return pairs.select("doc_id", compare.block_diff("before", "after").alias("d")).select("doc_id", "d.*")
 
 
 _NUMBERS = [(1, '{"a": 1, "b": [1, 2, 3], "c": "x"}', '{"a": 1.5, "b": [1, 4], "d": 0}'), (2, "[true, 2]", "[false, 2]"), (3, '{"s": "a"}', '{"s": "b"}'), (4, "[1, null]", "[1, null]")]
@@ -289,12 +291,50 @@ def snapshot_pairs(spark, sf_dir):
     return out.select("l_number", "r_number", "content_equal", "edit_distance", "changes.added", "changes.deleted", "changes.replaced_left", "changes.replaced_right")
 
 
-@query("SELECT d.source, a.doc_id AS l_number, b.doc_id AS r_number, a.text = b.text AS equal FROM (SELECT DISTINCT source FROM documents) d JOIN documents a ON a.source = d.source AND a.lang = 'en' JOIN documents b ON b.source = d.source AND b.lang = 'de'")
+@query(f"""WITH d AS (SELECT doc_id // {2 * SET} AS repeat_set, doc_id, text FROM documents)
+SELECT a.repeat_set, a.doc_id AS l_number, b.doc_id AS r_number, a.text = b.text AS equal FROM d a JOIN d b ON a.repeat_set = b.repeat_set AND a.doc_id % 2 = 0 AND b.doc_id % 2 <> 0""")
 def cross_tool_pairs(spark, sf_dir):
-    """English and German documents of a source stand for two tools' results."""
-    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("number"), F.sha2("text", 256).alias("h"), "lang")
-    p = compare.cross_pairs(d.where("lang = 'en'").drop("lang"), d.where("lang = 'de'").drop("lang"), "source")
-    return p.select("source", "l_number", "r_number", (F.col("l_h") == F.col("r_h")).alias("equal"))
+    """Even and odd ids of a set of neighbours stand for two tools' results."""
+    d = table(spark, sf_dir, "documents").select(F.expr(f"doc_id div {2 * SET}").alias("repeat_set"), F.col("doc_id").alias("number"), F.sha2("text", 256).alias("h"))
+    p = compare.cross_pairs(d.where("number % 2 = 0"), d.where("number % 2 <> 0"), "repeat_set")
+    return p.select("repeat_set", "l_number", "r_number", (F.col("l_h") == F.col("r_h")).alias("equal"))
+
+
+# --- results that stand for documents ----------------------------------------------------------------------------
+
+
+def results_view(spark, sf_dir) -> DataFrame:
+    """(doc_id, raw): each document as a tree-shaped result.  Lines are texts, those with an even number the body's children, last
+    first, each with the line behind it as its child; short lines are headings."""
+    lines = F.split("text", "\n")
+    ref = lambda i: F.struct(F.concat(F.lit("#/texts/"), i.cast("string")).alias("$ref"))
+    none = F.array().cast("array<struct<`$ref`:string>>")
+    item = lambda t, i: F.struct(F.concat(F.lit("#/texts/"), i.cast("string")).alias("self_ref"), F.when(F.length(t) < 40, "section_header").otherwise("text").alias("label"), t.alias("text"), F.when((i % 2 == 0) & (i + 1 < F.size(lines)), F.array(ref(i + 1))).otherwise(none).alias("children"))
+    even = F.filter(F.sequence(F.size(lines) - 1, F.lit(0), F.lit(-1)), lambda i: i % 2 == 0)
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.to_json(F.struct(F.struct(F.transform(even, ref).alias("children")).alias("body"), F.transform(lines, item).alias("texts"))).alias("raw"))
+
+
+_ITEMS = "i AS (SELECT doc_id, i - 1 AS n, t[i] AS text, CASE WHEN length(t[i]) < 40 THEN 'section_header' ELSE 'text' END AS label FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n // 2 DESC, n) - 1 AS seq, '#/texts/' || n AS ref, label AS kind, 'body' AS layer, n % 2 AS depth, text FROM i")
+def snapshot_documents(spark, sf_dir):
+    return references.snapshot_blocks(references.snapshots(results_view(spark, sf_dir)))
+
+
+@query(f"WITH {_ITEMS} SELECT doc_id, CAST(count(*) // 2 AS BIGINT) AS refs, CAST(count(*) // 2 AS BIGINT) AS resolved FROM i GROUP BY doc_id HAVING count(*) > 1")
+def resolution_documents(spark, sf_dir):
+    return references.resolution_summary(references.items(references.documents(results_view(spark, sf_dir))))
+
+
+@query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, 'classification' AS category, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM (SELECT doc_id, label, min(n) AS n FROM i GROUP BY ALL)
+  UNION ALL SELECT doc_id, 'headings', n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 FROM i WHERE label = 'section_header')
+SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, i.text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
+UNION ALL SELECT doc_id, 'hierarchy', 0, '#/body', NULL FROM documents WHERE text IS NOT NULL""")
+def excerpt_documents(spark, sf_dir):
+    e = evidence.excerpts(results_view(spark, sf_dir))
+    return e.select("doc_id", "category", "seq", "source", F.get_json_object("content", "$.text").alias("text"))
 
 
 # --- outlines and references -----------------------------------------------------------------------------------
@@ -486,20 +526,16 @@ def markdown_signals(spark, sf_dir):
     return markup.markdown_signals(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("signal", "line", "level")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(left(text, 60), ''), lambda c: CASE WHEN c <> '' AND contains('&<>\`*_{}[]()#+-.!|~', c) THEN '&#' || ascii(c) || ';' WHEN c IN (chr(10), chr(13)) THEN ' ' ELSE c END), '') AS escaped FROM documents""")
-def markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.substring("text", 1, 60)).alias("escaped"))
-
-
 @query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND contains('&<>\`*_{}[]()#+-.!|~', c) THEN '&#' || ascii(c) || ';' WHEN c IN (chr(10), chr(13)) THEN ' ' ELSE c END), '') AS escaped FROM documents""")
-def markdown_escape_whole(spark, sf_dir):
+def markdown_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.col("text")).alias("escaped"))
 
 
-@query("SELECT * FROM (VALUES (1, '```' || chr(10) || 'x' || chr(10) || '```', '&lt;a href=&quot;x&quot;&gt;&amp;&#x27;'), (2, '`````' || chr(10) || 'a````b``' || chr(10) || '`````', 'plain')) t(id, fenced, html)")
+@query("""WITH p AS (SELECT page_id, html || repeat('`', CAST(page_id % 6 AS INT)) AS t FROM pages), f AS (SELECT *, repeat('`', CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0)) AS INT)) AS fence FROM p)
+SELECT page_id, sha256(fence || chr(10) || t || chr(10) || fence) AS fenced, sha256(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS html FROM f""")
 def escaping(spark, sf_dir):
-    d = rows(spark, "id int, c string, h string", [(1, "x", "<a href=\"x\">&'"), (2, "a````b``", "plain")])
-    return d.select("id", text.code_fence(F.col("c")).alias("fenced"), text.html_escape(F.col("h")).alias("html"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.expr("repeat('`', int(page_id % 6))")).alias("t"))
+    return p.select("page_id", F.sha2(text.code_fence(F.col("t")), 256).alias("fenced"), F.sha2(text.html_escape(F.col("t")), 256).alias("html"))
 
 
 @query("SELECT * FROM (VALUES (1, 'a'), (2, 'b c'), (3, '')) t(id, s)")
@@ -507,10 +543,10 @@ def unicode_strip(spark, sf_dir):
     return rows(spark, "id int, t string", [(1, "　a "), (2, "\x1cb c\n"), (3, " \t")]).select("id", text.strip(F.col("t")).alias("s"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false)) t(id, equal)")
+@query("SELECT doc_id, sha256(nfc_normalize(replace(replace(text || chr(13) || 'e' || chr(769) || chr(13) || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS h FROM documents")
 def normalisation(spark, sf_dir):
-    d = rows(spark, "id int, a string, b string", [(1, "a\r\nb\rc", "a\nb\nc"), (2, "가", "가"), (3, "a b", "ab")])
-    return d.select("id", text.normalized(F.col("a")).alias("a"), text.normalized(F.col("b")).alias("b")).select("id", (F.col("a") == F.col("b")).alias("equal"))
+    """The texts hold neither carriage returns nor combining marks, so some are put behind them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized(F.concat("text", F.lit("\re\u0301\r\n"))), 256).alias("h"))
 
 
 @query("""SELECT * FROM (VALUES (1, sha256('{"a": "가", "b": [1.5, 10000000000.0, null]}')), (2, sha256('{"a": "가", "b": [1.5, 10000000000.0, null]}'))) t(id, h)""")
@@ -664,10 +700,12 @@ def knn_label(spark, sf_dir):
     return k.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'D03'), (1, 2, 'D03'), (1, 3, 'D03'), (1, 4, 'UNKNOWN'), (1, 5, 'D01')) t(doc_id, seq, resolved)")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' AND lag(role) OVER w = lead(role) OVER w AND lag(role) OVER w <> 'user' THEN lag(role) OVER w ELSE role END AS resolved
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def context_resolution(spark, sf_dir):
-    d = rows(spark, "doc_id int, seq int, label string", [(1, 1, "D03"), (1, 2, "UNKNOWN"), (1, 3, "D03"), (1, 4, "UNKNOWN"), (1, 5, "D01")])
-    return chunks.fill_between(d).select("doc_id", "seq", "resolved")
+    """A user's turn is the unknown label here."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return chunks.fill_between(c, "conv_id", "turn", "role", "user").select("conv_id", "turn", "resolved")
 
 
 @query("SELECT * FROM (VALUES ('a', 0.5e0, 0.5e0, 0.5e0, 0.5e0, 0.583333e0, 0.25e0), ('b', 1e0, 0.5e0, 0.666667e0, 0.5e0, 0.583333e0, 0.25e0)) t(label, \"precision\", recall, f1, accuracy, macro_f1, unknown_rate)")
@@ -677,13 +715,17 @@ def label_metrics(spark, sf_dir):
     return m.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1", "unknown_rate")])
 
 
-@query("SELECT * FROM (VALUES (1, 'h1', 'confirmed'), (2, 'h2', 'candidate'), (3, 'h1', 'unresolved')) t(seq, value, state)")
+@query("""WITH a AS (SELECT doc_id, 1 AS rank, lang AS value FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, source FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 3, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END FROM documents)
+SELECT doc_id, min_by(value, rank) AS value, CASE WHEN min(rank) = 1 THEN 'confirmed' WHEN count(DISTINCT value) = 1 THEN 'candidate' ELSE 'unresolved' END AS state FROM a GROUP BY doc_id""")
 def annotation_policies(spark, sf_dir):
-    d = rows(spark, "seq int, policy string, value string", [(1, "native", "h1"), (1, "style", "h2"), (2, "style", "h2"), (3, "numbering", "h1"), (3, "style", "h3")])
-    return chunks.resolve_annotations(d, keys=("seq",))
+    d = table(spark, sf_dir, "documents")
+    said = lambda policy, value, some: d.where(some).select("doc_id", F.lit(policy).alias("policy"), F.expr(value).alias("value"))
+    a = said("native", "lang", "doc_id % 3 = 0").unionByName(said("numbering", "source", "doc_id % 5 <> 0")).unionByName(said("style", "if(doc_id % 2 = 0, source, lang)", "true"))
+    return chunks.resolve_annotations(a, keys=("doc_id",))
 
 
-@query("SELECT * FROM (VALUES (0, 8), (6, 14), (12, 20)) t(s, e)")
+@query("SELECT doc_id, s AS w_start, least(s + 512, n_chars) AS w_end FROM (SELECT doc_id, n_chars, unnest(range(0, greatest(0, n_chars - 64 - 1) + 1, 448)) AS s FROM documents)")
 def macro_windows(spark, sf_dir):
-    d = spark.range(1).select(F.explode(chunks.macro_windows(F.lit(20), 8, 2)).alias("w"))
-    return d.select(F.col("w.start").alias("s"), F.col("w.end").alias("e"))
+    """Characters stand for tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunks.macro_windows(F.col("n_chars"), 512, 64)).alias("w"))
+    return d.select("doc_id", F.col("w.start").cast("bigint").alias("w_start"), F.col("w.end").cast("bigint").alias("w_end"))

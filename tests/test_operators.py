@@ -300,8 +300,22 @@ def test_chunks(spark):
     rows = c.orderBy("seq").collect()
     assert [r.over for r in rows] == [False, False, False, True, False, False] and rows[2].chunk != rows[3].chunk
     assert chunks.chunk_problems(d, c).first().asDict() == {"doc_id": 1, "lost": 0, "repeated": 0}
-    with pytest.raises(ValueError):
-        chunks.nearest_anchors(spark.range(1).selectExpr("id as vec_id", "array(1.0) as embedding"), spark.range(3).selectExpr("id as anchor_id", "array(1.0) as embedding", "1 as label"), 1, most_anchors=2)
+
+
+def test_anchors_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], i % 3) for i in range(90)]
+    d = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
+    a = d.where("vec_id < 40").withColumnRenamed("vec_id", "anchor_id")
+    got = lambda block: {r.vec_id: (r.label, round(r.score, 9)) for r in chunks.nearest_anchors(d, a, 5, block=block).collect()}
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    want = {}
+    for i, e, _ in rows:
+        near = sorted(((-cos(e, f), j, lab) for j, f, lab in rows[:40]))[:5]
+        votes = {lab: (sum(x[2] == lab for x in near), -sum(x[0] for x in near if x[2] == lab), str(lab), max(-x[0] for x in near if x[2] == lab)) for lab in {x[2] for x in near}}
+        w = max(votes.values())
+        want[i] = (w[2], round(w[3], 9))
+    assert got(1024) == want == got(7)
 
 
 class TestFiles:

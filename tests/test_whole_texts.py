@@ -35,4 +35,4 @@ def test_distances_of_long_and_other_texts(spark, folder):
 def test_escape_reaches_the_end(spark, folder):
     whole = "a" * 70 + "*_x\n\ud55c\U0001f600|" * 50
     escaped = "".join(f"&#{ord(c)};" if c in "&<>\\`*_{}[]()#+-.!|~" else " " if c in "\r\n" else c for c in whole)
-    assert QUERIES["markdown_escape_whole"](spark, folder([(1, whole, "en", "a")])).first().escaped == escaped
+    assert QUERIES["markdown_escape"](spark, folder([(1, whole, "en", "a")])).first().escaped == escaped
