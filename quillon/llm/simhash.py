@@ -35,6 +35,8 @@ from .components import connected_components
 
 #: Parts to which the rows of a group are dealt when they are joined with what is known of it.
 SPREAD = 16
+#: Blocks that are searched before the others.
+FIRST_BLOCKS = 8
 _LANES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -193,43 +195,44 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], leas
 _MEETS = "transform(sequence(0, k - 1), o -> named_struct('p', least(o, part), 'q', greatest(o, part)))"
 
 
-def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compare: int | None = None, shard_rows: int = 2048) -> DataFrame:
-    """``nodes`` (node bigint, fp binary, distinct).  Returns links (a, b) that join any two nodes
+def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compare: int | None = None, shard_rows: int = 2048, take: range | None = None) -> DataFrame:
+    """``nodes`` (node bigint, label bigint, fp binary, distinct).  Returns links (a, b) of labels that join any two nodes
     of a block's shard that are within the radius, directly or through other such nodes.  Blocks are
-    of all bits; the radius is that of the first ``compare`` bits (all), and just these are shuffled."""
+    of all bits; the radius is that of the first ``compare`` bits (all), and just these are shuffled.  ``take`` numbers the
+    blocks looked at (all)."""
     edges = [round(i * width / blocks) for i in range(blocks + 1)]
     compare = compare or width
-    words, block_bits = compare // 64, list(zip(edges, edges[1:]))
-    schema = "block int, value bigint, node bigint, fp binary"
+    words, block_bits = compare // 64, list(enumerate(zip(edges, edges[1:])))[slice(take.start, take.stop) if take else slice(None)]
+    schema = "block int, value bigint, node bigint, label bigint, fp binary"
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(n, -1)
+            raw = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(n, -1)
             bits = np.unpackbits(raw, axis=1)
-            fps = pa.array([x[: compare // 8] for x in b.column(1).to_pylist()], pa.binary())
-            for k, (x, y) in enumerate(block_bits):
+            fps = pa.array([x[: compare // 8] for x in b.column(2).to_pylist()], pa.binary())
+            for k, (x, y) in block_bits:
                 value = bits[:, x:y].astype(np.int64) @ (np.int64(1) << np.arange(y - x - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), fps], names=["block", "value", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int32()), pa.array(value), b.column(0), b.column(1), fps], names=["block", "value", "node", "label", "fp"])
 
-    placed = nodes.select("node", "fp").mapInArrow(trimmed(cut), schema)
+    placed = nodes.select("node", "label", "fp").mapInArrow(trimmed(cut), schema)
     # Shards of more than shard_rows members are few (one for so many rows at most); the list is written first, so that
     # Spark knows its size and need not shuffle the fingerprints to look them up in it.
     crowded = placed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
     crowded = materialize(crowded.select(F.col("block").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / shard_rows).cast("int").alias("many")), "crowded")
     dealt = placed.join(crowded, (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")), "left").withColumn("k", F.coalesce("many", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    tasks = dealt.select("block", "value", "part", "node", "fp", F.explode(F.expr(_MEETS)).alias("m")).select("block", "value", "m.p", "m.q", "part", "node", "fp")
-    # In the order of the nodes, so that the shards of a group link to the same few least ones and their links fall together.
-    tasks = tasks.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "node")
+    tasks = dealt.select("block", "value", "part", "label", "fp", F.explode(F.expr(_MEETS)).alias("m")).select("block", "value", "m.p", "m.q", "part", "label", "fp")
+    # In the order of the labels, so that the shards of a group link to the same few least ones and their links fall together.
+    tasks = tasks.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "label")
 
     def search(batches: Iterator[pa.RecordBatch]):
         def run(rows: pa.Table):
             keys = np.stack([rows.column(c).to_numpy() for c in ("block", "value", "p", "q")], 1)
             shard = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
-            part, node = rows.column("part").to_numpy(), rows.column("node").to_numpy()
+            part, label = rows.column("part").to_numpy(), rows.column("label").to_numpy()
             fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), dtype=">u8").reshape(-1, words).astype(np.uint64)
             own = np.flatnonzero(part == keys[:, 2])
             ask = np.flatnonzero(part == keys[:, 3])
@@ -238,10 +241,10 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compar
             # A task whose sub-shard p is empty has nothing to search in.
             ask = ask[np.isin(shard[ask], shard[own])]
             forest = BKForest(fps[own], shard[own])
-            root = _spanning(len(node), ((ask[a], own[b]) for a, b in forest.search(fps[ask], shard[ask], radius)))
-            linked = np.flatnonzero(root != np.arange(len(root)))
+            root = _spanning(len(label), ((ask[a], own[b]) for a, b in forest.search(fps[ask], shard[ask], radius)))
+            linked = np.flatnonzero(label != label[root])
             if len(linked):
-                pairs = np.unique(np.stack([node[linked], node[root[linked]]], 1), axis=0)
+                pairs = np.unique(np.stack([label[linked], label[root[linked]]], 1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for table in _whole_tasks(batches, ("block", "value", "p", "q"), 20_000):
@@ -251,6 +254,23 @@ def link_nodes(nodes: DataFrame, *, width: int, radius: int, blocks: int, compar
     return tasks.mapInArrow(trimmed(search), "a bigint, b bigint")
 
 
+def node_roots(nodes: DataFrame, *, blocks: int, **search) -> DataFrame:
+    """(node, root): for each of ``nodes`` (node, fp) that has a link the least node that it reaches.
+
+    Of more than FIRST_BLOCKS blocks these come first; the rest then link the groups found, not their nodes, so that a large group
+    has its links a few times and not once for each block."""
+    own = nodes.select("node", F.col("node").alias("label"), "fp")
+    first = connected_components(link_nodes(own, blocks=blocks, take=range(0, min(blocks, FIRST_BLOCKS)), **search))
+    if blocks <= FIRST_BLOCKS:
+        return first
+    labelled = materialize(nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "fp"), "labels")
+    more = connected_components(link_nodes(labelled, blocks=blocks, take=range(FIRST_BLOCKS, blocks), **search)).withColumnRenamed("node", "label")
+    moved = spread_join(labelled.select("node", "label"), more, "label", "node").select("node", "root")
+    stay = labelled.where("node <> label").select("node", F.col("label").alias("root")).join(more.select(F.col("label").alias("root")), "root", "left_anti").select("node", "root")
+    apart = materialize(moved.unionByName(stay).where("node <> root"), "group-roots")
+    return apart.unionByName(apart.select(F.col("root").alias("node"), "root").distinct())
+
+
 def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set (of distinct numbers) the least one that it reaches by Jaccard similarities of ``similarity`` or more.
 
@@ -344,7 +364,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, width: int = 64, radiu
     marked = materialize(fingerprints(docs, shingle=shingle, width=width, distinct=distinct, doc_id=doc_id, text=text), "fingerprints")
     node = F.conv(F.hex("fp"), 16, -10).cast("bigint") if width == 64 else F.xxhash64("fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select(node.alias("node"), "fp", "least"), "nodes")
-    roots = connected_components(link_nodes(nodes, width=width, radius=radius, blocks=blocks or radius + 1, compare=compare, shard_rows=shard_rows))
+    roots = node_roots(nodes, width=width, radius=radius, blocks=blocks or radius + 1, compare=compare, shard_rows=shard_rows)
     key = ["fp"]
     if similarity is not None:
         key = ["copy", "copy2"]
