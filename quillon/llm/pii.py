@@ -5,12 +5,13 @@ and phone numbers.  A term (a word of letters) discloses an entity as far as see
 the entity is there too: over documents, PMI(e; t) = ln(n(e,t) n / (n(e) n(t))), at most the entity's own
 information IC(e) = ln(n / n(e)).  Candidates are all words of the documents that hold the entity, outside of
 base entities, in ``min_texts`` different texts, so that copies of one text prove nothing.  Terms with PMI >= ``threshold`` x IC
-are spans too, in every document, whether the entity stands there or not: they are generalised to
-``[TERM]`` or removed with the base entities.
+are spans too, wherever they stand in a document that holds the entity: they are generalised to
+``[TERM]`` or removed with the base entities.  In documents without it they stay: there most of them stand by chance, and
+their number grows with nearly the square of the corpus.
 
 Counts cover all documents.  Words are combined before the shuffle; per-entity aggregates are too, and what is joined on an
-entity are ids, never texts or their words, so an entity of a third of all rows is no hot task.  Texts are read four times (spans,
-term counts, terms found, texts of those documents); only documents with an entity are written between.
+entity are ids, never texts or their words, so an entity of a third of all rows is no hot task.  Texts are read twice (spans, then
+term counts); only documents with an entity are written between.
 
 Defined cases: null texts are empty; repeated rows give one row each; a text of digits only or of one
 endless word costs linear time (possessive patterns, no start inside a run that failed).
@@ -123,19 +124,14 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     words_of_all = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     n_term = words_of_all.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
-    telling = materialize(likely.join(n_term, "term").where(pmi >= threshold * ic).select("term").distinct(), "telling-terms")
-    # Documents with such a term, and their texts.
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    of_all = keyed.select("doc_id", "copy", F.explode(words("text")).alias("term")).join(telling, "term", "left_semi")
-    per_row = of_all.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    per_row = materialize(per_row.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "terms"), "rows-with-terms")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))
-    with_text = keyed.join(per_row, same).dropDuplicates(["doc_id", "copy"]).select("d", "c", "terms", F.col("text").alias("whole"))
-    joined = found.join(with_text, same, "left").withColumn("text", F.coalesce("text", "whole"))
+    telling = likely.join(n_term, "term").where(pmi >= threshold * ic).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    per_row = held.join(telling, "entity").groupBy("doc_id", "copy").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+    per_row = per_row.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "terms")
+    joined = holders.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
     pattern = "concat(r'(?iu)(?<!\\p{L})(?:', array_join(terms, '|'), r')(?!\\p{L})')"
     terms = f"if(terms is null, spans, concat(spans, {_located('text', pattern, 'term')}))"
-    out = joined.select("doc_id", "text", F.expr(terms).alias("spans"))
-    out = out.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
+    with_terms = joined.select("doc_id", "text", F.expr(terms).alias("spans"))
+    out = with_terms.unionByName(found.where("text is null").drop("copy"))
     return out.withColumn("spans", F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value")])))
 
 
