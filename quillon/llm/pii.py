@@ -118,11 +118,11 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     n = float(max(rows.count(), 1))
     ic = F.log(F.lit(n) / F.col("n_e"))
     # Documents with an entity alone give a lower bound of n(t): terms too common by that need no count.
-    terms_here = own.select(F.explode("w").alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_h"))
+    count = lambda each, name: each.groupBy("term").agg(F.count("*").alias(name))  # words are counted before they meet any list
+    terms_here = count(own.select(F.explode("w").alias("term")), "n_h").join(pairs.select("term").distinct(), "term")
     likely = pairs.join(n_entity, "entity").join(terms_here, "term").where((ic > 0) & (F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_h"))) >= threshold * ic))
     likely = materialize(likely.select("entity", "term", "n_et", "n_e"), "likely-terms")
-    words_of_all = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n_term = words_of_all.join(likely.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_term = count(rows.select(F.explode(words("text")).alias("term")), "n_t").join(likely.select("term").distinct(), "term")
     pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
     telling = likely.join(n_term, "term").where(pmi >= threshold * ic).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     per_row = held.join(telling, "entity").groupBy("doc_id", "copy").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
