@@ -82,14 +82,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     units = quotas.where("quota > 0").select("source_no", F.explode(F.expr("sequence(0L, quota - 1)")).alias("unit"))
     units = units.withColumn("__key", F.xxhash64("source_no", "unit", F.lit(seed)))
     ranked = running(units, [], "__key", ["source_no", "unit"], {"place": "1"})
-    halve = """aggregate(sequence(1, {depth}), named_struct('shard', 0L, 'place', place, 'size', total),
+    halve = """aggregate(sequence(1, {depth}), named_struct('shard', 0L, 'place', place, 'size', {total}L),
         (n, level) -> if(n.place < n.size div 2,
             named_struct('shard', n.shard * 2, 'place', n.place, 'size', n.size div 2),
             named_struct('shard', n.shard * 2 + 1, 'place', n.place - n.size div 2, 'size', n.size - n.size div 2)),
         n -> n.shard)"""
     depth = (shards - 1).bit_length()
-    total = quotas.agg(F.sum("quota").alias("total"))
-    leaf = ranked.crossJoin(total).withColumn("shard", F.expr(halve.format(depth=depth)) if depth else F.lit(0).cast("bigint"))
+    total = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    leaf = ranked.withColumn("shard", F.expr(halve.format(depth=depth, total=total)) if depth else F.lit(0).cast("bigint"))
     leaf = leaf.groupBy("source_no", "shard").agg(F.count("*").alias("quota"))
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaf.select("shard", "source_no", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("bigint").alias("first"), "quota")
