@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
+from . import chat, clusters, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -163,3 +163,34 @@ a AS (SELECT doc_id, count(*) AS n_licenses, string_agg(name || ':' || first_wor
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, CASE WHEN n_licenses IS NULL THEN 'none' WHEN good THEN 'allowed' ELSE 'denied' END AS verdict
 FROM documents LEFT JOIN a USING (doc_id)
 """
+
+
+@query
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(clusters.cluster(table(spark, sf_dir, "embeddings"), 40, 5, dims=64, scale=256, seed="2"))
+
+
+def _rounds(n: int) -> str:
+    """Centroids c0 are given; a0, c1, a1 and so on follow, to a{n}."""
+    dot = lambda a, b: f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    out = []
+    for i in range(n + 1):
+        far = f"CAST({dot('k.v', 'k.v')} - 2 * {dot('k.v', 'c.v')} + {dot('c.v', 'c.v')} AS BIGINT)"
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (SELECT k.vec_id, k.v, c.c, {far} AS d FROM kept k, c{i} c) GROUP BY vec_id)")
+        out.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) m USING (c))"
+        )
+    return ",\n".join(out)
+
+
+ORACLES["op11_clustering"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept ORDER BY c LIMIT 40),
+{_rounds(5)},
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY c)
+SELECT vec_id, CAST(a5.c AS INTEGER) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a5) AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (c) JOIN i USING (c)
+"""
