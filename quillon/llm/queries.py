@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clusters, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
+from . import alignment, chat, clusters, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -194,3 +194,10 @@ SELECT vec_id, CAST(a5.c AS INTEGER) AS cluster, d AS distance, cluster_inertia,
        sha256(array_to_string(c5.v, ',')) AS centroid_sha256
 FROM a5 JOIN c5 USING (c) JOIN i USING (c)
 """
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
