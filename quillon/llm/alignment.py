@@ -250,7 +250,7 @@ def _read(data: bytes) -> np.ndarray:
     return _unpack(data[8:], n, f"<u{width}").astype(np.int64)
 
 
-def scan(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def scan(docs: DataFrame, path_a: str, path_b: str, text_bytes: int) -> DataFrame:
     """Rows of two kinds: a document's (stripe null), and those of a block and stripe: distinct places as gaps, how many documents hold
     each, these, and how often each does."""
 
@@ -264,7 +264,7 @@ def scan(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             while i < len(texts):
                 j = i + 1
                 size = len(texts[i] or "")
-                while j < min(i + DOCS, len(texts)) and size < TEXT_BYTES:
+                while j < min(i + DOCS, len(texts)) and size < text_bytes:
                     size += len(texts[j] or "")
                     j += 1
                 made, places, who, times = _block(pair, texts[i:j])
@@ -290,11 +290,10 @@ def _sum_counts(table: DataFrame, cells: int, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, now = np.zeros(cells, dtype=np.int64), None
-        touched: list[np.ndarray] = []
+        touched: list[np.ndarray] = []  # while they are few beside the matrix
 
         def done() -> pa.RecordBatch:
-            few = sum(map(len, touched)) < cells // 16
-            at = np.unique(np.concatenate(touched)) if few else np.flatnonzero(matrix)
+            at = np.unique(np.concatenate(touched)) if touched else np.flatnonzero(matrix)
             touched.clear()
             out = pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([_ints(np.diff(at, prepend=0))], pa.binary()), pa.array([_ints(matrix[at])], pa.binary())], ["stripe", "places", "holders"])
             matrix[at] = 0
@@ -304,9 +303,13 @@ def _sum_counts(table: DataFrame, cells: int, keys: list[str]) -> DataFrame:
             for key, places, holders in zip(zip(*(b.column(k).to_pylist() for k in keys)), b.column("places").to_pylist(), b.column("holders").to_pylist()):
                 if now is not None and key != now:
                     yield done()
+                places, few = np.cumsum(_read(places)), now != key or bool(touched)
                 now = key
-                touched.append(np.cumsum(_read(places)))
-                np.add.at(matrix, touched[-1], _read(holders))
+                if few:
+                    touched.append(places)
+                    if sum(map(len, touched)) > cells // 16:
+                        touched.clear()
+                np.add.at(matrix, places, _read(holders))
         if now is not None:
             yield done()
 
@@ -382,11 +385,11 @@ class Alignment:
         return self.counts.select("stripe", "places", "holders").mapInArrow(run, "a bigint, b bigint, count bigint, best boolean")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str) -> Alignment:
+def align(docs: DataFrame, path_a: str, path_b: str, text_bytes: int = TEXT_BYTES) -> Alignment:
     """Aligns ``docs`` (doc_id, text) under a byte-level BPE file of the tokenizers library and a sentencepiece model.  The scan is written once."""
     pair = _pair(path_a, path_b)
     rows, width = pair.rows, pair.width
-    table = materialize(scan(docs, path_a, path_b), "links")
+    table = materialize(scan(docs, path_a, path_b, text_bytes), "links")
     links, own = table.where("stripe is not null"), table.where("stripe is null")
     # STRIPES rows at most: into how many parts each stripe goes.
     size = F.octet_length("places") + F.octet_length("holders") + F.octet_length("docs") + F.octet_length("times")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, clusters, decontaminate, licenses, mixing, pii, quality, simhash, tokens, urls, warc
+from . import alignment, chat, clusters, decontaminate, licenses, mixing, pii, quality, repeats, simhash, tokens, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -201,3 +201,23 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
+@query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(repeats.remove_repeats(table(spark, sf_dir, "documents"), 50))
+
+
+ORACLES["op12_repeats"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, h[2 * i + 1:2 * i + 100] AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT w.doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)) USING (s) WHERE w.doc_id > low),
+far AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM hit),
+n AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM far),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, a, b FROM spans
+         UNION ALL SELECT doc_id, max(b), NULL, NULL, NULL FROM spans GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(h[2 * f + 1:CASE WHEN t IS NULL THEN length(h) ELSE 2 * t END], '' ORDER BY f) AS kept, CAST(sum(b - a) AS BIGINT) AS n_removed, count(a) AS n_spans FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

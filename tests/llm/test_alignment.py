@@ -49,9 +49,9 @@ def model(rows):
     return sorted(out, key=repr), {(x, y, n, n == best[x]) for (x, y), n in count.items()}
 
 
-def check(spark, rows, parts=2):
+def check(spark, rows, parts=2, **settings):
     df = spark.createDataFrame([(i, t, "x", 1, "x") for i, t in rows], "doc_id bigint, text string, stripe string, part int, doc string").repartition(parts)
-    found = alignment.align(df, A, B)
+    found = alignment.align(df, A, B, **settings)
     documents, pairs = model(rows)
     assert sorted((tuple(r) for r in found.documents.collect()), key=repr) == documents
     assert {tuple(r) for r in found.pairs().collect()} == pairs
@@ -75,8 +75,7 @@ def test_documents(spark):
 def test_many_parts_and_hot_words(spark, monkeypatch):
     """Stripes cut to parts by a small bound, blocks of few documents."""
     monkeypatch.setattr(alignment, "PART_BYTES", 500)
-    monkeypatch.setattr(alignment, "TEXT_BYTES", 200)
-    check(spark, [(i, f"the same words of all, then word{i % 13} and the {'the ' * (i % 5)}end") for i in range(120)])
+    check(spark, [(i, f"the same words of all, then word{i % 13} and the {'the ' * (i % 5)}end") for i in range(120)], text_bytes=200)
 
 
 def test_empty(spark):
