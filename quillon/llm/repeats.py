@@ -31,9 +31,11 @@ from .common import materialize, trimmed
 #: Bytes of the strings that are hashed for the first digit.
 GRAM = 16
 #: Bytes of text that are worked on at a time.
-SEGMENT = 2_000_000
+SEGMENT = 300_000
 #: Kinds of runs in a group that are sorted in one place.
-CROWD = 2000
+CROWD = 50_000
+#: Runs of documents read together that are combined before the shuffle.
+COMBINE = 400_000
 #: Rows that are sorted at a time, a group at least.
 SORT_ROWS = 20_000
 _LAST = (1 << 63) - 1
@@ -134,40 +136,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+_NAMED, _KNOWN = 1, 2
+
+
 def _scan(keyed: DataFrame, window: int, segment: int) -> DataFrame:
-    """(g, own, d, named, k, known): a run once for each document; of documents read together those after the first that has it
+    """(g, own, k, flags): a run once for each document; of documents read together those after the first that has it
     are known to repeat it, and are dealt by document."""
 
+    def combined(digit, own, d, named, k) -> pa.RecordBatch:
+        order = np.lexsort((k, d, own))
+        digit, own, d, named, k = (x[order] for x in (digit, own, d, named, k))
+        first = np.append(True, own[1:] != own[:-1])
+        again = ~first & np.append(False, (k[1:] == k[:-1]) & (named[1:] == named[:-1]))
+        known = d > d[np.flatnonzero(first)][np.cumsum(first) - 1]
+        g = np.where(known, _mix(k.view(np.uint64)).view(np.int64), digit)
+        flags = (named * _NAMED + known * _KNOWN).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in (g, own, k, flags)], ["g", "own", "k", "flags"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             d, named, k = (np.array(b.column(c).to_pylist()) for c in ("d", "named", "k"))
+            held = []
             for _, _, _, digit, own, doc, _ in _runs(b.column("body").to_pylist(), window, segment):
-                order = np.lexsort((k[doc], d[doc], own))
-                doc, own, digit = doc[order], own[order], digit[order]
-                first = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
-                again = ~first & np.append(False, (k[doc[1:]] == k[doc[:-1]]) & (named[doc[1:]] == named[doc[:-1]])) if len(own) else first
-                known = d[doc] > d[doc[np.flatnonzero(first)]][np.cumsum(first) - 1] if len(own) else first
-                g = np.where(known, _mix(k[doc].view(np.uint64)).view(np.int64), digit) if len(own) else digit
-                doc, own, known, g = doc[~again], own[~again], known[~again], g[~again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, own, d[doc], named[doc], k[doc], known)], ["g", "own", "d", "named", "k", "known"])
+                held.append((digit, own, d[doc], named[doc], k[doc]))
+                if sum(len(x[0]) for x in held) > COMBINE:
+                    yield combined(*map(np.concatenate, zip(*held)))
+                    held = []
+            if sum(len(x[0]) for x in held):
+                yield combined(*map(np.concatenate, zip(*held)))
 
-    return keyed.select("d", "named", "k", "body").mapInArrow(trimmed(run), "g bigint, own bigint, d bigint, named boolean, k bigint, known boolean")
+    return keyed.select("d", "named", "k", "body").mapInArrow(trimmed(run), "g bigint, own bigint, k bigint, flags tinyint")
 
 
 def _first_two_digits(runs: DataFrame) -> DataFrame:
     """(named, k, done, ask, crowded): hashes of a document's runs that are repeated throughout, of those whose bytes are needed, and
     of those of crowded groups.  One shuffle; groups are sorted and streamed, and spill."""
-    group, kind = Window.partitionBy("known", "g"), Window.partitionBy("known", "g", "own")
-    rows = runs.repartition("g").withColumn("first", F.min("d").over(kind))
-    rows = rows.withColumn("least", F.min("first").over(group)).withColumn("most", F.max("first").over(group))
-    rows = rows.withColumn("other", F.min("own").over(group) != F.max("own").over(group)).withColumn("kinds", F.count_if(F.col("d") == F.col("first")).over(group))
-    done = F.col("known") | (F.col("d") > F.col("first"))
-    open_ = ~done & F.col("other") & (F.col("least") < F.col("most"))
-    rows = rows.where(done | open_).groupBy("named", "k")
+    flag = lambda bit: F.col("flags").bitwiseAND(bit) > 0
+    named, known = F.col("named"), F.col("known")
+    # The digit comes first in the windows, as Spark sorts by the first column's bits.
+    group, kind = Window.partitionBy("g", "known"), Window.partitionBy("g", "known", "own")
+    rows = runs.repartition("g").select("g", "own", "k", flag(_NAMED).alias("named"), flag(_KNOWN).alias("known"))
+    rows = rows.select("*", F.when(named, F.col("k")).otherwise(F.lit(_LAST)).alias("d"))
+    rows = rows.select("*", F.min("d").over(group).alias("least"), F.max("d").over(group).alias("most")).where(known | (F.col("least") < F.col("most")))
+    rows = rows.select("*", F.min("d").over(kind).alias("first")).select("*", (F.col("d") == F.col("first")).alias("is_first"))
+    rows = rows.select("*", (F.min("own").over(group) != F.max("own").over(group)).alias("other"), F.count_if("is_first").over(group).alias("kinds"))
+    done = known | (F.col("d") > F.col("first"))
+    open_ = ~done & F.col("other")
+    rows = rows.select(named.alias("named"), "k", "own", done.alias("is_done"), open_.alias("is_open"), "kinds").where("is_done or is_open")
     pick = lambda c: F.collect_set(F.when(c, F.col("own")))
-    return rows.agg(pick(done).alias("done"), pick(open_ & (F.col("kinds") <= CROWD)).alias("ask"), pick(open_ & (F.col("kinds") > CROWD)).alias("crowded"))
+    few = F.col("kinds") <= CROWD
+    return rows.groupBy("named", "k").agg(pick(F.col("is_done")).alias("done"), pick(F.col("is_open") & few).alias("ask"), pick(F.col("is_open") & ~few).alias("crowded"))
 
 
 _PIECE = "g bigint, body binary, at int, own bigint, d bigint, named boolean, k bigint, crowded boolean"
