@@ -6,8 +6,9 @@ end cut them into groups.  The count of a pair of ids is the number of documents
 Counts are dense matrices in stripes by A's id: stripe a % STRIPES has a row for each of its ids and a column for each id of B.  A scan
 writes, for some documents at a time and for each stripe, the distinct pairs in order with the documents that hold them.  These blocks
 are dealt by stripe; ``np.add.at`` adds their counts up, the row maxima give each id's best partners, and the same blocks, dealt
-again together with their stripe's counts, are scored against them.  A stripe with more than PART_BYTES of blocks is dealt to as many
-parts, each with the stripe's counts, so a common id makes more tasks and not longer ones.  A task holds one stripe at a time.
+again by lane (LANES sets of stripes) together with their stripes' counts, are scored against them.  A lane with more than PART_BYTES of
+blocks is dealt to as many parts by document, each with the lane's counts, so a common id makes more tasks and not longer ones.  A task
+holds one stripe at a time, and passes a document's sums on once for all stripes of its lane.
 
 Both tokenizers are asked for each distinct piece between single spaces once, where their files show that no token crosses them (the
 first by its splitting pattern, the second as no piece has a space behind another character); whole texts otherwise.
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 from .common import materialize, trimmed
 
 STRIPES = 256
+#: Stripe by stripe, a task scores all stripes of a lane for some of the documents.
+LANES = 16
 #: Documents and bytes of text that make a block.
-DOCS, TEXT_BYTES = 4096, 8_000_000
-#: Bytes of a stripe's blocks that are dealt to one task.
-PART_BYTES = 256_000_000
+DOCS, TEXT_BYTES = 4096, 4_000_000
+#: Bytes of a lane's blocks that are dealt to one task.
+PART_BYTES = 64_000_000
 #: Pieces that a worker remembers, and the longest that it does.
-PIECES, PIECE_LENGTH = 150_000, 40
+PIECES, PIECE_LENGTH = 60_000, 40
 
 #: Fixed value: how the byte-level pre-tokeniser must read for texts to be cut at single spaces.
 SPACE_SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -318,16 +321,17 @@ def _sum_counts(table: DataFrame, cells: int, keys: list[str]) -> DataFrame:
 
 
 #: Documents whose scores a task adds up before it passes them on.
-HELD_DOCS = 1_000_000
+HELD_DOCS = 4_000_000
 
 
 def _score(links: DataFrame, counts: DataFrame, rows: int, width: int) -> DataFrame:
-    """(doc, n_best, count_sum) of each document and task.  ``links`` and ``counts`` are dealt by stripe and part; a part's counts come
+    """(doc, n_best, count_sum) of each document and lane.  ``links`` and ``counts`` are dealt by lane and part; a stripe's counts come
     before its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, best, filled = np.zeros(rows * width, dtype=np.int64), np.zeros(rows, dtype=np.int64), np.zeros(0, np.int64)
         total: dict[int, np.ndarray] = {}
+        size = 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for block, t in total.items():
@@ -347,17 +351,23 @@ def _score(links: DataFrame, counts: DataFrame, rows: int, width: int) -> DataFr
                 count = matrix[places]
                 is_best = count == best[places // width]
                 who, times = _read(who), _read(times)
-                if block not in total:
-                    if len(total) * DOCS >= HELD_DOCS:
+                if not len(who):
+                    continue
+                held, last = total.get(block), int(who.max()) + 1
+                if held is None or held.shape[1] < last:
+                    if size >= HELD_DOCS:
                         yield from passed_on()
-                    total[block] = np.zeros((2, DOCS), dtype=np.int64)
+                        size, held = 0, None
+                    more = last if held is None else last - held.shape[1]
+                    total[block] = np.zeros((2, last), dtype=np.int64) if held is None else np.pad(held, ((0, 0), (0, more)))
+                    size += more
                 np.add.at(total[block][0], who, times * np.repeat(is_best, holders))
                 np.add.at(total[block][1], who, times * np.repeat(count, holders))
         yield from passed_on()
 
-    names = ["stripe", "part", "block", "places", "holders", "docs", "times"]
+    names = ["lane", "part", "stripe", "block", "places", "holders", "docs", "times"]
     both = links.select(*names).unionByName(counts.select(*names))
-    dealt = both.repartition("stripe", "part").sortWithinPartitions("stripe", "part", F.col("block").asc_nulls_first())
+    dealt = both.repartition("lane", "part").sortWithinPartitions("lane", "part", "stripe", F.col("block").asc_nulls_first())
     return dealt.mapInArrow(trimmed(run), "doc bigint, n_best bigint, count_sum bigint")
 
 
@@ -391,14 +401,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, text_bytes: int = TEXT_BYTE
     rows, width = pair.rows, pair.width
     table = materialize(scan(docs, path_a, path_b, text_bytes), "links")
     links, own = table.where("stripe is not null"), table.where("stripe is null")
-    # STRIPES rows at most: into how many parts each stripe goes.
+    # LANES rows: into how many parts each lane goes.
     size = F.octet_length("places") + F.octet_length("holders") + F.octet_length("docs") + F.octet_length("times")
-    parts = {r["stripe"]: -(-r["n"] // PART_BYTES) for r in links.groupBy("stripe").agg(F.sum(size).alias("n")).collect()}
-    many = F.element_at(F.array(*[F.lit(parts.get(s, 1)) for s in range(STRIPES)]), F.col("stripe") + 1)
-    dealt = links.withColumn("part", F.pmod(F.xxhash64("block"), many).cast("int"))
+    lane = F.pmod(F.col("stripe"), F.lit(LANES)).alias("lane")
+    parts = {r["lane"]: -(-r["n"] // PART_BYTES) for r in links.groupBy(lane).agg(F.sum(size).alias("n")).collect()}
+    many = F.element_at(F.array(*[F.lit(parts.get(n, 1)).cast("int") for n in range(LANES)]), F.col("lane") + 1)
+    dealt = links.withColumn("lane", lane).withColumn("part", F.pmod(F.xxhash64("block"), many).cast("int"))
     partial = _sum_counts(dealt, rows * width, ["stripe", "part"])
     counts = materialize(_sum_counts(partial, rows * width, ["stripe"]), "counts")
-    to_parts = counts.select("stripe", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)).alias("part"), F.lit(None).cast("bigint").alias("block"), "places", "holders", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
+    to_parts = counts.withColumn("lane", lane).select("lane", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"), "stripe", F.lit(None).cast("bigint").alias("block"), "places", "holders", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
     scored = _score(dealt, to_parts, rows, width).groupBy("doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     documents = own.select("doc", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(scored, "doc", "left")
