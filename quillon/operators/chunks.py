@@ -2,31 +2,184 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
+from collections.abc import Iterator
 
-def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq: str = "seq", text: str = "text", section: str | None = None) -> DataFrame:
-    """(doc_id, chunk, seq, tokens, over): blocks in order are dealt to chunks by the running sum of their white-space tokens.
-
-    Blocks stay whole and no chunk crosses a section.  Chunk numbers are those of windows of ``limit`` tokens in which a block's
-    last token lies, so a chunk's blocks after the first fit the limit; a block that is longer alone is marked ``over``."""
-    tokens = F.when(F.trim(F.col(text)) == "", 0).otherwise(F.size(F.split(F.trim(F.col(text)), r"\s+")))
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+#: Labels of headings and of list items.
+TITLE, HEADING, LIST_ITEM = "title", "section_header", "list_item"
+
+
+def count_tokens(text: Column) -> Column:
+    """White-space tokens."""
+    return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("bigint")
+
+
+class _Budget:
+    """Deals blocks to chunks as they come, a stretch of one document and section at a time; it holds on to numbers of the chunk it is at."""
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap = limit, overlap
+        self.reset(True)
+
+    def reset(self, new_document: bool) -> None:
+        """The next block starts a chunk that has nothing to do with those before it."""
+        self.chunk = -1 if new_document else self.chunk
+        self.used, self.own = None, []  # tokens of the chunk so far, None before the first block; its blocks that may be repeated
+
+    def deal(self, tokens: np.ndarray) -> list[tuple[int, list[tuple[int, int]], int, int]]:
+        """For blocks in order: (chunk, blocks repeated from the chunk before as (how far back from the stretch's start, tokens), first, end)."""
+        out, at, so_far = [], 0, np.cumsum(tokens)
+        while at < len(tokens):
+            before = int(so_far[at - 1]) if at else 0
+            repeated: list[tuple[int, int]] = []
+            fits = int(np.searchsorted(so_far, before + self.limit - self.used, side="right")) if self.used is not None else at
+            if fits <= at:  # a new chunk, which the block opens whatever its length
+                room, total = min(self.overlap, self.limit - int(tokens[at])), 0
+                for back, n in reversed(self.own):
+                    if total + n > room:
+                        break
+                    total += n
+                    repeated.insert(0, (back, n))
+                while repeated and not repeated[0][1]:
+                    total -= repeated.pop(0)[1]
+                self.chunk, self.used, self.own = self.chunk + 1, total, []
+                fits = max(at + 1, int(np.searchsorted(so_far, before + self.limit - self.used, side="right")))
+            out.append((self.chunk, repeated, at, fits))
+            self.used += int(so_far[fits - 1]) - before
+            self.own += [(i, int(tokens[i])) for i in range(at, fits)]
+            while self.own and sum(n for _, n in self.own[1:]) >= self.overlap:
+                self.own.pop(0)
+            at = fits
+        self.own = [(i - len(tokens), n) for i, n in self.own]
+        return out
+
+
+def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq: str = "seq", text: str = "text", section: str | None = None, overlap: int = 0) -> DataFrame:
+    """``blocks`` with tokens, chunk, over and context: blocks in order are dealt to chunks of at most ``limit`` white-space tokens.
+
+    Greedy: a block goes to the chunk at hand if it fits, else it opens the next.  Blocks stay whole; one that is longer than the limit has a
+    chunk of its own, ``over``.  No chunk crosses a change of section.  With ``overlap`` a chunk that a full one precedes starts with the longest
+    run of that one's last blocks that has at most so many tokens and leaves room for its first block, without leading blocks of no tokens; these rows are
+    ``context``, and each block is a row without it exactly once.
+
+    One shuffle by document and a sort; documents then stream through a running sum, which jumps from chunk to chunk.  Blocks of equal
+    order are ordered by their text; null documents count as one."""
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError("needs 0 <= overlap < limit")
+    rows = blocks.withColumn("tokens", F.coalesce(count_tokens(F.col(text)), F.lit(0).cast("bigint")))
+    schema = to_arrow_schema(rows.schema)
+    out_schema = schema.append(pa.field("chunk", pa.int64())).append(pa.field("over", pa.bool_())).append(pa.field("context", pa.bool_()))
     keys = [doc_id, section] if section else [doc_id]
-    rows = blocks.withColumn("tokens", tokens.cast("bigint"))
-    so_far = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__end", F.sum("tokens").over(so_far)).withColumn("__w", F.floor((F.greatest("__end", F.lit(1)) - 1) / limit))
-    order = Window.partitionBy(doc_id).orderBy(seq)
-    new = F.when(F.lag("__w").over(order).isNull() | (F.lag("__w").over(order) != F.col("__w")) | ((F.lag(section).over(order) != F.col(section)) if section else F.lit(False)), 1).otherwise(0)
-    rows = rows.withColumn("__new", new).withColumn("chunk", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("over", F.col("tokens") > limit).drop("__end", "__w", "__new")
-
 
-def chunk_problems(blocks: DataFrame, chunks: DataFrame, doc_id: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """(doc_id, lost, repeated): blocks that no chunk has, and those that more than one has."""
-    n = chunks.groupBy(doc_id, seq).agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        budget, last, kept = _Budget(limit, overlap), None, None
+        for b in batches:
+            if not len(b):
+                continue
+            names = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
+            tokens = b.column(b.schema.get_field_index("tokens")).to_numpy()
+            marks = list(zip(*names))
+            starts = [i for i in range(len(b)) if (marks[i] != marks[i - 1] if i else marks[0] != last)]
+            cuts = sorted({0, *starts, len(b)})
+            # Rows of former batches that may be repeated come before this one's.
+            pool = pa.concat_batches([kept, b]) if kept is not None else b
+            shift = len(pool) - len(b)
+            take, chunk, context = [], [], []
+            for i, j in zip(cuts, cuts[1:]):
+                if i in starts:
+                    before = marks[i - 1] if i else last
+                    budget.reset(before is None or before[0] != marks[i][0])
+                for number, repeated, s, e in budget.deal(tokens[i:j]):
+                    take += [*(shift + i + back for back, _ in repeated), *range(shift + i + s, shift + i + e)]
+                    chunk += [number] * (len(repeated) + e - s)
+                    context += [True] * len(repeated) + [False] * (e - s)
+            last = marks[-1]
+            back = max((-at for at, _ in budget.own), default=0)
+            kept = pool.slice(len(pool) - back) if back else None
+            rows_out = pool.take(pa.array(take, pa.int64()))
+            over = pc.greater(rows_out.column(rows_out.schema.get_field_index("tokens")), limit)
+            yield pa.RecordBatch.from_arrays([*rows_out.columns, pa.array(chunk, pa.int64()), over, pa.array(context, pa.bool_())], schema=out_schema)
+
+    dealt = rows.repartition(doc_id).sortWithinPartitions(doc_id, seq, text)
+    return dealt.mapInArrow(run, from_arrow_schema(out_schema))
+
+
+def chunk_problems(blocks: DataFrame, chunks: DataFrame, doc_id: str = "doc_id", seq: str = "seq", limit: int | None = None, overlap: int = 0, section: str | None = None) -> DataFrame:
+    """(doc_id, lost, repeated): blocks that no chunk has, and those that more than one has as its own.
+
+    With a ``limit`` also the chunks that break what chunk_by_tokens() promises: over_limit (more than it, and of more than one block), gaps (blocks between
+    the first and the last are missing), mixed (two sections) and bad_context (longer than ``overlap``, or not right before the chunk)."""
+    context = F.col("context") if "context" in chunks.columns else F.lit(False)
+    n = chunks.where(~context).groupBy(doc_id, seq).agg(F.count("*").alias("n"))
     j = blocks.select(doc_id, seq).join(n, [doc_id, seq], "left")
-    return j.groupBy(doc_id).agg(F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(F.col("n") > 1).alias("repeated"))
+    whole = j.groupBy(doc_id).agg(F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(F.col("n") > 1).alias("repeated"))
+    if limit is None:
+        return whole
+    place = blocks.select(doc_id, seq, F.row_number().over(Window.partitionBy(doc_id).orderBy(seq)).alias("__place"))
+    held = chunks.withColumn("__context", context).join(place, [doc_id, seq])
+    own, other = F.when(~F.col("__context"), F.col("__place")), F.when(F.col("__context"), F.col("__place"))
+    each = held.groupBy(doc_id, "chunk").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("rows"), F.max(own).alias("last"), F.min(own).alias("first"), F.count(own).alias("owns"), F.count(other).alias("others"), F.min(other).alias("from"), F.max(other).alias("to"),
+        F.coalesce(F.sum(F.when(F.col("__context"), F.col("tokens"))), F.lit(0)).alias("repeats"), (F.count_distinct(section) if section else F.lit(1)).alias("sections"),
+    )
+    near = (F.col("others") == 0) | ((F.col("to") == F.col("first") - 1) & (F.col("to") - F.col("from") + 1 == F.col("others")) & (F.col("repeats") <= overlap))
+    broken = each.groupBy(doc_id).agg(
+        F.count_if((F.col("tokens") > limit) & (F.col("rows") > 1)).alias("over_limit"), F.count_if(F.col("last") - F.col("first") + 1 != F.col("owns")).alias("gaps"), F.count_if(F.col("sections") > 1).alias("mixed"), F.count_if(~near).alias("bad_context")
+    )
+    return whole.join(broken, doc_id, "left").select(doc_id, "lost", "repeated", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("over_limit", "gaps", "mixed", "bad_context")])
+
+
+def section_paths(items: DataFrame, levels: int = 9, doc_id: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """``items`` (doc_id, seq, ref, label, level, text) with headings, an array of (level, ref, text): those that an item stands under, the highest first.
+
+    A title has level 0 and a heading without a level 1; those below ``levels`` count as of that one.  A heading stands under those above it.  For
+    each level the last heading so far is carried along in one window; it holds if none of a higher rank came after it."""
+    rank = F.when(F.col("label") == TITLE, 0).when(F.col("label") == HEADING, F.least(F.greatest(F.coalesce(F.col("level").cast("int"), F.lit(1)), F.lit(1)), F.lit(levels)))
+    before = Window.partitionBy(doc_id).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda n: F.last(F.when(F.col("__rank") == n, F.struct(F.col(seq).alias("at"), F.lit(n).alias("level"), "ref", "text")), ignorenulls=True).over(before)
+    rows = items.withColumn("__rank", rank).select("*", F.array(*[at(n) for n in range(levels + 1)]).alias("__last"))
+    holds = lambda h, i: h.isNotNull() & (F.col("__rank").isNull() | (h["level"] < F.col("__rank"))) & ~F.exists(F.slice("__last", 1, i), lambda g: F.coalesce(g["at"] > h["at"], F.lit(False)))
+    path = F.transform(F.filter("__last", holds), lambda h: F.struct(h["level"].alias("level"), h["ref"].alias("ref"), h["text"].alias("text")))
+    return rows.withColumn("headings", path).drop("__rank", "__last")
+
+
+def section_chunks(items: DataFrame, captions: DataFrame | None = None, levels: int = 9, doc_id: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """(doc_id, chunk, label, text, headings, body_refs, context_refs): a chunk for each leaf, and one for each unbroken run of list items of a section.
+
+    ``items`` as for section_paths(), ``captions`` (doc_id, ref, caption).  Headings are context of what they stand over, captions of what they belong
+    to, after the headings; every other item is in the body of exactly one chunk.  Empty texts are bodies, too."""
+    rows = section_paths(items, levels, doc_id, seq)
+    if captions is not None:
+        owned = captions.groupBy(doc_id, "ref").agg(F.array_sort(F.collect_set("caption")).alias("captions"))
+        rows = rows.join(captions.select(doc_id, F.col("caption").alias("ref")).distinct(), [doc_id, "ref"], "left_anti").join(owned, [doc_id, "ref"], "left")
+    else:
+        rows = rows.withColumn("captions", F.lit(None).cast("array<string>"))
+    order = Window.partitionBy(doc_id).orderBy(seq)
+    heading = F.coalesce(F.col("label").isin(TITLE, HEADING), F.lit(False))
+    goes_on = F.coalesce((F.col("label") == LIST_ITEM) & (F.lag("label").over(order) == LIST_ITEM), F.lit(False))
+    numbered = rows.withColumn("__new", F.when(heading | goes_on, 0).otherwise(1)).withColumn("chunk", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).where(~heading)
+    part = F.struct(F.col(seq).alias("at"), "ref", F.coalesce("text", F.lit("")).alias("text"), "label", "headings", F.coalesce("captions", F.array().cast("array<string>")).alias("captions"))
+    parts = numbered.groupBy(doc_id, "chunk").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    first = F.get("parts", F.lit(0))
+    refs = F.concat(F.transform(first["headings"], lambda h: h["ref"]), F.flatten(F.transform("parts", lambda p: p["captions"])))
+    return parts.select(
+        doc_id, F.col("chunk").cast("bigint").alias("chunk"), first["label"].alias("label"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), F.transform(first["headings"], lambda h: h["text"]).alias("headings"),
+        F.transform("parts", lambda p: p["ref"]).alias("body_refs"), refs.alias("context_refs"),
+    )
+
+
+def hybrid_chunks(items: DataFrame, limit: int, overlap: int = 0, levels: int = 9, doc_id: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """The leaves of ``items``, as for section_paths(), dealt by chunk_by_tokens() to chunks that do not cross a section: section is the number of headings so far."""
+    heading = F.coalesce(F.col("label").isin(TITLE, HEADING), F.lit(False))
+    order = Window.partitionBy(doc_id).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    rows = section_paths(items, levels, doc_id, seq).withColumn("section", F.count_if(heading).over(order)).where(~heading)
+    return chunk_by_tokens(rows, limit, doc_id, seq, "text", "section", overlap)
 
 
 def resolve_annotations(annotations: DataFrame, ranks: tuple[str, ...] = ("native", "numbering", "style"), keys: tuple[str, ...] = ("doc_id", "seq")) -> DataFrame:

@@ -330,7 +330,7 @@ def resolution_documents(spark, sf_dir):
 
 @query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, 'classification' AS category, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM (SELECT doc_id, label, min(n) AS n FROM i GROUP BY ALL)
   UNION ALL SELECT doc_id, 'headings', n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 FROM i WHERE label = 'section_header')
-SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, i.text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
+SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, CASE WHEN length(i.text) <= {canonical.LONGEST_TEXT} THEN i.text END AS text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
 UNION ALL SELECT doc_id, 'hierarchy', 0, '#/body', NULL FROM documents WHERE text IS NOT NULL""")
 def excerpt_documents(spark, sf_dir):
     e = evidence.excerpts(results_view(spark, sf_dir))
@@ -405,6 +405,26 @@ def ref_traversal(spark, sf_dir):
     return o.select("doc_id", "ref", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.col("depth").cast("bigint").alias("depth"), "cyclic")
 
 
+_SHARED = "l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {_SHARED},
+e AS (SELECT doc_id, i, pos, 2 * i + 1 + pos AS child FROM l, (SELECT unnest(range(0, 1000000)) AS i) x, (VALUES (0), (1), (2)) p(pos) WHERE i < n AND 2 * i + 1 + pos < n),
+w AS (SELECT doc_id, 0 AS node, [0] AS path FROM l UNION ALL SELECT w.doc_id, e.child, list_append(path, e.pos) FROM w JOIN e ON w.doc_id = e.doc_id AND w.node = e.i)
+SELECT doc_id, CAST(node AS BIGINT) AS node, array_to_string(min(path), '.') AS path, CAST(len(min(path)) - 1 AS BIGINT) AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(path)) AS BIGINT) AS seq FROM w GROUP BY doc_id, node""")
+def reading_order_documents(spark, sf_dir):
+    """A document's lines as nodes, where line i holds the lines 2i+1, 2i+2 and 2i+3, the last of which the next line holds, too: the
+    number of paths grows with a power of the lines, that of rows does not."""
+    n = F.size(F.split("text", "\n"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", n.alias("n"))
+    each = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("doc_id", "n", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("pos"))
+    name = lambda c: c.cast("string")
+    edges = each.withColumn("child", 2 * F.col("i") + 1 + F.col("pos")).where("child < n").select("doc_id", name(F.col("i")).alias("parent"), "pos", name(F.col("child")).alias("child"))
+    o = references.reading_order(d.select("doc_id", F.lit(0).alias("pos"), F.lit("0").alias("child")), edges, max_depth=None)
+    order = Window.partitionBy("doc_id").orderBy("path")
+    return o.select("doc_id", F.col("ref").cast("bigint").alias("node"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.col("depth").cast("bigint").alias("depth"), F.row_number().over(order).cast("bigint").alias("seq"))
+
+
 @query("SELECT * FROM (VALUES (1, 'g0', 'A C', 'g0,t1,g1,t2,t3', true)) t(doc_id, ref, text, refs, bold)")
 def group_flatten(spark, sf_dir):
     edges = rows(spark, "doc_id int, parent string, pos int, child string", _EDGES).where("doc_id = 1")
