@@ -32,6 +32,20 @@ class _Budget:
         self.chunk = -1 if new_document else self.chunk
         self.used, self.own = None, []  # tokens of the chunk so far, None before the first block; its blocks that may be repeated
 
+    def reach(self, so_far: np.ndarray, at: int, end: int) -> int:
+        """The first block from which to ``end`` there are at most ``overlap`` tokens."""
+        return int(np.searchsorted(so_far, int(so_far[end - 1]) - self.overlap)) + 1 if self.overlap and so_far[end - 1] > self.overlap else at if self.overlap else end
+
+    def keep(self, more: list[tuple[int, int]]) -> None:
+        """The chunk's last blocks, while they have at most ``overlap`` tokens."""
+        total, kept = 0, []
+        for back, n in reversed(self.own + more):
+            total += n
+            if total > self.overlap or not self.overlap:
+                break
+            kept.append((back, n))
+        self.own = kept[::-1]
+
     def deal(self, tokens: np.ndarray) -> list[tuple[int, list[tuple[int, int]], int, int]]:
         """For blocks in order: (chunk, blocks repeated from the chunk before as (how far back from the stretch's start, tokens), first, end)."""
         out, at, so_far = [], 0, np.cumsum(tokens)
@@ -52,9 +66,7 @@ class _Budget:
                 fits = max(at + 1, int(np.searchsorted(so_far, before + self.limit - self.used, side="right")))
             out.append((self.chunk, repeated, at, fits))
             self.used += int(so_far[fits - 1]) - before
-            self.own += [(i, int(tokens[i])) for i in range(at, fits)]
-            while self.own and sum(n for _, n in self.own[1:]) >= self.overlap:
-                self.own.pop(0)
+            self.keep([(i, int(tokens[i])) for i in range(max(at, self.reach(so_far, at, fits)), fits)])
             at = fits
         self.own = [(i - len(tokens), n) for i, n in self.own]
         return out
@@ -154,12 +166,12 @@ def section_chunks(items: DataFrame, captions: DataFrame | None = None, levels:
 
     ``items`` as for section_paths(), ``captions`` (doc_id, ref, caption).  Headings are context of what they stand over, captions of what they belong
     to, after the headings; every other item is in the body of exactly one chunk.  Empty texts are bodies, too."""
-    rows = section_paths(items, levels, doc_id, seq)
     if captions is not None:
         owned = captions.groupBy(doc_id, "ref").agg(F.array_sort(F.collect_set("caption")).alias("captions"))
-        rows = rows.join(captions.select(doc_id, F.col("caption").alias("ref")).distinct(), [doc_id, "ref"], "left_anti").join(owned, [doc_id, "ref"], "left")
+        rows = items.join(captions.select(doc_id, F.col("caption").alias("ref")).distinct(), [doc_id, "ref"], "left_anti").join(owned, [doc_id, "ref"], "left")
     else:
-        rows = rows.withColumn("captions", F.lit(None).cast("array<string>"))
+        rows = items.withColumn("captions", F.lit(None).cast("array<string>"))
+    rows = section_paths(rows, levels, doc_id, seq)
     order = Window.partitionBy(doc_id).orderBy(seq)
     heading = F.coalesce(F.col("label").isin(TITLE, HEADING), F.lit(False))
     goes_on = F.coalesce((F.col("label") == LIST_ITEM) & (F.lag("label").over(order) == LIST_ITEM), F.lit(False))

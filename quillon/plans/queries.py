@@ -687,19 +687,51 @@ def card_merge(spark, sf_dir):
 
 # --- chunks and vectors ----------------------------------------------------------------------------------------------
 
-@query(f"""WITH {_LINES}, t AS (SELECT doc_id, seq, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END AS tokens FROM l),
-w AS (SELECT *, floor((greatest(sum(tokens) OVER (PARTITION BY doc_id ORDER BY seq), 1) - 1) / 64) AS w FROM t),
-n AS (SELECT *, CASE WHEN lag(w) OVER (PARTITION BY doc_id ORDER BY seq) IS DISTINCT FROM w THEN 1 ELSE 0 END AS new FROM w)
-SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(tokens AS BIGINT) AS tokens, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS chunk, tokens > 64 AS over FROM n""")
+#: Tokens of a chunk, and of what it repeats from the one before.
+LIMIT, OVERLAP = 64, 16
+
+_TOKENS = f"{_LINES}, t AS (SELECT doc_id, seq, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END AS tokens FROM l)"
+
+
+@query(f"""WITH RECURSIVE {_TOKENS},
+d AS (SELECT doc_id, list(seq ORDER BY seq) AS q, list(tokens ORDER BY seq) AS t, list(p ORDER BY seq) AS p FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS p FROM t) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, q, t, p, 0 AS chunk, 1 AS x, 1 AS s, greatest(1, len(list_filter(p, lambda y: y <= {LIMIT}))) AS e FROM d
+  UNION ALL
+  SELECT doc_id, q, t, p, chunk + 1, x, s, list_max(list_filter(range(s, len(t) + 1), lambda j: j = s OR p[j] - p[x] + t[x] <= {LIMIT})) FROM (
+    SELECT doc_id, q, t, p, chunk, e + 1 AS s, coalesce(list_min(list_filter(range(s, e + 1), lambda j: t[j] > 0 AND p[e] - p[j] + t[j] <= least({OVERLAP}, {LIMIT} - t[e + 1]))), e + 1) AS x
+    FROM c WHERE e < len(t)))
+SELECT doc_id, CAST(q[i] AS BIGINT) AS seq, CAST(t[i] AS BIGINT) AS tokens, CAST(chunk AS BIGINT) AS chunk, t[i] > {LIMIT} AS over, i < s AS context FROM (SELECT *, unnest(range(x, e + 1)) AS i FROM c)""")
 def chunk_blocks(spark, sf_dir):
-    c = chunks.chunk_by_tokens(lines_view(spark, sf_dir), 64)
-    return c.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "tokens", F.col("chunk").cast("bigint").alias("chunk"), "over")
+    c = chunks.chunk_by_tokens(lines_view(spark, sf_dir), LIMIT, overlap=OVERLAP)
+    return c.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "tokens", "chunk", "over", "context")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS repeated FROM l GROUP BY doc_id")
+@query(f"WITH {_LINES} SELECT doc_id, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in ('lost', 'repeated', 'over_limit', 'gaps', 'mixed', 'bad_context'))} FROM l GROUP BY doc_id")
 def chunk_invariants(spark, sf_dir):
     v = lines_view(spark, sf_dir)
-    return chunks.chunk_problems(v, chunks.chunk_by_tokens(v, 64))
+    return chunks.chunk_problems(v, chunks.chunk_by_tokens(v, LIMIT, overlap=OVERLAP), limit=LIMIT, overlap=OVERLAP)
+
+
+def items_view(spark, sf_dir) -> DataFrame:
+    """Lines as items: short ones are headings of level 1 to 3, of the others each fifth length is a list item's."""
+    n = F.length("text")
+    label = F.when(n < 40, "section_header").when(n % 5 == 0, "list_item").otherwise("text")
+    return lines_view(spark, sf_dir).select("doc_id", "seq", F.concat(F.lit("#/texts/"), F.col("seq").cast("string")).alias("ref"), label.alias("label"), F.when(n < 40, 1 + n % 3).alias("level"), "text")
+
+
+@query(f"""WITH {_LINES},
+i AS (SELECT doc_id, seq, text, CASE WHEN length(text) < 40 THEN 'section_header' WHEN length(text) % 5 = 0 THEN 'list_item' ELSE 'text' END AS label, CASE WHEN length(text) < 40 THEN 1 + length(text) % 3 END AS level FROM l),
+h AS (SELECT doc_id, seq, text, level FROM i WHERE level IS NOT NULL),
+over_ AS (SELECT h.doc_id, h.seq AS pos, h.text, h.level, coalesce(min(n.seq), 1000000000) AS until FROM h LEFT JOIN h n ON n.doc_id = h.doc_id AND n.seq > h.seq AND n.level <= h.level GROUP BY ALL),
+g AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, label = 'list_item' ORDER BY seq) AS run FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place, seq AS pos, text, label, level, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS seq FROM i)),
+b AS (SELECT doc_id, min(pos) AS first, any_value(label) AS label, string_agg(text, chr(10) ORDER BY pos) AS text, string_agg('#/texts/' || pos, ',' ORDER BY pos) AS body FROM g WHERE level IS NULL GROUP BY doc_id, CASE WHEN label = 'list_item' THEN run ELSE -place END, label)
+SELECT b.doc_id, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY first) - 1 AS BIGINT) AS chunk, b.label, b.text,
+       coalesce(string_agg(o.text, ' > ' ORDER BY o.level), '') AS headings, body AS body_refs, coalesce(string_agg('#/texts/' || o.pos, ',' ORDER BY o.level), '') AS context_refs
+FROM b LEFT JOIN over_ o ON o.doc_id = b.doc_id AND o.pos < b.first AND b.first < o.until GROUP BY b.doc_id, first, b.label, b.text, body""")
+def section_chunk_documents(spark, sf_dir):
+    c = chunks.section_chunks(items_view(spark, sf_dir), levels=3)
+    return c.select("doc_id", "chunk", "label", "text", F.array_join("headings", " > ").alias("headings"), F.array_join("body_refs", ",").alias("body_refs"), F.array_join("context_refs", ",").alias("context_refs"))
 
 
 @query("SELECT label AS chunk, CAST(d - 1 AS INT) AS dim, round(avg(CAST(embedding[d] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings) GROUP BY 1, 2")
