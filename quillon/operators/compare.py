@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +39,75 @@ def text_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return out.withColumn("text_difference_pct", difference_percent(F.col("edit_distance"), F.col(left), F.col(right))).drop("__l", "__r")
 
 
+#: Pairs of equal positions that are listed at once; beyond, diagonals are gone through one by one.
+PAIRS = 4_000_000
+
+
+def _stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All longest runs of equal neighbours of two lists of numbers: where in ``a``, where in ``b``, how long."""
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order_b], a[order_a], side=side) for side in ("left", "right"))
+    many = high - low
+    if many.sum() <= PAIRS:
+        i = np.repeat(order_a, many)
+        j = order_b[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        order = np.lexsort((i, j - i))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, (np.diff(j - i) != 0) | (np.diff(i) != 1))) if len(i) else np.zeros(0, np.int64)
+        return i[start], j[start], np.diff(np.append(start, len(i)))
+    found = []
+    for d in range(1 - len(a), len(b)):
+        x, y = max(0, -d), max(0, d)
+        n = min(len(a) - x, len(b) - y)
+        edge = np.diff((a[x : x + n] == b[y : y + n]).astype(np.int8), prepend=0, append=0)
+        start = np.flatnonzero(edge == 1)
+        found.append((x + start, y + start, np.flatnonzero(edge == -1) - start))
+    return tuple(np.concatenate(z) for z in zip(*found))
+
+
+def matching_blocks(left: list, right: list) -> list[tuple[int, int, int]]:
+    """(where in left, where in right, how many): the longest equal run, of equally long ones the first in left, then in right; and so on
+    before and after it.
+
+    All runs are found once, as an index of equal positions.  In a part of both lists each counts as far as it lies in it."""
+    number: dict = {}
+    a, b = (np.array([number.setdefault(x, len(number)) for x in side], dtype=np.int64) for side in (left, right))
+    if not len(a) or not len(b):
+        return []
+    out, parts = [], [(0, len(a), 0, len(b), *_stretches(a, b))]
+    while parts:
+        a0, a1, b0, b1, i, j, n = parts.pop()
+        skip = np.maximum(0, np.maximum(a0 - i, b0 - j))
+        size = np.minimum(n, np.minimum(a1 - i, b1 - j)) - skip
+        inside = size > 0
+        if not inside.any():
+            continue
+        i, j, n, skip, size = (x[inside] for x in (i, j, n, skip, size))
+        best = np.lexsort((j + skip, i + skip, -size))[0]
+        x, y, k = int(i[best] + skip[best]), int(j[best] + skip[best]), int(size[best])
+        out.append((x, y, k))
+        parts += [(a0, x, b0, y, i, j, n), (x + k, a1, y + k, b1, i, j, n)]
+    return sorted(out)
+
+
+def list_edits(left: list, right: list) -> list[tuple[str, int, int, int, int]]:
+    """What turns one list into another around its matching blocks: operation, range in left, range in right."""
+    out, x, y = [], 0, 0
+    for i, j, n in [*matching_blocks(left, right), (len(left), len(right), 0)]:
+        if x < i or y < j:
+            out.append(("replace" if x < i and y < j else "delete" if x < i else "insert", x, i, y, j))
+        x, y = i + n, j + n
+    return out
+
+
 _EDIT = T.StructType([T.StructField("operation", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in "abcd")])
 
 
 @F.pandas_udf(T.ArrayType(_EDIT))
 def _edits(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """What turns one list of strings into another: operations other than "equal" with their ranges; null if either is."""
+    """list_edits() of two columns of string arrays; null if either is."""
     for left, right in parts:
-        lists = ((None if x is None else list(x), None if y is None else list(y)) for x, y in zip(left, right))
-        yield pd.Series([None if x is None or y is None else [dict(zip(("operation", "a", "b", "c", "d"), op)) for op in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if op[0] != "equal"] for x, y in lists], dtype=object)
+        yield pd.Series([None if x is None or y is None else [dict(zip(("operation", "a", "b", "c", "d"), e)) for e in list_edits(list(x), list(y))] for x, y in zip(left, right)], dtype=object)
 
 
 def block_diff(left: str, right: str) -> Column:

@@ -196,13 +196,24 @@ def pair_equality(spark, sf_dir):
     return p.select("repeat_set", "l_number", "r_number", (F.col("l_h") == F.col("r_h")).alias("content_equal"))
 
 
+#: Ids that one task puts in order.
+RANGE = 4096
+
+
 def neighbours(spark, sf_dir) -> DataFrame:
-    """Each document with the one before it in its source: ids are put in order, texts then come by id."""
-    d = table(spark, sf_dir, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    ids = d.select("source", F.col("doc_id").alias("r_number"), F.lag("doc_id").over(w).alias("l_number")).where("l_number is not null")
-    side = lambda p: d.select(F.col("doc_id").alias(f"{p}_number"), F.col("text").alias(f"{p}_text"))
-    return ids.join(side("l"), "l_number").join(side("r"), "r_number")
+    """(source, l_number, l_text, r_number, r_text): each document with the one before it in its source.
+
+    Ids are put in order in ranges of RANGE; the first of a range follows the last of the nearest range before it, which is found among the
+    ranges alone.  Of rows with the same source and id the least text stands for all; documents without an id have no neighbour, null sources are one."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    one = d.groupBy("source", "none", "doc_id").agg(F.min("text").alias("text"))
+    ids = d.select("source", "none", "doc_id").distinct().withColumn("range", F.expr(f"doc_id div {RANGE}"))
+    by_source = Window.partitionBy("source", "none").orderBy("range")
+    ranges = ids.groupBy("source", "none", "range").agg(F.max("doc_id").alias("last")).withColumn("before", F.lag("last").over(by_source))
+    inside = Window.partitionBy("source", "none", "range").orderBy("doc_id")
+    pairs = ids.withColumn("prev", F.lag("doc_id").over(inside)).join(ranges, ["source", "none", "range"]).select("source", "none", F.col("doc_id").alias("r_number"), F.coalesce("prev", "before").alias("l_number")).where("l_number is not null")
+    side = lambda p: one.select("source", "none", F.col("doc_id").alias(f"{p}_number"), F.col("text").alias(f"{p}_text"))
+    return pairs.join(side("l"), ["source", "none", "l_number"]).join(side("r"), ["source", "none", "r_number"]).withColumn("source", F.when(~F.col("none"), F.col("source"))).drop("none")
 
 
 @query()
