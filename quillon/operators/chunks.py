@@ -66,7 +66,10 @@ class _Budget:
                 fits = max(at + 1, int(np.searchsorted(so_far, before + self.limit - self.used, side="right")))
             out.append((self.chunk, repeated, at, fits))
             self.used += int(so_far[fits - 1]) - before
-            self.keep([(i, int(tokens[i])) for i in range(max(at, self.reach(so_far, at, fits)), fits)])
+            start = max(at, self.reach(so_far, at, fits))
+            if start > at:  # what the chunk had before is too far back
+                self.own = []
+            self.keep([(i, int(tokens[i])) for i in range(start, fits)])
             at = fits
         self.own = [(i - len(tokens), n) for i, n in self.own]
         return out

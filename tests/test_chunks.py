@@ -35,9 +35,9 @@ def rows(rng, documents, longest, most):
     return out
 
 
-@pytest.mark.parametrize("limit,overlap,batch", [(8, 0, 10000), (8, 3, 7), (8, 7, 1), (20, 6, 13), (1, 0, 3)])
+@pytest.mark.parametrize("limit,overlap,batch", [(8, 0, 10000), (8, 3, 7), (8, 7, 1), (20, 6, 13), (40, 6, 2), (30, 12, 3), (1, 0, 3)])
 def test_against_loop(spark, limit, overlap, batch):
-    data = rows(random.Random(limit + overlap), 12, 60, 12)
+    data = rows(random.Random(limit + overlap), 40, 60, 12)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # chunks go on from batch to batch
     try:
         blocks = spark.createDataFrame(data, "doc_id int, seq int, text string, section int").repartition(3)
