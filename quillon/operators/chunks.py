@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from ..sources.staging import Rounds
+
 #: Labels of headings and of list items.
 TITLE, HEADING, LIST_ITEM = "title", "section_header", "list_item"
 
@@ -224,22 +226,149 @@ def macro_windows(n_tokens, size: int, overlap: int):
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n_tokens).alias("end")))
 
 
-def nearest_anchors(vectors: DataFrame, anchors: DataFrame, k: int, unknown_below: float | None = None, block: int = 1024) -> DataFrame:
+def merge_windows(vectors: DataFrame, doc_id: str = "doc_id", pos: str = "pos", vector: str = "embedding") -> DataFrame:
+    """(doc_id, pos, embedding): one vector a token from those of overlapping windows, their mean by component.
+
+    Sums are combined before the shuffle, a row a component."""
+    each = vectors.where(F.col(vector).isNotNull()).select(doc_id, pos, F.posexplode(vector).alias("dim", "x"))
+    means = each.groupBy(doc_id, pos, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(doc_id, pos).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias(vector))
+
+
+def pool_spans(vectors: DataFrame, spans: DataFrame, dims: int, doc_id: str = "doc_id", pos: str = "pos", vector: str = "embedding") -> DataFrame:
+    """``spans`` (doc_id, start, end, ...) with n, how many vectors of ``vectors`` (doc_id, pos, embedding) lie in [start, end), and mean, by component.
+
+    Each document's vectors are sorted once together with the places where spans begin and end, and a running sum is noted at these;
+    a span is the difference of two, so any number of spans that overlap cost no more than their ends.  Vectors that are null, of another length
+    or not finite are left out; a span without vectors has the mean null.  Sums are doubles: a mean is good to about
+    1e-15 times the document's sum."""
+    good = F.col(vector).isNotNull() & (F.size(vector) == dims) & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    held = vectors.where(good).select(F.col(doc_id).alias("d"), F.col(pos).cast("bigint").alias("at"), F.col(vector).cast("array<double>").alias("v"))
+    ends = spans.select(F.col(doc_id).alias("d"), F.explode(F.array(F.col("start").cast("bigint"), F.col("end").cast("bigint"))).alias("at")).distinct()
+    both = held.unionByName(ends.withColumn("v", F.lit(None).cast("array<double>")))
+    kind = to_arrow_schema(both.select("d").schema)[0].type
+    schema = pa.schema([("d", kind), ("at", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, n, total = object(), 0, np.zeros(dims)
+        for b in batches:
+            if not len(b):
+                continue
+            ids, mark = b.column(0).to_pylist(), np.array(b.column(2).is_null())
+            rows = np.zeros((len(b), dims))
+            rows[~mark] = b.column(2).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            cuts = [i for i in range(len(ids)) if ids[i] != (ids[i - 1] if i else document)]
+            for s, e in zip([0, *cuts], [*cuts, len(ids)]):
+                if s in cuts or ids[s] != document:
+                    n, total = 0, np.zeros(dims)
+                if s == e:
+                    continue
+                rows[s:e] = np.cumsum(rows[s:e], axis=0) + total
+                count = np.cumsum(~mark[s:e]) + n
+                n, total, document = int(count[-1]), rows[e - 1].copy(), ids[s]
+                own = np.flatnonzero(mark[s:e])
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * dims, pa.int32()), pa.array(rows[s + own].ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s + own)), b.column(1).take(pa.array(s + own)), pa.array(count[own]), sums], schema=schema)
+
+    sums = both.repartition("d").sortWithinPartitions("d", "at", F.col("v").isNotNull()).mapInArrow(run, from_arrow_schema(schema))
+    side = lambda p, at: sums.select(F.col("d").alias(doc_id), F.col("at").alias(at), F.col("n").alias(f"__n_{p}"), F.col("total").alias(f"__{p}"))
+    rows = spans.withColumn("start", F.col("start").cast("bigint")).withColumn("end", F.col("end").cast("bigint")).join(side("a", "start"), [doc_id, "start"]).join(side("b", "end"), [doc_id, "end"])
+    n = F.greatest(F.col("__n_b") - F.col("__n_a"), F.lit(0)).cast("bigint")
+    mean = F.when(n > 0, F.zip_with("__a", "__b", lambda x, y: (y - x) / n))
+    return rows.withColumn("n", n).withColumn("mean", mean).select(*spans.columns, "n", "mean")
+
+
+#: Anchors that the lists' centers are fitted on, at most, and how many centers there are, at most.
+FIT_ANCHORS, MOST_LISTS = 8192, 256
+
+
+def _unit(c: str) -> Column:
+    """The vector at length 1; null if it has no direction or is not finite."""
+    v = F.transform(F.col(c), lambda x: x.cast("double"))
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when((size > 0) & (size < float("inf")) & ~F.isnan(size), F.transform(v, lambda x: F.try_divide(x, size)))
+
+
+def _centers(anchors: DataFrame) -> np.ndarray:
+    """Unit vectors that a few rounds of averaging give for a sample of anchors, bounded by FIT_ANCHORS; their number is its square root."""
+    sample = np.array([r["e"] for r in anchors.orderBy(F.xxhash64("anchor_id")).select("e").limit(FIT_ANCHORS).collect()], dtype=np.float64)
+    if not len(sample):
+        return sample
+    k = min(MOST_LISTS, int(np.ceil(len(sample) ** 0.5)))
+    centers = sample[:k].copy()
+    for _ in range(5):
+        to = (sample @ centers.T).argmax(axis=1)
+        for c in range(k):
+            if (to == c).any():
+                centers[c] = sample[to == c].sum(axis=0)
+        centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
+    return centers
+
+
+def _probe(rows: DataFrame, centers: np.ndarray, first: int, lists: int, radii: np.ndarray | None = None) -> DataFrame:
+    """``rows`` (id, e, and for a second look worst, done) once for each list that they are to be held against: the ``first`` to ``lists`` nearest
+    centers, of these with ``radii`` those whose anchors may be as near as ``worst``.  Of unit vectors the distance is the square root
+    of 2 - 2 times the cosine, and none in a list is nearer than its center's distance less its radius."""
+    schema = to_arrow_schema(rows.select("id").schema)
+    out = pa.schema([pa.field("id", schema[0].type), ("list", pa.int32()), ("e", pa.list_(pa.float64())), ("cosine", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            e = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            cosine = e @ centers.T
+            order = np.argsort(-cosine, axis=1, kind="stable")[:, first:lists]
+            row = np.repeat(np.arange(len(b)), order.shape[1])
+            to = order.ravel()
+            if radii is not None:
+                worst = b.column("worst").to_numpy(zero_copy_only=False)
+                gap = np.sqrt(np.maximum(0, 2 - 2 * cosine[row, to])) - radii[to]
+                near = ~(gap > np.sqrt(np.maximum(0, 2 - 2 * worst[row])) + 1e-7)  # also where worst is not known
+                row, to = row[near], to[near]
+            picked = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([picked.column("id"), pa.array(to, pa.int32()), picked.column("e"), pa.array(cosine[row, to])], schema=out)
+
+    return rows.mapInArrow(run, from_arrow_schema(out))
+
+
+def nearest_anchors(vectors: DataFrame, anchors: DataFrame, k: int, unknown_below: float | None = None, block: int = 1024, probes: int = 4, exact: bool = True) -> DataFrame:
     """(vec_id, label, score): the label that most of the ``k`` nearest anchors have, the nearer in sum winning ties; UNKNOWN below a score.
 
-    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label): the stated set that each vector is held against.  Anchors come
-    in blocks of about ``block``, a row each; a vector keeps the k best of a block in its row, and its blocks' best meet."""
-    n = max(1, -(-anchors.count() // block))
-    unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double") / F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    held = anchors.select("anchor_id", "label", unit("embedding").alias("e")).groupBy(F.pmod(F.xxhash64("anchor_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("anchor_id", "label", "e")).alias("held"))
-    dot = lambda a: F.aggregate(F.zip_with("u", a["e"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label): all are used, and compared by cosine.  An inverted file: anchors are
+    dealt to lists by their nearest center, and a vector meets those of its ``probes`` nearest centers, list by list and in blocks of about
+    ``block``; the k best stay in its row.  With ``exact`` it then meets the other lists that may hold a nearer one than its k-th best, by
+    the distance of their centers and their radii, so the result is that of all pairs; without, neighbours in other lists can be missed.
+
+    Vectors without a direction (null, empty, zero or not finite) have no neighbours: their label and score are null, or UNKNOWN if ``unknown_below`` is given.
+    Such anchors are left out.  All vectors must be of one length."""
+    held = anchors.select("anchor_id", "label", _unit("embedding").alias("e")).where("e is not null and size(e) > 0")
+    usable = vectors.select(F.col("vec_id").alias("id"), _unit("embedding").alias("e")).where("e is not null and size(e) > 0").distinct()
+    centers = _centers(held)
+    none = F.lit(None).cast("string") if unknown_below is None else F.lit("UNKNOWN")
+    if not len(centers):
+        return vectors.select("vec_id").distinct().select("vec_id", none.alias("label"), F.lit(None).cast("double").alias("score"))
+    rounds = Rounds(vectors.sparkSession, "anchors")
+    dealt = _probe(held.select(F.struct("anchor_id", "label").alias("id"), "e"), centers, 0, 1)
+    lists = rounds.add(dealt.select("id.*", "list", "e", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("far")))
+    about = {r["list"]: (r["far"], r["n"]) for r in lists.groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}  # a row a center
+    radii = np.array([about.get(i, (-np.inf, 0))[0] for i in range(len(centers))])
+    many = F.element_at(F.array(*[F.lit(max(1, -(-about.get(i, (0, 0))[1] // block))) for i in range(len(centers))]), F.col("list") + 1)
+    blocks = lists.withColumn("block", F.pmod(F.xxhash64("anchor_id"), many)).groupBy("list", "block").agg(F.collect_list(F.struct("anchor_id", "label", "e")).alias("held"))
+    dot = lambda a: F.aggregate(F.zip_with("e", a["e"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     ranked = F.array_sort(F.transform("held", lambda a: F.struct((-dot(a)).alias("far"), a["anchor_id"].alias("anchor_id"), a["label"].alias("label"))))
-    best = vectors.select("vec_id", unit("embedding").alias("u")).join(held, F.lit(True)).select("vec_id", F.slice(ranked, 1, k).alias("near"))
-    near = best.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    votes = near.select("vec_id", F.explode("near").alias("a")).select("vec_id", "a.label", (-F.col("a.far")).alias("score")).groupBy("vec_id", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("best"))
+    meet = lambda probed: probed.join(blocks, "list").select("id", F.slice(ranked, 1, k).alias("near"))
+    best = lambda rows: rows.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    near = best(meet(_probe(usable, centers, 0, probes)))
+    if exact and probes < len(centers):
+        near = Rounds(vectors.sparkSession, "near").add(near)
+        worst = F.when(F.size("near") == k, -F.element_at("near", k)["far"])
+        rest = usable.join(near, "id", "left").select("id", "e", F.coalesce(worst, F.lit(float("nan"))).alias("worst"))
+        near = best(near.unionByName(meet(_probe(rest, centers, probes, len(centers), radii))))
+    votes = near.select(F.col("id").alias("vec_id"), F.explode("near").alias("a")).select("vec_id", "a.label", (-F.col("a.far")).alias("score")).groupBy("vec_id", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("best"))
     win = votes.groupBy("vec_id").agg(F.max(F.struct("n", "s", F.col("label").cast("string").alias("label"), "best")).alias("w"))
-    label = F.col("w.label") if unknown_below is None else F.when(F.col("w.best") < unknown_below, "UNKNOWN").otherwise(F.col("w.label"))
-    return win.select("vec_id", label.alias("label"), F.col("w.best").alias("score"))
+    label = F.col("w.label") if unknown_below is None else F.when(F.col("w.best") >= unknown_below, F.col("w.label")).otherwise("UNKNOWN")
+    return vectors.select("vec_id").distinct().join(win, "vec_id", "left").select("vec_id", label.alias("label"), F.col("w.best").alias("score"))
 
 
 def fill_between(labels: DataFrame, doc_id: str = "doc_id", seq: str = "seq", label: str = "label", unknown: str = "UNKNOWN") -> DataFrame:

@@ -751,6 +751,20 @@ def span_mean_pool(spark, sf_dir):
     return p.select(F.col("label").alias("chunk"), "dim", F.round("mean", 6).alias("mean"))
 
 
+_RUN = "e AS (SELECT vec_id // 100 AS doc, vec_id % 100 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(f"""WITH {_RUN}, n AS (SELECT doc, max(pos) + 1 AS n FROM e GROUP BY doc),
+w AS (SELECT doc, s, least(s + 32, n) AS t FROM n, (SELECT unnest(range(0, 100, 24)) AS s) WHERE s < greatest(n - 8, 1))
+SELECT w.doc, s AS w_start, t AS w_end, i - 1 AS dim, count(*) AS n, round(avg(v[i]), 6) AS mean FROM w JOIN e ON e.doc = w.doc AND pos >= s AND pos < t, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL""")
+def span_pool(spark, sf_dir):
+    """A hundred vectors are a document's tokens; spans are windows of 32 that overlap by 8."""
+    e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 100").alias("doc"), (F.col("vec_id") % 100).alias("pos"), "embedding")
+    spans = e.groupBy("doc").agg((F.max("pos") + 1).cast("int").alias("n")).select("doc", F.explode(chunks.macro_windows(F.col("n"), 32, 8)).alias("w")).select("doc", "w.*")
+    p = chunks.pool_spans(e, spans, 64, "doc")
+    return p.select("doc", F.col("start").alias("w_start"), F.col("end").alias("w_end"), "n", F.posexplode("mean").alias("dim", "mean")).select("doc", "w_start", "w_end", F.col("dim").cast("bigint").alias("dim"), "n", F.round("mean", 6).alias("mean"))
+
+
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT v.vec_id, a.vec_id AS anchor, a.label, list_cosine_similarity(v.e, a.e) AS score FROM v JOIN v a ON a.vec_id % 10 = 0),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, anchor) <= 5),
