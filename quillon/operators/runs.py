@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import Rounds
+
 VALID = ("success", "partial_success")
 
 
@@ -61,11 +63,44 @@ def display(runs: DataFrame, snapshots: DataFrame, keys: tuple[str, ...] = ("doc
     return representative(runs.join(snapshots.select(*keys, "number"), [*keys, "number"], "left_semi"), keys)
 
 
+#: Ranges that a round of medians() counts a key's values in.
+RANGES = 1024
+
+
+def medians(values: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """keys, median: the exact median of the numbers of each key, the mean of the middle two of an even number.
+
+    By selection: each round counts a key's values in RANGES equal ranges, combined before the shuffle, and goes on in the range in which the middle
+    one lies, until that has a single value.  So a key's values are never gathered, however few keys there are; a round passes over the
+    table and its result is written.  Nulls and NaN are left out; a key without numbers has no row."""
+    rows = values.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    rounds = Rounds(values.sparkSession, "medians")
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
+    middle = F.array(F.floor((F.col("n") + 1) / 2).cast("bigint"), F.floor(F.col("n") / 2 + 1).cast("bigint"))
+    todo = rounds.add(ends.select(*keys, F.posexplode(middle).alias("which", "rank"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"), F.lit(0).cast("bigint").alias("below"), F.lit(False).alias("found")))
+    while not todo.where("not found").isEmpty():
+        open_ = todo.where("not found").select(*[F.col(k).alias(f"__{k}") for k in keys], "which", "rank", "low", "high", "below")
+        met = rows.join(open_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+        share = F.coalesce(F.try_divide(F.col("x") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2), F.lit(0.0))
+        first = F.col("below") == 0  # infinite numbers lie outside of the first round's ends
+        at = F.when(inside, F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).when(first & (F.col("x") == -float("inf")), -1).when(F.col("x") == float("inf"), RANGES)
+        counted = met.withColumn("at", at.cast("int")).where("at is not null").groupBy(*keys, "which", "rank", "below", "at").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+        so_far = Window.partitionBy(*keys, "which").orderBy("at")
+        upto = counted.withColumn("upto", F.col("below") + F.sum("c").over(so_far))
+        todo = rounds.add(upto.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(*keys, "which", "rank", "low", "high", (F.col("upto") - F.col("c")).alias("below"), (F.col("low") == F.col("high")).alias("found")))
+    return rounds.all().where("found").groupBy(*keys).agg((F.sum(F.col("low") / 2)).alias("median"))
+
+
 def time_statistics(runs: DataFrame, field: str, keys: tuple[str, ...] = ("tool",), decimals: int | None = None) -> DataFrame:
     """keys, median, least, most, n and a text over full successes with a number; every key has a row."""
     decimals = decimals if decimals is not None else 2 if field == "total_seconds" else 3
     value = F.when((F.col("status") == "success") & ~F.isnan(F.col(field).cast("double")), F.col(field).cast("double"))
-    out = runs.groupBy(*keys).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    valued = runs.select(*keys, value.alias("__x"))
+    out = valued.groupBy(*keys).agg(F.min("__x").alias("least"), F.max("__x").alias("most"), F.count("__x").alias("n"))
+    middle = medians(valued, keys, "__x").select(*[F.col(k).alias(f"__{k}") for k in keys], "median")
+    out = out.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").select(*keys, "median", "least", "most", "n")
     f = f"%.{decimals}f"
     said = F.format_string(f"median {f}s, range {f}-{f}s, n=%d", "median", "least", "most", "n")
     return out.withColumn("text", F.when(F.col("n") > 0, said).otherwise("no complete success"))

@@ -557,6 +557,17 @@ def markdown_signals(spark, sf_dir):
     return markup.markdown_signals(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("signal", "line", "level")
 
 
+@query(r"""WITH l AS (SELECT doc_id, i - 1 AS i, trim(translate(t[i], '*_`|\<>#[]+-=~.):' || chr(9), '')) AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))
+SELECT doc_id, CASE WHEN length(x) < 40 THEN 'heading' WHEN i % 4 = 1 THEN 'list' ELSE 'formatting' END AS signal, CAST(i + 1 AS BIGINT) AS line, CASE WHEN length(x) < 40 THEN CAST(1 + length(x) % 6 AS BIGINT) END AS level
+FROM l WHERE x <> '' AND (length(x) < 40 OR i % 4 = 1 OR i % 4 = 2)""")
+def markdown_signals_documents(spark, sf_dir):
+    """Whole documents made Markdown, marks of their own left out: short lines are headings, of the others the second in four is an item and the third is strong."""
+    x = lambda t: F.trim(F.translate(t, "*_`|\\<>#[]+-=~.):\t", ""))
+    made = lambda t, i: F.when(t == "", "").when(F.length(t) < 40, F.concat(F.repeat(F.lit("#"), 1 + F.length(t) % 6), F.lit(" "), t)).when(i % 4 == 1, F.concat(F.lit("- "), t)).when(i % 4 == 2, F.concat(F.lit("**"), t, F.lit("**"))).otherwise(t)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: made(x(t), i)), "\n").alias("text"))
+    return markup.markdown_signals(d).select("doc_id", "signal", "line", "level")
+
+
 @query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND contains('&<>\`*_{}[]()#+-.!|~', c) THEN '&#' || ascii(c) || ';' WHEN c IN (chr(10), chr(13)) THEN ' ' ELSE c END), '') AS escaped FROM documents""")
 def markdown_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.col("text")).alias("escaped"))
