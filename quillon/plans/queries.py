@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, distance, text
-from ..operators import cards, chunks, compare, evidence, inventory, markup, outline, references, runs
+from ..operators import cards, chunks, compare, evidence, exports, inventory, markup, outline, references, runs
 from . import comparison
 
 QUERIES: dict = {}
@@ -339,6 +339,48 @@ def resolution_documents(spark, sf_dir):
     return references.resolution_summary(references.items(references.documents(results_view(spark, sf_dir))))
 
 
+@query(f"""WITH {_ITEMS}, m AS (SELECT doc_id, string_agg(CASE WHEN label = 'section_header' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY n // 2 DESC, n) AS content FROM i WHERE text <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(content, '') AS content, CAST(NULL AS VARCHAR) AS problem FROM documents LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL""")
+def markdown_export(spark, sf_dir):
+    return exports.export_document(results_view(spark, sf_dir), "markdown")
+
+
+@query(f"""WITH {_ITEMS} SELECT doc_id, count(*) AS n_texts, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, '{{"errors":[],"status":"success"}}' AS metadata FROM i GROUP BY doc_id""")
+def result_export(spark, sf_dir):
+    """Each document's result in an envelope, and from its two parts what they hold."""
+    whole = results_view(spark, sf_dir).select("doc_id", F.concat(F.lit('{"status": "success", "errors": [], "document": '), "raw", F.lit("}")).alias("raw"))
+    e = exports.export_result(whole).where("problem is null")
+    texts = F.from_json("document", "texts array<struct<text:string>>")["texts"]
+    return e.select("doc_id", F.size(texts).cast("bigint").alias("n_texts"), F.aggregate(texts, F.lit(0).cast("bigint"), lambda n, t: n + F.length(t["text"])).alias("n_chars"), "metadata")
+
+
+def notices_view(spark, sf_dir) -> DataFrame:
+    """(doc_id, raw): lines as texts, numbered and lettered by their place and each third one bold; a group holds the first two, and in each third document a picture."""
+    ref = lambda kind, i: F.struct(F.concat(F.lit(f"#/{kind}/"), i.cast("string")).alias("$ref"))
+    item = lambda t, i: F.struct(F.concat(F.when(i % 5 == 0, "1. ").when(i % 7 == 0, "가. ").otherwise(""), t).alias("text"), F.struct((i % 3 == 0).alias("bold")).alias("formatting"))
+    lines = F.split("text", "\n")
+    rest = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i >= 2) & (i < F.size(lines)))
+    inside = F.concat(F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda i: i < F.size(lines)), lambda i: ref("texts", i)), F.when(F.col("doc_id") % 3 == 0, F.array(ref("pictures", F.lit(0)))).otherwise(F.array().cast("array<struct<`$ref`:string>>")))
+    body = F.struct(F.concat(F.array(ref("groups", F.lit(0))), F.transform(rest, lambda i: ref("texts", i))).alias("children"))
+    made = F.struct(body.alias("body"), F.transform(lines, item).alias("texts"), F.array(F.struct(inside.alias("children"))).alias("groups"), F.array(F.struct(F.lit("picture").alias("label"))).alias("pictures"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.to_json(made).alias("raw"))
+
+
+_NOTICE = "l AS (SELECT doc_id, i - 1 AS i, t[i] AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"
+
+
+@query(f"""WITH {_NOTICE}, g AS (SELECT doc_id, trim(string_agg(trim(CASE WHEN i = 0 THEN '1. ' ELSE '' END || x), ' ' ORDER BY i) FILTER (trim(CASE WHEN i = 0 THEN '1. ' ELSE '' END || x) <> '')) AS t FROM l WHERE i < 2 GROUP BY doc_id)
+SELECT l.doc_id, bool_or(CASE WHEN i = 0 THEN regexp_matches(g.t, '^1\\.\\s+.+$') ELSE i > 1 AND i % 15 = 0 AND trim(x) <> '' END) AND coalesce(bool_or(i > 1 AND i % 5 <> 0 AND i % 7 = 0 AND trim(x) <> ''), false) AS matched FROM l JOIN g USING (doc_id) GROUP BY l.doc_id""")
+def rule_gate(spark, sf_dir):
+    """The group of the first two lines is bold as its first text is."""
+    return outline.matches_rules(outline.body_blocks(notices_view(spark, sf_dir)))
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS seq, 'a group''s child is neither text nor group' AS problem FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0")
+def group_children(spark, sf_dir):
+    return outline.body_blocks(notices_view(spark, sf_dir)).where("problem is not null").select("doc_id", F.col("seq").cast("bigint").alias("seq"), "problem")
+
+
 @query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, 'classification' AS category, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM (SELECT doc_id, label, min(n) AS n FROM i GROUP BY ALL)
   UNION ALL SELECT doc_id, 'headings', n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 FROM i WHERE label = 'section_header')
 SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, CASE WHEN length(i.text) <= {canonical.LONGEST_TEXT} THEN i.text END AS text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
