@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..sources.staging import Rounds
+from .markdown import markdown_blocks
 
 #: Labels of headings and of list items.
 TITLE, HEADING, LIST_ITEM = "title", "section_header", "list_item"
@@ -48,12 +50,14 @@ class _Budget:
             kept.append((back, n))
         self.own = kept[::-1]
 
-    def deal(self, tokens: np.ndarray) -> list[tuple[int, list[tuple[int, int]], int, int]]:
-        """For blocks in order: (chunk, blocks repeated from the chunk before as (how far back from the stretch's start, tokens), first, end)."""
+    def deal(self, tokens: np.ndarray, heads: np.ndarray | None = None) -> list[tuple[int, list[tuple[int, int]], int, int, bool]]:
+        """For blocks in order: (chunk, blocks repeated from the chunk before as (how far back from the stretch's start, tokens), first, end, whether the
+        first one's head, of so many tokens, is carried)."""
         out, at, so_far = [], 0, np.cumsum(tokens)
         while at < len(tokens):
             before = int(so_far[at - 1]) if at else 0
             repeated: list[tuple[int, int]] = []
+            carried = False
             fits = int(np.searchsorted(so_far, before + self.limit - self.used, side="right")) if self.used is not None else at
             if fits <= at:  # a new chunk, which the block opens whatever its length
                 room, total = min(self.overlap, self.limit - int(tokens[at])), 0
@@ -64,9 +68,11 @@ class _Budget:
                     repeated.insert(0, (back, n))
                 while repeated and not repeated[0][1]:
                     total -= repeated.pop(0)[1]
+                carried = heads is not None and self.used is not None and 0 < heads[at] <= self.limit - tokens[at]
+                total += int(heads[at]) if carried else 0
                 self.chunk, self.used, self.own = self.chunk + 1, total, []
                 fits = max(at + 1, int(np.searchsorted(so_far, before + self.limit - self.used, side="right")))
-            out.append((self.chunk, repeated, at, fits))
+            out.append((self.chunk, repeated, at, fits, carried))
             self.used += int(so_far[fits - 1]) - before
             start = max(at, self.reach(so_far, at, fits))
             if start > at:  # what the chunk had before is too far back
@@ -77,7 +83,7 @@ class _Budget:
         return out
 
 
-def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq: str = "seq", text: str = "text", section: str | None = None, overlap: int = 0) -> DataFrame:
+def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq: str = "seq", text: str = "text", section: str | None = None, overlap: int = 0, head: str | None = None) -> DataFrame:
     """``blocks`` with tokens, chunk, over and context: blocks in order are dealt to chunks of at most ``limit`` white-space tokens.
 
     Greedy: a block goes to the chunk at hand if it fits, else it opens the next.  Blocks stay whole; one that is longer than the limit has a
@@ -85,13 +91,18 @@ def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq:
     run of that one's last blocks that has at most so many tokens and leaves room for its first block, without leading blocks of no tokens; these rows are
     ``context``, and each block is a row without it exactly once.
 
+    ``head`` names a column of texts that a block needs before it, as a table's head: where a chunk begins with such a block inside of a section and
+    there is room for both, ``carried`` is set and the head's tokens count.  It does not go with an overlap.
+
     One shuffle by document and a sort; documents then stream through a running sum, which jumps from chunk to chunk.  Blocks of equal
     order are ordered by their text; null documents count as one."""
-    if limit < 1 or not 0 <= overlap < limit:
-        raise ValueError("needs 0 <= overlap < limit")
+    if limit < 1 or not 0 <= overlap < limit or (head and overlap):
+        raise ValueError("needs 0 <= overlap < limit, and no overlap with heads")
     rows = blocks.withColumn("tokens", F.coalesce(count_tokens(F.col(text)), F.lit(0).cast("bigint")))
+    if head:
+        rows = rows.withColumn("__head", F.coalesce(count_tokens(F.col(head)), F.lit(0).cast("bigint")))
     schema = to_arrow_schema(rows.schema)
-    out_schema = schema.append(pa.field("chunk", pa.int64())).append(pa.field("over", pa.bool_())).append(pa.field("context", pa.bool_()))
+    out_schema = schema.append(pa.field("chunk", pa.int64())).append(pa.field("over", pa.bool_())).append(pa.field("context", pa.bool_())).append(pa.field("carried", pa.bool_()))
     keys = [doc_id, section] if section else [doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,30 +112,68 @@ def chunk_by_tokens(blocks: DataFrame, limit: int, doc_id: str = "doc_id", seq:
                 continue
             names = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
             tokens = b.column(b.schema.get_field_index("tokens")).to_numpy()
+            heads = b.column(b.schema.get_field_index("__head")).to_numpy() if head else None
             marks = list(zip(*names))
             starts = [i for i in range(len(b)) if (marks[i] != marks[i - 1] if i else marks[0] != last)]
             cuts = sorted({0, *starts, len(b)})
             # Rows of former batches that may be repeated come before this one's.
             pool = pa.concat_batches([kept, b]) if kept is not None else b
             shift = len(pool) - len(b)
-            take, chunk, context = [], [], []
+            take, chunk, context, carried = [], [], [], []
             for i, j in zip(cuts, cuts[1:]):
                 if i in starts:
                     before = marks[i - 1] if i else last
                     budget.reset(before is None or before[0] != marks[i][0])
-                for number, repeated, s, e in budget.deal(tokens[i:j]):
+                for number, repeated, s, e, with_head in budget.deal(tokens[i:j], heads[i:j] if head else None):
                     take += [*(shift + i + back for back, _ in repeated), *range(shift + i + s, shift + i + e)]
                     chunk += [number] * (len(repeated) + e - s)
                     context += [True] * len(repeated) + [False] * (e - s)
+                    carried += [False] * len(repeated) + [with_head] + [False] * (e - s - 1)
             last = marks[-1]
             back = max((-at for at, _ in budget.own), default=0)
             kept = pool.slice(len(pool) - back) if back else None
             rows_out = pool.take(pa.array(take, pa.int64()))
             over = pc.greater(rows_out.column(rows_out.schema.get_field_index("tokens")), limit)
-            yield pa.RecordBatch.from_arrays([*rows_out.columns, pa.array(chunk, pa.int64()), over, pa.array(context, pa.bool_())], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([*rows_out.columns, pa.array(chunk, pa.int64()), over, pa.array(context, pa.bool_()), pa.array(carried, pa.bool_())], schema=out_schema)
 
     dealt = rows.repartition(doc_id).sortWithinPartitions(doc_id, seq, text)
-    return dealt.mapInArrow(run, from_arrow_schema(out_schema))
+    made = dealt.mapInArrow(run, from_arrow_schema(out_schema))
+    return made.drop("__head") if head else made.drop("carried")
+
+
+def line_heads(text: str) -> list[tuple[str, str | None]]:
+    """Lines of a Markdown text, each with what it needs before it: rows of a table its head, lines of a list the first lines of the items that
+    they stand in."""
+    lines = re.split(r"\r\n|\n|\r", text)
+    heads: list[list[int]] = [[] for _ in lines]
+    for b in markdown_blocks(lines):
+        if b["type"] == "table":
+            for n in range(b["begin"] + 2, b["end"]):
+                heads[n] += [b["begin"], b["begin"] + 1]
+        for n, after in zip(b.get("items", []), [*b.get("items", [])[1:], b["end"]]):
+            for inner in range(n + 1, after):
+                heads[inner].append(n)
+    return [(line, "\n".join(lines[n] for n in own) if own else None) for line, own in zip(lines, heads)]
+
+
+def line_chunks(texts: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, chunk, first, last, head, text): Markdown texts cut between lines to chunks of at most ``limit`` tokens.
+
+    A chunk that begins within a table or an item has their head, which counts, before its lines; one without room for it has none.  A line that is longer
+    alone is a chunk of its own.  Null texts have no lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, *line) for i, t in zip(*(c.to_pylist() for c in b.columns)) for n, line in enumerate(line_heads(t))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "seq", "line", "head"])
+
+    given = texts.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    kinds = [to_arrow_schema(given.select("doc_id").schema)[0].type, pa.int64(), pa.string(), pa.string()]
+    lines = given.mapInArrow(run, from_arrow_schema(pa.schema(list(zip(["doc_id", "seq", "line", "head"], kinds)))))
+    rows = chunk_by_tokens(lines, limit, text="line", head="head")
+    parts = rows.groupBy("doc_id", "chunk").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.max(F.when(F.col("carried"), F.col("head"))).alias("head"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    return parts.select(F.col("doc_id").alias(doc_id), "chunk", "first", "last", "head", F.concat_ws("\n", "head", F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
 
 
 def chunk_problems(blocks: DataFrame, chunks: DataFrame, doc_id: str = "doc_id", seq: str = "seq", limit: int | None = None, overlap: int = 0, section: str | None = None) -> DataFrame:

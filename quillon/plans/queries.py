@@ -777,6 +777,25 @@ def chunk_invariants(spark, sf_dir):
     return chunks.chunk_problems(v, chunks.chunk_by_tokens(v, LIMIT, overlap=OVERLAP), limit=LIMIT, overlap=OVERLAP)
 
 
+#: Tokens of the head "| line | text |" and "|---|---|" of a table.
+HEAD = 6
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, [5, 1] || list_transform(t, lambda x: 4 + len(list_filter(string_split(translate(x, '\\|`' || chr(9), ''), ' '), lambda w: w <> ''))) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)),
+d AS (SELECT doc_id, t, list_transform(range(1, len(t) + 1), lambda j: list_sum(t[1:j])) AS p FROM r),
+c AS (
+  SELECT doc_id, t, p, 0 AS chunk, 1 AS s, 0 AS h, greatest(1, len(list_filter(p, lambda y: y <= {LIMIT}))) AS e FROM d
+  UNION ALL
+  SELECT doc_id, t, p, chunk + 1, s, h, list_max(list_filter(range(s, len(t) + 1), lambda j: j = s OR h + p[j] - p[s] + t[s] <= {LIMIT})) FROM (SELECT doc_id, t, p, chunk, e + 1 AS s, CASE WHEN e >= 2 AND {HEAD} + t[e + 1] <= {LIMIT} THEN {HEAD} ELSE 0 END AS h FROM c WHERE e < len(t)))
+SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(s - 1 AS BIGINT) AS first, CAST(e - 1 AS BIGINT) AS last, h > 0 AS has_head, CAST(h + p[e] - p[s] + t[s] AS BIGINT) AS tokens FROM c""")
+def line_chunk_tables(spark, sf_dir):
+    """Each document as a Markdown table with a row for each line."""
+    rows = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.trim(F.translate(x, "\\|`\t", "")), F.lit(" |")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("| line | text |\n|---|---|\n"), F.array_join(rows, "\n")).alias("text"))
+    c = chunks.line_chunks(d, LIMIT)
+    return c.select("doc_id", "chunk", "first", "last", F.col("head").isNotNull().alias("has_head"), chunks.count_tokens(F.col("text")).alias("tokens"))
+
+
 def items_view(spark, sf_dir) -> DataFrame:
     """Lines as items: short ones are headings of level 1 to 3, of the others each fifth length is a list item's."""
     n = F.length("text")

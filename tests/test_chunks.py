@@ -123,3 +123,21 @@ def test_hybrid_keeps_sections_apart(spark):
     df = spark.createDataFrame([(1, i, f"r{i}", label, 1, t) for i, label, t in items], "doc_id int, seq int, ref string, label string, level int, text string")
     got = [(r.chunk, r.ref, r.context, [h.text for h in r.headings]) for r in chunks.hybrid_chunks(df, 7, 3).orderBy("chunk", "seq").collect()]
     assert got == [(0, "r1", False, ["A"]), (0, "r2", False, ["A"]), (1, "r2", True, ["A"]), (1, "r3", False, ["A"]), (2, "r5", False, ["B"])]
+
+
+def test_line_heads():
+    text = "intro\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- x\n  more\n  - y\n    z\n- w"
+    heads = [h for _, h in chunks.line_heads(text)]
+    assert heads == [None, None, None, "| a | b |\n|---|---|", None, None, "- x", "- x", "- x\n  - y", None]
+
+
+def test_lines_carry_heads(spark):
+    rows = "".join(f"| r{i} | {'w ' * (i % 4)}|\n" for i in range(20))
+    texts = [(1, f"| a | b |\n|---|---|\n{rows}"), (2, "- head of item\n" + "".join(f"  line {i} of it\n" for i in range(12))), (3, None), (4, ""), (5, "w " * 50 + "\nx")]
+    got = chunks.line_chunks(spark.createDataFrame(texts, "doc_id int, text string"), 16).orderBy("doc_id", "chunk").collect()
+    for d, text in texts:
+        own = [r for r in got if r.doc_id == d]
+        assert "\n".join(r.text if r.head is None else r.text[len(r.head) + 1 :] for r in own) == (text or "")
+        assert all(len(r.text.split()) <= 16 or r.first == r.last for r in own)
+    assert all(r.head == "| a | b |\n|---|---|" for r in got if r.doc_id == 1 and 0 < r.chunk and r.first < 22)
+    assert {r.head for r in got if r.doc_id == 2 and r.chunk and r.first < 13} == {"- head of item"}
