@@ -219,8 +219,9 @@ def neighbours(spark, sf_dir) -> DataFrame:
 @query()
 def text_distance_whole(spark, sf_dir):
     """Whole texts of all documents; neighbouring documents of a source stand for repeated results."""
-    p = compare.text_distances(neighbours(spark, sf_dir), "l_text", "r_text")
-    return p.select("source", "l_number", "r_number", "edit_distance", F.round("text_difference_pct", 6).alias("pct"))
+    left, right = F.col("l_text"), F.col("r_text")
+    p = neighbours(spark, sf_dir).select("source", "l_number", "r_number", distance.edit_distance(left, right).alias("edit_distance"), F.greatest(F.length(left), F.length(right), F.lit(1)).alias("longest"))
+    return p.select("source", "l_number", "r_number", "edit_distance", F.round(F.col("edit_distance") / F.col("longest") * 100, 6).alias("pct"))
 
 
 @query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0), (4, 2), (5, 5)) t(id, d)", big="d")
