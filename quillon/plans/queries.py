@@ -1,8 +1,8 @@
 """The engine's operators as queries over the driver's tables, each with equivalent SQL where SQL expresses it.
 
 The tables hold no extraction results, so views stand in: ``events`` are runs, ``documents`` of one source are repeated results,
-``conversations`` are ordered blocks with levels, ``pages`` are markup, ``events.props`` is nested JSON.  Operators whose inputs these
-lack (references, cards, outlines of notices) run over literal rows that both engines build."""
+``conversations`` are ordered blocks with levels, ``pages`` are markup, ``events.props`` is nested JSON.  Results with references, notices,
+cards and recursive results are made of their rows by column expressions, a result a row, so that every query grows with the tables."""
 
 from __future__ import annotations
 
@@ -19,13 +19,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, big: str = ""):
-    """Registers a query with its SQL; ``big`` names columns that literal rows give as INTEGER and the query as BIGINT."""
+def query(sql: str | None = None):
+    """Registers a query with its SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in big.split())}) FROM ({sql})" if big else sql
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -35,10 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows(spark: SparkSession, schema: str, values: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(values, schema)
-
-
 # --- runs --------------------------------------------------------------------------------------------------
 
 REPEAT = 5
@@ -126,42 +122,51 @@ def run_status(spark, sf_dir):
     return e.select("event_id", runs.status(F.upper("event_type"), F.col("value") > 90, F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("status"))
 
 
-_ERRORS = [(1, [("disk", None), ("", "late"), (None, "")]), (2, []), (3, [(None, "only")])]
-
-
-@query("SELECT * FROM (VALUES (1, 'disk; late'), (2, ''), (3, 'only')) t(id, details)")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '; late' WHEN 1 THEN 'late' WHEN 2 THEN event_type ELSE '' END AS details FROM events")
 def error_details(spark, sf_dir):
-    d = rows(spark, "id int, e array<struct<error_message:string,message:string>>", _ERRORS)
-    return d.select("id", runs.error_details(F.col("e")).alias("details"))
+    """Two errors an event: with a message, with another field's where that is empty, or with none."""
+    k, said = F.col("event_id") % 4, lambda m, o: F.struct(m.alias("error_message"), o.alias("message"))
+    first = said(F.when(k == 0, F.col("event_type")).when(k < 3, ""), F.when(k == 2, F.col("event_type")))
+    return table(spark, sf_dir, "events").select("event_id", runs.error_details(F.array(first, said(F.when(k > 1, ""), F.when(k < 2, "late")))).alias("details"))
 
 
-_META = [(1, '{"tk:exception:warn": "x"}'), (2, '{"tk:Exception": false, "limit-reached": ""}'), (3, '{"WRITE-LIMIT-REACHED": true}'), (4, '{"a": 1}'), (5, '{"x-exception": [], "exception": 0, "e-exception": null}'), (6, '{"exception": {}}')]
+#: The first five do not say that something happened, the last three do.
+_SAID = ["false", "0", "[]", '""', "null", "true", '"x"', "{}"]
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, false), (6, true)) t(id, partial)")
+@query("SELECT event_id, event_id % 3 < 2 AND (event_id // 3) % 8 >= 5 AS partial FROM events")
 def partial_detector(spark, sf_dir):
-    d = rows(spark, "id int, j string", _META)
-    return d.select("id", runs.reports_partial(F.expr("try_variant_get(try_parse_json(j), '$', 'map<string,variant>')")).alias("partial"))
+    k = F.col("event_id")
+    key = F.when(k % 3 == 0, F.concat(F.lit("tk:Exception:"), "event_type")).when(k % 3 == 1, "WRITE-LIMIT-REACHED").otherwise("a")
+    j = F.concat(F.lit('{"k": 1, "'), key, F.lit('": '), F.get(F.array(*map(F.lit, _SAID)), F.expr("int((event_id div 3) % 8)")), F.lit("}"))
+    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(j).alias("v"))
+    return e.select("event_id", runs.reports_partial(F.expr("try_variant_get(v, '$', 'map<string,variant>')")).alias("partial"))
 
 
-@query("SELECT * FROM (VALUES (1, 1.5e0, 1.234e0), (2, NULL, NULL)) t(id, of_times, of_millis)")
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round(value + value / 2, 6) END AS of_times, CAST(event_id * 37 AS DOUBLE) / 1000 AS of_millis FROM events")
 def internal_seconds(spark, sf_dir):
-    d = rows(spark, "id int, t array<double>, m bigint", [(1, [1.0, 0.5], 1234), (2, [], None)])
-    return d.select("id", runs.internal_seconds_of_times(F.col("t")).alias("of_times"), runs.internal_seconds_of_millis(F.col("m")).alias("of_millis"))
+    times = F.when(F.col("event_id") % 5 != 0, F.array(F.col("value"), F.col("value") / 2)).otherwise(F.array().cast("array<double>"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(runs.internal_seconds_of_times(times), 6).alias("of_times"), runs.internal_seconds_of_millis(F.col("event_id") * 37).alias("of_millis"))
 
 
-@query("""WITH e(name, v) AS (VALUES ('code', 'a1'), ('jar', 'b2'), ('model', 'c3')), a(name, v) AS (VALUES ('code', 'a1'), ('jar', 'b9'), ('extra', 'z'))
+@query("""WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS v FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text || CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END) AS v FROM documents WHERE doc_id % 5 <> 0)
 SELECT name, e.v AS expected, a.v AS actual FROM e FULL JOIN a USING (name) WHERE e.v IS DISTINCT FROM a.v""")
 def resume_guard(spark, sf_dir):
-    s = "name string, value string"
-    return runs.resume_mismatches(rows(spark, s, [("code", "a1"), ("jar", "b2"), ("model", "c3")]), rows(spark, s, [("code", "a1"), ("jar", "b9"), ("extra", "z")]))
+    """Fingerprints of documents: some there on one side alone, some changed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), "text")
+    value = lambda t: F.sha2(t, 256).alias("value")
+    changed = F.concat("text", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(""))
+    return runs.resume_mismatches(d.where("doc_id % 7 <> 0").select("name", value(F.col("text"))), d.where("doc_id % 5 <> 0").select("name", value(changed)))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(id, same)")
+@query("SELECT event_id, event_id % 4 = 2 AND event_id % 5 <> 0 AS same FROM events")
 def ocr_settings(spark, sf_dir):
-    d = rows(spark, "id int, l1 string, l2 string, m1 string, m2 int, skip boolean", [(1, "kor+eng", "eng+kor", "3", 3, False), (2, "kor", "eng", "3", 3, False), (3, "kor", "kor", "3", 3, None)])
-    side = lambda n: {"command": F.lit("t"), "path": F.lit("/d"), "language": F.col(f"l{n}"), "mode": F.col(f"m{n}"), "skip": F.col("skip")}
-    return d.select("id", runs.same_ocr(side(1), side(2)).alias("same"))
+    """The second languages are the first ones turned round at even ids; every fifth mode differs; skipped or not told at others."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    side = lambda language, mode: {"command": F.lit("t"), "path": F.lit("/d"), "language": language, "mode": mode, "skip": F.when(k % 4 == 1, True).when(k % 4 > 1, False)}
+    first = side(F.concat(kind, F.lit("+kor")), (k % 3).cast("string"))
+    second = side(F.when(k % 2 == 0, F.concat(F.lit("kor+"), kind)).otherwise(F.concat(kind, F.lit("+eng"))), F.when(k % 5 == 0, 9).otherwise((k % 3).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", runs.same_ocr(first, second).alias("same"))
 
 
 # --- comparison ----------------------------------------------------------------------------------------------
@@ -224,10 +229,12 @@ def text_distance_whole(spark, sf_dir):
     return p.select("source", "l_number", "r_number", "edit_distance", F.round(F.col("edit_distance") / F.col("longest") * 100, 6).alias("pct"))
 
 
-@query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 0), (4, 2), (5, 5)) t(id, d)", big="d")
+@query("SELECT p_partkey AS id, CAST(levenshtein(p_name, lower(p_type) || p_brand) AS BIGINT) AS d FROM part")
 def text_distance_unicode(spark, sf_dir):
-    d = rows(spark, "id int, a string, b string", [(1, "kitten", "sitting"), (2, "한글", "한굴"), (3, "", ""), (4, "😀a", "b"), (5, "", "abcde")])
-    return d.select("id", distance.edit_distance(F.col("a"), F.col("b")).alias("d"))
+    """Letters are written as characters outside of the basic plane, which leaves the distance as it is."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    far = lambda c: F.translate(c, letters, "".join(chr(0x1F600 + i) for i in range(len(letters))))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), distance.edit_distance(far(F.col("p_name")), far(F.concat(F.lower("p_type"), "p_brand"))).cast("bigint").alias("d"))
 
 
 def lines_view(spark, sf_dir):
@@ -265,42 +272,65 @@ def block_diff(spark, sf_dir):
     return pairs.select("doc_id", compare.block_diff("before", "after").alias("d")).select("doc_id", "d.*")
 
 
-_NUMBERS = [(1, '{"a": 1, "b": [1, 2, 3], "c": "x"}', '{"a": 1.5, "b": [1, 4], "d": 0}'), (2, "[true, 2]", "[false, 2]"), (3, '{"s": "a"}', '{"s": "b"}'), (4, "[1, null]", "[1, null]")]
+@query("""SELECT event_id, CAST(event_id % 3 > 0 AS BIGINT) + CAST(event_id % 2 > 0 AS BIGINT) AS changed_values, CAST(greatest(event_id % 3, 2 * (event_id % 2)) AS DOUBLE) AS max_abs_delta,
+CAST(event_id % 7 = 0 AS BIGINT) + CAST(event_id % 5 = 0 AS BIGINT) AS other_changes FROM events""")
+def numeric_delta(spark, sf_dir):
+    """Numbers move at odd ids and at two in three; texts change at every seventh id, the shape at every fifth."""
+    k, s = F.col("event_id"), lambda c: c.cast("string")
+    made = lambda x, y, t, more: F.concat(F.lit('{"w": {"z": true}, "v": ['), s(x), F.lit(", "), s(y), F.lit('], "t": "'), t, F.lit('"'), more, F.lit("}"))
+    a = made(k, 3 * k, F.col("event_type"), F.lit(""))
+    b = made(k + k % 3, 3 * k - 2 * (k % 2), F.concat("event_type", F.when(k % 7 == 0, "?").otherwise("")), F.when(k % 5 == 0, ', "u": 0').otherwise(""))
+    e = table(spark, sf_dir, "events").select("event_id", a.alias("a"), b.alias("b"))
+    return e.select("event_id", compare.numeric_delta("a", "b").alias("d")).select("event_id", "d.*")
 
 
-@query("SELECT * FROM (VALUES (1, 2, 2e0, 3), (2, 1, 1e0, 0), (3, 0, 0e0, 1), (4, 0, 0e0, 0)) t(id, changed_values, max_abs_delta, other_changes)", big="changed_values other_changes")
-def numeric_delta(spark, sf_dir):
-    d = rows(spark, "id int, a string, b string", _NUMBERS)
-    return d.select("id", compare.numeric_delta("a", "b").alias("d")).select("id", "d.*")
+@query("""WITH e AS (SELECT user_id, event_id AS k, event_id % 6 <> 0 AS l, event_id % 5 <> 0 AS r, event_id % 9 = 0 AS word FROM events WHERE event_id % 30 <> 0)
+SELECT user_id, count(*) FILTER (l AND r AND NOT word AND k % 4 > 0) AS changed_values, CAST(coalesce(max(k % 4) FILTER (l AND r AND NOT word), 0) AS DOUBLE) AS max_abs_delta, count(*) FILTER (l <> r OR (l AND r AND word)) AS other_changes FROM e GROUP BY user_id""")
+def numeric_delta_flat(spark, sf_dir):
+    """A user's events are the values of one result; some are words, some are on one side alone."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("k"), F.col("event_id").cast("string").alias("path"), "event_type")
+    value = lambda n, w: F.when(F.col("k") % 9 == 0, F.concat("event_type", F.lit(w))).otherwise(n.cast("string")).alias("value")
+    a = e.where("k % 6 <> 0").select("user_id", "path", value(F.col("k"), ""))
+    b = e.where("k % 5 <> 0").select("user_id", "path", value(F.col("k") + F.col("k") % 4, "!"))
+    return compare.flat_numeric_delta(a, b, ("user_id",))
 
 
-_FLAT_A = [(1, "x", "1"), (1, "y", "2.5"), (1, "z", "a"), (2, "x", "1"), (2, "w", "true")]
-_FLAT_B = [(1, "x", "4"), (1, "y", "2.5"), (1, "z", "b"), (2, "x", "1"), (2, "v", "7")]
+_ITEMS = "i AS (SELECT doc_id, i - 1 AS n, t[i] AS text, CASE WHEN length(t[i]) < 40 THEN 'section_header' ELSE 'text' END AS label FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 3e0, 1), (2, 0, 0e0, 2)) t(doc_id, changed_values, max_abs_delta, other_changes)", big="changed_values other_changes")
-def numeric_delta_flat(spark, sf_dir):
-    s = "doc_id int, path string, value string"
-    return compare.flat_numeric_delta(rows(spark, s, _FLAT_A), rows(spark, s, _FLAT_B), ("doc_id",))
+def _ref(i):
+    return F.struct(F.concat(F.lit("#/texts/"), i.cast("string")).alias("$ref"))
 
 
-def _geometry_doc(shift: float) -> dict:
-    box = lambda x: [{"page_no": 1, "bbox": {"l": x, "t": 2.0}, "charspan": [0, 1]}]
-    return {"body": {"children": [{"$ref": f"#/texts/{i}"} for i in (1, 0, 2)]}, "texts": [{"label": "text", "text": t, "prov": box(1.0 + shift * (t == "A"))} for t in ("A", "B", "B")]}
+def _trees(spark, sf_dir, item, children=None, **more) -> DataFrame:
+    """(doc_id, raw): each document as a tree-shaped result, whose texts are ``item(line, number)``; ``children(lines)`` are the body's."""
+    lines = F.split("text", "\n")
+    every = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), _ref) if children is None else children(lines)
+    made = F.struct(F.struct(every.alias("children")).alias("body"), F.transform(lines, item).alias("texts"), *[c.alias(n) for n, c in more.items()])
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.to_json(made).alias("raw"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 2, 2, 1, 0.25e0, 0)) t(doc_id, matched, left_over_left, left_over_right, changed_values, max_abs_delta, other_changes)", big="doc_id matched left_over_left left_over_right changed_values other_changes")
+@query(f"""WITH {_ITEMS}, u AS (SELECT doc_id, text, count(*) AS n, min(n) AS place FROM i GROUP BY ALL), m AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lines, count(*) FILTER (n = 1) AS matched, count(*) FILTER (n = 1 AND place % 3 = 0) AS moved FROM u GROUP BY doc_id)
+SELECT doc_id, matched, lines - matched AS left_over_left, lines - matched AS left_over_right, CASE WHEN matched > 0 THEN moved END AS changed_values, CASE WHEN matched > 0 THEN CASE WHEN moved > 0 THEN 0.25e0 ELSE 0e0 END END AS max_abs_delta, CAST(CASE WHEN matched > 0 THEN 0 END AS BIGINT) AS other_changes FROM m""")
 def geometry_match(spark, sf_dir):
-    snap = lambda shift: compare.geometry(references.snapshots(rows(spark, "doc_id bigint, raw string", [(1, json.dumps(_geometry_doc(shift)))])))
-    return compare.geometry_delta(snap(0.0), snap(0.25))
+    """Every third line has another place on the right; lines that a document repeats cannot be matched."""
+
+    def side(shift: float) -> DataFrame:
+        box = lambda i: F.struct(F.lit(1).alias("page_no"), F.struct((i + F.when(i % 3 == 0, shift).otherwise(0.0)).alias("l"), F.lit(2.0).alias("t")).alias("bbox"), F.array(F.lit(0), F.lit(1)).alias("charspan"))
+        return compare.geometry(references.snapshots(_trees(spark, sf_dir, lambda t, i: F.struct(F.lit("text").alias("label"), t.alias("text"), F.array(box(i)).alias("prov")))))
 
+    return compare.geometry_delta(side(0.0), side(0.25))
 
-@query("SELECT * FROM (VALUES (1, 2, false, 1, 0, 0, 1, 1), (2, 3, true, 0, 0, 0, 0, 0)) t(l_number, r_number, content_equal, edit_distance, added, deleted, replaced_left, replaced_right)", big="edit_distance added deleted replaced_left replaced_right")
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS content_equal, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 6 END AS BIGINT) AS edit_distance, CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS added, CAST(CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 0 END AS BIGINT) AS deleted,
+CAST(0 AS BIGINT) AS replaced_left, CAST(0 AS BIGINT) AS replaced_right FROM documents WHERE text IS NOT NULL""")
 def snapshot_pairs(spark, sf_dir):
-    s = lambda t: json.dumps({"text": t, "blocks": [{"text": x} for x in t.split("\n")]})
-    a = rows(spark, "l_number int, r_number int, l_snapshot string, r_snapshot string", [(1, 2, s("A\nB\nC"), s("A\nB\nD")), (2, 3, s("가\nB"), s("가\nB"))])
-    out = compare.compare_snapshots(a)
-    return out.select("l_number", "r_number", "content_equal", "edit_distance", "changes.added", "changes.deleted", "changes.replaced_left", "changes.replaced_right")
+    """Each document against itself, or one side with a line before and one behind it that no document has."""
+    k, longer = F.col("doc_id") % 3, F.concat(F.lit("☃a\n"), "text", F.lit("\n☃b"))
+    shot = lambda t: F.to_json(F.struct(t.alias("text"), F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("text"))).alias("blocks")))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = d.select("doc_id", shot(F.when(k == 2, longer).otherwise(F.col("text"))).alias("l_snapshot"), shot(F.when(k == 1, longer).otherwise(F.col("text"))).alias("r_snapshot"))
+    return compare.compare_snapshots(d).select("doc_id", "content_equal", "edit_distance", "changes.added", "changes.deleted", "changes.replaced_left", "changes.replaced_right")
 
 
 @query(f"""WITH d AS (SELECT doc_id // {2 * SET} AS repeat_set, doc_id, text FROM documents)
@@ -327,9 +357,6 @@ def results_view(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.to_json(F.struct(F.struct(F.transform(even, ref).alias("children")).alias("body"), F.transform(lines, item).alias("texts"))).alias("raw"))
 
 
-_ITEMS = "i AS (SELECT doc_id, i - 1 AS n, t[i] AS text, CASE WHEN length(t[i]) < 40 THEN 'section_header' ELSE 'text' END AS label FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))"
-
-
 @query(f"WITH {_ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n // 2 DESC, n) - 1 AS seq, '#/texts/' || n AS ref, label AS kind, 'body' AS layer, n % 2 AS depth, text FROM i")
 def snapshot_documents(spark, sf_dir):
     return references.snapshot_blocks(references.snapshots(results_view(spark, sf_dir)))
@@ -403,59 +430,72 @@ def outline_sections(spark, sf_dir):
     return outline.parents(c, "conv_id", "turn").select("conv_id", "turn", "level", "parent_seq")
 
 
-_TEXTS = [(1, "1. 모집개요", True), (2, "1. 모집개요", False), (3, "가. 모집대상 : 청년", False), (4, "나. 참여조건", True), (5, "１２. 전각", True), (6, "(1) 항목", False), (7, "① 항목", False), (8, "‧ 항목", False), (9, "plain", True)]
+_MARKED = "x AS (SELECT doc_id, CAST(seq AS BIGINT) AS seq, trim(translate(text, ':' || chr(9), '')) AS x FROM l WHERE trim(translate(text, ':' || chr(9), '')) <> '')"
 
 
-@query("SELECT * FROM (VALUES (1, 1, '1', '모집개요', NULL), (2, NULL, NULL, NULL, NULL), (3, 2, '가', '모집대상', '청년'), (4, 2, '나', '참여조건', NULL), (5, 1, '１２', '전각', NULL), (6, NULL, NULL, NULL, NULL), (7, NULL, NULL, NULL, NULL), (8, NULL, NULL, NULL, NULL), (9, NULL, NULL, NULL, NULL)) t(id, level, marker, title, lead)")
-def heading_match(spark, sf_dir):
-    d = rows(spark, "id int, t string, b boolean", _TEXTS).withColumn("level", text.heading_level(F.col("t"), F.col("b")))
-    h = d.withColumn("h", text.heading_parts(F.col("t"), F.col("level")))
-    return h.select("id", "level", "h.marker", "h.title", "h.lead")
+def marked_lines(spark, sf_dir) -> DataFrame:
+    """(doc_id, seq, text, bold): lines marked by their place as headings or list items of the notice format."""
+    x, k = F.trim(F.translate("text", ":\t", "")), F.col("seq") % 7
+    marked = F.when(k == 0, F.concat(F.col("seq").cast("string"), F.lit(". "), "x")).when(k == 1, F.concat(F.lit("가. "), "x", F.lit(" : 청년"))).when(k == 2, F.concat(F.lit("나."), "x"))
+    marked = marked.when(k == 3, F.concat(F.lit("("), F.col("seq").cast("string"), F.lit(") "), "x")).when(k == 4, F.concat(F.lit("① "), "x")).when(k == 5, F.concat(F.lit("‧"), "x")).otherwise(F.concat(F.lit("plain "), "x"))
+    return lines_view(spark, sf_dir).withColumn("x", x).where("x <> ''").select("doc_id", F.col("seq").cast("bigint").alias("seq"), marked.alias("text"), (F.col("seq") % 2 == 0).alias("bold"))
 
 
-@query("SELECT * FROM (VALUES (6, 'ordered', '1', '항목'), (7, 'ordered', '①', '항목'), (8, 'bullet', '‧', '항목')) t(id, kind, marker, text)")
-def list_item_kind(spark, sf_dir):
-    d = rows(spark, "id int, t string, b boolean", _TEXTS).withColumn("l", text.list_item(F.col("t"))).where("l is not null")
-    return d.select("id", "l.kind", "l.marker", "l.text")
+@query(f"""WITH {_LINES}, {_MARKED}, v AS (SELECT *, CASE WHEN seq % 7 = 0 AND seq % 2 = 0 THEN 1 WHEN seq % 7 IN (1, 2) THEN 2 END AS level FROM x)
+SELECT doc_id, seq, CAST(level AS INT) AS level, CASE WHEN level = 1 THEN CAST(seq AS VARCHAR) WHEN level = 2 THEN CASE seq % 7 WHEN 1 THEN '가' ELSE '나' END END AS marker, CASE WHEN level IS NOT NULL THEN x END AS title, CASE WHEN seq % 7 = 1 THEN '청년' END AS lead FROM v""")
+def heading_match(spark, sf_dir):
+    d = marked_lines(spark, sf_dir).withColumn("level", text.heading_level(F.col("text"), F.col("bold")))
+    return d.withColumn("h", text.heading_parts(F.col("text"), F.col("level"))).select("doc_id", "seq", "level", "h.marker", "h.title", "h.lead")
 
 
-def notice() -> dict:
-    bold = {"formatting": {"bold": True}}
-    ref = lambda *r: [{"$ref": f"#/{x}"} for x in r]
-    return {
-        "body": {"children": ref("texts/0", "groups/0", "texts/3", "texts/4", "tables/0", "texts/5")},
-        "texts": [{"text": "1. 모집개요", **bold}, {"text": "가. 모집대상 :", **bold}, {"text": " 누구나 "}, {"text": "나. 참여조건"}, {"text": "(1) 만 18세"}, {"text": "2. 지원내용", **bold}],
-        "groups": [{"children": ref("texts/1", "texts/2")}],
-        "tables": [{"data": {"num_rows": 1, "num_cols": 1, "table_cells": [{"text": "x"}]}}],
-    }
+@query(f"""WITH {_LINES}, {_MARKED}
+SELECT doc_id, seq, CASE WHEN seq % 7 = 5 THEN 'bullet' ELSE 'ordered' END AS kind, CASE seq % 7 WHEN 3 THEN CAST(seq AS VARCHAR) WHEN 4 THEN '①' ELSE '‧' END AS marker, x AS text FROM x WHERE seq % 7 IN (3, 4, 5)""")
+def list_item_kind(spark, sf_dir):
+    d = marked_lines(spark, sf_dir).withColumn("l", text.list_item(F.col("text"))).where("l is not null")
+    return d.select("doc_id", "seq", "l.kind", "l.marker", "l.text")
 
 
-def _raw(spark, *docs):
-    return rows(spark, "doc_id bigint, raw string", [(i, json.dumps(d, ensure_ascii=False)) for i, d in enumerate(docs, 1)])
+_TOP, _SUB, _LIST = r"'^(\d+)\.\s+(.+)$'", r"'^([가나다라마바사아자차카타파하])\.\s*([^:]+?)(?:\s*:\s*(.+))?$'", r"'^(?:\((\d+)\)|([①-⑳])|([‧•]))\s*(.+)$'"
 
 
-@query("SELECT * FROM (VALUES (1, 0, NULL, 'section', 1, '1', '모집개요', NULL), (1, 1, 0, 'section', 2, '가', '모집대상', '누구나'), (1, 2, 0, 'section', 2, '나', '참여조건', NULL), (1, 3, 2, 'list_item', NULL, '1', NULL, '만 18세'), (1, 4, 2, 'table', NULL, NULL, NULL, NULL), (1, 5, NULL, 'section', 1, '2', '지원내용', NULL)) t(doc_id, seq, parent_seq, type, level, marker, title, text)", big="doc_id seq parent_seq")
+@query(f"""WITH {_NOTICE},
+t AS (SELECT doc_id, i, trim(CASE WHEN i % 5 = 0 THEN '1. ' WHEN i % 7 = 0 THEN '가. ' ELSE '' END || x) AS t FROM l),
+b AS (SELECT doc_id, 0 AS seq, string_agg(t, ' ' ORDER BY i) AS t, true AS bold FROM t WHERE i < 2 AND t <> '' GROUP BY doc_id UNION ALL SELECT doc_id, i - 1, t, i % 3 = 0 FROM t WHERE i >= 2 AND t <> ''),
+m AS (SELECT doc_id, bool_or(bold AND regexp_matches(t, {_TOP})) AND bool_or(regexp_matches(t, {_SUB})) AS matched FROM b GROUP BY doc_id),
+v AS (SELECT *, CASE WHEN NOT matched THEN NULL WHEN bold AND regexp_matches(t, {_TOP}) THEN 1 WHEN regexp_matches(t, {_SUB}) THEN 2 END AS level FROM b JOIN m USING (doc_id)),
+k AS (SELECT *, matched AND level IS NULL AND regexp_matches(t, {_LIST}) AS item FROM v),
+p AS (SELECT *, last_value(CASE WHEN level = 1 THEN seq END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN seq END IGNORE NULLS) OVER w AS h2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(CASE WHEN level = 1 THEN NULL WHEN level = 2 THEN h1 WHEN h2 > coalesce(h1, -1) THEN h2 ELSE h1 END AS BIGINT) AS parent_seq, CASE WHEN level IS NOT NULL THEN 'section' WHEN item THEN 'list_item' ELSE 'paragraph' END AS type, CAST(level AS INT) AS level,
+  CASE WHEN level = 1 THEN regexp_extract(t, {_TOP}, 1) WHEN level = 2 THEN regexp_extract(t, {_SUB}, 1) WHEN item THEN regexp_extract(t, {_LIST}, 1) || regexp_extract(t, {_LIST}, 2) || regexp_extract(t, {_LIST}, 3) END AS marker,
+  CASE WHEN level = 1 THEN trim(regexp_extract(t, {_TOP}, 2)) WHEN level = 2 THEN trim(regexp_extract(t, {_SUB}, 2)) END AS title,
+  CASE WHEN level = 1 THEN NULL WHEN level = 2 THEN nullif(trim(regexp_extract(t, {_SUB}, 3)), '') WHEN item THEN regexp_extract(t, {_LIST}, 4) ELSE t END AS text FROM p""")
 def notice_outline(spark, sf_dir):
-    return outline.outline(outline.body_blocks(_raw(spark, notice()))).select("doc_id", "seq", "parent_seq", "type", "level", "marker", "title", "text")
+    return outline.outline(outline.body_blocks(notices_view(spark, sf_dir))).select("doc_id", "seq", "parent_seq", "type", "level", "marker", "title", "text")
 
 
 @query()
 def notice_tree(spark, sf_dir):
-    return outline.nested(outline.outline(outline.body_blocks(_raw(spark, notice()))))
-
+    return outline.nested(outline.outline(outline.body_blocks(notices_view(spark, sf_dir))))
 
-_EDGES = [(1, "g0", 0, "t1"), (1, "g0", 1, "g1"), (1, "g1", 0, "t2"), (1, "g0", 2, "t3"), (2, "a", 0, "b"), (2, "b", 0, "a"), (3, "x", 0, "y"), (3, "x", 1, "z"), (3, "z", 0, "y")]
-_ROOTS = [(1, 0, "g0"), (1, 1, "t1"), (2, 0, "a"), (3, 0, "x"), (3, 1, "z")]
-_SQL_EDGES = f"roots(doc_id, pos, child) AS (VALUES {', '.join(map(str, _ROOTS))}), edges(doc_id, parent, pos, child) AS (VALUES {', '.join(map(str, _EDGES))})"
 
-
-@query(f"""WITH RECURSIVE {_SQL_EDGES},
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 't' || turn AS ref, lead('t' || turn) OVER o AS next, min(turn) OVER p AS first, max(turn) OVER p AS last FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WINDOW o AS (PARTITION BY conv_id ORDER BY turn), p AS (PARTITION BY conv_id)),
+roots AS (SELECT conv_id AS doc_id, 0 AS pos, ref AS child FROM t WHERE turn = first),
+edges AS (SELECT conv_id AS doc_id, ref AS parent, 1 AS pos, next AS child FROM t WHERE next IS NOT NULL UNION ALL SELECT conv_id, ref, 0, 't' || last FROM t WHERE conv_id % 3 = 1 AND turn < last UNION ALL SELECT conv_id, ref, 2, 't' || first FROM t WHERE conv_id % 3 = 0 AND turn = last),
 w AS (SELECT doc_id, child AS ref, [pos] AS path, [child] AS seen, false AS cyclic FROM roots
   UNION ALL SELECT e.doc_id, e.child, list_append(w.path, e.pos), list_append(w.seen, e.child), list_contains(w.seen, e.child) FROM w JOIN edges e ON e.doc_id = w.doc_id AND e.parent = w.ref WHERE NOT w.cyclic),
 f AS (SELECT doc_id, ref, min(path) AS path FROM w WHERE NOT cyclic GROUP BY ALL), l AS (SELECT DISTINCT doc_id, ref FROM w WHERE cyclic)
 SELECT f.doc_id, f.ref, array_to_string(path, '.') AS path, len(path) - 1 AS depth, l.ref IS NOT NULL AS cyclic FROM f LEFT JOIN l ON f.doc_id = l.doc_id AND f.ref = l.ref""")
 def ref_traversal(spark, sf_dir):
-    o = references.reading_order(rows(spark, "doc_id int, pos int, child string", _ROOTS), rows(spark, "doc_id int, parent string, pos int, child string", _EDGES))
+    """Turns hold the next one; in a third of the conversations each holds the last one as well, in a third the last holds the first."""
+    all_ = Window.partitionBy("conv_id")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").where("conv_id is not null and turn is not null").distinct()
+    t = c.select(F.col("conv_id").alias("doc_id"), "turn", F.lead("turn").over(all_.orderBy("turn")).alias("next"), F.min("turn").over(all_).alias("first"), F.max("turn").over(all_).alias("last"))
+    name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    k = F.col("doc_id") % 3
+    link = lambda pos, child: F.struct(F.lit(pos).alias("pos"), child.alias("child"))
+    to = F.array(link(1, name("next")), link(0, F.when((k == 1) & (F.col("turn") < F.col("last")), name("last"))), link(2, F.when((k == 0) & (F.col("turn") == F.col("last")), name("first"))))
+    edges = t.select("doc_id", name("turn").alias("parent"), F.explode(to).alias("to")).select("doc_id", "parent", "to.*").where("child is not null")
+    o = references.reading_order(t.where("turn = first").select("doc_id", F.lit(0).alias("pos"), name("turn").alias("child")), edges)
     return o.select("doc_id", "ref", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.col("depth").cast("bigint").alias("depth"), "cyclic")
 
 
@@ -479,60 +519,68 @@ def reading_order_documents(spark, sf_dir):
     return o.select("doc_id", F.col("ref").cast("bigint").alias("node"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), F.col("depth").cast("bigint").alias("depth"), F.row_number().over(order).cast("bigint").alias("seq"))
 
 
-@query("SELECT * FROM (VALUES (1, 'g0', 'A C', 'g0,t1,g1,t2,t3', true)) t(doc_id, ref, text, refs, bold)")
+@query("""WITH c AS (SELECT conv_id AS doc_id, 't' || turn AS ref, text, CASE WHEN turn % 2 = 0 THEN turn ELSE 1 END AS x, CASE WHEN turn % 2 = 0 THEN -1 ELSE turn END AS y FROM conversations),
+n AS (SELECT * FROM c UNION ALL SELECT DISTINCT doc_id, 'g', NULL, -1, -1 FROM c UNION ALL SELECT DISTINCT doc_id, 'h', NULL, 1, -1 FROM c WHERE y >= 0)
+SELECT doc_id, 'g' AS ref, coalesce(string_agg(text, ' ' ORDER BY x, y) FILTER (text <> ''), '') AS text, string_agg(ref, ',' ORDER BY x, y) AS refs, doc_id % 2 = 0 AS bold FROM n GROUP BY doc_id HAVING count(*) FILTER (text <> '') > 0""")
 def group_flatten(spark, sf_dir):
-    edges = rows(spark, "doc_id int, parent string, pos int, child string", _EDGES).where("doc_id = 1")
-    texts = rows(spark, "doc_id int, ref string, text string, bold boolean", [(1, "t1", "A", True), (1, "t2", "", False), (1, "t3", "C", False)])
-    g = references.group_text(rows(spark, "doc_id int, ref string", [(1, "g0")]), edges, texts)
+    """A conversation is a group of its even turns, with a group of the odd ones in the second place."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("ref"), "text")
+    child = lambda some, parent, pos, name: c.where(some).select("doc_id", F.lit(parent).alias("parent"), pos.cast("int").alias("pos"), name.alias("child"))
+    edges = child("turn % 2 = 0", "g", F.col("turn"), F.col("ref")).unionByName(child("turn % 2 = 1", "h", F.col("turn"), F.col("ref"))).unionByName(child("turn % 2 = 1", "g", F.lit(1), F.lit("h")).distinct())
+    g = references.group_text(c.select("doc_id", F.lit("g").alias("ref")).distinct(), edges, c.select("doc_id", "ref", "text", (F.col("doc_id") % 2 == 0).alias("bold")))
     return g.select("doc_id", "ref", "text", F.array_join("source_refs", ",").alias("refs"), "bold")
 
 
-def linked() -> list[dict]:
-    ref = lambda *r: [{"$ref": f"#/{x}"} for x in r]
-    return [
-        {"body": {"children": ref("pictures/0", "pictures/0")}, "pictures": [{"label": "picture", "captions": ref("texts/0", "texts/0")}], "texts": [{"text": "cap", "footnotes": ref("texts/1")}, {"text": "note"}, {"text": "x"}, {"text": "y"}]},
-        {"body": {"children": ref("texts/0")}, "texts": [{"text": "loop", "children": ref("texts/0")}]},
-        {"document": {"body": {"children": ref("texts/1", "texts/0")}, "texts": [{"text": "A"}, {"text": "B"}]}},
-    ]
-
-
-@query("SELECT * FROM (VALUES (1, 0, '#/pictures/0', 'body', 0), (1, 1, '#/texts/0', 'body', 1), (1, 2, '#/texts/1', 'body', 2), (1, 3, '#/texts/2', 'unattached', 0), (1, 4, '#/texts/3', 'unattached', 0), (3, 0, '#/texts/1', 'body', 0), (3, 1, '#/texts/0', 'body', 0)) t(doc_id, seq, ref, layer, depth)", big="doc_id seq depth")
+@query(f"WITH {_ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n % 2, n) - 1 AS seq, '#/texts/' || n AS ref, CASE WHEN n % 2 = 0 THEN 'body' ELSE 'unattached' END AS layer, CAST(0 AS BIGINT) AS depth FROM i")
 def ref_traversal_full(spark, sf_dir):
-    return references.snapshot_blocks(references.snapshots(_raw(spark, *linked()))).select("doc_id", "seq", "ref", "layer", "depth")
+    """The body holds each even line twice; nothing holds the odd ones."""
+    even = lambda lines: F.transform(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i % 2 == 0), _ref)
+    t = _trees(spark, sf_dir, lambda t, i: F.struct(F.lit("text").alias("label"), t.alias("text")), lambda lines: F.concat(even(lines), even(lines)))
+    return references.snapshot_blocks(references.snapshots(t)).select("doc_id", "seq", "ref", "layer", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("SELECT * FROM (VALUES (1, 5, 5), (2, 0, 0)) t(doc_id, n_blocks, cyclic) WHERE false UNION ALL SELECT * FROM (VALUES (1, 5, 0), (2, NULL, 1), (3, 2, 0)) t(doc_id, n_blocks, cyclic)", big="doc_id n_blocks")
+@query(f"WITH {_ITEMS} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE count(*) END AS n_blocks, CAST(doc_id % 4 = 1 AS INT) AS cyclic FROM i GROUP BY doc_id")
 def snapshot_problems(spark, sf_dir):
-    s = references.snapshots(_raw(spark, *linked()))
-    return s.select("doc_id", "n_blocks", F.coalesce(F.col("problem").contains("Cyclic"), F.lit(False)).cast("int").alias("cyclic"))
-
+    """In a quarter of the documents the last line holds the first one and the first the last."""
+    last = F.size(F.split("text", "\n")) - 1
+    other = lambda i: F.when((F.col("doc_id") % 4 == 1) & ((i == 0) | (i == last)), F.array(_ref(last - i)))
+    s = references.snapshots(_trees(spark, sf_dir, lambda t, i: F.struct(F.lit("text").alias("label"), t.alias("text"), other(i).alias("children"))))
+    return s.select("doc_id", F.col("n_blocks").cast("bigint").alias("n_blocks"), F.coalesce(F.col("problem").contains("Cyclic"), F.lit(False)).cast("int").alias("cyclic"))
 
-_REFS = ["#/texts/0", "#/texts/-1", "#/texts/9", "texts/0", "#/pages/1", "#/texts/0/x", "#/texts/00"]
 
-
-@query("SELECT * FROM (VALUES ('#/texts/0', NULL), ('#/texts/-1', 'reference does not exist'), ('#/texts/9', 'reference does not exist'), ('texts/0', 'unsupported reference'), ('#/pages/1', 'unsupported item type'), ('#/texts/0/x', 'unsupported reference'), ('#/texts/00', NULL)) t(child, problem)")
+@query(f"""WITH {_ITEMS}, n AS (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id)
+SELECT doc_id, unnest(['#/texts/' || (n - 1), '#/texts/0' || (n - 1), '#/texts/-1', '#/texts/' || n, 'texts/0', '#/pages/' || doc_id, '#/texts/0/x']) AS child,
+       unnest([NULL, NULL, 'reference does not exist', 'reference does not exist', 'unsupported reference', 'unsupported item type', 'unsupported reference']) AS problem FROM n""")
 def reference_check(spark, sf_dir):
-    its = references.items(references.documents(_raw(spark, {"texts": [{"text": "a"}]})))
-    return references.dereference(rows(spark, "doc_id bigint, child string", [(1, r) for r in _REFS]), its).select("child", "problem")
+    t = _trees(spark, sf_dir, lambda t, i: F.struct(t.alias("text")))
+    n = F.size(F.split("text", "\n"))
+    at = lambda before, x: F.concat(F.lit(before), x.cast("string"))
+    refs = F.array(at("#/texts/", n - 1), at("#/texts/0", n - 1), F.lit("#/texts/-1"), at("#/texts/", n), F.lit("texts/0"), at("#/pages/", F.col("doc_id")), F.lit("#/texts/0/x"))
+    asked = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(refs).alias("child"))
+    return references.dereference(asked, references.items(references.documents(t))).select("doc_id", "child", "problem")
 
 
-@query("SELECT * FROM (VALUES (1, 4, 2)) t(doc_id, refs, resolved)", big="doc_id refs resolved")
+@query(f"""WITH {_ITEMS}
+SELECT doc_id, count(*) FILTER (n % 2 = 0) + count(*) FILTER (n % 3 = 0 AND n > 0) + count(*) FILTER (n % 5 = 0) AS refs, count(*) FILTER (n % 3 = 0 AND n > 0 AND n % 4 <> 0) + CASE WHEN count(*) FILTER (n % 4 = 3) = 1 THEN count(*) FILTER (n % 5 = 0) ELSE 0 END AS resolved FROM i GROUP BY doc_id""")
 def reference_resolution(spark, sf_dir):
-    ref = lambda r: {"$ref": r}
-    doc = {"texts": [{"self_ref": "#/texts/0", "parent": ref("#/body")}, {"self_ref": "#/texts/1", "children": [ref("#/texts/0"), ref("#/x")]}, {"self_ref": "dup"}, {"self_ref": "dup", "captions": [ref("#/texts/1")]}]}
-    return references.resolution_summary(references.items(references.documents(_raw(spark, doc))))
-
+    """Every fourth line has the same self_ref, which resolves where one line alone has it."""
+    item = lambda t, i: F.struct(
+        F.when(i % 4 == 3, "twin").otherwise(F.concat(F.lit("#/texts/"), i.cast("string"))).alias("self_ref"),
+        F.when(i % 2 == 0, F.struct(F.lit("#/body").alias("$ref"))).alias("parent"),
+        F.when((i % 3 == 0) & (i > 0), F.array(_ref(i - 1))).alias("children"),
+        F.when(i % 5 == 0, F.array(F.struct(F.lit("twin").alias("$ref")))).alias("captions"),
+    )
+    return references.resolution_summary(references.items(references.documents(_trees(spark, sf_dir, item))))
 
-_IMAGES = [(1, "image/png", "data:image/png;base64,QUJD"), (2, "text/plain", "data:image/png;base64,QUJD"), (3, "image/png", None), (4, "image/png", "http://x"), (5, "image/png", "data:image/gif;base64,QUJD"), (6, "image/png", "data:image/png;base64,QUJ"), (7, "image/PNG", "data:image/png;base64,QUJD")]
 
-
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'not an image type'), (3, 'no uri'), (4, 'not an image data uri'), (5, 'types differ'), (6, 'bad base64'), (7, NULL)) t(id, problem)")
+@query("SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'not an image type' WHEN 2 THEN 'no uri' WHEN 3 THEN 'not an image data uri' WHEN 4 THEN 'types differ' WHEN 5 THEN 'bad base64' END AS problem FROM pages")
 def image_uri_check(spark, sf_dir):
-    d = rows(spark, "id int, m string, u string", _IMAGES)
-    return d.select("id", text.data_uri_problem(F.col("m"), F.col("u")).alias("problem"))
-
+    """Pages stand for images."""
+    k, body = F.col("page_id") % 7, F.translate(F.base64(F.encode("html", "UTF-8")), "\r\n", "")
+    uri = F.when(k == 3, F.col("url")).when(k == 4, F.concat(F.lit("data:image/gif;base64,"), body)).when(k == 5, F.concat(F.lit("data:image/png;base64,"), body, F.lit("A"))).when(k != 2, F.concat(F.lit("data:image/png;base64,"), body))
+    mime = F.when(k == 1, "text/plain").when(k == 6, "image/PNG").otherwise("image/png")
+    return table(spark, sf_dir, "pages").select("page_id", text.data_uri_problem(mime, uri).alias("problem"))
 
-MARKDOWN = "# 제목\n\n문단 **굵게**\n이어짐\n\n- 하나\n- 둘\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n**아님**\n```\n\nSetext\n---\n"
 
 # --- markup -------------------------------------------------------------------------------------------------------
 
@@ -566,38 +614,72 @@ def html_headings(spark, sf_dir):
     return b.where("kind = 'heading' and level = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 'markdown', '{\"heading\": 2, \"list\": 2, \"table\": 1}', '{\"1\": 1, \"2\": 1}', '{\"strong\": 1}', '{\"bullets\": 1}', 1), (2, 'html', '{\"heading\": 1, \"table\": 1}', '{\"2\": 1}', '{\"u\": 1}', '{}', 1)) t(doc_id, format, kinds, levels, emphasis, containers, n)", big="doc_id n")
-def markup_details(spark, sf_dir):
-    html = '<div><h2>T</h2><u>k</u><table><tr><td colspan="2">1</td></tr></table><script><b>x</b></script></div>'
-    return markup.markup_inventory(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN), (2, html)])).drop("examples")
+@query()
+def markup_excerpts(spark, sf_dir):
+    return markup.markup_excerpts(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 1, 1, 0, 1, 1, 1, '2 valid identical (planned 3), includes partial', 1.0e0, 0), (1, 'b', 1, 0, 1, 1, 0, 0, 'not comparable (1 valid)', 4.0e0, 2)) t(doc_id, tool, success, partial, failure, not_run, pairs, equal_pairs, label, median, worst)", big="doc_id success partial failure not_run pairs equal_pairs worst")
-def comparison_report(spark, sf_dir):
-    """The report's tables over two tools' runs, joined to one row a tool."""
-    r = rows(spark, "doc_id bigint, tool string, number int, status string, total_seconds double, internal_seconds double", [(1, "a", 1, "success", 1.0, 0.5), (1, "a", 2, "partial_success", 9.0, None), (1, "b", 1, "success", 4.0, None), (1, "b", 2, "failure", None, None)])
-    shot = lambda t: json.dumps({"text": t, "blocks": [{"text": t}]})
-    snaps = rows(spark, "doc_id bigint, tool string, number int, snapshot string", [(1, "a", 1, shot("abc")), (1, "a", 2, shot("abc")), (1, "b", 1, shot("xbcd")), (1, "b", 2, shot("?"))])
-    t = comparison.comparison(r, snaps, 3, ("a", "b"))
-    worst = t["repeat_distances"].select("doc_id", "tool", F.col("edit_distance").alias("d")).unionByName(t["cross_tool_distances"].select("doc_id", F.lit("b").alias("tool"), F.col("edit_distance").alias("d"))).groupBy("doc_id", "tool").agg(F.max("d").alias("worst"))
-    out = t["repeats"].join(t["total_seconds"].select("doc_id", "tool", "median"), ["doc_id", "tool"]).join(worst, ["doc_id", "tool"])
-    return out.select("doc_id", "tool", "success", "partial", "failure", F.col("not_run").cast("bigint").alias("not_run"), F.col("pairs").cast("bigint").alias("pairs"), F.col("equal_pairs").cast("bigint").alias("equal_pairs"), "label", "median", "worst")
+#: Marks that are left out of lines before they are made Markdown.
+_PLAIN = "*_`|\\<>#[]+-=~.):&\t"
 
 
-@query()
-def markup_excerpts(spark, sf_dir):
-    return markup.markup_excerpts(table(spark, sf_dir, "pages"), "page_id", "html")
+_PLAIN_SQL = "trim(translate(t[i], '" + _PLAIN.replace("\t", "") + "' || chr(9), ''))"
+
 
+def markdown_view(spark, sf_dir) -> DataFrame:
+    """(doc_id, text): lines with blank ones between them: short ones are headings, of the others one in four is an item, one strong, one in a fence."""
+    x = lambda t: F.trim(F.translate(t, _PLAIN, ""))
+    made = lambda t, i: F.when(t == "", "").when(F.length(t) < 40, F.concat(F.repeat(F.lit("#"), 1 + F.length(t) % 6), F.lit(" "), t)).when(i % 4 == 1, F.concat(F.lit("- "), t)).when(i % 4 == 2, F.concat(F.lit("**"), t, F.lit("**"))).when(i % 4 == 3, F.concat(F.lit("```\n"), t, F.lit("\n```"))).otherwise(t)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: made(x(t), i)), "\n\n").alias("text"))
 
 
-@query("SELECT * FROM (VALUES (0, 'section_header', 1, '제목'), (1, 'unknown', NULL, '문단 **굵게**' || chr(10) || '이어짐'), (2, 'list_item', NULL, '하나'), (3, 'list_item', NULL, '둘'), (4, 'table', NULL, 'a' || chr(10) || 'b' || chr(10) || '1' || chr(10) || '2'), (5, 'code', NULL, '**아님**' || chr(10)), (6, 'section_header', 2, 'Setext')) t(seq, label, level, text)", big="seq level")
+@query(f"""WITH l AS (SELECT doc_id, i - 1 AS i, {_PLAIN_SQL} AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS seq, CASE WHEN length(x) < 40 THEN 'section_header' WHEN i % 4 = 1 THEN 'list_item' WHEN i % 4 = 3 THEN 'code' ELSE 'unknown' END AS label,
+CASE WHEN length(x) < 40 THEN CAST(1 + length(x) % 6 AS BIGINT) END AS level, CASE WHEN length(x) >= 40 AND i % 4 = 2 THEN '**' || x || '**' WHEN length(x) >= 40 AND i % 4 = 3 THEN x || chr(10) ELSE x END AS text FROM l WHERE x <> ''""")
 def markdown_blocks(spark, sf_dir):
-    return markup.markup_blocks(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("seq", "label", "level", "text")
+    return markup.markup_blocks(markdown_view(spark, sf_dir)).select("doc_id", "seq", "label", F.col("level").cast("bigint").alias("level"), "text")
 
 
-@query("SELECT * FROM (VALUES ('heading', 1, 1), ('formatting', 3, NULL), ('list', 6, NULL), ('list', 7, NULL), ('table', 10, 2), ('heading', 17, 2)) t(signal, line, level)", big="line level")
+@query(f"""WITH l AS (SELECT conv_id, turn, i, {_PLAIN_SQL} AS x FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS t FROM conversations)))
+SELECT conv_id * 1000 + turn AS doc_id, 'list' AS signal, CAST(i + 2 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS level FROM l WHERE x <> '' UNION ALL SELECT conv_id * 1000 + turn, 'heading', 1, 2 FROM conversations""")
 def markdown_signals(spark, sf_dir):
-    return markup.markdown_signals(rows(spark, "doc_id bigint, text string", [(1, MARKDOWN)])).select("signal", "line", "level")
+    """Each turn has its role as a heading and its lines as list items."""
+    x = lambda t: F.trim(F.translate(t, _PLAIN, ""))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.when(x(t) != "", F.concat(F.lit("- "), x(t))).otherwise(""))
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("## "), "role", F.lit("\n\n"), F.array_join(lines, "\n")).alias("text"))
+    return markup.markdown_signals(c).select("doc_id", "signal", F.col("line").cast("bigint").alias("line"), F.col("level").cast("bigint").alias("level"))
+
+
+_SORTS = f"""l AS (SELECT doc_id, i - 1 AS i, {_PLAIN_SQL} AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL))),
+s AS (SELECT doc_id, i, length(x) AS size, CASE WHEN length(x) < 40 THEN 'heading' WHEN i % 4 = 1 THEN 'list' WHEN i % 4 = 2 THEN 'strong' END AS sort FROM l WHERE x <> ''), o AS (SELECT *, lag(sort) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s)"""
+_ENTRY = lambda name, cond: f"CASE WHEN count(*) FILTER ({cond}) > 0 THEN '\"{name}\": ' || count(*) FILTER ({cond}) END"
+_MAP = lambda *entries: "'{' || concat_ws(', ', " + ", ".join(entries) + ") || '}'"
+_LEVEL = lambda n: _ENTRY(str(n), f"sort = 'heading' AND 1 + size % 6 = {n}")
+_BULLETS = _ENTRY("bullets", "sort = 'list' AND before IS DISTINCT FROM 'list'")
+
+
+@query(f"""WITH {_SORTS} SELECT d.doc_id, 'markdown' AS format, {_MAP(_ENTRY('heading', "sort = 'heading'"), _ENTRY('list', "sort = 'list'"))} AS kinds, {_MAP(*[_LEVEL(n) for n in range(1, 7)])} AS levels,
+{_MAP(_ENTRY('strong', "sort = 'strong'"))} AS emphasis, {_MAP(_BULLETS)} AS containers, CAST(0 AS BIGINT) AS n FROM documents d LEFT JOIN o USING (doc_id) WHERE text IS NOT NULL GROUP BY d.doc_id""")
+def markup_details(spark, sf_dir):
+    return markup.markup_inventory(markdown_view(spark, sf_dir).where("text is not null")).drop("examples")
+
+
+@query(RUNS + f""", v AS (SELECT *, status || '-' || CAST(CAST(floor(total_seconds / 50) AS BIGINT) AS VARCHAR) AS c FROM runs WHERE status <> 'failure'),
+a AS (SELECT doc_id, tool, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'partial_success') AS partial, count(*) FILTER (status = 'failure') AS failure, {REPEAT} - count(*) AS not_run, median(total_seconds) FILTER (status = 'success') AS median FROM runs GROUP BY doc_id, tool),
+k AS (SELECT doc_id, tool, CAST(sum(n) AS BIGINT) AS v, count(*) AS k, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS equal_pairs FROM (SELECT doc_id, tool, c, count(*) AS n FROM v GROUP BY ALL) GROUP BY doc_id, tool),
+w AS (SELECT doc_id, tool, max(d) AS worst FROM (SELECT l.doc_id, l.tool, levenshtein(l.c, r.c) AS d FROM v l JOIN v r ON l.doc_id = r.doc_id AND l.tool = r.tool AND l.number < r.number UNION ALL SELECT l.doc_id, r.tool, levenshtein(l.c, r.c) FROM v l JOIN v r ON l.doc_id = r.doc_id AND l.tool = 'recursive' AND r.tool = 'tree') GROUP BY doc_id, tool)
+SELECT doc_id, tool, success, partial, failure, not_run, v * (v - 1) // 2 AS pairs, equal_pairs, CASE WHEN v < 2 THEN 'not comparable (' || v || ' valid)' WHEN k = 1 AND v = {REPEAT} THEN 'all {REPEAT} identical' WHEN k = 1 THEN v || ' valid identical (planned {REPEAT})' ELSE v || ' valid differ (' || k || ' kinds)' END || CASE WHEN partial > 0 THEN ', includes partial' ELSE '' END AS label,
+round(median, 6) AS median, CAST(worst AS BIGINT) AS worst FROM a JOIN k USING (doc_id, tool) JOIN w USING (doc_id, tool) WHERE median IS NOT NULL""")
+def comparison_report(spark, sf_dir):
+    """The report's tables over two tools' runs, joined to one row a tool; what a run gave is told by its status and time."""
+    r = runs_view(spark, sf_dir)
+    said = F.concat("status", F.lit("-"), F.floor(F.col("total_seconds") / 50).cast("string"))
+    snaps = r.select("doc_id", "tool", "number", F.to_json(F.struct(said.alias("text"), F.array(F.struct(said.alias("text"))).alias("blocks"))).alias("snapshot"))
+    t = comparison.comparison(r, snaps, REPEAT, ("recursive", "tree"))
+    worst = t["repeat_distances"].select("doc_id", "tool", F.col("edit_distance").alias("d")).unionByName(t["cross_tool_distances"].select("doc_id", F.lit("tree").alias("tool"), F.col("edit_distance").alias("d"))).groupBy("doc_id", "tool").agg(F.max("d").cast("bigint").alias("worst"))
+    out = t["repeats"].join(t["total_seconds"].select("doc_id", "tool", "median"), ["doc_id", "tool"]).join(worst, ["doc_id", "tool"]).where("median is not null")
+    whole = lambda *names: [F.col(n).cast("bigint").alias(n) for n in names]
+    return out.select("doc_id", "tool", "success", "partial", "failure", *whole("not_run", "pairs", "equal_pairs"), "label", F.round("median", 6).alias("median"), "worst")
 
 
 @query(r"""WITH l AS (SELECT doc_id, i - 1 AS i, trim(translate(t[i], '*_`|\<>#[]+-=~.):' || chr(9), '')) AS x FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)))
@@ -623,9 +705,13 @@ def escaping(spark, sf_dir):
     return p.select("page_id", F.sha2(text.code_fence(F.col("t")), 256).alias("fenced"), F.sha2(text.html_escape(F.col("t")), 256).alias("html"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b c'), (3, '')) t(id, s)")
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(text, '^{_SPACE}|{_SPACE}$', '', 'g')) AS stripped FROM documents")
 def unicode_strip(spark, sf_dir):
-    return rows(spark, "id int, t string", [(1, "　a "), (2, "\x1cb c\n"), (3, " \t")]).select("id", text.strip(F.col("t")).alias("s"))
+    """White space of several kinds is put around each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip(F.concat(F.lit("　  "), "text", F.lit("\x1c\n\x85\t"))), 256).alias("stripped"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(replace(replace(text || chr(13) || 'e' || chr(769) || chr(13) || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS h FROM documents")
@@ -634,10 +720,12 @@ def normalisation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalized(F.concat("text", F.lit("\re\u0301\r\n"))), 256).alias("h"))
 
 
-@query("""SELECT * FROM (VALUES (1, sha256('{"a": "가", "b": [1.5, 10000000000.0, null]}')), (2, sha256('{"a": "가", "b": [1.5, 10000000000.0, null]}'))) t(id, h)""")
+@query("""SELECT event_id, sha256('{"a": "가' || event_type || '", "b": [1.5, 10000000000.0, null], "id": ' || event_id || '}') AS h FROM events""")
 def canonical_hash(spark, sf_dir):
-    d = rows(spark, "id int, j string", [(1, '{"b": [1.50, 1e10, NaN], "a": "가"}'), (2, '{"a":"가","b":[1.5,10000000000.0,Infinity]}')])
-    return d.select("id", canonical.content_hash(F.col("j")).alias("h"))
+    """Two spellings of the same result, by turns."""
+    one, other = F.lit('{"b": [1.50, 1e10, NaN], "id": '), F.lit('{"b":[1.5,10000000000.0,-Infinity],"id":')
+    j = F.concat(F.when(F.col("event_id") % 2 == 0, one).otherwise(other), F.col("event_id").cast("string"), F.lit(',"a":  "가'), "event_type", F.lit('"}'))
+    return table(spark, sf_dir, "events").select("event_id", canonical.content_hash(j).alias("h"))
 
 
 # --- inventories and evidence ----------------------------------------------------------------------------------------
@@ -653,10 +741,11 @@ def field_states(spark, sf_dir):
 _STATES = ['{}', '{"f": null}', '{"f": false}', '{"f": true}', '{"f": []}', '{"f": {}}', '{"f": ""}', '{"f": 0}', '{"f": "x"}', '{"f": {"g": 1}}']
 
 
-@query("SELECT * FROM (VALUES ('필드 없음', 1), ('null', 1), ('false', 1), ('true', 1), ('빈 배열', 1), ('빈 객체', 1), ('빈 문자열', 1), ('값 있음', 3)) t(state, n)", big="n")
+@query("SELECT event_type, ['필드 없음', 'null', 'false', 'true', '빈 배열', '빈 객체', '빈 문자열', '값 있음', '값 있음', '값 있음'][event_id % 10 + 1] AS state, count(*) AS n FROM events GROUP BY ALL")
 def eight_states(spark, sf_dir):
-    d = rows(spark, "ref string, j string", [(str(i), j) for i, j in enumerate(_STATES)]).withColumn("v", F.parse_json("j"))
-    return inventory.field_states(inventory.observe(d, ("f",)), ()).select("state", "n")
+    j = F.get(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 10).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("string").alias("ref"), F.try_parse_json(j).alias("v"))
+    return inventory.field_states(inventory.observe(e, ("f",)), ("event_type",)).select("event_type", "state", "n")
 
 
 @query("""WITH v AS (SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS value, event_id FROM events), c AS (SELECT value, count(*) AS n, min(event_id) AS first FROM v WHERE value IS NOT NULL GROUP BY 1)
@@ -667,59 +756,93 @@ def top_values(spark, sf_dir):
     return inv.select(F.explode("value_counts").alias("x")).select("x.value", "x.n")
 
 
-def featured() -> dict:
-    return {
-        "name": "n", "origin": {"filename": "f.pdf"}, "body": {"children": []}, "groups": [],
-        "texts": [{"self_ref": "#/texts/0", "label": "section_header", "level": 1, "text": "A", "prov": []}, {"self_ref": "#/texts/1", "label": "section_header", "level": 1, "text": "B", "formatting": {"bold": True, "italic": None}, "prov": [{"page_no": 1, "bbox": {"l": 1}}]}, {"label": "text", "text": "c"}],
-        "tables": [{"self_ref": "#/tables/0", "label": "table", "data": {"num_rows": 1, "num_cols": 2, "table_cells": [{"text": "x", "col_span": 2}]}}],
-        "pictures": [{"self_ref": "#/pictures/0", "label": "picture", "image": {"mimetype": "image/png", "uri": "data:x"}}],
-    }
-
-
-@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'hierarchy', true), (1, 'formatting', true), (1, 'tables', true), (1, 'location', true), (1, 'metadata', true), (1, 'resources', true)) t(doc_id, category, provided)", big="doc_id")
+def featured_view(spark, sf_dir) -> DataFrame:
+    """(doc_id, raw): results of documents with levels, formatting and places on some lines, tables, pictures and names in some documents."""
+    d, n = F.col("doc_id"), F.size(F.split("text", "\n"))
+    short = lambda t: F.length(t) < 40
+    item = lambda t, i: F.struct(
+        F.when(short(t), "section_header").otherwise("text").alias("label"), F.when(short(t), 1 + F.length(t) % 3).alias("level"), t.alias("text"),
+        F.when(i % 4 == 1, F.struct((i % 8 == 1).alias("bold"))).alias("formatting"), F.when(i % 3 == 1, F.array(F.struct(i.alias("page_no")))).alias("prov"),
+    )
+    one = lambda some, *fields: F.when(some, F.array(F.struct(*fields)))
+    cells = F.array(F.struct(F.lit("x").alias("text"), n.alias("col_span")))
+    return _trees(
+        spark, sf_dir, item, name=F.when(d % 2 == 0, F.concat(F.lit("n"), d.cast("string"))),
+        tables=one(d % 3 == 0, F.lit("#/tables/0").alias("self_ref"), F.lit("table").alias("label"), F.struct(F.lit(1).alias("num_rows"), F.lit(1).alias("num_cols"), cells.alias("table_cells")).alias("data")),
+        pictures=one(d % 5 == 0, F.lit("#/pictures/0").alias("self_ref"), F.lit("picture").alias("label")),
+    )
+
+
+@query(f"""WITH {_ITEMS}, d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (label = 'section_header') AS heads FROM i GROUP BY doc_id)
+SELECT doc_id, unnest(['classification', 'hierarchy', 'formatting', 'location', 'metadata']) AS category, unnest([true, true, n > 1, n > 1, doc_id % 2 = 0]) AS provided FROM d UNION ALL SELECT doc_id, 'headings', true FROM d WHERE heads > 0
+UNION ALL SELECT doc_id, 'tables', true FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'resources', true FROM d WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""")
 def tree_features(spark, sf_dir):
-    f = inventory.tree_features(_raw(spark, featured()))
+    f = inventory.tree_features(featured_view(spark, sf_dir))
     return inventory.provided(f.where("decides"), ("doc_id", "category"))
 
 
-@query("""SELECT * FROM (VALUES ('headings', 'level', 2, '값 있음=2', '1=2'), ('tables', 'col_span', 1, '값 있음=1', '2=1'), ('formatting', 'formatting.bold', 3, 'true=1,필드 없음=2', 'true=1'), ('location', 'page_no', 1, '값 있음=1', '1=1')) t(category, field, targets, states, value_counts)""", big="targets")
+@query(f"""WITH {_ITEMS}, o AS (SELECT doc_id, n, 'headings' AS category, 'level' AS field, CAST(1 + length(text) % 3 AS VARCHAR) AS v FROM i WHERE label = 'section_header'
+  UNION ALL SELECT doc_id, n, 'formatting', 'formatting.bold', CASE WHEN n % 8 = 1 THEN 'true' WHEN n % 4 = 1 THEN 'false' END FROM i UNION ALL SELECT doc_id, n, 'location', 'page_no', CAST(n AS VARCHAR) FROM i WHERE n % 3 = 1
+  UNION ALL SELECT doc_id, 0, 'tables', 'col_span', CAST(count(*) AS VARCHAR) FROM i WHERE doc_id % 3 = 0 GROUP BY doc_id),
+s AS (SELECT doc_id, category, field, CAST(sum(n) AS BIGINT) AS targets, string_agg(state || '=' || n, ',' ORDER BY state) AS states FROM (SELECT doc_id, category, field, CASE WHEN v IS NULL THEN '필드 없음' WHEN v IN ('true', 'false') THEN v ELSE '값 있음' END AS state, count(*) AS n FROM o GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT doc_id, category, field, string_agg(v || '=' || n, ',' ORDER BY r) AS value_counts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category, field ORDER BY n DESC, first) AS r FROM (SELECT doc_id, category, field, v, count(*) AS n, min(n) AS first FROM o WHERE v IS NOT NULL GROUP BY ALL)) WHERE r <= 8 GROUP BY ALL)
+SELECT doc_id, category, field, targets, states, value_counts FROM s LEFT JOIN v USING (doc_id, category, field)""")
 def feature_inventory(spark, sf_dir):
-    f = inventory.tree_features(_raw(spark, featured()))
+    f = inventory.tree_features(featured_view(spark, sf_dir))
     inv = inventory.field_inventory(f, ("doc_id", "category", "field")).where("(category, field) in (('headings', 'level'), ('tables', 'col_span'), ('formatting', 'formatting.bold'), ('location', 'page_no'))")
     pairs = lambda c, k, n: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit("="), x[n].cast("string"))), ",")
-    return inv.select("category", "field", F.col("targets").cast("bigint").alias("targets"), pairs(F.map_entries("states"), "key", "value").alias("states"), pairs(F.col("value_counts"), "value", "n").alias("value_counts"))
-
-
-def recursive_result() -> list[dict]:
-    return [{"tk:content": "본문", "xmpTPg:NPages": 3, "author": "a", "dotted.key": False}, {"X-TIKA:content": "# image3.jpeg\n\n**굵게**\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "tk:resource-name": "image3.jpeg", "tk:embedded-depth": 1}]
+    return inv.select("doc_id", "category", "field", F.col("targets").cast("bigint").alias("targets"), pairs(F.map_entries("states"), "key", "value").alias("states"), pairs(F.col("value_counts"), "value", "n").alias("value_counts"))
 
 
-@query("SELECT * FROM (VALUES (1, 'classification', true), (1, 'headings', true), (1, 'tables', true), (1, 'hierarchy', true), (1, 'resources', true), (1, 'metadata', true)) t(doc_id, category, provided)", big="doc_id")
+@query(rf"""WITH p AS (SELECT page_id AS doc_id, page_id % 2 = 0 AS inner_, {_BARE} AS b FROM pages WHERE html IS NOT NULL)
+SELECT doc_id, category, true AS provided FROM (SELECT doc_id, unnest(['classification', 'headings', 'tables', 'formatting', 'hierarchy', 'resources', 'metadata']) AS category,
+unnest([inner_ OR regexp_matches(b, '(?i)<(h[1-6]|li|table|pre)[ >]'), inner_ OR regexp_matches(b, '(?i)<h[1-6][ >]'), regexp_matches(b, '(?i)<table[ >]'), inner_ OR regexp_matches(b, '(?i)<(strong|b|em|i|u)[ >]'), inner_ OR regexp_matches(b, '(?i)<(ul|ol|blockquote)[ >]'), inner_, true]) AS provided FROM p) WHERE provided""")
 def resource_features(spark, sf_dir):
-    res = inventory.resources(_raw(spark, recursive_result()))
+    res = inventory.resources(recursive_view(spark, sf_dir))
     f = inventory.resource_features(res, markup.markup_blocks(res, "doc_id", "content"), markup.html_tags(res, "doc_id", "content"))
     return f.where("provided")
 
 
-@query("SELECT * FROM (VALUES (0, 'xmpTPg:NPages', '3', true), (0, 'author', '\"a\"', false), (0, 'dotted.key', 'false', false), (1, 'tk:resource-name', '\"image3.jpeg\"', false), (1, 'tk:embedded-depth', '1', false)) t(idx, key, value, about_pages)")
+def recursive_view(spark, sf_dir) -> DataFrame:
+    """(doc_id, raw): pages as recursive results; those with an even id hold an image's text."""
+    content = F.concat(F.lit("# image"), F.col("page_id").cast("string"), F.lit(".png\n\n**bold**\n"))
+    field = lambda key, value: F.concat(F.to_json(F.array(F.lit(key))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(key)))) - 2), F.lit(": "), value)
+    said = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    root = F.concat_ws(", ", field("tk:content", said("html")), field("url", said("url")), field("xmpTPg:NPages", (F.col("page_id") % 9).cast("string")), field("dotted.key", F.lit("false")))
+    inner = F.concat(F.lit(', {"tk:resource-name": "image.png", "tk:embedded-depth": 1, "X-TIKA:content": '), F.to_json(F.array(content)).substr(F.lit(2), F.length(F.to_json(F.array(content))) - 2), F.lit("}"))
+    return table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("[{"), root, F.lit("}"), F.when(F.col("page_id") % 2 == 0, inner).otherwise(""), F.lit("]")).alias("raw"))
+
+
+@query("""SELECT page_id AS doc_id, unnest([0, 0, 0]) AS idx, unnest(['url', 'xmpTPg:NPages', 'dotted.key']) AS key, unnest(['"' || url || '"', CAST(page_id % 9 AS VARCHAR), 'false']) AS value, unnest([false, true, false]) AS about_pages FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT page_id, unnest([1, 1]), unnest(['tk:resource-name', 'tk:embedded-depth']), unnest(['"image.png"', '1']), false FROM pages WHERE html IS NOT NULL AND page_id % 2 = 0""")
 def resource_metadata(spark, sf_dir):
-    return inventory.resource_metadata(inventory.resources(_raw(spark, recursive_result()))).select("idx", "key", "value", "about_pages")
+    return inventory.resource_metadata(inventory.resources(recursive_view(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES (1, 2, '본문' || chr(10) || '# image3.jpeg', '3')) t(doc_id, n_blocks, head, pages)", big="doc_id n_blocks")
+@query("""SELECT page_id AS doc_id, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_blocks, sha256(html || CASE WHEN page_id % 2 = 0 THEN chr(10) || '# image' || page_id || '.png' || chr(10) || chr(10) || '**bold**' || chr(10) ELSE '' END) AS content, CAST(page_id % 9 AS VARCHAR) AS pages FROM pages WHERE html IS NOT NULL""")
 def resource_snapshot(spark, sf_dir):
-    return references.snapshots(_raw(spark, recursive_result())).select("doc_id", "n_blocks", F.substring_index("text", "\n", 2).alias("head"), "pages")
+    s = references.snapshots(recursive_view(spark, sf_dir))
+    return s.select("doc_id", F.col("n_blocks").cast("bigint").alias("n_blocks"), F.sha2("text", 256).alias("content"), "pages")
 
 
-@query("SELECT * FROM (VALUES (1, 'classification', 4), (1, 'headings', 2), (1, 'hierarchy', 1), (1, 'formatting', 1), (1, 'tables', 1), (1, 'location', 2), (1, 'metadata', 1), (1, 'resources', 1), (2, 'headings', 1), (2, 'tables', 1), (2, 'metadata', 1), (2, 'location', 1), (2, 'resources', 1)) t(doc_id, category, n) WHERE category NOT IN ('classification')", big="doc_id n")
+@query(f"""WITH {_ITEMS}, d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (label = 'section_header') AS heads, count(DISTINCT label) AS kinds FROM i GROUP BY doc_id),
+c AS (SELECT doc_id, unnest(['classification', 'headings', 'hierarchy', 'formatting', 'tables', 'location', 'metadata', 'resources']) AS category,
+  unnest([least(3, kinds + CAST(doc_id % 3 = 0 AS INT) + CAST(doc_id % 5 = 0 AS INT)), least(3, heads), 1, least(3, (n + 2) // 4), CAST(doc_id % 3 = 0 AS INT), least(3, (n + 1) // 3), CAST(doc_id % 2 = 0 AS INT), CAST(doc_id % 5 = 0 AS INT)]) AS n FROM d)
+SELECT doc_id, category, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""")
 def excerpt_counts(spark, sf_dir):
-    e = evidence.excerpts(_raw(spark, featured(), recursive_result()))
-    return e.where("category <> 'classification' and not (doc_id = 2 and category in ('formatting', 'hierarchy'))").groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+    return evidence.excerpts(featured_view(spark, sf_dir)).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n % 8 <> 1, n) - 1 AS seq FROM i WHERE n % 4 = 1), o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM i WHERE n % 3 = 1)
+SELECT doc_id, 'formatting' AS category, CAST(seq AS INT) AS seq, '#/texts/' || n AS source, CASE WHEN n % 8 = 1 THEN '{{"bold":true}}' ELSE '{{"bold":false}}' END AS shown FROM f WHERE seq < 3
+UNION ALL SELECT doc_id, 'location', CAST(seq AS INT), '#/texts/' || n, '[{{"page_no":' || n || '}}]' FROM o WHERE seq < 3
+UNION ALL SELECT doc_id, 'metadata', 0, '#', 'n' || doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'resources', 0, '#/pictures/0', 'picture' FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0""")
 def excerpts(spark, sf_dir):
-    return evidence.excerpts(_raw(spark, featured(), recursive_result()))
+    """Of each excerpt what it is there for; formatted texts that set something come first."""
+    e = evidence.excerpts(featured_view(spark, sf_dir)).where("category in ('formatting', 'location', 'metadata', 'resources')")
+    part = lambda category, path: F.when(F.col("category") == category, F.get_json_object("content", path))
+    return e.select("doc_id", "category", "seq", "source", F.coalesce(part("formatting", "$.formatting"), part("location", "$.prov"), part("metadata", "$.name"), part("resources", "$.label")).alias("shown"))
 
 
 # --- cards ---------------------------------------------------------------------------------------------------------
@@ -737,17 +860,22 @@ _BUNDLES = [card_bundle(), card_bundle(version=True), card_bundle(card={"documen
 _PROBLEMS = [None, "version", "unknown document", "id, title or kind", "id, title or kind", "original_checked", "no evidence", "repeated id", "tree run", "tree format", "tree json", "tree json", "tree json", "tree json", "tree source", "schema", "too many cards", "a text field is missing", "tree json", "recursive json"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ("NULL" if p is None else f"'{p}'") + ")" for i, p in enumerate(_PROBLEMS)) + ") t(bundle, problem)")
+@query("SELECT doc_id AS bundle, [" + ", ".join("NULL" if p is None else f"'{p}'" for p in _PROBLEMS) + f"][doc_id % {len(_PROBLEMS)} + 1] AS problem FROM documents WHERE text IS NOT NULL")
 def card_validation(spark, sf_dir):
-    b = rows(spark, "bundle int, text string", [(i, json.dumps(x)) for i, x in enumerate(_BUNDLES)])
-    d = rows(spark, "id string, sha256 string, runs_tree array<int>, runs_recursive array<int>", [("d1", "s1", [1, 2], [1])])
-    return cards.validate(b, d, ("tree", "recursive")).select("bundle", "problem")
+    """A bundle for each document, right or wrong in one of twenty ways."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("sha256"))
+    made = F.get(F.array(*[F.lit(json.dumps(x)) for x in _BUNDLES]), (F.col("doc_id") % len(_BUNDLES)).cast("int"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    b = d.select(F.col("doc_id").alias("bundle"), F.replace(F.replace(made, F.lit('"d1"'), quoted("id")), F.lit('"s1"'), quoted("sha256")).alias("text"))
+    known = d.select("id", "sha256", F.array(F.lit(1), F.lit(2)).alias("runs_tree"), F.array(F.lit(1)).alias("runs_recursive"))
+    return cards.validate(b, known, ("tree", "recursive")).select("bundle", "problem")
 
 
-@query("SELECT * FROM (VALUES ('a', '{}'), ('b', '{}'), ('c', '{}')) t(id, json)")
+@query("SELECT 'n' || n_nationkey AS id, '{\"title\": \"' || n_name || '\"}' AS json FROM nation")
 def card_merge(spark, sf_dir):
-    s = "id string, json string"
-    return cards.merge(rows(spark, s, [("a", "{}"), ("b", "{}")]), rows(spark, s, [("c", "{}")]))
+    """Nations stand for cards, of which a bundle holds few."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit('{"title": "'), "n_name", F.lit('"}')).alias("json"))
+    return cards.merge(n.where("n_nationkey % 2 = 0").drop("n_nationkey"), n.where("n_nationkey % 2 = 1").drop("n_nationkey"))
 
 
 # --- chunks and vectors ----------------------------------------------------------------------------------------------
@@ -858,9 +986,14 @@ def context_resolution(spark, sf_dir):
     return chunks.fill_between(c, "conv_id", "turn", "role", "user").select("conv_id", "turn", "resolved")
 
 
-@query("SELECT * FROM (VALUES ('a', 0.5e0, 0.5e0, 0.5e0, 0.5e0, 0.583333e0, 0.25e0), ('b', 1e0, 0.5e0, 0.666667e0, 0.5e0, 0.583333e0, 0.25e0)) t(label, \"precision\", recall, f1, accuracy, macro_f1, unknown_rate)")
+@query("""WITH r AS (SELECT lang AS t, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN' WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END AS g FROM documents),
+k AS (SELECT t AS label FROM r UNION SELECT g FROM r), c AS (SELECT label, (SELECT count(*) FROM r WHERE t = label AND g = label) AS hit, (SELECT count(*) FROM r WHERE t = label) AS is_, (SELECT count(*) FROM r WHERE g = label) AS said FROM k WHERE label <> 'UNKNOWN'),
+p AS (SELECT label, is_, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN is_ > 0 THEN hit / is_ ELSE 0 END AS r FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM p)
+SELECT label, round(p, 6) AS "precision", round(r, 6) AS recall, round(f1, 6) AS f1, round((SELECT avg(CASE WHEN t = g THEN 1e0 ELSE 0e0 END) FROM r), 6) AS accuracy, round((SELECT avg(f1) FROM f WHERE is_ > 0), 6) AS macro_f1, round((SELECT avg(CASE WHEN g = 'UNKNOWN' THEN 1e0 ELSE 0e0 END) FROM r), 6) AS unknown_rate FROM f""")
 def label_metrics(spark, sf_dir):
-    d = rows(spark, "truth string, guess string", [("a", "a"), ("a", "UNKNOWN"), ("b", "b"), ("b", "a")])
+    """A document's language, said wrong or not known for some."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("truth"), F.when(k % 7 == 0, "UNKNOWN").when(k % 5 == 0, "en").otherwise(F.col("lang")).alias("guess"))
     m = chunks.label_metrics(d)
     return m.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "macro_f1", "unknown_rate")])
 
