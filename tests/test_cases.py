@@ -369,3 +369,28 @@ def test_case(spark, name):
     assert columns == sorted(r.columns)
     want = [tuple(plain(x[r.columns.index(c)]) for c in columns) for x in r.fetchall()]
     assert sorted((tuple(plain(x[c]) for c in columns) for x in got), key=repr) == sorted(want, key=repr)
+
+
+def test_trees_hold_the_outline(spark):
+    """The nested form of every document, walked again, has the nodes of its outline in their order, each under its parent."""
+    from quillon.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want: dict = {}
+    for r in sorted(QUERIES["notice_outline"](spark, sf).collect(), key=lambda r: (r["doc_id"], r["seq"])):
+        want.setdefault(r["doc_id"], []).append(r)
+    trees = {r["doc_id"]: json.loads(r["tree"]) for r in QUERIES["notice_tree"](spark, sf).collect()}
+    assert trees.keys() == want.keys()
+    for doc, tree in trees.items():
+        at, nodes = {None: tree}, iter(tree["children"])
+        left = {None: nodes}
+        for r in want[doc]:
+            node = next(left[r["parent_seq"]])
+            assert (node["type"], node.get("level"), node.get("marker"), node.get("title")) == (r["type"], r["level"], r["marker"], r["title"])
+            at[r["seq"]], left[r["seq"]] = node, iter(node.get("children", []))
+            if r["type"] == "section" and r["text"]:
+                lead = next(left[r["seq"]])
+                assert (lead["type"], lead["text"]) == ("paragraph", r["text"])
+            elif r["type"] != "section":
+                assert node["text"] == r["text"]
+        assert all(next(x, None) is None for x in left.values())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import canonical, distance, text
 from quillon.operators import cards, chunks, compare, evidence, inventory, markup, outline, references, runs
-from quillon.plans import queries as Q
+import test_cases as Q
 from quillon.sources import readers, writers
 from quillon.streaming import runs as stream
 
