@@ -146,6 +146,10 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = None, **options) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken, texts whole: a document at which a source's
     quota ends counts if at least half its words do.  All columns stay; equal rows (same id, source
@@ -159,7 +163,8 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     equal = materialize(counts.where("rows > 1"), "equal-rows")
     taken = pieces.where("2 * words >= size").select(*keys, "epoch", "shard", "place", "start")
     own = [F.col(doc_id).cast("bigint").alias("__d"), F.col(source).cast("string").alias("__s"), F.xxhash64(F.col(text)).alias("__c")]
-    rows = docs.select("*", *own)
+    # The rows' columns travel in one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("__row"), *own)
     same = lambda x, y: F.col(x[0]).eqNullSafe(F.col(y[0])) & F.col(x[1]).eqNullSafe(F.col(y[1])) & (F.col(x[2]) == F.col(y[2]))
     theirs, mine = ["doc_id", "source", "copy"], ["__d", "__s", "__c"]
     renamed = lambda df, more: df.select(*[F.col(a).alias(f"__{a}") for a in [*theirs, *more]])
@@ -180,4 +185,4 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         out = rows.join(alone, same(mine, their)).unionByName(several.join(dealt, same(mine, their) & (F.col("__n") == F.col("__m"))).drop("__n", "__m"))
     order = ["__shard", "__place", "__start"]
     out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-    return out.select(*docs.columns, *([F.col("__shard").alias(shard)] if shard else []))
+    return out.select(*[F.col(f"__row.{_quoted(c)}") for c in docs.columns], *([F.col("__shard").alias(shard)] if shard else []))

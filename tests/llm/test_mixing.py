@@ -161,3 +161,17 @@ def test_empty(spark, make):
     assert mixing.mixed_sizes(make([])).count() == 0
     assert [r.taken for r in mixing.mixed_sizes(make([(1, None, None), (2, " ", "a")])).collect()] == [0, 0]
     assert mixing.mixed_documents(make([(1, None, None)])).count() == 0
+
+
+def test_clashing_columns(make):
+    """Columns with names like the helpers', dots and backticks come through, for single rows and for equal ones."""
+    names = ["__d", "__s", "__c", "__rows", "__row", "__i", "__g", "__key", "__n", "__m", "__shard", "__place", "__start", "__range_0", "__in_x", "__base_n", "a.b", "c`d"]
+    for docs in ([(1, "a b c", "x"), (2, "d e", None)], [(1, "a b c", "x")] * 2 + [(2, "d e", None)]):
+        d = make(docs, extra=False)
+        for n in names:
+            d = d.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+        rows = mixing.mixed_documents(d, block=8, shard="to")
+        assert rows.columns == [*d.columns, "to"]
+        got = rows.collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in mixing.mixed_documents(make(docs, extra=False), block=8).collect()) and got
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
