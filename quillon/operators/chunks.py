@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..sources.staging import Rounds
@@ -354,66 +355,110 @@ def _centers(anchors: DataFrame) -> np.ndarray:
     return centers
 
 
-def _probe(rows: DataFrame, centers: np.ndarray, first: int, lists: int, radii: np.ndarray | None = None) -> DataFrame:
-    """``rows`` (id, e, and for a second look worst, done) once for each list that they are to be held against: the ``first`` to ``lists`` nearest
-    centers, of these with ``radii`` those whose anchors may be as near as ``worst``.  Of unit vectors the distance is the square root
-    of 2 - 2 times the cosine, and none in a list is nearer than its center's distance less its radius."""
+def _probe(rows: DataFrame, centers: np.ndarray, first: int, lists: int) -> DataFrame:
+    """``rows`` (id, e) once for each list that they are to be held against: the ``first`` to ``lists`` nearest centers."""
     schema = to_arrow_schema(rows.select("id").schema)
-    out = pa.schema([pa.field("id", schema[0].type), ("list", pa.int32()), ("e", pa.list_(pa.float64())), ("cosine", pa.float64())])
+    out = pa.schema([pa.field("id", schema[0].type), ("list", pa.int32()), ("e", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             e = b.column("e").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-            cosine = e @ centers.T
-            order = np.argsort(-cosine, axis=1, kind="stable")[:, first:lists]
-            row = np.repeat(np.arange(len(b)), order.shape[1])
-            to = order.ravel()
-            if radii is not None:
-                worst = b.column("worst").to_numpy(zero_copy_only=False)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * cosine[row, to])) - radii[to]
-                near = ~(gap > np.sqrt(np.maximum(0, 2 - 2 * worst[row])) + 1e-7)  # also where worst is not known
-                row, to = row[near], to[near]
-            picked = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([picked.column("id"), pa.array(to, pa.int32()), picked.column("e"), pa.array(cosine[row, to])], schema=out)
+            order = np.argsort(-(e @ centers.T), axis=1, kind="stable")[:, first:lists]
+            picked = b.take(pa.array(np.repeat(np.arange(len(b)), order.shape[1])))
+            yield pa.RecordBatch.from_arrays([picked.column("id"), pa.array(order.ravel(), pa.int32()), picked.column("e")], schema=out)
 
     return rows.mapInArrow(run, from_arrow_schema(out))
 
 
+#: Vectors and anchors that meet in one task, at most, and how near to the k-th best a product must be to be looked at again: far more than products of
+#: unit vectors are rounded by; products that are held at once.
+MEETING, NEAR, PRODUCTS = 16_384, 1e-9, 8_000_000
+
+
+def _exact_nearest(usable: DataFrame, held: DataFrame, k: int, block: int) -> DataFrame:
+    """(id, near): the ``k`` nearest of all anchors, by products of blocks of vectors with blocks of anchors.
+
+    Each block of one side meets each of the other in a task, ``block`` vectors at a time, and passes on its k best.  The products of a matrix
+    choose what may be among them; these are multiplied again element by element, in order, so that equal vectors have equal scores wherever
+    they are.  Of equal anchors the k lowest ids alone can be among the best."""
+    spark = usable.sparkSession
+    first = held.groupBy("e").agg(F.slice(F.array_sort(F.collect_list(F.struct("anchor_id", "label"))), 1, k).alias("a"))
+    rounds = Rounds(spark, "anchors")
+    anchors = rounds.add(first.select(F.explode("a").alias("a"), "e").select("a.anchor_id", "a.label", "e"))
+    vectors = Rounds(spark, "vectors").add(usable)
+    parts = lambda df: max(1, -(-df.count() // MEETING))
+    of_v, of_a = parts(vectors), parts(anchors)
+    dealt = lambda df, key, own, mine, other, others: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    tasks = of_v * of_a
+    left = dealt(vectors, "id", "g", of_v, "h", of_a).repartition(tasks, "g", "h")
+    right = dealt(anchors, "anchor_id", "h", of_a, "g", of_v).repartition(tasks, "g", "h")
+    near = T.ArrayType(T.StructType([T.StructField("far", T.DoubleType()), T.StructField("anchor_id", anchors.schema["anchor_id"].dataType), T.StructField("label", anchors.schema["label"].dataType)]))
+    schema = T.StructType([T.StructField("id", vectors.schema["id"].dataType), T.StructField("near", near)])
+    out = to_arrow_schema(schema)
+
+    def meet(v: pa.Table, a: pa.Table) -> pa.Table:
+        if not len(v) or not len(a):
+            return out.empty_table()
+        a = a.sort_by("anchor_id")
+        matrix = lambda t: t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        x, y = matrix(v), matrix(a)
+        best, n = [], min(k, len(a))
+        some = max(1, min(block, PRODUCTS // len(a)))
+        for at in range(0, len(v), some):
+            part = x[at : at + some]
+            score = part @ y.T
+            worst = np.partition(score, len(a) - n, axis=1)[:, len(a) - n]
+            row, to = np.nonzero(score >= worst[:, None] - NEAR)
+            again = np.zeros(len(row))
+            for d in range(x.shape[1]):
+                again += part[row, d] * y[to, d]
+            order = np.lexsort((to, -again, row))
+            row, to, again = row[order], to[order], again[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best.append((to[place < n], -again[place < n]))
+        to, far = (np.concatenate(c) for c in zip(*best))
+        chosen = a.take(pa.array(to))
+        columns = [pa.array(far), chosen.column("anchor_id").combine_chunks(), chosen.column("label").combine_chunks()]
+        inner = out.field("near").type.value_type
+        pairs = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, inner)], fields=list(inner))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(to) + 1, n), pa.int32()), pairs)
+        return pa.Table.from_arrays([v.column("id").combine_chunks(), lists.cast(out.field("near").type)], schema=out)
+
+    return left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(meet, schema)
+
+
+def _probed(usable: DataFrame, held: DataFrame, k: int, block: int, probes: int) -> DataFrame:
+    """(id, near): the ``k`` nearest anchors in each of the lists of the ``probes`` nearest centers."""
+    centers = _centers(held)
+    if not len(centers):
+        return usable.select("id", F.array().alias("near")).where("false")
+    dealt = _probe(held.select(F.struct("anchor_id", "label").alias("id"), "e"), centers, 0, 1)
+    lists = Rounds(usable.sparkSession, "anchors").add(dealt.select("id.*", "list", "e"))
+    about = {r["list"]: r["n"] for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a center
+    many = F.element_at(F.array(*[F.lit(max(1, -(-about.get(i, 0) // block))) for i in range(len(centers))]), F.col("list") + 1)
+    blocks = lists.withColumn("block", F.pmod(F.xxhash64("anchor_id"), many)).groupBy("list", "block").agg(F.collect_list(F.struct("anchor_id", "label", "e")).alias("held"))
+    dot = lambda a: F.aggregate(F.zip_with("e", a["e"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    ranked = F.array_sort(F.transform("held", lambda a: F.struct((-dot(a)).alias("far"), a["anchor_id"].alias("anchor_id"), a["label"].alias("label"))))
+    return _probe(usable, centers, 0, probes).join(blocks, "list").select("id", F.slice(ranked, 1, k).alias("near"))
+
+
 def nearest_anchors(vectors: DataFrame, anchors: DataFrame, k: int, unknown_below: float | None = None, block: int = 1024, probes: int = 4, exact: bool = True) -> DataFrame:
     """(vec_id, label, score): the label that most of the ``k`` nearest anchors have, the nearer in sum winning ties; UNKNOWN below a score.
 
-    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label): all are used, and compared by cosine.  An inverted file: anchors are
-    dealt to lists by their nearest center, and a vector meets those of its ``probes`` nearest centers, list by list and in blocks of about
-    ``block``; the k best stay in its row.  With ``exact`` it then meets the other lists that may hold a nearer one than its k-th best, by
-    the distance of their centers and their radii, so the result is that of all pairs; without, neighbours in other lists can be missed.
+    ``vectors`` (vec_id, embedding), ``anchors`` (anchor_id, embedding, label): all are used, and compared by cosine.  With ``exact`` every
+    vector meets every anchor, in products of blocks of them, ``block`` vectors at a time.  Without, an inverted file: anchors are dealt to lists by their
+    nearest center, and a vector meets those of its ``probes`` nearest centers, list by list and in blocks of about ``block``; the k best stay in
+    its row, and neighbours in other lists can be missed.
 
     Vectors without a direction (null, empty, zero or not finite) have no neighbours: their label and score are null, or UNKNOWN if ``unknown_below`` is given.
     Such anchors are left out.  All vectors must be of one length."""
     held = anchors.select("anchor_id", "label", _unit("embedding").alias("e")).where("e is not null and size(e) > 0")
     usable = vectors.select(F.col("vec_id").alias("id"), _unit("embedding").alias("e")).where("e is not null and size(e) > 0").distinct()
-    centers = _centers(held)
     none = F.lit(None).cast("string") if unknown_below is None else F.lit("UNKNOWN")
-    if not len(centers):
-        return vectors.select("vec_id").distinct().select("vec_id", none.alias("label"), F.lit(None).cast("double").alias("score"))
-    rounds = Rounds(vectors.sparkSession, "anchors")
-    dealt = _probe(held.select(F.struct("anchor_id", "label").alias("id"), "e"), centers, 0, 1)
-    lists = rounds.add(dealt.select("id.*", "list", "e", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("far")))
-    about = {r["list"]: (r["far"], r["n"]) for r in lists.groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}  # a row a center
-    radii = np.array([about.get(i, (-np.inf, 0))[0] for i in range(len(centers))])
-    many = F.element_at(F.array(*[F.lit(max(1, -(-about.get(i, (0, 0))[1] // block))) for i in range(len(centers))]), F.col("list") + 1)
-    blocks = lists.withColumn("block", F.pmod(F.xxhash64("anchor_id"), many)).groupBy("list", "block").agg(F.collect_list(F.struct("anchor_id", "label", "e")).alias("held"))
-    dot = lambda a: F.aggregate(F.zip_with("e", a["e"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    ranked = F.array_sort(F.transform("held", lambda a: F.struct((-dot(a)).alias("far"), a["anchor_id"].alias("anchor_id"), a["label"].alias("label"))))
-    meet = lambda probed: probed.join(blocks, "list").select("id", F.slice(ranked, 1, k).alias("near"))
     best = lambda rows: rows.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    near = best(meet(_probe(usable, centers, 0, probes)))
-    if exact and probes < len(centers):
-        near = Rounds(vectors.sparkSession, "near").add(near)
-        worst = F.when(F.size("near") == k, -F.element_at("near", k)["far"])
-        rest = usable.join(near, "id", "left").select("id", "e", F.coalesce(worst, F.lit(float("nan"))).alias("worst"))
-        near = best(near.unionByName(meet(_probe(rest, centers, probes, len(centers), radii))))
+    near = best(_exact_nearest(usable, held, k, block) if exact else _probed(usable, held, k, block, probes))
     votes = near.select(F.col("id").alias("vec_id"), F.explode("near").alias("a")).select("vec_id", "a.label", (-F.col("a.far")).alias("score")).groupBy("vec_id", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("best"))
     win = votes.groupBy("vec_id").agg(F.max(F.struct("n", "s", F.col("label").cast("string").alias("label"), "best")).alias("w"))
     label = F.col("w.label") if unknown_below is None else F.when(F.col("w.best") >= unknown_below, F.col("w.label")).otherwise("UNKNOWN")

@@ -64,3 +64,14 @@ def test_odd_vectors(spark):
     got = {r.vec_id: (r.label, r.score) for r in chunks.nearest_anchors(df, anchors, 1, unknown_below=0.5).collect()}
     assert got[1] == ("x", 1.0) and all(got[i] == ("UNKNOWN", None) for i in (2, 3, 4, 5)) and got[6][0] == "UNKNOWN"
     assert {r.label for r in chunks.nearest_anchors(df, anchors.where("anchor_id > 9"), 1).collect()} == {None}
+
+
+def test_equal_vectors_take_the_lowest_ids(spark, monkeypatch):
+    """Blocks of both sides meet in tasks of their own; copies have equal scores in all of them, and no list of centers is fitted."""
+    monkeypatch.setattr(chunks, "MEETING", 16)
+    monkeypatch.setattr(chunks, "_centers", None)
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(6, 33))[np.arange(120) % 6]
+    df = spark.createDataFrame([(i, p.tolist(), f"L{i // 6}") for i, p in enumerate(points)], "vec_id int, embedding array<double>, label string")
+    got = {r.vec_id: r.label for r in chunks.nearest_anchors(df, df.withColumnRenamed("vec_id", "anchor_id"), 1, block=7).collect()}
+    assert got == {i: "L0" for i in range(120)}
