@@ -411,10 +411,11 @@ def group_children(spark, sf_dir):
 
 @query(f"""WITH {_ITEMS}, f AS (SELECT doc_id, 'classification' AS category, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM (SELECT doc_id, label, min(n) AS n FROM i GROUP BY ALL)
   UNION ALL SELECT doc_id, 'headings', n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 FROM i WHERE label = 'section_header')
-SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, CASE WHEN length(i.text) <= {canonical.LONGEST_TEXT} THEN i.text END AS text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
+SELECT doc_id, category, CAST(seq AS INT) AS seq, '#/texts/' || f.n AS source, i.text FROM f JOIN i USING (doc_id, n) WHERE seq < 3
 UNION ALL SELECT doc_id, 'hierarchy', 0, '#/body', NULL FROM documents WHERE text IS NOT NULL""")
 def excerpt_documents(spark, sf_dir):
-    e = evidence.excerpts(results_view(spark, sf_dir))
+    """Texts of any length are whole here."""
+    e = evidence.excerpts(results_view(spark, sf_dir), longest=None)
     return e.select("doc_id", "category", "seq", "source", F.get_json_object("content", "$.text").alias("text"))
 
 

@@ -36,3 +36,9 @@ def test_escape_reaches_the_end(spark, folder):
     whole = "a" * 70 + "*_x\n\ud55c\U0001f600|" * 50
     escaped = "".join(f"&#{ord(c)};" if c in "&<>\\`*_{}[]()#+-.!|~" else " " if c in "\r\n" else c for c in whole)
     assert QUERIES["markdown_escape"](spark, folder([(1, whole, "en", "a")])).first().escaped == escaped
+
+
+def test_excerpts_keep_long_texts(spark, folder):
+    long = "x" * 20_001
+    rows = QUERIES["excerpt_documents"](spark, folder([(1, long + "\nshort", "en", "a")])).where("category = 'classification'").collect()
+    assert {r.source: r.text for r in rows} == {"#/texts/0": long, "#/texts/1": "short"}
