@@ -532,11 +532,16 @@ def group_flatten(spark, sf_dir):
     return g.select("doc_id", "ref", "text", F.array_join("source_refs", ",").alias("refs"), "bold")
 
 
-@query(f"WITH {_ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n % 2, n) - 1 AS seq, '#/texts/' || n AS ref, CASE WHEN n % 2 = 0 THEN 'body' ELSE 'unattached' END AS layer, CAST(0 AS BIGINT) AS depth FROM i")
+@query(f"""WITH {_ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE n % 8 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END, n) - 1 AS seq, '#/texts/' || n AS ref,
+CASE WHEN n % 8 = 7 THEN 'unattached' ELSE 'body' END AS layer, CAST(CASE WHEN n % 8 IN (1, 3, 5) THEN 1 ELSE 0 END AS BIGINT) AS depth FROM i""")
 def ref_traversal_full(spark, sf_dir):
-    """The body holds each even line twice; nothing holds the odd ones."""
+    """The body holds each even line twice; of the odd ones, those behind every fourth line are its children, half of the others are captions of the
+    line before, which come when the body is through, and nothing holds the rest."""
+    size = F.size(F.split("text", "\n"))
     even = lambda lines: F.transform(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i % 2 == 0), _ref)
-    t = _trees(spark, sf_dir, lambda t, i: F.struct(F.lit("text").alias("label"), t.alias("text")), lambda lines: F.concat(even(lines), even(lines)))
+    behind = lambda some, i: F.when(some & (i + 1 < size), F.array(_ref(i + 1)))
+    item = lambda t, i: F.struct(F.lit("text").alias("label"), t.alias("text"), behind(i % 4 == 0, i).alias("children"), behind(i % 8 == 2, i).alias("captions"))
+    t = _trees(spark, sf_dir, item, lambda lines: F.concat(even(lines), even(lines)))
     return references.snapshot_blocks(references.snapshots(t)).select("doc_id", "seq", "ref", "layer", F.col("depth").cast("bigint").alias("depth"))
 
 

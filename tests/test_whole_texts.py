@@ -42,3 +42,9 @@ def test_excerpts_keep_long_texts(spark, folder):
     long = "x" * 20_001
     rows = QUERIES["excerpt_documents"](spark, folder([(1, long + "\nshort", "en", "a")])).where("category = 'classification'").collect()
     assert {r.source: r.text for r in rows} == {"#/texts/0": long, "#/texts/1": "short"}
+
+
+def test_traversal_nests_and_defers(spark, folder):
+    """Children at once, a caption behind the whole body, the rest unattached."""
+    rows = QUERIES["ref_traversal_full"](spark, folder([(1, "\n".join("abcdefgh"), "en", "a")])).orderBy("seq").collect()
+    assert [(int(r.ref[8:]), r.layer, r.depth) for r in rows] == [(0, "body", 0), (1, "body", 1), (2, "body", 0), (4, "body", 0), (5, "body", 1), (6, "body", 0), (3, "body", 1), (7, "unattached", 0)]
