@@ -113,3 +113,14 @@ def test_column(spark):
     df = spark.createDataFrame(rows, "x string, y string").select(d.edit_distance(F.col("x"), F.col("y")).alias("n"), "x", "y")
     for r in df.collect():
         assert r.n == (None if r.y is None else table(r.x, r.y) if len(r.x) < 1000 else d.by_rows(d._points(r.x), d._points(r.y)) if r.x != r.y else 0)
+
+
+def test_texts_of_other_pieces_go_to_the_table_at_once(monkeypatch):
+    """The bound never exceeds the distance, and diagonals are left out where it rules them out."""
+    rng = random.Random(11)
+    for _ in range(100):
+        x, y = ("".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(2))
+        assert d.at_least(d._points(x), d._points(y)) <= d.distance(x, y)
+    x, y = ("".join(chr(rng.randrange(lo, lo + 26)) for _ in range(2000)) for lo in (97, 1000))
+    monkeypatch.setattr(d, "by_diagonals", None)
+    assert d.distance(x, y) == 2000
