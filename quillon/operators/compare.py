@@ -208,10 +208,15 @@ def geometry(snapshots: DataFrame) -> DataFrame:
 
 def geometry_delta(left: DataFrame, right: DataFrame, group: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """group, matched, left over on each side, changed_values, max_abs_delta, other_changes of two geometry() tables."""
-    matched, counts = unique_matches(left, right, group, "key", "value")
-    each = matched.select(*group, numeric_delta("l", "r").alias("d"))
-    sums = each.groupBy(*group).agg(F.sum("d.changed_values").alias("changed_values"), F.max("d.max_abs_delta").alias("max_abs_delta"), F.sum("d.other_changes").alias("other_changes"))
-    return counts.join(sums, list(group), "left")
+    side = lambda d, own: d.select(*group, F.unhex(F.sha2("key", 256)).alias("key"), *[(F.col("value") if p == own else F.lit(None).cast("string")).alias(p) for p in "lr"], F.lit(own == "l").alias("of_l"))
+    # Both sides are made once and meet by their keys' hashes.
+    keys = side(left, "l").unionAll(side(right, "r")).groupBy(*group, "key").agg(F.count_if("of_l").alias("l_n"), F.count_if(~F.col("of_l")).alias("r_n"), F.min("l").alias("l"), F.min("r").alias("r"))
+    one = (F.col("l_n") == 1) & (F.col("r_n") == 1)
+    each = keys.select(*group, "l_n", "r_n", one.alias("one"), F.when(one, F.col("l")).alias("l"), F.when(one, F.col("r")).alias("r")).withColumn("d", numeric_delta("l", "r"))
+    total = lambda n: F.sum(F.col(n) - F.col("one").cast("int"))
+    return each.groupBy(*group).agg(
+        F.count_if("one").alias("matched"), total("l_n").alias("left_over_left"), total("r_n").alias("left_over_right"), F.sum("d.changed_values").alias("changed_values"), F.max("d.max_abs_delta").alias("max_abs_delta"), F.sum("d.other_changes").alias("other_changes")
+    )
 
 
 def compare_snapshots(pairs: DataFrame, left: str = "l_snapshot", right: str = "r_snapshot") -> DataFrame:

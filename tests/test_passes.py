@@ -3,7 +3,7 @@
 import json
 import re
 
-from quillon.operators import outline
+from quillon.operators import compare, outline, references
 
 
 def saved(spark, folder):
@@ -21,3 +21,10 @@ def test_an_outline_reads_results_once(spark, tmp_path):
     nodes = outline.outline(outline.body_blocks(saved(spark, tmp_path)))
     assert len(re.findall(r"raw#\d+\] parquet", plan(nodes))) == 1
     assert [(r.seq, r.text) for r in nodes.orderBy("seq").collect()] == [(0, "1. a"), (1, "b")]
+
+
+def test_a_side_of_geometry_is_made_once(spark, tmp_path):
+    side = lambda: compare.geometry(references.snapshots(saved(spark, tmp_path / "x")))
+    one = side()
+    assert len(re.findall(r"raw#\d+\] parquet", plan(compare.geometry_delta(one, one)))) == 2
+    assert compare.geometry_delta(one, one).first().asDict() == {"doc_id": 1, "matched": 3, "left_over_left": 0, "left_over_right": 0, "changed_values": 0, "max_abs_delta": 0.0, "other_changes": 0}
