@@ -3,6 +3,8 @@
 import json
 import re
 
+import pandas as pd
+
 from quillon.operators import compare, outline, references
 
 
@@ -28,3 +30,9 @@ def test_a_side_of_geometry_is_made_once(spark, tmp_path):
     one = side()
     assert len(re.findall(r"raw#\d+\] parquet", plan(compare.geometry_delta(one, one)))) == 2
     assert compare.geometry_delta(one, one).first().asDict() == {"doc_id": 1, "matched": 3, "left_over_left": 0, "left_over_right": 0, "changed_values": 0, "max_abs_delta": 0.0, "other_changes": 0}
+
+
+def test_snapshots_leave_in_small_frames():
+    raw = pd.DataFrame({"doc_id": range(120), "raw": [json.dumps({"body": {"children": [{"$ref": "#/texts/0"}]}, "texts": [{"text": str(i)}]}) for i in range(120)]})
+    frames = list(references._snapshot_frames(iter([raw])))
+    assert len(frames) == 3 and [t for f in frames for t in f["text"]] == [str(i) for i in range(120)]
