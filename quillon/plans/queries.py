@@ -758,7 +758,7 @@ def eight_states(spark, sf_dir):
 SELECT value, n FROM c QUALIFY row_number() OVER (ORDER BY n DESC, first, value) <= 8""")
 def top_values(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("ref"), F.col("event_id").alias("seq"), F.try_parse_json("props").alias("v"))
-    inv = inventory.field_inventory(inventory.observe(e, ("k",)), ("field",))
+    inv = inventory.field_inventory(inventory.observe(e, ("k",)), ("field",), examples=False)
     return inv.select(F.explode("value_counts").alias("x")).select("x.value", "x.n")
 
 
@@ -795,7 +795,7 @@ v AS (SELECT doc_id, category, field, string_agg(v || '=' || n, ',' ORDER BY r)
 SELECT doc_id, category, field, targets, states, value_counts FROM s LEFT JOIN v USING (doc_id, category, field)""")
 def feature_inventory(spark, sf_dir):
     f = inventory.tree_features(featured_view(spark, sf_dir))
-    inv = inventory.field_inventory(f, ("doc_id", "category", "field")).where("(category, field) in (('headings', 'level'), ('tables', 'col_span'), ('formatting', 'formatting.bold'), ('location', 'page_no'))")
+    inv = inventory.field_inventory(f, ("doc_id", "category", "field"), examples=False).where("(category, field) in (('headings', 'level'), ('tables', 'col_span'), ('formatting', 'formatting.bold'), ('location', 'page_no'))")
     pairs = lambda c, k, n: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit("="), x[n].cast("string"))), ",")
     return inv.select("doc_id", "category", "field", F.col("targets").cast("bigint").alias("targets"), pairs(F.map_entries("states"), "key", "value").alias("states"), pairs(F.col("value_counts"), "value", "n").alias("value_counts"))
 

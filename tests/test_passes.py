@@ -5,7 +5,7 @@ import re
 
 import pandas as pd
 
-from quillon.operators import compare, outline, references
+from quillon.operators import compare, inventory, outline, references
 
 
 def saved(spark, folder):
@@ -36,3 +36,22 @@ def test_snapshots_leave_in_small_frames():
     raw = pd.DataFrame({"doc_id": range(120), "raw": [json.dumps({"body": {"children": [{"$ref": "#/texts/0"}]}, "texts": [{"text": str(i)}]}) for i in range(120)]})
     frames = list(references._snapshot_frames(iter([raw])))
     assert len(frames) == 3 and [t for f in frames for t in f["text"]] == [str(i) for i in range(120)]
+
+
+def test_an_inventory_reads_results_once(spark, tmp_path):
+    """All fields of all categories, their states and their values; examples are a second pass."""
+    features = inventory.tree_features(saved(spark, tmp_path))
+    keys = ("doc_id", "category", "field")
+    assert [len(re.findall(r"raw#\d+\] parquet", plan(inventory.field_inventory(features, keys, examples=x)))) for x in (False, True)] == [1, 2]
+
+
+def test_best_values_meet_from_all_parts(spark):
+    """Of forty values in two keys, the most frequent, first seen first among equals."""
+    seen = [(k, i, f"v{i % 40}" if i % 3 else None) for k in "ab" for i in range(400)]
+    rows = spark.createDataFrame(seen, "field string, seq int, x string").selectExpr("field", "seq", "cast(seq as string) ref", "to_variant_object(struct(x as x)) v")
+    observed = inventory.observe(rows.drop("field"), ("x",)).join(rows.select("seq").distinct(), "seq")
+    got = inventory.field_inventory(observed, ("field",)).first()
+    values = [x for _, _, x in seen if x]
+    want = sorted(set(values), key=lambda x: (-values.count(x), values.index(x)))[: inventory.MOST_VALUES]
+    assert [x["value"] for x in got.value_counts] == [json.dumps(x) for x in want]
+    assert got.targets == 800 and sum(got.states.values()) == 800 and len(got.examples) == 3
