@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import canonical_text, clean
-from ..functions.distance import difference_percent, edit_distance
+from ..functions.distance import difference_percent, distance, edit_distance
 
 
 def run_pairs(rows: DataFrame, group: tuple[str, ...] = ("doc_id", "tool"), number: str = "number") -> DataFrame:
@@ -30,13 +30,10 @@ def stability(rows: DataFrame, content: str, group: tuple[str, ...] = ("doc_id",
 
 
 def text_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """``pairs`` with edit_distance and text_difference_pct; each pair of different texts is computed once.
-
-    Texts are joined back by their hashes; the texts themselves travel once for each distinct pair."""
-    keyed = pairs.withColumn("__l", F.sha2(left, 256)).withColumn("__r", F.sha2(right, 256))
-    once = keyed.where("__l <> __r").dropDuplicates(["__l", "__r"]).select("__l", "__r", edit_distance(F.col(left), F.col(right)).alias("edit_distance"))
-    out = keyed.join(once, ["__l", "__r"], "left").withColumn("edit_distance", F.coalesce("edit_distance", F.lit(0).cast("bigint")))
-    return out.withColumn("text_difference_pct", difference_percent(F.col("edit_distance"), F.col(left), F.col(right))).drop("__l", "__r")
+    """``pairs`` with edit_distance and text_difference_pct, where the pairs are: texts do not travel for it.  Pairs of classes of equal texts
+    (text_classes()) hold each pair of different texts once."""
+    out = pairs.withColumn("edit_distance", F.coalesce(edit_distance(F.col(left), F.col(right)), F.lit(0).cast("bigint")))
+    return out.withColumn("text_difference_pct", difference_percent(F.col("edit_distance"), F.col(left), F.col(right)))
 
 
 #: Pairs of equal positions that are listed at once; beyond, diagonals are gone through one by one.
@@ -110,10 +107,7 @@ def _edits(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([None if x is None or y is None else [dict(zip(("operation", "a", "b", "c", "d"), e)) for e in list_edits(list(x), list(y))] for x, y in zip(left, right)], dtype=object)
 
 
-def block_diff(left: str, right: str) -> Column:
-    """Differences of two columns of string arrays as a struct: added, deleted, replaced_left, replaced_right and the changed
-    spans as JSON; all null where a side is."""
-    edits = _edits(F.col(left), F.col(right))
+def _changes(edits: Column) -> Column:
     total = lambda e, operation, size: F.aggregate(F.filter(e, lambda x: x["operation"] == operation), F.lit(0).cast("bigint"), lambda n, x: n + size(x))
     of_left, of_right = lambda x: x["b"] - x["a"], lambda x: x["d"] - x["c"]
     span = lambda x: F.struct(x["operation"].alias("operation"), F.array(x["a"], x["b"]).alias("left_range"), F.array(x["c"], x["d"]).alias("right_range"))
@@ -122,6 +116,12 @@ def block_diff(left: str, right: str) -> Column:
     return F.element_at(F.transform(F.array(edits), made), 1)
 
 
+def block_diff(left: str, right: str) -> Column:
+    """Differences of two columns of string arrays as a struct: added, deleted, replaced_left, replaced_right and the changed
+    spans as JSON; all null where a side is."""
+    return _changes(_edits(F.col(left), F.col(right)))
+
+
 def json_nodes(value) -> dict[tuple, tuple[str, object]]:
     """All nodes of nested JSON by path: kind ("map", "list", "number" or "other") and, of scalars, the value.  Steps of a path
     tell keys from indices."""
@@ -219,19 +219,33 @@ def geometry_delta(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (
     )
 
 
+_MET = T.StructType([T.StructField("content_equal", T.BooleanType()), T.StructField("text_equal", T.BooleanType()), T.StructField("edit_distance", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("edits", T.ArrayType(_EDIT))])
+
+
+def _meet(left: str | None, right: str | None) -> tuple:
+    """Whether contents and texts of two snapshots (JSON) are equal, the distance of their texts, the longer one's length, and the edits of the blocks."""
+    found = [None if x is None else json.loads(x) for x in (left, right)]
+    if found[0] is None or found[1] is None:
+        return None, None, 0, max((len(clean(x["text"])) for x in found if x), default=0), None
+    a, b = (clean(x["text"]) for x in found)
+    blocks = [[canonical_text(y) for y in x["blocks"]] for x in (found[:1] if left == right else found)]
+    edits = [dict(zip(_EDIT.names, e)) for e in list_edits(blocks[0], blocks[-1])] if blocks[0] != blocks[-1] else []
+    return blocks[0] == blocks[-1], a == b, 0 if a == b else distance(a, b), max(len(a), len(b)), edits
+
+
+@F.pandas_udf(_MET)
+def _met(chunks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for left, right in chunks:
+        yield pd.DataFrame([_meet(x, y) for x, y in zip(left, right)], columns=_MET.names).astype({"content_equal": object, "text_equal": object})
+
+
 def compare_snapshots(pairs: DataFrame, left: str = "l_snapshot", right: str = "r_snapshot") -> DataFrame:
-    """``pairs`` of snapshots (JSON) with content_equal, text_equal, edit_distance, text_difference_pct and the block differences."""
-    parse = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
-
-    @F.pandas_udf(parse)
-    def parts(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in chunks:
-            found = [{} if x is None else json.loads(x) for x in s]
-            yield pd.DataFrame({"text": [clean(x["text"]) if x else None for x in found], "blocks": [[canonical_text(b) for b in x["blocks"]] if x else None for x in found]})
-
-    rows = pairs.withColumn("__a", parts(F.col(left))).withColumn("__b", parts(F.col(right))).withColumn("__ta", F.col("__a.text")).withColumn("__tb", F.col("__b.text"))
-    rows = text_distances(rows, "__ta", "__tb").withColumn("changes", block_diff("__a.blocks", "__b.blocks"))
-    return rows.withColumn("content_equal", F.col("__a.blocks") == F.col("__b.blocks")).withColumn("text_equal", F.col("__ta") == F.col("__tb")).drop("__a", "__b", "__ta", "__tb")
+    """``pairs`` of snapshots (JSON) with content_equal, text_equal, edit_distance, text_difference_pct and the block differences.
+
+    One call a pair, no shuffle: two snapshots are read where their row is."""
+    rows = pairs.withColumn("__m", _met(F.col(left), F.col(right))).withColumn("edit_distance", F.col("__m.edit_distance"))
+    rows = rows.withColumn("text_difference_pct", F.col("edit_distance") / F.greatest("__m.longest", F.lit(1)) * 100).withColumn("changes", _changes(F.col("__m.edits")))
+    return rows.withColumn("content_equal", F.col("__m.content_equal")).withColumn("text_equal", F.col("__m.text_equal")).drop("__m")
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, on: str = "doc_id") -> DataFrame:

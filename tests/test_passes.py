@@ -55,3 +55,19 @@ def test_best_values_meet_from_all_parts(spark):
     want = sorted(set(values), key=lambda x: (-values.count(x), values.index(x)))[: inventory.MOST_VALUES]
     assert [x["value"] for x in got.value_counts] == [json.dumps(x) for x in want]
     assert got.targets == 800 and sum(got.states.values()) == 800 and len(got.examples) == 3
+
+
+def test_snapshots_meet_where_their_pair_is(spark):
+    """One call a pair: no join brings distances back.  Texts with few and with many edits, equal ones, and a side that is not there."""
+    shot = lambda t: t and json.dumps({"text": t, "blocks": [{"text": x} for x in t.split("\n")]})
+    long = "\n".join(f"line {i * i % 97}" for i in range(300))
+    texts = [(long, "x\n" + long), (long, long[::-1]), (long, long), ("a", "b"), (long, None), (None, None)]
+    pairs = spark.createDataFrame([(i, shot(a), shot(b)) for i, (a, b) in enumerate(texts)], "n int, l_snapshot string, r_snapshot string")
+    out = compare.compare_snapshots(pairs).select("n", "content_equal", "text_equal", "edit_distance", "text_difference_pct", "changes.added", "changes.deleted", "changes.spans")
+    assert "Join" not in plan(out) and plan(out).count("ArrowEvalPython") == 1
+    got = {r.n: r for r in out.collect()}
+    d = {i: spark.createDataFrame([x], "a string, b string").selectExpr("levenshtein(a, b)").first()[0] for i, x in enumerate(texts[:4])}
+    assert [got[i].edit_distance for i in range(4)] == list(d.values()) and [got[i].text_equal for i in range(4)] == [False, False, True, False]
+    assert got[0][4] == 2 / (len(long) + 2) * 100 and (got[0].added, got[0].deleted, got[0].content_equal) == (1, 0, False)
+    assert (got[2].content_equal, got[2].spans, got[2].added) == (True, "[]", 0)
+    assert [(got[i].content_equal, got[i].added, got[i].edit_distance) for i in (4, 5)] == [(None, None, 0)] * 2
