@@ -22,16 +22,26 @@ def run_pairs(rows: DataFrame, group: tuple[str, ...] = ("doc_id", "tool"), numb
     return side("l").join(side("r"), list(group)).where(F.col(f"l_{number}") < F.col(f"r_{number}"))
 
 
-def stability(rows: DataFrame, content: str, group: tuple[str, ...] = ("doc_id", "tool")) -> DataFrame:
-    """group, n, unique_content, pairs, equal_pairs.  Equal pairs come from the counts of each content, without the pairs."""
-    each = rows.groupBy(*group, content).agg(F.count("*").alias("k"))
+def class_pairs(classes: DataFrame, by: tuple[str, ...] = ("doc_id", "tool"), number: str = "number") -> DataFrame:
+    """``classes`` are by, n, number and more: equal results of a group as one row, how many they are and the least number.  Pairs of a group's
+    classes, and each class of two rows or more with itself; ``pairs`` is how many pairs of rows a row stands for."""
+    side = lambda p: classes.select(*[F.col(c) if c in by else F.col(c).alias(f"{p}_{c}") for c in classes.columns])
+    met = side("l").join(side("r"), list(by)).where(F.col(f"l_{number}") < F.col(f"r_{number}")).withColumn("pairs", F.col("l_n") * F.col("r_n"))
+    own = classes.where("n > 1").select(*by, *[F.col(c).alias(f"{p}_{c}") for p in "lr" for c in classes.columns if c not in by], F.expr("n * (n - 1) div 2").alias("pairs"))
+    return met.unionByName(own)
+
+
+def stability(rows: DataFrame, content: str, group: tuple[str, ...] = ("doc_id", "tool"), count: str | None = None) -> DataFrame:
+    """group, n, unique_content, pairs, equal_pairs.  Equal pairs come from the counts of each content, without the pairs.  ``count`` names how
+    many results a row stands for."""
+    each = rows.groupBy(*group, content).agg((F.count("*") if count is None else F.sum(count)).alias("k"))
     n, two = F.sum("k"), lambda c: (c * (c - 1) / 2).cast("bigint")
     return each.groupBy(*group).agg(n.alias("n"), F.count(content).alias("unique_content"), two(n).alias("pairs"), F.sum(two(F.col("k"))).alias("equal_pairs"))
 
 
 def text_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``pairs`` with edit_distance and text_difference_pct, where the pairs are: texts do not travel for it.  Pairs of classes of equal texts
-    (text_classes()) hold each pair of different texts once."""
+    (class_pairs()) hold each pair of different texts once."""
     out = pairs.withColumn("edit_distance", F.coalesce(edit_distance(F.col(left), F.col(right)), F.lit(0).cast("bigint")))
     return out.withColumn("text_difference_pct", difference_percent(F.col("edit_distance"), F.col(left), F.col(right)))
 

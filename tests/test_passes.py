@@ -6,6 +6,7 @@ import re
 import pandas as pd
 
 from quillon.operators import compare, inventory, outline, references
+from quillon.plans import comparison
 
 
 def saved(spark, folder):
@@ -71,3 +72,16 @@ def test_snapshots_meet_where_their_pair_is(spark):
     assert got[0][4] == 2 / (len(long) + 2) * 100 and (got[0].added, got[0].deleted, got[0].content_equal) == (1, 0, False)
     assert (got[2].content_equal, got[2].spans, got[2].added) == (True, "[]", 0)
     assert [(got[i].content_equal, got[i].added, got[i].edit_distance) for i in (4, 5)] == [(None, None, 0)] * 2
+
+
+def test_a_report_measures_classes_of_texts(spark):
+    """Sixty runs with three texts: a row for each pair of texts, with the runs' pairs that it stands for."""
+    all_runs = spark.range(120).selectExpr("1L doc_id", "if(id % 2 = 0, 'a', 'b') tool", "cast(id div 2 as int) number", "'success' status", "cast(id as double) total_seconds", "cast(id as double) internal_seconds")
+    snaps = all_runs.selectExpr("doc_id", "tool", "number", """to_json(struct(repeat('x', number % 3) as text, array(struct(repeat('x', number % 3) as text)) as blocks)) snapshot""")
+    t = comparison.comparison(all_runs, snaps, 60, ("a", "b"))
+    rows = lambda name: sorted((r.tool if "tool" in r else "", r.l_number, r.r_number, r.pairs, r.edit_distance) for r in t[name].collect())
+    within = [(0, 0, 190, 0), (0, 1, 400, 1), (0, 2, 400, 2), (1, 1, 190, 0), (1, 2, 400, 1), (2, 2, 190, 0)]
+    assert rows("repeat_distances") == [(tool, *x) for tool in "ab" for x in within] and sum(x[2] for x in within) == 60 * 59 // 2
+    assert rows("cross_tool_distances") == [("", i, j, 400, abs(i - j)) for i in range(3) for j in range(3)]
+    assert len({r.text_sha256 for r in t["texts"].collect()}) == 3 and t["texts"].count() == 120
+    assert [(r.pairs, r.equal_pairs) for r in t["repeats"].collect()] == [(1770, 570)] * 2
