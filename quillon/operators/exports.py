@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import mimetypes
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .references import documents, items, layer_children, links, reading_order, unwrap
+from ..sources.staging import Rounds
+from .references import KINDS, documents, least_paths, unwrap
 
 #: How an image's place is marked, and the parser whose recognition of text is left out for office files.
 IMAGE_MARK = "<!-- image -->"
@@ -20,12 +21,10 @@ def export_document(raw: DataFrame, output_format: str, doc_id: str = "doc_id",
     """(doc_id, content, problem): each saved document as JSON with its own fields, or as Markdown; another format is an error."""
     if output_format not in FORMATS:
         raise ValueError(f"Unsupported output format: {output_format}")
-    docs = documents(raw, doc_id, text)
-    problem = F.when(F.col("v").isNull(), "no JSON").when(~F.schema_of_variant("v").like("OBJECT%"), "no object")
+    docs = documents(raw, doc_id, text).withColumn("problem", F.when(F.col("v").isNull(), "no JSON").when(~F.schema_of_variant("v").like("OBJECT%"), "no object"))
     if output_format == "json":
-        return docs.select("doc_id", F.when(problem.isNull(), F.to_json("v")).alias("content"), problem.alias("problem"))
-    said = markdown_of(docs)
-    return docs.select("doc_id", problem.alias("problem")).join(said, "doc_id", "left").select("doc_id", F.when(F.col("problem").isNull(), F.coalesce("content", F.lit(""))).alias("content"), "problem")
+        return docs.select("doc_id", F.when(F.col("problem").isNull(), F.to_json("v")).alias("content"), "problem")
+    return markdown_of(docs)
 
 
 def export_result(raw: DataFrame, doc_id: str = "doc_id", text: str = "raw") -> DataFrame:
@@ -61,32 +60,56 @@ def table_markdown(tables: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def _parts(docs: DataFrame) -> DataFrame:
+    """(doc_id, problem, kind, idx, ref, children, captions, head, tail, text, item, v) of documents and their items from one pass: references, the
+    Markdown around a text, and ``v`` of tables alone.  A document is a row, too (kind "document"), with its body's children."""
+    lists = F.array(F.struct(F.lit("document").alias("kind"), F.array("v").alias("xs")), *[F.struct(F.lit(k).alias("kind"), F.variant_get("v", f"$.{k}", "array<variant>").alias("xs")) for k in KINDS])
+    its = docs.select("doc_id", "problem", F.explode(lists).alias("c")).select("doc_id", "problem", F.col("c.kind").alias("kind"), F.posexplode("c.xs").alias("idx", "v"))
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    refs = lambda path, one: F.transform(F.coalesce(get(path, "array<variant>"), F.array(get(path, "variant"))) if one else get(path, "array<variant>"), lambda x: F.try_variant_get(x, '$["$ref"]', "string"))
+    whole = F.col("kind") == "document"
+    text, label = F.coalesce(get("text", "string"), F.lit("")), F.coalesce(get("label", "string"), F.col("kind"))
+    mark = F.when(F.coalesce(get("enumerated", "boolean"), F.lit(False)), F.coalesce(F.nullif(get("marker", "string"), F.lit("")), F.lit("1."))).otherwise("-")
+    plain = F.col("kind").isin("tables", "pictures") | whole
+    head = (
+        F.when(plain, "").when(label == "title", "# ").when(label == "section_header", F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.coalesce(get("level", "int"), F.lit(1)), F.lit(1)), F.lit(5)) + 1), F.lit(" ")))
+        .when(label == "list_item", F.concat(mark, F.lit(" "))).when(label == "code", "```\n").otherwise("")
+    )
+    return its.select(
+        "doc_id", "problem", "kind", "idx", F.when(whole, "#").otherwise(F.concat(F.lit("#/"), "kind", F.lit("/"), F.col("idx").cast("string"))).alias("ref"),
+        F.when(whole, refs("body.children", False)).otherwise(refs("children", True)).alias("children"), F.when(~whole, refs("captions", True)).alias("captions"),
+        head.alias("head"), F.when(~plain & (label == "code"), "\n```").otherwise("").alias("tail"), F.when(~whole, text).alias("text"), (label == "list_item").alias("item"), F.when(F.col("kind") == "tables", F.col("v")).alias("v"),
+    )
+
+
 def markdown_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, content): the bodies of ``docs`` (doc_id, v) in reading order as Markdown.
+    """(doc_id, content, problem): the bodies of ``docs`` (doc_id, v, problem) in reading order as Markdown, null where there is a problem.
 
     Titles and headings get marks by level, items their marker or a dash, code a fence, tables pipes, pictures a comment; captions come before what
     they belong to, and not where they stand themselves.  Texts are given as they are.  Items of a list follow each other line by line, all else is
-    apart by an empty line.  Items without a text are left out; unreached ones are not in the body."""
-    its = items(docs)
-    body = layer_children(docs).where("layer = 'body'").select("doc_id", "pos", "child")
-    order = reading_order(body, links(its, ("children",)).select("doc_id", "parent", "pos", "child"), max_depth=None)
-    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
-    captions = links(its, ("captions",)).select("doc_id", F.col("parent").alias("owner"), "pos", F.col("child").alias("ref"))
-    caption_texts = captions.join(its.select("doc_id", "ref", get("text", "string").alias("text")), ["doc_id", "ref"]).where("text <> ''")
+    apart by an empty line.  Items without a text are left out; unreached ones are not in the body.
+
+    Results are read once: what all steps need of them is written, references apart from texts."""
+    parts = Rounds(docs.sparkSession, "markdown").add(_parts(docs))
+    its = parts.where("kind <> 'document'")
+    each = lambda rows, name: rows.where(F.size(name) > 0).select("doc_id", F.col("ref").alias("parent"), F.posexplode(name).alias("pos", "child")).where("child is not null")
+    roots = each(parts.where("kind = 'document'"), "children")
+    order, _ = least_paths(roots.select("doc_id", F.col("child").alias("ref"), F.array(F.col("pos").cast("int")).alias("path")), each(its, "children"))
+    captions = each(its, "captions").select("doc_id", F.col("parent").alias("owner"), "pos", F.col("child").alias("ref"))
+    caption_texts = captions.join(its.select("doc_id", "ref", "text"), ["doc_id", "ref"]).where("text <> ''")
     said = caption_texts.groupBy("doc_id", F.col("owner").alias("ref")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("caption"))
-    rows = order.join(its, ["doc_id", "ref"]).join(captions.select("doc_id", "ref").distinct(), ["doc_id", "ref"], "left_anti").join(said, ["doc_id", "ref"], "left").join(table_markdown(its.where("kind = 'tables'")).withColumnRenamed("text", "table"), ["doc_id", "ref"], "left")
-    text, label = F.coalesce(get("text", "string"), F.lit("")), F.coalesce(get("label", "string"), F.col("kind"))
-    mark = F.when(F.coalesce(get("enumerated", "boolean"), F.lit(False)), F.coalesce(F.nullif(get("marker", "string"), F.lit("")), F.lit("1."))).otherwise("-")
-    shown = (
-        F.when(F.col("kind") == "tables", F.col("table")).when(F.col("kind") == "pictures", F.lit(IMAGE_MARK)).when(text == "", None)
-        .when(label == "title", F.concat(F.lit("# "), text)).when(label == "section_header", F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.coalesce(get("level", "int"), F.lit(1)), F.lit(1)), F.lit(5)) + 1), F.lit(" "), text))
-        .when(label == "list_item", F.concat(mark, F.lit(" "), text)).when(label == "code", F.concat(F.lit("```\n"), text, F.lit("\n```"))).otherwise(text)
-    )
-    parts = rows.select("doc_id", "path", label.alias("label"), F.concat_ws("\n\n", "caption", shown).alias("text")).where("text <> ''")
-    w = Window.partitionBy("doc_id").orderBy("path")
-    gap = F.when(F.lag("path").over(w).isNull(), "").when((F.col("label") == "list_item") & (F.lag("label").over(w) == "list_item"), "\n").otherwise("\n\n")
-    parts = parts.withColumn("text", F.concat(gap, "text"))
-    return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("content"))
+    # What is known of an item's place, its captions and its table, by its reference, before it meets the texts.
+    empty = lambda name: F.lit(None).cast("string").alias(name)
+    around = order.select("doc_id", "ref", "path", F.lit(False).alias("is_caption"), empty("caption"), empty("table"))
+    around = around.unionByName(captions.select("doc_id", "ref", F.lit(True).alias("is_caption")), True).unionByName(said, True).unionByName(table_markdown(its.where("kind = 'tables'")).withColumnRenamed("text", "table"), True)
+    placed = around.groupBy("doc_id", "ref").agg(F.min("path").alias("path"), F.bool_or("is_caption").alias("is_caption"), F.max("caption").alias("caption"), F.max("table").alias("table")).where("path is not null and not coalesce(is_caption, false)")
+    rows = its.select("doc_id", "ref", "kind", "head", "tail", "text", "item").join(placed, ["doc_id", "ref"])
+    shown = F.when(F.col("kind") == "tables", F.col("table")).when(F.col("kind") == "pictures", F.lit(IMAGE_MARK)).when(F.col("text") != "", F.concat("head", "text", "tail"))
+    rows = rows.select("doc_id", "path", "item", F.concat_ws("\n\n", "caption", shown).alias("text")).where("text <> ''")
+    inside = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", "item", "text"))).alias("xs"))
+    gap = lambda x, i: F.when(i == 0, "").when(x["item"] & F.get("xs", i - 1)["item"], "\n").otherwise("\n\n")
+    inside = inside.select("doc_id", F.array_join(F.transform("xs", lambda x, i: F.concat(gap(x, i), x["text"])), "").alias("content"))
+    return parts.where("kind = 'document'").select("doc_id", "problem").join(inside, "doc_id", "left").select("doc_id", F.when(F.col("problem").isNull(), F.coalesce("content", F.lit(""))).alias("content"), "problem")
 
 
 # --- settings of tools -----------------------------------------------------------------------------

@@ -5,8 +5,9 @@ import re
 
 import pandas as pd
 
-from quillon.operators import compare, inventory, outline, references
+from quillon.operators import compare, exports, inventory, outline, references
 from quillon.plans import comparison
+from quillon.sources import staging
 
 
 def saved(spark, folder):
@@ -85,3 +86,25 @@ def test_a_report_measures_classes_of_texts(spark):
     assert rows("cross_tool_distances") == [("", i, j, 400, abs(i - j)) for i in range(3) for j in range(3)]
     assert len({r.text_sha256 for r in t["texts"].collect()}) == 3 and t["texts"].count() == 120
     assert [(r.pairs, r.equal_pairs) for r in t["repeats"].collect()] == [(1770, 570)] * 2
+
+
+def test_markdown_reads_results_once(spark, tmp_path, monkeypatch):
+    """What all steps need of the results is written in one pass; links are followed in one round where the last level finds nothing."""
+    written = []
+    add = staging.Rounds.add
+    monkeypatch.setattr(staging.Rounds, "add", lambda self, df: written.append((self.folder.rpartition("/")[2].split("-")[0], len(re.findall(r"raw#\d+\] parquet", plan(df))))) or add(self, df))
+    out = exports.export_document(saved(spark, tmp_path), "markdown")
+    assert written == [("markdown", 1), ("links", 0), ("paths", 0), ("paths", 0)] and not re.findall(r"raw#\d+\] parquet", plan(out))
+    assert out.first().asDict() == {"doc_id": 1, "content": "1. a\n\nb", "problem": None}
+
+
+def test_markdown_of_deep_and_shared_items(spark):
+    """A chain longer than the levels of two rounds, whose end is a child of the body, too; captions stand before their owner alone."""
+    n = 11
+    ref = lambda *x: [{"$ref": f"#/texts/{i}"} for i in x]
+    texts = [{"text": f"t{i}", "children": ref(i + 1) if i < n - 1 else ref(0)} for i in range(n)] + [{"text": "cap"}, {"label": "list_item", "text": "x"}, {"label": "list_item", "text": "y", "captions": ref(n)}]
+    raw = {"body": {"children": ref(n + 1, n + 2, n, n - 1, 0)}, "texts": texts}
+    rows = spark.createDataFrame([(1, json.dumps(raw)), (2, None)], "doc_id bigint, raw string")
+    got = {r.doc_id: (r.content, r.problem) for r in exports.export_document(rows, "markdown").collect()}
+    want = "- x\ncap\n\n- y\n\n" + "\n\n".join(f"t{i}" for i in (n - 1, *range(n - 1)))
+    assert got == {1: (want, None), 2: (None, "no JSON")}
